@@ -37,17 +37,17 @@ def parse_rational(c) -> Column:
     fp = F.regexp_extract(s, r"\.([0-9]+)$", 1)
     digits = F.concat(ip, fp)
     dec_ok = s.rlike(_DEC) & (F.length(digits) <= _MAX_DIGITS)
-    dec_num = F.when(neg, -digits.cast("decimal(18,0)")).otherwise(digits.cast("decimal(18,0)"))
-    dec_den = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(fp))).cast("decimal(18,0)")
+    dec_num = F.when(neg, -digits.try_cast("decimal(18,0)")).otherwise(digits.try_cast("decimal(18,0)"))
+    dec_den = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(fp))).try_cast("decimal(18,0)")
 
     tex_ok = s.rlike(_FRAC_TEX)
     sl_ok = s.rlike(_FRAC_SLASH)
     fr_num = F.when(tex_ok, F.regexp_extract(s, _FRAC_TEX, 1)).otherwise(F.regexp_extract(s, _FRAC_SLASH, 1))
     fr_den = F.when(tex_ok, F.regexp_extract(s, _FRAC_TEX, 2)).otherwise(F.regexp_extract(s, _FRAC_SLASH, 2))
-    fr_ok = (tex_ok | sl_ok) & (fr_den.cast("decimal(18,0)") != 0)
+    fr_ok = (tex_ok | sl_ok) & (fr_den.try_cast("decimal(18,0)") != 0)
 
-    num = F.when(dec_ok, dec_num).when(fr_ok, fr_num.cast("decimal(18,0)"))
-    den = F.when(dec_ok, dec_den).when(fr_ok, fr_den.cast("decimal(18,0)"))
+    num = F.when(dec_ok, dec_num).when(fr_ok, fr_num.try_cast("decimal(18,0)"))
+    den = F.when(dec_ok, dec_den).when(fr_ok, fr_den.try_cast("decimal(18,0)"))
     return F.when(num.isNotNull(), F.struct(num.alias("num"), den.alias("den")))
 
 

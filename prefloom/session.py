@@ -16,6 +16,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -66,3 +67,13 @@ def ensure_dir(path: str) -> str:
     if "://" not in p:
         os.makedirs(p, exist_ok=True)
     return path
+
+
+def reliable_checkpoint(df):
+    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+
+    A reliable checkpoint survives executor loss (unlike a local one); the
+    folder comes from the session (``checkpoint_root``).
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
