@@ -80,3 +80,24 @@ def train_pairwise(pairs: DataFrame, emb_accepted: str = "emb_accepted", emb_rej
     lr = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=max_iter, standardization=False)
     model = lr.fit(data)
     return [float(x) for x in np.asarray(model.coefficients.toArray())]
+
+
+# -- stand-in model functions (for tests and demos; real ones are the user's) --
+
+def make_echo_generator():
+    """A deterministic stand-in for a completion model: the last words of
+    the prompt, the sample index and a boxed number."""
+    def fn(prompts: np.ndarray, sample_idx: np.ndarray) -> np.ndarray:
+        out = []
+        for p, i in zip(prompts, sample_idx):
+            tail = " ".join(str(p).split()[-5:])
+            out.append(f"{tail} ... so the answer is \\boxed{{{(len(str(p)) + int(i)) % 7}}}")
+        return np.array(out, dtype=object)
+    return fn
+
+
+def make_length_reward():
+    """A stand-in reward model on chat texts: more distinct words, more reward."""
+    def fn(texts: np.ndarray) -> np.ndarray:
+        return np.array([float(len(set(str(t).split()))) / (1.0 + len(str(t)) ** 0.5) for t in texts])
+    return fn

@@ -306,3 +306,108 @@ QUERIES = {
     "active_rest": q_active_rest,
     "resume_pending": q_resume_pending,
 }
+
+
+# -- rows-only: model functions, training, rounds, streaming ------------------------------
+
+def pairs_with_embeddings(spark, sf):
+    """Capped label pairs with the embeddings of both sides."""
+    p = _pairs8(spark, sf).select("problem_id", "pair_rank", "accepted_idx", "rejected_idx")
+    vec = testdata.doc_vec_id
+    p = (p.withColumn("_da", F.col("problem_id") * 8 + F.col("accepted_idx"))
+          .withColumn("_dr", F.col("problem_id") * 8 + F.col("rejected_idx"))
+          .withColumn("vec_accepted", vec(spark, sf, "_da")).withColumn("vec_rejected", vec(spark, sf, "_dr")))
+    emb = testdata.embeddings(spark, sf)
+    ea = emb.select(F.col("vec_id").alias("vec_accepted"), F.col("embedding").alias("emb_accepted"))
+    er = emb.select(F.col("vec_id").alias("vec_rejected"), F.col("embedding").alias("emb_rejected"))
+    return p.join(ea, "vec_accepted").join(er, "vec_rejected").drop("_da", "_dr")
+
+
+def q_train_pairwise_reward(spark, sf):
+    w = model.train_pairwise(pairs_with_embeddings(spark, sf))
+    return spark.createDataFrame([(i + 1, x) for i, x in enumerate(w)], "dim int, weight double")
+
+
+def q_active_rounds(spark, sf):
+    from prefloom.plans import active
+
+    pe = pairs_with_embeddings(spark, sf)
+    pool, held_out = active.split_by_problem(pe, 0.2, SEED)
+    return active.active_rounds(spark, pool, held_out, ["problem_id", "pair_rank"],
+                                model.rule_weights(64, 3), rounds=3, k=SELECT_K,
+                                max_to_look_at=SELECT_WINDOW, seed=SEED)
+
+
+def q_generate_completions(spark, sf):
+    p = testdata.problems(spark, sf, 8)
+    r = p.select("problem_id", prompts.render_prompt("problem", prompts.MATH_TEMPLATE).alias("prompt"))
+    return model.generate(r, model.make_echo_generator, FAN_OUT, batch_size=64) \
+        .select("problem_id", "response_idx", "response")
+
+
+def q_reward_model_scores(spark, sf):
+    cp = preference.chat_pairs(_pairs8_text(spark, sf))
+    cp = cp.select("problem_id", "pair_rank", prompts.chat_text("chosen").alias("chosen_text"),
+                   prompts.chat_text("rejected_messages").alias("rejected_text"))
+    s = model.predict_scores(cp, model.make_length_reward, ["chosen_text"], 8, "r_accepted")
+    s = model.predict_scores(s, model.make_length_reward, ["rejected_text"], 8, "r_rejected")
+    return s.select("problem_id", "pair_rank", "r_accepted", "r_rejected")
+
+
+def _stream_input(spark, df, name, parts=4):
+    """Write ``df`` as several files under the shared scratch folder (the stream's input)."""
+    from prefloom.session import scratch_path
+
+    path = scratch_path(spark, name)
+    df.repartition(parts).write.mode("overwrite").parquet(path)
+    return path
+
+
+def q_stream_preference_pairs(spark, sf):
+    from prefloom.session import scratch_path
+    from prefloom.streaming import incremental
+
+    mc = testdata.math_candidates(spark, sf)
+    probs = testdata.problems(spark, sf, 8).select("problem_id", "problem") \
+        .join(mc.select("problem_id", "answer").dropDuplicates(["problem_id"]), "problem_id")
+    src = _stream_input(spark, probs, "stream-problems")
+    out = scratch_path(spark, "stream-pairs")
+    incremental.incremental_preferences(spark, src, probs.schema, mc.select("problem_id", "response_idx", "response"),
+                                        out, scratch_path(spark, "stream-ckpt"), "math", MATH_CAP)
+    return spark.read.parquet(out)
+
+
+def q_stream_sft(spark, sf):
+    from prefloom.session import scratch_path
+    from prefloom.streaming import incremental
+
+    probs = testdata.problems(spark, sf, 8).select("problem_id", "problem")
+    src = _stream_input(spark, probs, "stream-sft-problems")
+    out = scratch_path(spark, "stream-sft")
+    comp = testdata.responses(spark, sf, 8).select("problem_id", "response_idx", "response")
+    incremental.incremental_sft(spark, src, probs.schema, comp, out, scratch_path(spark, "stream-sft-ckpt"))
+    return spark.read.parquet(out)
+
+
+def q_stream_running_accuracy(spark, sf):
+    from prefloom.session import scratch_path
+    from prefloom.streaming import incremental
+
+    sp = scored_pairs(spark, sf).where(F.col("model") == "lin3") \
+        .select("problem_id", "pair_rank", "r_accepted", "r_rejected")
+    src = _stream_input(spark, sp, "stream-scored")
+    out = scratch_path(spark, "stream-acc")
+    incremental.incremental_accuracy_counts(spark, src, sp.schema, out, scratch_path(spark, "stream-acc-ckpt"))
+    return incremental.running_accuracy_from_counts(spark, out)
+
+
+ROWS_ONLY = {
+    "train_pairwise_reward": q_train_pairwise_reward,
+    "active_rounds": q_active_rounds,
+    "generate_completions": q_generate_completions,
+    "reward_model_scores": q_reward_model_scores,
+    "stream_preference_pairs": q_stream_preference_pairs,
+    "stream_sft": q_stream_sft,
+    "stream_running_accuracy": q_stream_running_accuracy,
+}
+QUERIES.update(ROWS_ONLY)
