@@ -73,6 +73,22 @@ def length_filter(pairs: DataFrame, max_tokens: int, texts: Sequence[str] = ("ac
     return pairs.where(longest <= F.lit(int(max_tokens)))
 
 
+def length_filter_narrow(pairs: DataFrame, responses: DataFrame, problems: DataFrame, max_tokens: int,
+                         key_cols: Sequence[str] = ("problem_id",), order_col: str = "response_idx",
+                         text_col: str = "response", problem_col: str = "problem") -> DataFrame:
+    """``length_filter`` on narrow pairs: tokens are counted once per
+    response and per problem, and only the counts (not the texts) are joined
+    to the pairs, on unique keys."""
+    g = list(key_cols)
+    rt = responses.select(*g, F.col(order_col), count_tokens(text_col).alias("_nt"))
+    pt = problems.select(*g, count_tokens(problem_col).alias("_np"))
+    ra = rt.withColumnRenamed(order_col, "accepted_idx").withColumnRenamed("_nt", "_na")
+    rr = rt.withColumnRenamed(order_col, "rejected_idx").withColumnRenamed("_nt", "_nr")
+    j = pairs.join(ra, g + ["accepted_idx"]).join(rr, g + ["rejected_idx"]).join(pt, g)
+    longest = F.col("_np") + F.greatest(F.col("_na"), F.col("_nr"))
+    return j.where(longest <= F.lit(int(max_tokens))).drop("_na", "_nr", "_np")
+
+
 def truncate_tokens(c, max_tokens: int):
     """First ``max_tokens`` white-space tokens, joined by single spaces (the
     single-pair evaluation path truncates; the model sees at most that)."""

@@ -17,10 +17,13 @@ one task does not survive a group that holds a third of the data. Instead:
   to i)``. Counts per (group, score) are a partial aggregation, so hot groups
   are pre-aggregated map-side.
 * The partners themselves are the first ``need_i`` responses after ``i`` with
-  another score: an equi-join on the group key (small side: at most ``k``
-  heads per group; AQE broadcasts it when its measured size allows, or splits
-  a skewed group otherwise) followed by a per-head ``row_number() <= k``,
-  which Spark plans as a map-side ``WindowGroupLimit`` before the shuffle.
+  another score: an equi-join on (group, block), ``block = order div
+  block_rows``. A group of ``n`` responses spans ``n / block_rows`` blocks and
+  its (at most ``k``) heads are repeated once per block, so a hot group is
+  spread over many join tasks while a normal group costs one row per head.
+  The join is followed by a per-head ``row_number() <= k``; since the join is
+  partitioned by block, Spark plans it as a map-side ``WindowGroupLimit``
+  right after the join and shuffles at most ``k`` rows per head and task.
 
 Texts are joined after the cap (late materialisation), on unique
 ``(group, order)`` keys, so no text crosses the pairing shuffles.
@@ -54,27 +57,35 @@ def _narrow(scored: DataFrame, group_cols, order_col, score_col, materialize) ->
         # The scores may be expensive (regex over whole texts, model calls);
         # the narrow (key, order, score) rows are written once and reused by
         # the three branches below instead of being recomputed.
-        base = reliable_checkpoint(base)
+        base = reliable_checkpoint(base, "pairs-base")
     return base
 
 
 def group_stats(base: DataFrame, group_cols: Sequence[str]):
-    """Per (group, score) counts and per-group sizes (partial aggregation)."""
+    """Per (group, score) counts and per-group sizes and last order value
+    (partial aggregation)."""
     g = list(group_cols)
-    score_n = base.groupBy(*g, "_s").agg(F.count(F.lit(1)).alias("_cs"))
-    group_n = score_n.groupBy(*g).agg(F.sum("_cs").alias("_n"))
-    return score_n, group_n
+    score_n = base.groupBy(*g, "_s").agg(F.count(F.lit(1)).alias("_cs"), F.max("_o").alias("_mo"))
+    group_n = score_n.groupBy(*g).agg(F.sum("_cs").alias("_n"), F.max("_mo").alias("_maxo"))
+    return score_n.drop("_mo"), group_n
+
+
+BLOCK_ROWS = 1 << 20
 
 
 def preference_pairs(scored: DataFrame, max_pairs: int, group_cols: Sequence[str] = ("problem_id",),
                      order_col: str = "response_idx", score_col: str = "score",
-                     materialize: bool = True) -> DataFrame:
+                     materialize: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Narrow capped pairs.
 
     Returns ``group_cols, pair_rank, i, j, accepted_idx, rejected_idx,
     accepted_score, rejected_score``; ``pair_rank`` is 1-based in (i, j)
-    order. ``(group, order_col)`` must be unique and scores non-null.
+    order. ``order_col`` is a non-negative integer (a sample index),
+    ``(group, order_col)`` unique and scores non-null. ``block_rows`` bounds
+    the candidate rows of one group that meet in one join task.
     """
+    if block_rows <= 0:
+        raise ValueError("block_rows must be positive")
     k = _cap(max_pairs)
     g = list(group_cols)
     base = _narrow(scored, g, order_col, score_col, materialize)
@@ -93,12 +104,15 @@ def preference_pairs(scored: DataFrame, max_pairs: int, group_cols: Sequence[str
     before = Window.partitionBy(*g).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("_cum", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     heads = heads.withColumn("_need", F.least(F.col("_cnt"), F.lit(k) - F.col("_cum")))
+    b = F.lit(int(block_rows))
     involved = heads.where(F.col("_need") > 0).select(
-        *g, F.col("_o").alias("_oi"), F.col("_s").alias("_si"), "_need", "_cum")
+        *g, F.col("_o").alias("_oi"), F.col("_s").alias("_si"), "_need", "_cum",
+        F.explode(F.sequence(F.floor(F.col("_o") / b), F.floor(F.col("_maxo") / b))).alias("_blk"))
 
-    cand = base.select(*g, F.col("_o").alias("_oj"), F.col("_s").alias("_sj"))
-    cond = [involved[c] == cand[c] for c in g] + [cand["_oj"] > involved["_oi"],
-                                                   cand["_sj"] != involved["_si"]]
+    cand = base.select(*g, F.col("_o").alias("_oj"), F.col("_s").alias("_sj"),
+                       F.floor(F.col("_o") / b).alias("_blk"))
+    cond = [involved[c] == cand[c] for c in g + ["_blk"]] + [cand["_oj"] > involved["_oi"],
+                                                              cand["_sj"] != involved["_si"]]
     joined = involved.join(cand, cond).select(*[involved[c] for c in g], "_oi", "_si", "_need",
                                                "_cum", "_oj", "_sj")
     per_head = Window.partitionBy(*g, "_oi").orderBy("_oj")

@@ -220,7 +220,8 @@ def q_failure_reasons(spark, sf):
 # -- evaluation ---------------------------------------------------------------------------
 
 def q_length_filter(spark, sf):
-    kept = evaluate.length_filter(_pairs8_text(spark, sf), MAX_TOKENS)
+    kept = evaluate.length_filter_narrow(_pairs8(spark, sf), testdata.responses(spark, sf, 8),
+                                         testdata.problems(spark, sf, 8), MAX_TOKENS)
     return kept.select("problem_id", "pair_rank")
 
 

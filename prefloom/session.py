@@ -69,11 +69,14 @@ def ensure_dir(path: str) -> str:
     return path
 
 
-def reliable_checkpoint(df):
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+def reliable_checkpoint(df, name: str = "ckpt"):
+    """Write ``df`` to the shared checkpoint folder and read it back.
 
-    A reliable checkpoint survives executor loss (unlike a local one); the
-    folder comes from the session (``checkpoint_root``).
+    Cuts the lineage and survives executor loss (unlike a local checkpoint).
+    A Parquet write computes the plan once; ``DataFrame.checkpoint`` would
+    compute it twice (once to count, once to write) unless cached.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -24,10 +24,10 @@ def brute(groups, k):
     return sorted(out)
 
 
-def run(spark, groups, k, materialize=False):
+def run(spark, groups, k, materialize=False, block_rows=pairs.BLOCK_ROWS):
     data = [(g, i, s) for g, sc in groups.items() for i, s in enumerate(sc)]
     df = spark.createDataFrame(data, "problem_id long, response_idx int, score int")
-    p = pairs.preference_pairs(df, k, materialize=materialize)
+    p = pairs.preference_pairs(df, k, materialize=materialize, block_rows=block_rows)
     return sorted(rows(p, "problem_id", "pair_rank", "i", "j", "accepted_idx", "rejected_idx"))
 
 
@@ -48,6 +48,8 @@ def test_random_groups_match_brute_force(spark):
     groups[101] = [0, 1] + [2] * 40
     for k in (1, 4, 16):
         assert run(spark, groups, k) == brute(groups, k)
+    # groups spread over several blocks of 3 responses
+    assert run(spark, groups, 4, block_rows=3) == brute(groups, 4)
 
 
 def test_hot_group(spark):
@@ -55,6 +57,8 @@ def test_hot_group(spark):
     hot = [(i // 700) % 3 for i in range(3000)]
     groups = {0: hot, 1: [0, 1, 0, 1], 2: [5] * 10}
     assert run(spark, groups, 4, materialize=True) == brute(groups, 4)
+    # the hot group spans 30 blocks: its candidates meet their heads in 30 join tasks
+    assert run(spark, groups, 4, materialize=True, block_rows=100) == brute(groups, 4)
 
 
 def test_bad_caps(spark):
@@ -83,5 +87,6 @@ def test_candidates8_counts(spark):
 def test_plan_has_group_limit_and_no_cartesian(spark):
     c = testdata.candidates(spark, SF_MID, 8)
     plan = pairs.preference_pairs(c, 4, materialize=False)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    # both top-k windows (heads per group, partners per head) are limited map-side
+    assert plan.count("WindowGroupLimit") >= 4 and plan.count("Partial") >= 2
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
