@@ -23,8 +23,11 @@ WS_CLASS_BODY = (
     r"\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-WS = f"[{WS_CLASS_BODY}]"
-NON_WS = f"[^{WS_CLASS_BODY}]"
+# Spark-side form of the same set: Java's Unicode \s is the White_Space
+# property; with \x1C-\x1F added it is exactly Python's set, and matches
+# about twice as fast as the explicit class.
+WS = r"(?U)[\s\x{1C}-\x{1F}]"
+NON_WS = r"(?U)[^\s\x{1C}-\x{1F}]"
 
 # Box patterns. (?d): '.' excludes only '\n', as Python's '.' does.
 BOXED_FIRST = r"(?d)\\boxed\{(.*?)\}"
