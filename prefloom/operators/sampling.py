@@ -28,11 +28,42 @@ def seeded_key(seed, key_cols: Sequence[str]) -> Column:
     return shuffle_key(seed, *key_cols)
 
 
-def take_sample(df: DataFrame, n: int, seed, key_cols: Sequence[str], strict: bool = True) -> DataFrame:
+def top_keys(df: DataFrame, n: int, order: Sequence[Column], key_cols: Sequence[str],
+             rank_name: str | None = None, extra: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """The ``n`` smallest (``descending``: largest) rows by ``order``, as
+    narrow key rows; ties are broken by ``key_cols`` ascending.
+
+    Only ``key_cols`` (plus ``extra``) take part in the top-n: the per-task
+    top-n and the final merge move ids and sort keys, not wide rows. With
+    ``rank_name`` a 1-based rank is added; that window sees the ``n`` chosen
+    rows only.
+    """
+    from pyspark.sql import Window
+
+    cols = list(dict.fromkeys([*key_cols, *extra]))
+    narrow = df.select(*cols, *[o.alias(f"_ord{i}") for i, o in enumerate(order)])
+    ords = [F.col(f"_ord{i}").desc() if descending else F.col(f"_ord{i}") for i in range(len(order))]
+    ords += [F.col(c) for c in key_cols]
+    top = narrow.orderBy(*ords).limit(int(n))
+    if rank_name:
+        top = top.withColumn(rank_name, F.row_number().over(Window.orderBy(*ords)))
+    return top.drop(*[f"_ord{i}" for i in range(len(order))])
+
+
+def restrict(df: DataFrame, keys: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose key is in ``keys``, with the columns of ``keys``
+    attached. ``keys`` comes from a top-n and is bounded by that ``n``, so it
+    is broadcast; the wide rows are never moved."""
+    return df.join(F.broadcast(keys), list(key_cols))
+
+
+def take_sample(df: DataFrame, n: int, seed, key_cols: Sequence[str], strict: bool = True,
+                rank_name: str | None = None) -> DataFrame:
     """The first ``n`` rows of a seeded shuffle.
 
     ``strict``: too few rows is an error (generation and training);
     otherwise the sample is clamped to the source size (evaluation).
+    ``key_cols`` must identify a row.
     """
     if n < 0:
         raise ValueError("n must be >= 0")
@@ -40,8 +71,8 @@ def take_sample(df: DataFrame, n: int, seed, key_cols: Sequence[str], strict: bo
         have = df.limit(n).count()  # stops reading after n rows
         if have < n:
             raise ValueError(f"source has {have} rows, fewer than the {n} requested")
-    key = seeded_key(seed, key_cols)
-    return df.withColumn("_key", key).orderBy("_key", *key_cols).limit(n)
+    keys = top_keys(df, n, [seeded_key(seed, key_cols)], key_cols, rank_name)
+    return restrict(df, keys, key_cols)
 
 
 def mix_sources(sources: Sequence[tuple[str, DataFrame, float]], max_examples: int | None,
@@ -59,12 +90,9 @@ def mix_sources(sources: Sequence[tuple[str, DataFrame, float]], max_examples: i
     shares = source_shares(max_examples, [r for _, _, r in sources])
     parts = []
     for (name, df, _), n in zip(sources, shares):
-        s = take_sample(df, n, seed, key_cols, strict=strict)
+        s = take_sample(df, n, seed, key_cols, strict=strict, rank_name="sample_rank")
         parts.append(s.withColumn("source_name", F.lit(name)))
-    mixed = reduce(lambda a, b: a.unionByName(b), parts)
-    # at most max_examples rows: the rank window is bounded by the sample size
-    w = Window.partitionBy("source_name").orderBy("_key", *key_cols)
-    return mixed.withColumn("sample_rank", F.row_number().over(w)).drop("_key")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def nested_subsets(df: DataFrame, sizes: Sequence[int], seed, key_cols: Sequence[str]) -> DataFrame:
@@ -75,13 +103,11 @@ def nested_subsets(df: DataFrame, sizes: Sequence[int], seed, key_cols: Sequence
     ``where(subset_size <= n)`` gives the subset of size ``n``.
     """
     sizes = sorted(int(s) for s in sizes)
-    top = take_sample(df, sizes[-1], seed, key_cols, strict=False)
-    w = Window.orderBy("_key", *key_cols)  # bounded by the largest subset size
-    ranked = top.withColumn("subset_rank", F.row_number().over(w))
+    ranked = take_sample(df, sizes[-1], seed, key_cols, strict=False, rank_name="subset_rank")
     size = F.lit(None).cast("int")
     for s in reversed(sizes):
         size = F.when(F.col("subset_rank") <= s, F.lit(s)).otherwise(size)
-    return ranked.withColumn("subset_size", size).drop("_key")
+    return ranked.withColumn("subset_size", size)
 
 
 def _range_tagged(df: DataFrame, order_cols: Sequence[str], num_partitions: int | None = None) -> DataFrame:

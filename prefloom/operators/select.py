@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions.hashing import gumbel_key
-from prefloom.operators.sampling import take_sample
+from prefloom.operators.sampling import restrict, take_sample, top_keys
 from prefloom.session import reliable_checkpoint
 
 
 def selection_window(pool: DataFrame, max_to_look_at: int, seed, key_cols: Sequence[str]) -> DataFrame:
     """The first ``max_to_look_at`` pool rows of a seeded shuffle (clamped)."""
-    return take_sample(pool, max_to_look_at, seed, key_cols, strict=False).drop("_key")
+    return take_sample(pool, max_to_look_at, seed, key_cols, strict=False)
 
 
 def with_gap(df: DataFrame, chosen: str = "r_accepted", rejected: str = "r_rejected") -> DataFrame:
@@ -43,10 +43,8 @@ def select_uncertain(window: DataFrame, k: int, seed, key_cols: Sequence[str], t
         if k > have:
             raise ValueError(f"cannot select {k} rows from a window of {have}")
     key = gumbel_key(-F.col(gap_col) / F.lit(float(temp)), f"{seed}:draw", *key_cols)
-    chosen = window.withColumn("_gkey", key).orderBy(F.desc("_gkey"), *key_cols).limit(k)
-    from pyspark.sql import Window
-    w = Window.orderBy(F.desc("_gkey"), *key_cols)  # k rows, bounded by the parameter
-    return chosen.withColumn("select_rank", F.row_number().over(w)).drop("_gkey")
+    keys = top_keys(window, k, [key], key_cols, rank_name="select_rank", descending=True)
+    return restrict(window, keys, key_cols)
 
 
 def split_selection(pool: DataFrame, selected: DataFrame, window: DataFrame, key_cols: Sequence[str],

@@ -24,9 +24,9 @@ def test_take_sample_strict_and_clamped(spark):
 
 def test_sample_stable_under_repartition(spark):
     df = spark.range(500).withColumnRenamed("id", "k")
-    a = rows(sampling.take_sample(df, 50, 7, ["k"], strict=True), "k")
-    b = rows(sampling.take_sample(df.repartition(13), 50, 7, ["k"], strict=True), "k")
-    assert a == b
+    a = sorted(rows(sampling.take_sample(df, 50, 7, ["k"], strict=True, rank_name="r"), "k", "r"))
+    b = sorted(rows(sampling.take_sample(df.repartition(13), 50, 7, ["k"], strict=True, rank_name="r"), "k", "r"))
+    assert a == b and len(a) == 50
 
 
 def test_nested_subsets_are_prefixes(spark):
