@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,7 +71,8 @@ def math_score(response, answer, mode: str = "first_brace", which: str = "first"
 
     Both sides are box-extracted (stripped text when there is no box). The
     reference's symbolic check is replaced by ``rational_equal``; expressions
-    beyond numbers compare by string only (see ``with_cas`` for a callable).
+    beyond numbers compare by string only (``math_score_with_cas`` takes a
+    user computer-algebra callable for the rest).
     """
     rc = extract_boxed(response, mode, which)
     ac = extract_boxed(answer, mode, which)
@@ -80,13 +82,60 @@ def math_score(response, answer, mode: str = "first_brace", which: str = "first"
     return same
 
 
+def cas_equal(cas_fn: Callable[[str, str], bool]):
+    """Wrap a user computer-algebra check ``cas_fn(response_core, answer_core)
+    -> bool`` as an Arrow-batched UDF.
+
+    Results are memoised per Python worker, so repeated (response, answer)
+    cores are solved once per worker without a shuffle; exceptions count as
+    not equal. Use it only for rows the built-in checks leave unequal
+    (``math_score_with_cas``).
+    """
+    memo: dict = {}
+
+    @F.pandas_udf("boolean")
+    def _eq(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            key = (x, y)
+            if key not in memo:
+                try:
+                    memo[key] = bool(cas_fn(x, y))
+                except Exception:
+                    memo[key] = False
+                if len(memo) > 100_000:
+                    memo.clear()
+            out.append(memo[key])
+        return pd.Series(out, dtype=bool)
+
+    return _eq
+
+
+def math_score_with_cas(df, cas_fn, response_col: str = "response", answer_col: str = "answer",
+                        mode: str = "first_brace", out_col: str = "correct"):
+    """``math_score`` plus a user CAS for the rows it leaves unequal.
+
+    Rows already decided by string or rational equality never reach Python:
+    the frame is split on that column, the CAS runs on the rest, and the two
+    parts are unioned (no join, no shuffle).
+    """
+    rc = extract_boxed(response_col, mode)
+    ac = extract_boxed(answer_col, mode)
+    base = df.withColumn("_rc", rc).withColumn("_ac", ac) \
+             .withColumn("_fast", rc.eqNullSafe(ac) | rational_equal(rc, ac))
+    decided = base.where(F.col("_fast")).withColumn(out_col, F.lit(True))
+    rest = base.where(~F.col("_fast")).withColumn(out_col, cas_equal(cas_fn)(F.col("_rc"), F.col("_ac")))
+    return decided.unionByName(rest).drop("_rc", "_ac", "_fast")
+
+
 # -- multiple choice ------------------------------------------------------------
 
-def parse_choice(c) -> Column:
+def parse_choice(c, trim: bool = False) -> Column:
     """Answer shape: ``struct<is_list boolean, items array<string>, text string>``.
 
     A bracketed JSON list literal is a list; otherwise a comma splits into a
-    list (no trimming: ``A, B`` gives ``A`` and `` B``); otherwise one string.
+    list (by default without trimming, as the reference: ``A, B`` gives ``A``
+    and `` B``; ``trim=True`` strips the items); otherwise one string.
     Never evaluated as code.
     """
     t = _col(c)
@@ -94,11 +143,13 @@ def parse_choice(c) -> Column:
     bracket_list = t.contains("[") & parsed.isNotNull()
     comma = t.contains(",")
     items = F.when(bracket_list, parsed).when(comma, F.split(t, ",", -1))
+    if trim:
+        items = F.transform(items, lambda x: py_strip(x))
     return F.struct(items.isNotNull().alias("is_list"), items.alias("items"), t.alias("text"))
 
 
 def choice_score(response, answer, only_perfect_match: bool = False,
-                 mode: str = "first_brace") -> Column:
+                 mode: str = "first_brace", trim: bool = False) -> Column:
     """Multiple-choice score.
 
     -1 if one side is a list and the other not; for strings +1 / -1; for lists
@@ -107,8 +158,8 @@ def choice_score(response, answer, only_perfect_match: bool = False,
     With ``only_perfect_match`` the result is ``score == len(correct)``
     (for a string answer its character length, as in the reference).
     """
-    g = parse_choice(extract_boxed(response, mode))
-    c = parse_choice(answer)
+    g = parse_choice(extract_boxed(response, mode), trim)
+    c = parse_choice(answer, trim)
     gi, ci = g["items"], c["items"]
     missing = F.size(F.filter(ci, lambda x: ~F.array_contains(gi, x)))
     extra = F.size(F.filter(gi, lambda x: ~F.array_contains(ci, x)))

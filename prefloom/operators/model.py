@@ -57,6 +57,26 @@ def predict_scores(df: DataFrame, make_predict_fn: Callable, input_cols: Sequenc
     return df.withColumn(out_col, udf(*[F.col(c) for c in input_cols]))
 
 
+def score_pair_sides(pairs: DataFrame, make_predict_fn: Callable, chosen_col: str = "chosen_text",
+                     rejected_col: str = "rejected_text", batch_size: int = 8,
+                     max_tokens: int | None = None) -> DataFrame:
+    """Reward of both sides of each pair in one model pass per side.
+
+    ``batch_size=1`` with ``max_tokens`` is the single-pair evaluation path
+    (texts truncated to ``max_tokens`` white-space tokens first); every pair
+    is scored once whatever the batch size.
+    """
+    from prefloom.operators.evaluate import truncate_tokens
+
+    c, r = F.col(chosen_col), F.col(rejected_col)
+    if max_tokens is not None:
+        c, r = truncate_tokens(c, max_tokens), truncate_tokens(r, max_tokens)
+    tmp = pairs.withColumn("_c_in", c).withColumn("_r_in", r)
+    tmp = predict_scores(tmp, make_predict_fn, ["_c_in"], batch_size, "r_accepted")
+    tmp = predict_scores(tmp, make_predict_fn, ["_r_in"], batch_size, "r_rejected")
+    return tmp.drop("_c_in", "_r_in")
+
+
 def pairwise_features(pairs: DataFrame, emb_accepted: str = "emb_accepted",
                       emb_rejected: str = "emb_rejected") -> DataFrame:
     """Each pair twice: (accepted - rejected, label 1) and the negation (label 0)."""

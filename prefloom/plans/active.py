@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from prefloom.operators import evaluate, model, select
 from prefloom.session import scratch_path
-from prefloom.sources.tables import read_split, write_splits
+from prefloom.sources.tables import read_split, write_metrics, write_splits
 
 
 def score_pairs_linear(pairs: DataFrame, weights: Sequence[float], emb_accepted: str = "emb_accepted",
@@ -55,10 +55,14 @@ def active_rounds(spark: SparkSession, pool: DataFrame, eval_pairs: DataFrame, k
         weights = model.train_pairwise(train)
         acc = evaluate.pairwise_accuracy(score_pairs_linear(eval_pairs, weights)).first()
         current = read_split(spark, path, "rest").drop("split")
-        metrics.append({"round": r, "n_train": int(train.count()), "n_eval": int(acc["n_pairs"]),
-                        "accuracy": None if acc["accuracy"] is None else float(acc["accuracy"]),
-                        "n_rest": int(current.count())})
-    return spark.createDataFrame(metrics, "round int, n_train long, n_eval long, accuracy double, n_rest long")
+        rec = {"round": r, "n_train": int(train.count()), "n_eval": int(acc["n_pairs"]),
+               "accuracy": None if acc["accuracy"] is None else float(acc["accuracy"]),
+               "n_rest": int(current.count())}
+        metrics.append(rec)
+    schema = "round int, n_train long, n_eval long, accuracy double, n_rest long"
+    out = spark.createDataFrame(metrics, schema)
+    out.write.mode("overwrite").parquet(f"{out_root}/metrics")
+    return spark.read.parquet(f"{out_root}/metrics")
 
 
 def split_by_problem(pairs: DataFrame, eval_share: float, seed, key: str = "problem_id"):

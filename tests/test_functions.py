@@ -71,3 +71,20 @@ def test_normalize_and_last_line(spark):
     assert _one(spark, ["Expected...\n3", "Traceback ...", " 7 ", "5.0"],
                 lambda d: text.last_line_int(d.a)) == [3, 0, 7, 0]
     assert _one(spark, ["a  b\tc\n", "", "   "], lambda d: text.count_tokens(d.a)) == [3, 0, 0]
+
+
+def test_choice_trim_option(spark):
+    df = spark.createDataFrame([("\\boxed{A, B}", "A,B")], "r string, a string")
+    assert rows(df, scoring.choice_score(df.r, df.a)) == [(0,)]
+    assert rows(df, scoring.choice_score(df.r, df.a, trim=True)) == [(2,)]
+
+
+def test_math_score_with_cas(spark):
+    df = spark.createDataFrame([(0, "\\boxed{x+1}", "\\boxed{1+x}"), (1, "\\boxed{5}", "\\boxed{5.0}"),
+                                (2, "\\boxed{y}", "\\boxed{z}")], "id int, response string, answer string")
+
+    def cas(a, b):  # toy: equal as sorted characters
+        return sorted(a) == sorted(b)
+
+    got = sorted(rows(scoring.math_score_with_cas(df, cas), "id", "correct"))
+    assert got == [(0, True), (1, True), (2, False)]
