@@ -81,3 +81,18 @@ def test_streaming_restart_adds_nothing(spark, tmp_path):
     n1 = spark.read.parquet(out).count()
     incremental.incremental_sft(spark, src, probs.schema, comp, out, ck)
     assert spark.read.parquet(out).count() == n1 == 200
+
+
+def test_generate_preference_job(spark, tmp_path):
+    from prefloom.operators import model
+    from prefloom.plans import jobs
+    from prefloom.sources import testdata
+
+    probs = testdata.problems(spark, SF_SMALL, 8).select(
+        "problem_id", "problem", F.lit("\\boxed{3}").alias("solution"))
+    out = jobs.generate_preference_data(spark, probs, "math", model.make_echo_generator, 8, 4, str(tmp_path / "p"))
+    assert set(out.columns) >= {"problem", "accepted", "rejected"}
+    n = out.count()
+    assert 0 < n <= 4 * probs.count()
+    sft = jobs.generate_sft_data(spark, probs, "math", model.make_echo_generator, 2, str(tmp_path / "s"))
+    assert sft.count() == 2 * probs.count()
