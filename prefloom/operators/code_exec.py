@@ -60,13 +60,21 @@ def fan_out_cases(responses: DataFrame, cases: DataFrame, response_col: str = "r
 Runner = Callable[[str, "str | None", str], tuple]
 
 
-def run_cases(fanned: DataFrame, runner: Runner, libs: Sequence[str] = FORBIDDEN_LIBS) -> DataFrame:
+def run_cases(fanned: DataFrame, runner: Runner, libs: Sequence[str] = FORBIDDEN_LIBS,
+              num_partitions: int | None = None) -> DataFrame:
     """Run each (code, case) with ``runner(code, fn_name, input) -> (actual, ok, error)``.
 
     Arrow batches through ``mapInPandas``; programs naming a forbidden
     library are not run (``ok`` false). A timeout is the runner's business
     and should come back as ``ok = False``.
+
+    Runs are spread by (problem, response, case) over ``num_partitions``
+    tasks first: a run costs seconds, so a problem with many responses must
+    not stay in the task of its join partition (the explicit shuffle also
+    lets AQE split a skewed fan-out join, and is not coalesced by size).
     """
+    n = num_partitions or int(fanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fanned = fanned.repartition(n, "problem_id", "response_idx", "case_idx")
     out_schema = fanned.schema.simpleString()[len("struct<"):-1] + ",actual:string,ok:boolean,error:string"
 
     def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
