@@ -94,10 +94,16 @@ def normalize_output(c) -> Column:
     return F.regexp_replace(py_strip(c), f"{WS}+", ",")
 
 
+# int() strips the Unicode White_Space set only: \x1c-\x1f are white space
+# to str.strip() but make int() fail.
+INT_WHITESPACE_CHARS = "".join(ch for ch in PY_WHITESPACE_CHARS if ch not in "\x1c\x1d\x1e\x1f")
+
+
 def last_line_int(c) -> Column:
-    """Last line (after the final ``\\n``) as an integer; 0 if it is none."""
+    """Last line (after the final ``\\n``) as an integer, as ``int()`` reads
+    it (ASCII digits, optional sign, surrounding white space); 0 otherwise."""
     last = F.substring_index(_col(c), "\n", -1)
-    core = py_strip(last)
+    core = F.trim(last, F.lit(INT_WHITESPACE_CHARS))
     ok = core.rlike(r"^[+-]?[0-9]{1,18}$")
     return F.when(ok, core.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 

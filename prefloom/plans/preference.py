@@ -28,7 +28,7 @@ def score_responses(responses: DataFrame, scorer: str = "math", response_col: st
 
 
 def preference_data(scored: DataFrame, problems: DataFrame | None, max_pairs: int,
-                    key_cols: Sequence[str] = ("problem_id",), materialize: bool = True) -> DataFrame:
+                    key_cols: Sequence[str] = ("problem_id",), materialize: bool | str = True) -> DataFrame:
     """Capped pairs with texts: ``problem, accepted, rejected`` plus keys."""
     narrow = pairs.preference_pairs(scored, max_pairs, group_cols=key_cols, materialize=materialize)
     return pairs.attach_texts(narrow, scored, problems, group_cols=key_cols)
