@@ -19,6 +19,7 @@ WS = f"[{WS_CLASS_BODY}]"
 NON_WS = f"[^{WS_CLASS_BODY}]"
 BOX_FIRST = r"\\boxed\{(.*?)\}"
 BOX_BAL = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+BOX_LAST = r"(?s:.*)\\boxed\{(.*?)\}"
 NL = "chr(10)"
 
 
@@ -145,10 +146,14 @@ def math_scored(pattern: str = BOX_FIRST) -> str:
             ",\nms AS (SELECT *, (rc IS NOT DISTINCT FROM ac) OR rat_eq AS correct FROM ms1)")
 
 
+def choice_items(x: str, trim: bool = False) -> str:
+    base = (f"CASE WHEN contains({x}, '[') AND json_valid({x}) AND json_type({x}) = 'ARRAY' "
+            f"THEN from_json({x}, '[\"VARCHAR\"]') WHEN contains({x}, ',') THEN string_split({x}, ',') END")
+    return f"list_transform({base}, lambda y: {strip('y')})" if trim else base
+
+
 def choice_scored() -> str:
-    def items(x):
-        return (f"CASE WHEN contains({x}, '[') AND json_valid({x}) AND json_type({x}) = 'ARRAY' "
-                f"THEN from_json({x}, '[\"VARCHAR\"]') WHEN contains({x}, ',') THEN string_split({x}, ',') END")
+    items = choice_items
     return f"""cs0 AS (SELECT problem_id, response_idx, doc_id, response, {boxed('response')} AS g, answer AS c FROM cc),
 cs1 AS (SELECT *, {items('g')} AS gi, {items('c')} AS ci FROM cs0),
 cs AS (SELECT *, CAST(CASE WHEN (gi IS NULL) <> (ci IS NULL) THEN -1
@@ -344,6 +349,29 @@ SELECT problem_id, pair_rank, round(gap, 6) AS gap FROM win w
 WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.problem_id = w.problem_id AND s.pair_rank = w.pair_rank)"""
     q["resume_pending"] = f"""WITH {R8}, {P8}
 SELECT problem_id FROM p8 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id // 8 = p8.problem_id)"""
+    q["extract_boxed_last"] = (f"WITH {R8}, {CC} SELECT problem_id, response_idx, "
+                               f"{boxed(chr(39) + 'First ' + chr(92) + 'boxed{0} then ' + chr(39) + ' || response', BOX_LAST)} AS core FROM cc")
+    tr = f"""WITH {R8}, {CC},
+t0 AS (SELECT problem_id, response_idx, {boxed("replace(response, ',', ', ')")} AS g, answer AS c FROM cc),
+t1 AS (SELECT *, {choice_items('g', True)} AS gi, {choice_items('c', True)} AS ci FROM t0)
+SELECT problem_id, response_idx, CAST(CASE WHEN (gi IS NULL) <> (ci IS NULL) THEN -1
+    WHEN gi IS NOT NULL THEN len(ci) - len(list_filter(ci, lambda x: NOT list_contains(gi, x)))
+                         - len(list_filter(gi, lambda x: NOT list_contains(ci, x)))
+    WHEN g = c THEN 1 ELSE -1 END AS INTEGER) AS score FROM t1"""
+    q["medical_score_trim"] = tr
+    partial = code_ctes().replace("ELSE coalesce(CASE WHEN pc.all_ran THEN pc.n_passed ELSE 0 END, 0) END",
+                                  "ELSE coalesce(pc.n_passed, 0) END")
+    q["code_pass_count_partial"] = f"WITH {partial} SELECT problem_id, response_idx, score FROM ks"
+    q["active_rest_keep_unseen"] = f"""WITH {selection_ctes()}
+SELECT problem_id, pair_rank, round(gap, 6) AS gap FROM win w
+WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.problem_id = w.problem_id AND s.pair_rank = w.pair_rank)
+UNION ALL
+SELECT problem_id, pair_rank, round(abs(r_accepted - r_rejected), 6) AS gap FROM pool p
+WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.problem_id = p.problem_id AND w.pair_rank = p.pair_rank)"""
+    q["eval_batches"] = f"""WITH {scored_pairs_ctes()},
+o AS (SELECT problem_id, pair_rank, row_number() OVER (ORDER BY {skey(C.SEED, 'problem_id', 'pair_rank')},
+  problem_id, pair_rank) - 1 AS pos FROM sp WHERE model = 'lin3')
+SELECT problem_id, pair_rank, pos // {C.EVAL_BATCH} AS batch_id FROM o"""
     return q
 
 
