@@ -163,14 +163,17 @@ def attach_texts(pairs: DataFrame, responses: DataFrame, problems: DataFrame | N
                  text_col: str = "response", problem_col: str = "problem") -> DataFrame:
     """Join response texts (and the problem text) to capped pairs.
 
-    Both text joins use the unique ``(group, order)`` key of ``responses``;
-    they share one exchange of the text table (``ReusedExchange``).
+    Both text joins use the unique ``(group, order)`` key of ``responses``
+    and the very same text relation (renames happen on the pair side), so
+    the text table is shuffled once and its exchange reused for the second
+    side (``ReusedExchange``).
     """
     g = list(group_cols)
     txt = responses.select(*g, F.col(order_col), F.col(text_col))
-    acc = txt.withColumnRenamed(order_col, "accepted_idx").withColumnRenamed(text_col, "accepted")
-    rej = txt.withColumnRenamed(order_col, "rejected_idx").withColumnRenamed(text_col, "rejected")
-    out = pairs.join(acc, g + ["accepted_idx"]).join(rej, g + ["rejected_idx"])
+    out = pairs
+    for side, name in (("accepted_idx", "accepted"), ("rejected_idx", "rejected")):
+        out = (out.withColumnRenamed(side, order_col).join(txt, g + [order_col])
+               .withColumnRenamed(order_col, side).withColumnRenamed(text_col, name))
     if problems is not None:
         out = out.join(problems.select(*g, F.col(problem_col)), g)
     return out
