@@ -56,8 +56,10 @@ def running_accuracy(scored_pairs: DataFrame, order_cols: Sequence[str], batch_s
     b = batch_ids(scored_pairs, order_cols, batch_size)
     per = b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(win).alias("n_correct"))
     cum = running_sums(per, ["batch_id"], ["n_pairs", "n_correct"])
-    last = cum.agg(F.max("batch_id")).scalar()
-    out = cum.where((F.col("batch_id") % every == 0) | (F.col("batch_id") == last))
+    out = cum
+    if every > 1:  # log every `every`-th batch and the last one
+        last = cum.agg(F.max("batch_id")).scalar()
+        out = cum.where((F.col("batch_id") % every == 0) | (F.col("batch_id") == last))
     return out.select("batch_id", F.col("n_pairs_cum").alias("seen"), F.col("n_correct_cum").alias("correct"),
                       (F.col("n_correct_cum") / F.col("n_pairs_cum")).alias("accuracy"))
 

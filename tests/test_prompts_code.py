@@ -96,3 +96,32 @@ def test_generate_preference_job(spark, tmp_path):
     assert 0 < n <= 4 * probs.count()
     sft = jobs.generate_sft_data(spark, probs, "math", model.make_echo_generator, 2, str(tmp_path / "s"))
     assert sft.count() == 2 * probs.count()
+
+
+def test_eval_select_and_training_jobs(spark, tmp_path):
+    from prefloom.operators import model
+    from prefloom.plans import catalog, jobs
+    from prefloom.sources.tables import read_split, write_splits
+
+    pairs = catalog._pairs8_text(spark, SF_SMALL)
+    acc, running = jobs.evaluate_reward_model(spark, pairs, model.make_length_reward, batch_size=4,
+                                              max_tokens=4096, running_every=5, out=str(tmp_path / "rw"))
+    a = acc.first()
+    assert a.n_pairs == pairs.count() and 0.0 <= a.accuracy <= 1.0
+    last = running.orderBy(F.desc("batch_id")).first()
+    assert last.seen == a.n_pairs and last.correct == a.n_correct
+
+    ds = str(tmp_path / "ds")
+    write_splits({"train": pairs}, ds)
+
+    def score(df):
+        return df.withColumn("r_accepted", F.length("accepted").cast("double")) \
+                 .withColumn("r_rejected", F.length("rejected").cast("double"))
+
+    out = jobs.select_active_data(spark, ds, True, score, 10, 60, str(tmp_path / "sel"))
+    tr, rest = read_split(spark, out, "train"), read_split(spark, out, "rest")
+    assert tr.count() == 10 and rest.count() == 50
+    assert tr.join(rest, ["problem_id", "pair_rank"]).count() == 0
+
+    td = jobs.reward_training_data(pairs, [20, 40], seed=1)
+    assert td.where("subset_size <= 20").count() == 20 and "chosen" in td.columns
