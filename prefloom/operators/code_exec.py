@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.functions.text import _col, contains_any, extract_code, normalize_output
+from prefloom.functions.text import _col, contains_any, extract_code, normalize_output, py_strip
 
 # Libraries a program may not name (plain substring test).
 FORBIDDEN_LIBS = ("subprocess", "venv")
@@ -162,12 +162,7 @@ def reduce_error(c, program_path: str) -> Column:
                 .otherwise(acc["want"]))
         return F.struct(want.alias("want"), out.alias("out"))
 
-    return py_strip_join(F.aggregate(lines, init, step)["out"])
-
-
-def py_strip_join(arr: Column) -> Column:
-    from prefloom.functions.text import py_strip
-    return py_strip(F.array_join(arr, "\n"))
+    return py_strip(F.array_join(F.aggregate(lines, init, step)["out"], "\n"))
 
 
 def failure_reasons(results: DataFrame) -> DataFrame:

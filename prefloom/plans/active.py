@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from prefloom.operators import evaluate, model, select
 from prefloom.session import scratch_path
@@ -72,5 +71,3 @@ def split_by_problem(pairs: DataFrame, eval_share: float, seed, key: str = "prob
     u = uniform(f"{seed}:split", key)
     return pairs.where(u >= eval_share), pairs.where(u < eval_share)
 
-
-__all__ = ["active_rounds", "score_pairs_linear", "split_by_problem", "F"]

@@ -125,3 +125,11 @@ def reward_training_data(pairs: DataFrame, sizes: Sequence[int], seed: int = 42,
     if max_tokens is not None:
         s = evaluate.length_filter(s, max_tokens)
     return preference.chat_pairs(s)
+
+
+def sft_training_text(rows: DataFrame, prefix: str = "<|im_start|>{role}\n",
+                      suffix: str = "<|im_end|>\n") -> DataFrame:
+    """(problem, completion) rows to one chat text each, with the model's
+    role markers (the reference takes them from its tokenizer)."""
+    msgs = F.array(prompts.message("user", "problem"), prompts.message("assistant", "completion"))
+    return rows.withColumn("text", prompts.chat_text(msgs, prefix, suffix))

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefloom.operators import evaluate, pairs
+from prefloom.operators import evaluate
 from prefloom.operators.sampling import running_sums
 from prefloom.plans import preference
 
@@ -97,6 +97,3 @@ def pending_problems(problems: DataFrame, written: DataFrame, key: str = "proble
     """Problems not yet in the output (resume by anti-join, no index arithmetic)."""
     return problems.join(written.select(key).distinct(), key, "left_anti")
 
-
-__all__ = ["incremental_preferences", "incremental_sft", "incremental_accuracy_counts",
-           "running_accuracy_from_counts", "pending_problems", "pairs"]
