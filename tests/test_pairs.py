@@ -90,3 +90,11 @@ def test_plan_has_group_limit_and_no_cartesian(spark):
     # both top-k windows (heads per group, partners per head) are limited map-side
     assert plan.count("WindowGroupLimit") >= 4 and plan.count("Partial") >= 2
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_pairs_unchanged_by_repartition(spark):
+    c = testdata.candidates(spark, SF_MID, 8)
+    cols = ("problem_id", "pair_rank", "accepted_idx", "rejected_idx")
+    a = sorted(rows(pairs.preference_pairs(c, 4, materialize=False), *cols))
+    b = sorted(rows(pairs.preference_pairs(c.repartition(17, "response_idx"), 4, materialize=False), *cols))
+    assert a == b

@@ -125,3 +125,29 @@ def test_eval_select_and_training_jobs(spark, tmp_path):
 
     td = jobs.reward_training_data(pairs, [20, 40], seed=1)
     assert td.where("subset_size <= 20").count() == 20 and "chosen" in td.columns
+
+
+def test_replayed_batch_is_replaced_not_duplicated(spark, tmp_path):
+    import os
+
+    from prefloom.sources import testdata
+    from prefloom.streaming import incremental
+
+    mc = testdata.math_candidates(spark, SF_SMALL)
+    probs = testdata.problems(spark, SF_SMALL, 8).select("problem_id", "problem") \
+        .join(mc.select("problem_id", "answer").dropDuplicates(["problem_id"]), "problem_id")
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    probs.repartition(3).write.parquet(src)
+    resp = mc.select("problem_id", "response_idx", "response")
+    incremental.incremental_preferences(spark, src, probs.schema, resp, out, ck)
+    first = sorted(rows(spark.read.parquet(out), "batch_id", "problem_id", "pair_rank"))
+    commits = sorted(os.listdir(os.path.join(ck, "commits")), key=lambda x: int(x) if x.isdigit() else -1)
+    last = [c for c in commits if c.isdigit()][-1]
+    os.remove(os.path.join(ck, "commits", last))  # crash after the write, before the commit
+    crc = os.path.join(ck, "commits", f".{last}.crc")
+    if os.path.exists(crc):
+        os.remove(crc)
+    incremental.incremental_preferences(spark, src, probs.schema, resp, out, ck)
+    again = sorted(rows(spark.read.parquet(out), "batch_id", "problem_id", "pair_rank"))
+    assert os.path.exists(os.path.join(ck, "commits", last))  # the batch ran again
+    assert again == first and len(first) > 0
