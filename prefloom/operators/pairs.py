@@ -141,20 +141,25 @@ def pair_counts(scored: DataFrame, max_pairs: int | None = None,
     """Pairs per group before and after the cap, without listing pairs.
 
     ``n_pairs_all = C(n, 2) - sum over scores of C(c_s, 2)`` (pairs minus
-    ties), from one partial aggregation.
+    ties), from one partial aggregation. Exact in ``decimal(38,0)``: a hot
+    group of 10^11 responses has about 5 * 10^21 pairs, beyond ``bigint``
+    and beyond the integers a double holds exactly.
     """
     g = list(group_cols)
+    dec = "decimal(38,0)"
     score_n = scored.groupBy(*g, F.col(score_col).alias("_s")).agg(F.count(F.lit(1)).alias("_cs"))
+    c = F.col("_cs").cast(dec)
     per_group = score_n.groupBy(*g).agg(
         F.sum("_cs").alias("n_responses"),
-        F.sum(F.col("_cs") * (F.col("_cs") - 1) / 2).alias("_ties"),
+        F.sum(c * (c - F.lit(1)) / F.lit(2)).cast(dec).alias("_ties"),
     )
-    n = F.col("n_responses")
-    all_pairs = (n * (n - 1) / 2 - F.col("_ties")).cast("bigint")
-    out = per_group.select(*g, n.cast("bigint").alias("n_responses"), all_pairs.alias("n_pairs_all"))
+    n = F.col("n_responses").cast(dec)
+    all_pairs = (n * (n - F.lit(1)) / F.lit(2)).cast(dec) - F.col("_ties")
+    out = per_group.select(*g, F.col("n_responses").cast("bigint").alias("n_responses"),
+                           all_pairs.cast(dec).alias("n_pairs_all"))
     if max_pairs is not None:
         k = _cap(max_pairs)
-        out = out.withColumn("n_pairs_kept", F.least(F.col("n_pairs_all"), F.lit(k).cast("bigint")))
+        out = out.withColumn("n_pairs_kept", F.least(F.col("n_pairs_all"), F.lit(k).cast(dec)).cast("bigint"))
     return out
 
 

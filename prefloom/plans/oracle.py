@@ -263,7 +263,7 @@ SELECT {pairs_cols}, problem, accepted, rejected FROM pt"""
 np AS (SELECT a.problem_id, count(*) AS n FROM c8 a JOIN c8 b ON a.problem_id = b.problem_id
   AND a.response_idx < b.response_idx WHERE a.score <> b.score GROUP BY a.problem_id),
 nr AS (SELECT problem_id, count(*) AS n_responses FROM c8 GROUP BY problem_id)
-SELECT nr.problem_id, nr.n_responses, coalesce(np.n, 0) AS n_pairs_all,
+SELECT nr.problem_id, nr.n_responses, CAST(coalesce(np.n, 0) AS DECIMAL(38,0)) AS n_pairs_all,
   least(coalesce(np.n, 0), {C.MATH_CAP}) AS n_pairs_kept FROM nr LEFT JOIN np USING (problem_id)"""
 
     shares = source_shares(C.MIX_MAX_EXAMPLES, [r for _, r in C.SOURCES])
