@@ -170,3 +170,42 @@ def failure_reasons(results: DataFrame) -> DataFrame:
     failed = results.where(~F.col("ok"))
     reason = F.substring_index(F.col("error"), "\n", -1)
     return failed.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_failed"))
+
+
+_FN_HARNESS = """
+import json, sys
+{code}
+_args = json.loads(sys.stdin.read())
+if not isinstance(_args, list):
+    _args = [_args]
+sys.stdout.write("\\x00RESULT\\x00" + str(Solution().{fn}(*_args)))
+"""
+_SENTINEL = "\x00RESULT\x00"
+
+
+def python_runner(timeout: float = 10.0, python: str = "python3") -> Runner:
+    """A runner that executes each case in a child ``python`` process.
+
+    Stdin form: the case input goes to stdin, stdout is the output. Function
+    form: ``Solution().<fn_name>(*args)`` with ``args`` parsed from the JSON
+    input, its ``str`` printed. A timeout or a non-zero exit is a failed
+    case with the stderr text as error. Not a sandbox: the program runs with
+    the executor's rights, as in the reference; use it only on trusted hosts
+    or behind an isolating ``python`` command.
+    """
+    import subprocess
+
+    def run(code, fn_name, inp):
+        src = code if not fn_name else _FN_HARNESS.format(code=code, fn=fn_name)
+        try:
+            p = subprocess.run([python, "-c", src], input=inp if inp is not None else "", capture_output=True,
+                               text=True, timeout=timeout, check=False)
+        except subprocess.TimeoutExpired:
+            return "", False, f"TimeoutError: Timed out after {timeout} seconds."
+        if p.returncode != 0:
+            return p.stdout, False, p.stderr.strip()
+        if fn_name:  # the function's str(result), not what the program printed before it
+            return p.stdout.rpartition(_SENTINEL)[2], True, ""
+        return p.stdout, True, ""
+
+    return run

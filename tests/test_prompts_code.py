@@ -151,3 +151,21 @@ def test_replayed_batch_is_replaced_not_duplicated(spark, tmp_path):
     again = sorted(rows(spark.read.parquet(out), "batch_id", "problem_id", "pair_rank"))
     assert os.path.exists(os.path.join(ck, "commits", last))  # the batch ran again
     assert again == first and len(first) > 0
+
+
+def test_python_runner(spark):
+    runner = code_exec.python_runner(timeout=5)
+    resp = spark.createDataFrame([
+        (1, 0, "```python\nprint(' '.join(input().split()[::-1]))\n```"),
+        (1, 1, "print(int(input()) + 1)"),
+        (2, 0, "```python\nclass Solution:\n    def add(self, a, b):\n        return a + b\n```"),
+        (2, 1, "```python\nclass Solution:\n    def add(self, a, b):\n        while True: pass\n```"),
+    ], "problem_id long, response_idx int, response string")
+    io = spark.createDataFrame([(1, '{"inputs": ["1 2", "3 4"], "outputs": ["2 1", "4  3\\n"]}'),
+                                (2, '{"fn_name": "add", "inputs": ["[1, 2]", "[5, 5]"], "outputs": ["3", "10"]}')],
+                               "problem_id long, input_output string")
+    cases = code_exec.explode_testcases(io)
+    res = code_exec.run_cases(code_exec.fan_out_cases(resp, cases), code_exec.python_runner(timeout=3), num_partitions=4)
+    got = {(r[0], r[1]): r[2] for r in rows(code_exec.pass_counts(res), "problem_id", "response_idx", "score")}
+    assert got == {(1, 0): 2, (1, 1): 0, (2, 0): 2, (2, 1): 0}
+    assert runner("print(input())", None, "x")[0] == "x\n"
