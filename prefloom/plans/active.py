@@ -28,11 +28,13 @@ def active_rounds(spark: SparkSession, pool: DataFrame, eval_pairs: DataFrame, k
                   initial_weights: Sequence[float], rounds: int = 3, k: int = 2500,
                   max_to_look_at: int = 40000, seed: int = 42, temp: float = 1.0,
                   accumulate: bool = False, out_root: str | None = None) -> DataFrame:
-    """Run the rounds; returns one metrics row per round.
+    """Run the rounds; returns one metrics row per round run.
 
     ``pool`` and ``eval_pairs`` carry ``emb_accepted``/``emb_rejected``.
     ``accumulate=False`` trains on this round's selection only, as the
-    reference does; ``True`` trains on all selections so far.
+    reference does; ``True`` trains on all selections so far. The rounds
+    end early when the pool left holds fewer than ``k`` pairs (a single
+    selection of more rows than it has is an error).
     """
     out_root = out_root or scratch_path(spark, "active")
     keys = list(key_cols)
@@ -40,7 +42,10 @@ def active_rounds(spark: SparkSession, pool: DataFrame, eval_pairs: DataFrame, k
     metrics = []
     train_paths: list[str] = []
     current = pool
+    left = current.count()
     for r in range(1, rounds + 1):
+        if left < k:
+            break
         scored = score_pairs_linear(current, weights)
         selected, rest = select.active_selection(scored, k, max_to_look_at, f"{seed}:{r}", keys, temp)
         cols = [c for c in current.columns]
@@ -54,9 +59,10 @@ def active_rounds(spark: SparkSession, pool: DataFrame, eval_pairs: DataFrame, k
         weights = model.train_pairwise(train)
         acc = evaluate.pairwise_accuracy(score_pairs_linear(eval_pairs, weights)).first()
         current = read_split(spark, path, "rest").drop("split")
+        left = current.count()
         rec = {"round": r, "n_train": int(train.count()), "n_eval": int(acc["n_pairs"]),
                "accuracy": None if acc["accuracy"] is None else float(acc["accuracy"]),
-               "n_rest": int(current.count())}
+               "n_rest": int(left)}
         metrics.append(rec)
     schema = "round int, n_train long, n_eval long, accuracy double, n_rest long"
     out = spark.createDataFrame(metrics, schema)
