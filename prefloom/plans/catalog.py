@@ -396,26 +396,36 @@ def q_reward_model_scores(spark, sf):
     return s.select("problem_id", "pair_rank", "r_accepted", "r_rejected")
 
 
-def _stream_input(spark, df, name, parts=4):
-    """Write ``df`` as several files under the shared scratch folder (the stream's input)."""
+def _stream_input(spark, df, name, parts=4, order_col=None):
+    """Write ``df`` as several files under the shared scratch folder (the
+    stream's input); with ``order_col`` each file holds a contiguous range,
+    as problems arrive in order."""
     from prefloom.session import scratch_path
 
     path = scratch_path(spark, name)
-    df.repartition(parts).write.mode("overwrite").parquet(path)
+    out = df.repartitionByRange(parts, order_col) if order_col else df.repartition(parts)
+    out.write.mode("overwrite").parquet(path)
     return path
 
 
+STREAM_BUCKET = 16  # problems per bucket of the written responses table
+
+
 def q_stream_preference_pairs(spark, sf):
     from prefloom.session import scratch_path
     from prefloom.streaming import incremental
 
-    mc = testdata.math_candidates(spark, sf)
+    mc = testdata.math_candidates(spark, sf).withColumn("problem_bucket", F.expr(f"problem_id div {STREAM_BUCKET}"))
+    resp_path = scratch_path(spark, "stream-responses")
+    mc.select("problem_bucket", "problem_id", "response_idx", "response") \
+        .write.partitionBy("problem_bucket").parquet(resp_path)
     probs = testdata.problems(spark, sf, 8).select("problem_id", "problem") \
-        .join(mc.select("problem_id", "answer").dropDuplicates(["problem_id"]), "problem_id")
-    src = _stream_input(spark, probs, "stream-problems")
+        .join(mc.select("problem_bucket", "problem_id", "answer").dropDuplicates(["problem_id"]), "problem_id")
+    src = _stream_input(spark, probs, "stream-problems", order_col="problem_id")
     out = scratch_path(spark, "stream-pairs")
-    incremental.incremental_preferences(spark, src, probs.schema, mc.select("problem_id", "response_idx", "response"),
-                                        out, scratch_path(spark, "stream-ckpt"), "math", MATH_CAP)
+    incremental.incremental_preferences(spark, src, probs.schema, spark.read.parquet(resp_path), out,
+                                        scratch_path(spark, "stream-ckpt"), "math", MATH_CAP,
+                                        bucket_col="problem_bucket")
     return spark.read.parquet(out)
 
 

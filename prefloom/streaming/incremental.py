@@ -39,18 +39,43 @@ def _batch_path(out: str, batch_id: int) -> str:
     return f"{out.rstrip('/')}/batch_id={batch_id}"
 
 
-def incremental_preferences(spark: SparkSession, problems_path: str, problem_schema, responses: DataFrame,
+def incremental_preferences(spark: SparkSession, problems_path: str, problem_schema, responses: DataFrame | None,
                             out: str, checkpoint: str, scorer: str = "math", max_pairs: int = 4,
-                            max_files_per_trigger: int = 1) -> str:
+                            max_files_per_trigger: int = 1, bucket_col: str | None = None,
+                            make_generate_fn: Callable | None = None, num_samples: int = 8,
+                            prompt_col: str = "prompt", batch_size: int = 64) -> str:
     """Preference pairs per micro-batch of problems.
 
-    ``problems_path`` holds problem rows (``problem_id, problem, answer``);
-    ``responses`` (``problem_id, response_idx, response``) is static, e.g. the
-    written output of the completion step.
+    ``problems_path`` holds problem rows (``problem_id, problem, answer`` and,
+    for generation, ``prompt``). Responses come either from
+    ``make_generate_fn`` (generated inside the micro-batch, as the
+    reference's batch loop does; written once before scoring) or from a
+    static ``responses`` table (``problem_id, response_idx, response``).
+    A static table should be partitioned by ``bucket_col`` (a problem bucket
+    the problem rows carry too): the micro-batch's bucket ids (no more than
+    its problems, so bounded by the trigger size) prune the scan to those
+    partitions, so a batch reads its own responses, not the whole table.
     """
+    if (responses is None) == (make_generate_fn is None):
+        raise ValueError("give either responses or make_generate_fn")
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        probs = batch.select("problem_id", "problem", "answer")
-        resp = responses.join(probs.select("problem_id", "answer"), "problem_id")
+        probs = batch.select(*([bucket_col] if bucket_col else []), "problem_id", "problem", "answer",
+                             *([prompt_col] if make_generate_fn else []))
+        if make_generate_fn is not None:
+            from prefloom.operators import model
+
+            gen = model.generate(probs.select("problem_id", prompt_col), make_generate_fn, num_samples, batch_size)
+            path = f"{out.rstrip('/')}/_completions/batch_id={batch_id}"
+            gen.select("problem_id", "response_idx", "response").write.mode("overwrite").parquet(path)
+            resp = batch.sparkSession.read.parquet(path).join(probs.select("problem_id", "answer"), "problem_id")
+        else:
+            keys = [bucket_col, "problem_id"] if bucket_col else ["problem_id"]
+            static = responses
+            if bucket_col:
+                ids = [r[0] for r in probs.select(bucket_col).distinct().collect()]
+                static = responses.where(F.col(bucket_col).isin(ids))
+            resp = static.join(probs.select(*keys, "answer"), keys).drop(*([bucket_col] if bucket_col else []))
         scored = preference.score_responses(resp, scorer)
         out_df = preference.preference_data(scored, probs.select("problem_id", "problem"), max_pairs)
         out_df.write.mode("overwrite").parquet(_batch_path(out, batch_id))

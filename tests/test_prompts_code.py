@@ -169,3 +169,21 @@ def test_python_runner(spark):
     got = {(r[0], r[1]): r[2] for r in rows(code_exec.pass_counts(res), "problem_id", "response_idx", "score")}
     assert got == {(1, 0): 2, (1, 1): 0, (2, 0): 2, (2, 1): 0}
     assert runner("print(input())", None, "x")[0] == "x\n"
+
+
+def test_stream_generates_inside_batches(spark, tmp_path):
+    from prefloom.operators import model
+    from prefloom.sources import testdata
+    from prefloom.streaming import incremental
+
+    probs = testdata.problems(spark, SF_SMALL, 8).select(
+        "problem_id", "problem", F.lit("\\boxed{3}").alias("answer"),
+        prompts.render_prompt("problem", prompts.MATH_TEMPLATE).alias("prompt"))
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    probs.repartitionByRange(3, "problem_id").write.parquet(src)
+    incremental.incremental_preferences(spark, src, probs.schema, None, out, ck, "math", 4,
+                                        make_generate_fn=model.make_echo_generator, num_samples=8)
+    got = spark.read.parquet(out)
+    per = got.groupBy("problem_id").count().where("count > 4").count()
+    assert got.count() > 0 and per == 0
+    assert got.select("batch_id").distinct().count() == 3
