@@ -84,13 +84,29 @@ def incremental_preferences(spark: SparkSession, problems_path: str, problem_sch
     return out
 
 
-def incremental_sft(spark: SparkSession, problems_path: str, problem_schema, completions: DataFrame,
-                    out: str, checkpoint: str, max_files_per_trigger: int = 1) -> str:
+def incremental_sft(spark: SparkSession, problems_path: str, problem_schema, completions: DataFrame | None,
+                    out: str, checkpoint: str, max_files_per_trigger: int = 1, bucket_col: str | None = None,
+                    make_generate_fn: Callable | None = None, num_samples: int = 1,
+                    prompt_col: str = "prompt", batch_size: int = 64) -> str:
     """(problem, completion) rows per micro-batch of problems; resumable
     like the preference run (the reference's SFT script ignores its resume
-    flag)."""
+    flag). Completions are generated in the batch or read from a static
+    table, pruned by ``bucket_col`` as in ``incremental_preferences``."""
+    if (completions is None) == (make_generate_fn is None):
+        raise ValueError("give either completions or make_generate_fn")
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = preference.sft_data(batch.select("problem_id", "problem"), completions)
+        probs = batch.select("problem_id", "problem")
+        if make_generate_fn is not None:
+            from prefloom.operators import model
+
+            comp = model.generate(batch.select("problem_id", prompt_col), make_generate_fn, num_samples, batch_size)
+        else:
+            comp = completions
+            if bucket_col:
+                ids = [r[0] for r in batch.select(bucket_col).distinct().collect()]
+                comp = comp.where(F.col(bucket_col).isin(ids)).drop(bucket_col)
+        rows = preference.sft_data(probs, comp)
         rows.select("problem_id", "response_idx", "problem", "completion") \
             .write.mode("overwrite").parquet(_batch_path(out, batch_id))
 
