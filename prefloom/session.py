@@ -80,3 +80,33 @@ def reliable_checkpoint(df, name: str = "ckpt"):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict:
+    """Suggested settings for a large run (to pass to ``build_session`` or a
+    cluster's defaults).
+
+    Scan and shuffle partitions target ``partition_bytes`` (so a task's
+    share fits executor memory and spills little); the initial shuffle
+    width is sized for the largest exchange (the text join moves about the
+    input's text volume) and AQE coalesces the narrow ones; skew splitting
+    and runtime broadcast stay on with explicit thresholds.
+    """
+    import math
+
+    width = max(2 * total_cores, math.ceil(input_bytes / partition_bytes))
+    mb = f"{partition_bytes >> 20}m"
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(width),
+        "spark.sql.shuffle.partitions": str(width),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": mb,
+        "spark.sql.files.maxPartitionBytes": mb,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": mb,
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        # model calls: Arrow batches of whole texts stay moderate in size
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    }
