@@ -282,10 +282,9 @@ def q_extract_boxed_last(spark, sf):
 
 
 def q_medical_score_trim(spark, sf):
-    m = testdata.choice_candidates(spark, sf)
-    spaced = F.regexp_replace(F.col("response"), ",", ", ")
+    m = testdata.choice_candidates(spark, sf, spaced=True)
     return m.select("problem_id", "response_idx",
-                    scoring.choice_score(spaced, F.col("answer"), trim=True).alias("score"))
+                    scoring.choice_score("response", "answer", trim=True).alias("score"))
 
 
 def q_code_pass_count_partial(spark, sf):

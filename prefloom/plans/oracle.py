@@ -351,8 +351,11 @@ WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.problem_id = w.problem_id AND s.pa
 SELECT problem_id FROM p8 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id // 8 = p8.problem_id)"""
     q["extract_boxed_last"] = (f"WITH {R8}, {CC} SELECT problem_id, response_idx, "
                                f"{boxed(chr(39) + 'First ' + chr(92) + 'boxed{0} then ' + chr(39) + ' || response', BOX_LAST)} AS core FROM cc")
-    tr = f"""WITH {R8}, {CC},
-t0 AS (SELECT problem_id, response_idx, {boxed("replace(response, ',', ', ')")} AS g, answer AS c FROM cc),
+    cc_spaced = (f"cc AS (SELECT problem_id, response_idx, doc_id, "
+                 f"response || ' \\boxed{{' || replace({lst(T.CHOICE_VALUES)}[n_chars % 5 + 1], ',', ', ') || '}}' AS response, "
+                 f"{lst(T.CHOICE_VALUES)}[problem_id % 5 + 1] AS answer FROM r8)")
+    tr = f"""WITH {R8}, {cc_spaced},
+t0 AS (SELECT problem_id, response_idx, {boxed("response")} AS g, answer AS c FROM cc),
 t1 AS (SELECT *, {choice_items('g', True)} AS gi, {choice_items('c', True)} AS ci FROM t0)
 SELECT problem_id, response_idx, CAST(CASE WHEN (gi IS NULL) <> (ci IS NULL) THEN -1
     WHEN gi IS NOT NULL THEN len(ci) - len(list_filter(ci, lambda x: NOT list_contains(gi, x)))

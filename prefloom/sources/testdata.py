@@ -68,9 +68,12 @@ def math_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def choice_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def choice_candidates(spark: SparkSession, sf_dir: str, spaced: bool = False) -> DataFrame:
+    """Whole texts ending in a boxed choice; ``spaced`` writes ``A, B`` in the box."""
     r = responses(spark, sf_dir, 8)
     box = _pick(CHOICE_VALUES, F.col("n_chars") % 5)
+    if spaced:
+        box = F.replace(box, F.lit(","), F.lit(", "))
     return r.select(
         "problem_id", "response_idx", "doc_id",
         F.concat(F.col("response"), F.lit(" \\boxed{"), box, F.lit("}")).alias("response"),
