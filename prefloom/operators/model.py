@@ -90,10 +90,12 @@ def pairwise_features(pairs: DataFrame, emb_accepted: str = "emb_accepted",
 
 
 def train_pairwise(pairs: DataFrame, emb_accepted: str = "emb_accepted", emb_rejected: str = "emb_rejected",
-                   reg: float = 0.0, max_iter: int = 50) -> list[float]:
+                   reg: float = 1e-3, max_iter: int = 50) -> list[float]:
     """Bradley-Terry reward ``r(x) = w . x`` by logistic regression without
     intercept on embedding differences (distributed L-BFGS). Returns ``w``;
-    score with ``linear_reward(embedding, w)``."""
+    score with ``linear_reward(embedding, w)``. The small L2 term keeps the
+    fit finite when a selection is linearly separable (a few thousand pairs
+    in many dimensions), where the unregularised optimum is at infinity."""
     from pyspark.ml.classification import LogisticRegression
 
     data = pairwise_features(pairs, emb_accepted, emb_rejected)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from prefloom.operators import evaluate, model, select
-from prefloom.session import scratch_path
+from prefloom.session import reliable_checkpoint, scratch_path
 from prefloom.sources.tables import read_split, write_metrics, write_splits
 
 
@@ -41,7 +41,9 @@ def active_rounds(spark: SparkSession, pool: DataFrame, eval_pairs: DataFrame, k
     weights = list(initial_weights)
     metrics = []
     train_paths: list[str] = []
-    current = pool
+    # both are read in several rounds: written once instead of recomputed
+    current = reliable_checkpoint(pool, "active-pool")
+    eval_pairs = reliable_checkpoint(eval_pairs, "active-eval")
     left = current.count()
     for r in range(1, rounds + 1):
         if left < k:
