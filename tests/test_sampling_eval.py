@@ -114,3 +114,13 @@ def test_gumbel_topk_distribution(spark):
     exact = _exact_inclusion([math.exp(-g) for g in gaps], 2)
     for i, p in enumerate(exact):
         assert abs(freq.get(i, 0.0) - p) < 0.03
+
+
+def test_truncate_tokens_and_matrix(spark):
+    df = spark.createDataFrame([("  a b\t c\nd  ",)], "t string")
+    assert rows(df.select(evaluate.truncate_tokens("t", 2)))[0][0] == "a b"
+    assert rows(df.select(evaluate.truncate_tokens("t", 10)))[0][0] == "a b c d"
+    sp = spark.createDataFrame([("m1", "x", 2.0, 1.0), ("m1", "y", 0.0, 1.0), ("m2", "x", 1.0, 1.0)],
+                               "model string, domain string, r_accepted double, r_rejected double")
+    got = sorted(rows(evaluate.accuracy_matrix(sp), "model", "x", "y"))
+    assert got == [("m1", 1.0, 0.0), ("m2", 0.0, None)]
