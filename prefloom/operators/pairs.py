@@ -53,11 +53,7 @@ def _cap(max_pairs) -> int:
 def _narrow(scored: DataFrame, group_cols, order_col, score_col, materialize) -> DataFrame:
     base = scored.select(*[F.col(c) for c in group_cols],
                          F.col(order_col).alias("_o"), F.col(score_col).alias("_s"))
-    if materialize == "cache":
-        # for small inputs such as a micro-batch: kept in memory/disk, and
-        # recomputed from lineage if an executor is lost
-        base = base.persist()
-    elif materialize:
+    if materialize:
         # The scores may be expensive (regex over whole texts, model calls);
         # the narrow (key, order, score) rows are written once and reused by
         # the three branches below instead of being recomputed.
@@ -79,7 +75,7 @@ BLOCK_ROWS = 1 << 20
 
 def preference_pairs(scored: DataFrame, max_pairs: int, group_cols: Sequence[str] = ("problem_id",),
                      order_col: str = "response_idx", score_col: str = "score",
-                     materialize: bool | str = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                     materialize: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Narrow capped pairs.
 
     Returns ``group_cols, pair_rank, i, j, accepted_idx, rejected_idx,
