@@ -101,7 +101,8 @@ INT_WHITESPACE_CHARS = "".join(ch for ch in PY_WHITESPACE_CHARS if ch not in "\x
 
 def last_line_int(c) -> Column:
     """Last line (after the final ``\\n``) as an integer, as ``int()`` reads
-    it (ASCII digits, optional sign, surrounding white space); 0 otherwise."""
+    it (ASCII digits, up to 18 of them, optional sign, surrounding white
+    space); 0 otherwise."""
     last = F.substring_index(_col(c), "\n", -1)
     core = F.trim(last, F.lit(INT_WHITESPACE_CHARS))
     ok = core.rlike(r"^[+-]?[0-9]{1,18}$")
