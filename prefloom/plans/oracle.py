@@ -222,11 +222,11 @@ def rewards_cte() -> str:
 
 def scored_pairs_ctes() -> str:
     return f"""{R8}, {P8}, {C8}, {pairs_cte('pr8', 'c8', C.MATH_CAP)}, {rewards_cte()},
-ne AS (SELECT count(*) AS n FROM embeddings),
 sp AS (SELECT ra.model, p.*, ra.reward AS r_accepted, rr.reward AS r_rejected, p8.lang AS domain
-  FROM pr8 p CROSS JOIN ne
-  JOIN rw ra ON ra.vec_id = (p.problem_id * 8 + p.accepted_idx) % ne.n
-  JOIN rw rr ON rr.model = ra.model AND rr.vec_id = (p.problem_id * 8 + p.rejected_idx) % ne.n
+  FROM pr8 p
+  JOIN rw ra ON ra.vec_id = (p.problem_id * 8 + p.accepted_idx) % (SELECT count(*) FROM embeddings)
+  JOIN rw rr ON rr.model = ra.model
+    AND rr.vec_id = (p.problem_id * 8 + p.rejected_idx) % (SELECT count(*) FROM embeddings)
   JOIN p8 ON p8.problem_id = p.problem_id)"""
 
 
