@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from prefloom.operators import pairs
+from tests.conftest import rows
 
 
 def first_k_pairs(scores, k):
@@ -43,3 +44,40 @@ def test_hot_group_and_many_small_groups(spark):
     exp = first_k_pairs(hot_scores, k)
     hot_got = sorted((r.i, r.j) for r in got.where("problem_id = -1").collect())
     assert hot_got == exp
+
+
+def test_sft_pairs_long_conversation(spark, tmp_path):
+    from prefloom.sources import testdata
+
+    roles = ["user", "assistant", "user", "system", "assistant", "user"]
+    long_conv = [(0, t, roles[t % len(roles)], f"m{t}") for t in range(20_000)]
+    short = [(c, t, r, f"c{c}t{t}") for c in range(1, 300) for t, r in enumerate(["user", "assistant"])]
+    df = spark.createDataFrame(long_conv + short, "conv_id long, turn long, role string, text string")
+    d = tmp_path / "sf"
+    d.mkdir()
+    df.write.parquet(str(d / "conversations.parquet"))
+    got = sorted(rows(testdata.sft_source(spark, str(d)), "conv_id", "turn", "problem", "completion"))
+    data = long_conv + short
+    by = {(c, t): (r, x) for c, t, r, x in data}
+    exp = sorted((c, t, x, by[(c, t + 1)][1]) for c, t, r, x in data
+                 if r == "user" and (c, t + 1) in by and by[(c, t + 1)][0] == "assistant")
+    assert got == exp
+
+
+def test_runs_of_a_hot_problem_are_spread(spark):
+    from prefloom.operators import code_exec
+
+    resp = spark.range(400).select(F.lit(1).cast("long").alias("problem_id"),
+                                   F.col("id").cast("int").alias("response_idx"),
+                                   F.lit("print(input())").alias("response"))
+    cases = spark.range(5).select(F.lit(1).cast("long").alias("problem_id"), F.col("id").cast("int").alias("case_idx"),
+                                  F.lit(None).cast("string").alias("fn_name"), F.lit("x").alias("input"),
+                                  F.lit("x").alias("expected"))
+
+    def runner(code, fn, inp):
+        return inp, True, ""
+
+    res = code_exec.run_cases(code_exec.fan_out_cases(resp, cases), runner, num_partitions=8)
+    per_task = res.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(per_task) == 8 and max(r["count"] for r in per_task) < 2000 * 0.3
+    assert res.count() == 2000
