@@ -25,13 +25,30 @@ from prefloom.session import scratch_path
 from prefloom.sources.tables import read_split, write_splits, write_table
 
 
+ID_BITS = 40  # ids of one source stay below 2^40; the source index goes above
+
+
 def load_sources(spark: SparkSession, sources: Sequence[dict], max_examples: int | None, seed: int,
-                 key_cols: Sequence[str] = ("problem_id",), strict: bool = True) -> DataFrame:
+                 key_cols: Sequence[str] = ("problem_id",), strict: bool = True,
+                 rekey: bool = True) -> DataFrame:
     """Read each ``{"path", "split", "ratio"}`` source, sample its share,
-    concatenate (duplicates kept)."""
-    parts = [(s.get("name", s["path"]), read_split(spark, s["path"], s.get("split")).drop("split"),
-              float(s.get("ratio", 1.0))) for s in sources]
-    return sampling.mix_sources(parts, max_examples, seed, key_cols, strict=strict)
+    concatenate (duplicates kept).
+
+    Sources may reuse ids, so with ``rekey`` the ``problem_id`` becomes
+    ``source_index << 40 | problem_id`` (the source's own id is kept as
+    ``source_problem_id``); later steps group by ``problem_id``.
+    """
+    parts = []
+    for idx, spec in enumerate(sources):
+        df = read_split(spark, spec["path"], spec.get("split")).drop("split")
+        parts.append((spec.get("name", spec["path"]), df, float(spec.get("ratio", 1.0))))
+    mixed = sampling.mix_sources(parts, max_examples, seed, key_cols, strict=strict)
+    if rekey and "problem_id" in key_cols:
+        names = [p[0] for p in parts]
+        index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source_name")) - F.lit(1)
+        mixed = (mixed.withColumn("source_problem_id", F.col("problem_id"))
+                      .withColumn("problem_id", F.shiftleft(index.cast("long"), ID_BITS) + F.col("problem_id")))
+    return mixed
 
 
 def generate_preference_data(spark: SparkSession, problems: DataFrame, domain: str,

@@ -43,3 +43,15 @@ def test_load_sources_by_ratio(spark, tmp_path):
     got = dict(rows(mixed.groupBy("source_name").count(), "source_name", "count"))
     assert got == {"s0": 10, "s1": 10, "s2": 20}
     assert mixed.select("problem_id").distinct().count() == 40
+    ids = rows(mixed.where("source_name = 's2'"), "problem_id", "source_problem_id")
+    assert all(p == (2 << 40) + s for p, s in ids)
+
+
+def test_load_sources_rekeys_overlapping_ids(spark, tmp_path):
+    specs = []
+    for i in range(2):
+        path = str(tmp_path / f"o{i}")
+        tables.write_splits({"train": spark.range(5).withColumnRenamed("id", "problem_id")}, path)
+        specs.append({"name": f"o{i}", "path": path, "split": "train", "ratio": 1.0})
+    mixed = jobs.load_sources(spark, specs, 10, 1)
+    assert mixed.select("problem_id").distinct().count() == 10
