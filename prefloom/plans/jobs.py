@@ -39,7 +39,7 @@ def load_sources(spark: SparkSession, sources: Sequence[dict], max_examples: int
     ``source_problem_id``); later steps group by ``problem_id``.
     """
     parts = []
-    for idx, spec in enumerate(sources):
+    for spec in sources:
         df = read_split(spark, spec["path"], spec.get("split")).drop("split")
         parts.append((spec.get("name", spec["path"]), df, float(spec.get("ratio", 1.0))))
     mixed = sampling.mix_sources(parts, max_examples, seed, key_cols, strict=strict)
