@@ -150,3 +150,17 @@ def sft_training_text(rows: DataFrame, prefix: str = "<|im_start|>{role}\n",
     role markers (the reference takes them from its tokenizer)."""
     msgs = F.array(prompts.message("user", "problem"), prompts.message("assistant", "completion"))
     return rows.withColumn("text", prompts.chat_text(msgs, prefix, suffix))
+
+
+def split_dataset(spark: SparkSession, pairs: DataFrame, eval_share: float, seed: int, out: str,
+                  key: str = "problem_id") -> str:
+    """Write ``train`` and ``eval`` splits of a pair table, split by a hash
+    of the problem so that no problem is on both sides (a row-local filter,
+    no shuffle)."""
+    from prefloom.functions.hashing import uniform
+
+    if not 0.0 <= eval_share <= 1.0:
+        raise ValueError("eval_share must be in [0, 1]")
+    u = uniform(f"{seed}:split", key)
+    write_splits({"train": pairs.where(u >= eval_share), "eval": pairs.where(u < eval_share)}, out)
+    return out

@@ -55,3 +55,14 @@ def test_load_sources_rekeys_overlapping_ids(spark, tmp_path):
         specs.append({"name": f"o{i}", "path": path, "split": "train", "ratio": 1.0})
     mixed = jobs.load_sources(spark, specs, 10, 1)
     assert mixed.select("problem_id").distinct().count() == 10
+
+
+def test_split_dataset_by_problem(spark, tmp_path):
+    df = spark.range(2000).select((F.col("id") / 4).cast("long").alias("problem_id"),
+                                  (F.col("id") % 4).cast("int").alias("pair_rank"))
+    out = jobs.split_dataset(spark, df, 0.2, 7, str(tmp_path / "sp"))
+    tr, ev = tables.read_split(spark, out, "train"), tables.read_split(spark, out, "eval")
+    assert tr.count() + ev.count() == 2000
+    assert tr.select("problem_id").intersect(ev.select("problem_id")).count() == 0
+    share = ev.select("problem_id").distinct().count() / 500
+    assert 0.12 < share < 0.28
