@@ -157,10 +157,10 @@ def split_dataset(spark: SparkSession, pairs: DataFrame, eval_share: float, seed
     """Write ``train`` and ``eval`` splits of a pair table, split by a hash
     of the problem so that no problem is on both sides (a row-local filter,
     no shuffle)."""
-    from prefloom.functions.hashing import uniform
+    from prefloom.plans.active import split_by_problem
 
     if not 0.0 <= eval_share <= 1.0:
         raise ValueError("eval_share must be in [0, 1]")
-    u = uniform(f"{seed}:split", key)
-    write_splits({"train": pairs.where(u >= eval_share), "eval": pairs.where(u < eval_share)}, out)
+    train, held_out = split_by_problem(pairs, eval_share, seed, key)
+    write_splits({"train": train, "eval": held_out}, out)
     return out
