@@ -452,7 +452,16 @@ def q_stream_running_accuracy(spark, sf):
     return incremental.running_accuracy_from_counts(spark, out)
 
 
+def q_error_digest(spark, sf):
+    """Shortened tracebacks of the failed runs (no SQL form: a stateful fold
+    over lines; tested against a Python reduction)."""
+    res = testdata.code_results(spark, sf).where(~F.col("ok"))
+    return res.select("problem_id", "response_idx", "case_idx",
+                      code_exec.reduce_error("error", "/tmp/run/tmp.py").alias("digest"))
+
+
 ROWS_ONLY = {
+    "error_digest": q_error_digest,
     "train_pairwise_reward": q_train_pairwise_reward,
     "active_rounds": q_active_rounds,
     "generate_completions": q_generate_completions,

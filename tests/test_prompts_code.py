@@ -187,3 +187,29 @@ def test_stream_generates_inside_batches(spark, tmp_path):
     per = got.groupBy("problem_id").count().where("count > 4").count()
     assert got.count() > 0 and per == 0
     assert got.select("batch_id").distinct().count() == 3
+
+
+def py_reduce(err, path):
+    msgs = err.split("\n")
+    out, want = [], False
+    for m in msgs:
+        if "Traceback" in m or m == msgs[-1]:
+            out.append(m)
+        elif path in m:
+            st = m.index('"/') + 1 if '"/' in m else 0
+            out.append(m[:st])
+            want = True
+        elif want:
+            out.append(m)
+            want = False
+    return "\n".join(out).strip()
+
+
+def test_error_digest_against_python(spark):
+    from prefloom.sources import testdata
+
+    got = catalog.QUERIES["error_digest"](spark, SF_SMALL)
+    res = testdata.code_results(spark, SF_SMALL).where(~F.col("ok"))
+    exp = sorted((r.problem_id, r.response_idx, r.case_idx, py_reduce(r.error, "/tmp/run/tmp.py"))
+                 for r in res.collect())
+    assert sorted(rows(got)) == exp and len(exp) > 0
