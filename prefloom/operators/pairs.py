@@ -51,8 +51,9 @@ def _cap(max_pairs) -> int:
 
 
 def _narrow(scored: DataFrame, group_cols, order_col, score_col, materialize) -> DataFrame:
+    # a response without a score cannot be compared: it takes part in no pair
     base = scored.select(*[F.col(c) for c in group_cols],
-                         F.col(order_col).alias("_o"), F.col(score_col).alias("_s"))
+                         F.col(order_col).alias("_o"), F.col(score_col).alias("_s")).where(F.col("_s").isNotNull())
     if materialize:
         # The scores may be expensive (regex over whole texts, model calls);
         # the narrow (key, order, score) rows are written once and reused by
@@ -80,9 +81,10 @@ def preference_pairs(scored: DataFrame, max_pairs: int, group_cols: Sequence[str
 
     Returns ``group_cols, pair_rank, i, j, accepted_idx, rejected_idx,
     accepted_score, rejected_score``; ``pair_rank`` is 1-based in (i, j)
-    order. ``order_col`` is a non-negative integer (a sample index),
-    ``(group, order_col)`` unique and scores non-null. ``block_rows`` bounds
-    the candidate rows of one group that meet in one join task.
+    order. ``order_col`` is a non-negative integer (a sample index) and
+    ``(group, order_col)`` unique; responses with a null score are left out.
+    ``block_rows`` bounds the candidate rows of one group that meet in one
+    join task.
     """
     if block_rows <= 0:
         raise ValueError("block_rows must be positive")
@@ -143,6 +145,7 @@ def pair_counts(scored: DataFrame, max_pairs: int | None = None,
     """
     g = list(group_cols)
     dec = "decimal(38,0)"
+    scored = scored.where(F.col(score_col).isNotNull())  # as in preference_pairs
     score_n = scored.groupBy(*g, F.col(score_col).alias("_s")).agg(F.count(F.lit(1)).alias("_cs"))
     c = F.col("_cs").cast(dec)
     per_group = score_n.groupBy(*g).agg(

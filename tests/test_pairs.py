@@ -98,3 +98,10 @@ def test_pairs_unchanged_by_repartition(spark):
     a = sorted(rows(pairs.preference_pairs(c, 4, materialize=False), *cols))
     b = sorted(rows(pairs.preference_pairs(c.repartition(17, "response_idx"), 4, materialize=False), *cols))
     assert a == b
+
+
+def test_null_scores_take_no_part(spark):
+    data = [(0, 0, 1), (0, 1, None), (0, 2, 0), (0, 3, None), (0, 4, 1)]
+    df = spark.createDataFrame(data, "problem_id long, response_idx int, score int")
+    got = sorted(rows(pairs.preference_pairs(df, 10, materialize=False), "pair_rank", "i", "j"))
+    assert got == [(1, 0, 2), (2, 2, 4)]
