@@ -1,6 +1,7 @@
 """Pairing operator against a brute-force enumeration of all pairs."""
 
 import random
+import re
 
 import pytest
 
@@ -89,6 +90,8 @@ def test_plan_has_group_limit_and_no_cartesian(spark):
     plan = pairs.preference_pairs(c, 4, materialize=False)._jdf.queryExecution().executedPlan().toString()
     # both top-k windows (heads per group, partners per head) are limited map-side
     assert plan.count("WindowGroupLimit") >= 4 and plan.count("Partial") >= 2
+    # the partner join is keyed on (group, block), so a hot group spans tasks
+    assert re.search(r"Join \[problem_id#\d+L, _blk#\d+L\], \[problem_id#\d+L, _blk#\d+L\]", plan)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
