@@ -155,8 +155,9 @@ def choice_score(response, answer, only_perfect_match: bool = False,
     -1 if one side is a list and the other not; for strings +1 / -1; for lists
     ``len(correct) - missing - extra`` with duplicates counted each time (may
     be negative). The response is box-extracted first, the answer is not.
-    With ``only_perfect_match`` the result is ``score == len(correct)``
-    (for a string answer its character length, as in the reference).
+    ``only_perfect_match`` changes the list case only: 1 if the lists match
+    (``score == len(correct)``), else 0 - the reference returns a boolean
+    there and the integers above elsewhere, which compare the same way.
     """
     g = parse_choice(extract_boxed(response, mode), trim)
     c = parse_choice(answer, trim)
@@ -164,14 +165,12 @@ def choice_score(response, answer, only_perfect_match: bool = False,
     missing = F.size(F.filter(ci, lambda x: ~F.array_contains(gi, x)))
     extra = F.size(F.filter(gi, lambda x: ~F.array_contains(ci, x)))
     list_score = F.size(ci) - missing - extra
-    str_score = F.when(g["text"] == c["text"], F.lit(1)).otherwise(F.lit(-1))
-    score = (F.when(g["is_list"] != c["is_list"], F.lit(-1))
-             .when(g["is_list"], list_score)
-             .otherwise(str_score))
     if only_perfect_match:
-        full = F.when(c["is_list"], F.size(ci)).otherwise(F.length(c["text"]))
-        return score == full
-    return score
+        list_score = (list_score == F.size(ci)).cast("int")
+    str_score = F.when(g["text"] == c["text"], F.lit(1)).otherwise(F.lit(-1))
+    return (F.when(g["is_list"] != c["is_list"], F.lit(-1))
+            .when(g["is_list"], list_score)
+            .otherwise(str_score))
 
 
 # -- registry -----------------------------------------------------------------

@@ -159,8 +159,7 @@ cs1 AS (SELECT *, {items('g')} AS gi, {items('c')} AS ci FROM cs0),
 cs AS (SELECT *, CAST(CASE WHEN (gi IS NULL) <> (ci IS NULL) THEN -1
     WHEN gi IS NOT NULL THEN len(ci) - len(list_filter(ci, lambda x: NOT list_contains(gi, x)))
                          - len(list_filter(gi, lambda x: NOT list_contains(ci, x)))
-    WHEN g = c THEN 1 ELSE -1 END AS INTEGER) AS score,
-  CASE WHEN ci IS NOT NULL THEN len(ci) ELSE length(c) END AS full_score FROM cs1)"""
+    WHEN g = c THEN 1 ELSE -1 END AS INTEGER) AS score FROM cs1)"""
 
 
 def code_ctes() -> str:
@@ -309,7 +308,8 @@ SELECT problem_id, CAST(s AS INTEGER) AS sample_idx, prompt FROM fo"""
     q["math_score_rational"] = (f"WITH {R8}, {MC}, {math_scored(BOX_BAL)} "
                                 f"SELECT problem_id, response_idx, correct FROM ms")
     q["medical_score"] = (f"WITH {R8}, {CC}, {choice_scored()} SELECT problem_id, response_idx, score, "
-                          f"score = full_score AS perfect FROM cs")
+                          f"CASE WHEN gi IS NOT NULL AND ci IS NOT NULL THEN CAST(score = len(ci) AS INTEGER) "
+                          f"ELSE score END AS perfect FROM cs")
     q["extract_code"] = f"WITH {code_ctes()} SELECT problem_id, response_idx, code FROM kx"
     q["forbidden_code"] = (f"WITH {code_ctes()} SELECT problem_id, response_idx, "
                            f"contains(code, 'subprocess') OR contains(code, 'venv') AS forbidden FROM kx")

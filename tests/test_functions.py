@@ -56,7 +56,7 @@ def test_choice_score(spark):
     got = [r[0] for r in df.select(scoring.choice_score(df.r, df.a)).collect()]
     assert got == [e for _, _, e in cases]
     perfect = [r[0] for r in df.select(scoring.choice_score(df.r, df.a, only_perfect_match=True)).collect()]
-    assert perfect == [True, False, False, False, False, False, True]
+    assert perfect == [1, -1, -1, 0, 0, 0, 1]
 
 
 def test_extract_code(spark):
