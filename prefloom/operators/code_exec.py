@@ -178,7 +178,9 @@ import json, sys
 _args = json.loads(sys.stdin.read())
 if not isinstance(_args, list):
     _args = [_args]
-sys.stdout.write("\\x00RESULT\\x00" + str(Solution().{fn}(*_args)))
+_res = Solution().{fn}(*_args)
+_out = _res if isinstance(_res, str) else json.dumps(_res, separators=(",", ":"))
+sys.stdout.write("\\x00RESULT\\x00" + _out)
 """
 _SENTINEL = "\x00RESULT\x00"
 
@@ -188,7 +190,10 @@ def python_runner(timeout: float = 10.0, python: str = "python3") -> Runner:
 
     Stdin form: the case input goes to stdin, stdout is the output. Function
     form: ``Solution().<fn_name>(*args)`` with ``args`` parsed from the JSON
-    input, its ``str`` printed. A timeout or a non-zero exit is a failed
+    input; the result is returned as the test cases hold expected values (a
+    string as is, anything else as compact JSON, which is how Spark renders
+    a non-string JSON element), so equal values compare equal as in the
+    reference's ``str(result) == str(expected)``. A timeout or a non-zero exit is a failed
     case with the stderr text as error. Not a sandbox: the program runs with
     the executor's rights, as in the reference; use it only on trusted hosts
     or behind an isolating ``python`` command.

@@ -213,3 +213,15 @@ def test_error_digest_against_python(spark):
     exp = sorted((r.problem_id, r.response_idx, r.case_idx, py_reduce(r.error, "/tmp/run/tmp.py"))
                  for r in res.collect())
     assert sorted(rows(got)) == exp and len(exp) > 0
+
+
+def test_python_runner_function_results_as_json(spark):
+    resp = spark.createDataFrame([(1, 0, "class Solution:\n    def pair(self, a):\n        return [a, a + 1]"),
+                                  (1, 1, "class Solution:\n    def pair(self, a):\n        return str(a)")],
+                                 "problem_id long, response_idx int, response string")
+    io = spark.createDataFrame([(1, '{"fn_name": "pair", "inputs": ["[1]", "[5]"], "outputs": [[1, 2], "5"]}')],
+                               "problem_id long, input_output string")
+    res = code_exec.run_cases(code_exec.fan_out_cases(resp, code_exec.explode_testcases(io)),
+                              code_exec.python_runner(timeout=5), num_partitions=2)
+    got = {r[0]: r[1] for r in rows(code_exec.pass_counts(res), "response_idx", "n_passed")}
+    assert got == {0: 1, 1: 1}
