@@ -225,3 +225,12 @@ def test_python_runner_function_results_as_json(spark):
                               code_exec.python_runner(timeout=5), num_partitions=2)
     got = {r[0]: r[1] for r in rows(code_exec.pass_counts(res), "response_idx", "n_passed")}
     assert got == {0: 1, 1: 1}
+
+
+def test_stdin_of_list_inputs():
+    assert code_exec._stdin_text('["3", "1 2"]') == "3\n1 2\n"
+    assert code_exec._stdin_text("1 2") == "1 2\n"
+    assert code_exec._stdin_text("[x") == "[x\n"
+    run = code_exec.python_runner(timeout=5)
+    out, ok, _ = run("n = int(input())\nprint(sum(map(int, input().split())) * n)", None, '["3", "1 2"]')
+    assert ok and out.strip() == "9"
