@@ -234,3 +234,26 @@ def test_stdin_of_list_inputs():
     run = code_exec.python_runner(timeout=5)
     out, ok, _ = run("n = int(input())\nprint(sum(map(int, input().split())) * n)", None, '["3", "1 2"]')
     assert ok and out.strip() == "9"
+
+
+def test_generate_code_preference_job(spark, tmp_path):
+    import numpy as np
+
+    from prefloom.plans import jobs
+
+    def make_gen():
+        def fn(prompts, idx):
+            good = "```python\nprint(input())\n```"
+            return np.array([good if int(i) % 2 == 0 else "print('nope')" for i in idx], dtype=object)
+        return fn
+
+    probs = spark.createDataFrame(
+        [(1, "Echo the line.", '{"inputs": ["a b", "c"], "outputs": ["a b", "c"]}', ""),
+         (2, "Echo again.", '{"inputs": ["x"], "outputs": ["x"]}', None)],
+        "problem_id long, question string, input_output string, starter_code string")
+    out = jobs.generate_preference_data(spark, probs, "code", make_gen, 4, 16, str(tmp_path / "c"),
+                                        code_runner=code_exec.python_runner(timeout=10))
+    got = rows(out, "problem_id", "accepted", "rejected")
+    # 2 passing and 2 failing samples per problem: 4 unequal pairs each
+    assert len(got) == 8
+    assert all("print(input())" in a and "nope" in r for _, a, r in got)
