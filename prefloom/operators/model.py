@@ -33,16 +33,22 @@ def rule_weights(dim: int, modulus: int) -> list[float]:
 
 
 def generate(prompts: DataFrame, make_generate_fn: Callable, n: int, batch_size: int = 64,
-             prompt_col: str = "prompt", out_col: str = "response") -> DataFrame:
+             prompt_col: str = "prompt", out_col: str = "response",
+             num_partitions: int | None = None) -> DataFrame:
     """``n`` completions per prompt.
 
     ``make_generate_fn()`` returns ``fn(prompts: np.ndarray, sample_idx:
     np.ndarray) -> np.ndarray[str]``; the sample index is an input so that
     the samples of one prompt differ and a retried task repeats them.
+    ``num_partitions`` first spreads the prompts evenly over that many tasks
+    (a sample drawn from a large table otherwise sits in its source
+    partitions, a few rows per task or many in a few).
     """
     from pyspark.ml.functions import predict_batch_udf
 
     udf = predict_batch_udf(make_generate_fn, return_type=T.StringType(), batch_size=batch_size)
+    if num_partitions:
+        prompts = prompts.repartition(int(num_partitions))
     fanned = fan_out(prompts, n, "response_idx")
     return fanned.withColumn(out_col, udf(F.col(prompt_col), F.col("response_idx")))
 

@@ -54,13 +54,16 @@ def load_sources(spark: SparkSession, sources: Sequence[dict], max_examples: int
 def generate_preference_data(spark: SparkSession, problems: DataFrame, domain: str,
                              make_generate_fn: Callable, num_samples: int, max_pairs: int, out: str,
                              batch_size: int = 64, template: str | None = None,
-                             code_runner=None, completions_path: str | None = None) -> DataFrame:
+                             code_runner=None, completions_path: str | None = None,
+                             num_partitions: int | None = None) -> DataFrame:
     """Preference pairs from problems (``problem_id`` plus the domain's
     columns: ``problem, solution`` or ``question, input_output,
     starter_code``). Code answers need ``code_runner`` (see
     ``code_exec.run_cases``). Writes ``out`` and returns it read back."""
     rendered = prompts.render_problems(problems, domain, template)
-    comp = model.generate(rendered.select("problem_id", "prompt"), make_generate_fn, num_samples, batch_size)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    comp = model.generate(rendered.select("problem_id", "prompt"), make_generate_fn, num_samples, batch_size,
+                          num_partitions=n)
     completions_path = completions_path or scratch_path(spark, "completions")
     write_table(comp.select("problem_id", "response_idx", "response"), completions_path)
     comp = spark.read.parquet(completions_path)
@@ -80,9 +83,12 @@ def generate_preference_data(spark: SparkSession, problems: DataFrame, domain: s
 
 
 def generate_sft_data(spark: SparkSession, problems: DataFrame, domain: str, make_generate_fn: Callable,
-                      num_samples: int, out: str, batch_size: int = 64) -> DataFrame:
+                      num_samples: int, out: str, batch_size: int = 64,
+                      num_partitions: int | None = None) -> DataFrame:
     rendered = prompts.render_problems(problems, domain)
-    comp = model.generate(rendered.select("problem_id", "prompt"), make_generate_fn, num_samples, batch_size)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    comp = model.generate(rendered.select("problem_id", "prompt"), make_generate_fn, num_samples, batch_size,
+                          num_partitions=n)
     rows = preference.sft_data(rendered.select("problem_id", "problem"), comp)
     write_table(rows.select("problem_id", "response_idx", "problem", "completion"), out)
     return spark.read.parquet(out)
