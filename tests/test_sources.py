@@ -66,3 +66,13 @@ def test_split_dataset_by_problem(spark, tmp_path):
     assert tr.select("problem_id").intersect(ev.select("problem_id")).count() == 0
     share = ev.select("problem_id").distinct().count() / 500
     assert 0.12 < share < 0.28
+
+
+def test_scale_conf():
+    from prefloom.session import scale_conf
+
+    c = scale_conf(100 * 10**12, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 372530  # 100 TB / 256 MB
+    assert c["spark.sql.files.maxPartitionBytes"] == "256m"
+    small = scale_conf(10**9, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16  # at least two tasks per core
