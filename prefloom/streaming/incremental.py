@@ -3,8 +3,9 @@
 The reference loops over slices of problems and rewrites its whole output
 at each snapshot, resuming from an index. Here the input is a file stream
 of problems (one row per problem, so a problem is never cut by a batch);
-each micro-batch joins its problems to the responses (a stream-static join
-on the problem key), scores, pairs and writes ``batch_id=N`` by overwrite,
+each micro-batch generates its responses (or reads them from a static
+table pruned to the batch), scores, pairs and writes ``batch_id=N`` by
+overwrite,
 so a replayed batch replaces its own output instead of duplicating it.
 Progress lives in the checkpoint: a second run with the same checkpoint
 processes only new files (``trigger(availableNow=True)``).
@@ -135,6 +136,7 @@ def running_accuracy_from_counts(spark: SparkSession, counts_path: str) -> DataF
 
 
 def pending_problems(problems: DataFrame, written: DataFrame, key: str = "problem_id") -> DataFrame:
-    """Problems not yet in the output (resume by anti-join, no index arithmetic)."""
-    return problems.join(written.select(key).distinct(), key, "left_anti")
+    """Problems not yet in the output (resume by anti-join, no index
+    arithmetic; duplicate keys in the output need no distinct)."""
+    return problems.join(written.select(key), key, "left_anti")
 
