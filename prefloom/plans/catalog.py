@@ -418,8 +418,9 @@ def q_stream_preference_pairs(spark, sf):
     resp_path = scratch_path(spark, "stream-responses")
     mc.select("problem_bucket", "problem_id", "response_idx", "response") \
         .write.partitionBy("problem_bucket").parquet(resp_path)
-    probs = testdata.problems(spark, sf, 8).select("problem_id", "problem") \
-        .join(mc.select("problem_bucket", "problem_id", "answer").dropDuplicates(["problem_id"]), "problem_id")
+    probs = testdata.problems(spark, sf, 8).select(
+        F.expr(f"problem_id div {STREAM_BUCKET}").alias("problem_bucket"), "problem_id", "problem",
+        testdata.math_answer().alias("answer"))
     src = _stream_input(spark, probs, "stream-problems", order_col="problem_id")
     out = scratch_path(spark, "stream-pairs")
     incremental.incremental_preferences(spark, src, probs.schema, spark.read.parquet(resp_path), out,

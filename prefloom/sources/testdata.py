@@ -56,15 +56,20 @@ def candidates16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("score", F.expr("cast(n_chars % 5 as int)"))
 
 
+def math_answer(problem_id="problem_id"):
+    """The boxed answer of a math problem (a function of its id)."""
+    pid = F.col(problem_id) if isinstance(problem_id, str) else problem_id
+    return F.concat(F.lit("\\boxed{"), _pick(MATH_VALUES, pid % 7), F.lit("}"))
+
+
 def math_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts ending in a boxed final answer, with the problem's answer."""
     r = responses(spark, sf_dir, 8)
     box = _pick(MATH_VALUES, F.col("n_chars") % 7)
-    ans = _pick(MATH_VALUES, F.col("problem_id") % 7)
     return r.select(
         "problem_id", "response_idx", "doc_id",
         F.concat(F.col("response"), F.lit(" So \\boxed{"), box, F.lit("} holds")).alias("response"),
-        F.concat(F.lit("\\boxed{"), ans, F.lit("}")).alias("answer"),
+        math_answer().alias("answer"),
     )
 
 

@@ -134,8 +134,8 @@ def test_replayed_batch_is_replaced_not_duplicated(spark, tmp_path):
     from prefloom.streaming import incremental
 
     mc = testdata.math_candidates(spark, SF_SMALL)
-    probs = testdata.problems(spark, SF_SMALL, 8).select("problem_id", "problem") \
-        .join(mc.select("problem_id", "answer").dropDuplicates(["problem_id"]), "problem_id")
+    probs = testdata.problems(spark, SF_SMALL, 8).select("problem_id", "problem",
+                                                         testdata.math_answer().alias("answer"))
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     probs.repartition(3).write.parquet(src)
     resp = mc.select("problem_id", "response_idx", "response")
