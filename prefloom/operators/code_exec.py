@@ -127,15 +127,21 @@ def pass_counts(results: DataFrame, on_error: str = "zero",
 
 
 def code_scores(responses: DataFrame, counts: DataFrame, response_col: str = "response",
-                libs: Sequence[str] = FORBIDDEN_LIBS) -> DataFrame:
+                libs: Sequence[str] = FORBIDDEN_LIBS, keep_counts: bool = False) -> DataFrame:
     """Score per response: passes, 0 if the code names a forbidden library
-    or nothing ran."""
+    or nothing ran. ``keep_counts`` also keeps ``n_cases`` and ``n_passed``
+    (0 for responses without results)."""
     r = responses.withColumn("_forbidden", is_forbidden(extract_code(response_col), libs))
-    j = r.join(counts.select("problem_id", "response_idx", F.col("score").alias("_passes")),
-               ["problem_id", "response_idx"], "left")
-    return j.withColumn("score", F.when(F.col("_forbidden"), F.lit(0))
-                        .otherwise(F.coalesce(F.col("_passes"), F.lit(0))).cast("int")) \
-            .drop("_forbidden", "_passes")
+    cols = [F.col("score").alias("_passes")]
+    if keep_counts:
+        cols += ["n_cases", "n_passed"]
+    j = r.join(counts.select("problem_id", "response_idx", *cols), ["problem_id", "response_idx"], "left")
+    j = j.withColumn("score", F.when(F.col("_forbidden"), F.lit(0))
+                     .otherwise(F.coalesce(F.col("_passes"), F.lit(0))).cast("int"))
+    if keep_counts:
+        j = (j.withColumn("n_cases", F.coalesce("n_cases", F.lit(0)).cast("bigint"))
+              .withColumn("n_passed", F.coalesce("n_passed", F.lit(0)).cast("bigint")))
+    return j.drop("_forbidden", "_passes")
 
 
 def reduce_error(c, program_path: str) -> Column:

@@ -207,10 +207,8 @@ def q_testcase_explode(spark, sf):
 
 def q_code_pass_count(spark, sf):
     counts = code_exec.pass_counts(testdata.code_results(spark, sf))
-    scored = code_exec.code_scores(testdata.code_candidates(spark, sf), counts)
-    j = scored.join(counts.drop("score"), ["problem_id", "response_idx"], "left")
-    return j.select("problem_id", "response_idx", F.coalesce("n_cases", F.lit(0)).cast("bigint").alias("n_cases"),
-                    F.coalesce("n_passed", F.lit(0)).cast("bigint").alias("n_passed"), "score")
+    scored = code_exec.code_scores(testdata.code_candidates(spark, sf), counts, keep_counts=True)
+    return scored.select("problem_id", "response_idx", "n_cases", "n_passed", "score")
 
 
 def q_failure_reasons(spark, sf):
