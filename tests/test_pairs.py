@@ -108,3 +108,15 @@ def test_null_scores_take_no_part(spark):
     df = spark.createDataFrame(data, "problem_id long, response_idx int, score int")
     got = sorted(rows(pairs.preference_pairs(df, 10, materialize=False), "pair_rank", "i", "j"))
     assert got == [(1, 0, 2), (2, 2, 4)]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=12), min_size=1, max_size=25),
+       st.integers(1, 20), st.integers(1, 6))
+def test_pairs_property(spark, groups_list, k, block_rows):
+    groups = dict(enumerate(groups_list))
+    assert run(spark, groups, k, block_rows=block_rows) == brute(groups, k)
