@@ -35,15 +35,26 @@ TEMPLATES = {"math": MATH_TEMPLATE, "code": CODE_TEMPLATE, "medical": MATH_TEMPL
 
 
 def split_template(template: str) -> tuple[str, str]:
-    """Unescape ``{{``/``}}`` and split at the single ``{problem}`` field."""
-    marker = "\x00PROBLEM\x00"
-    t = template.replace("{problem}", marker)
-    leftover = t.replace("{{", "").replace("}}", "")
-    if "{" in leftover or "}" in leftover:
-        raise ValueError("template may only contain the {problem} field")
-    t = t.replace("{{", "{").replace("}}", "}")
-    parts = t.split(marker)
-    if len(parts) != 2:
+    """Text before and after the single ``{problem}`` field, with ``{{`` and
+    ``}}`` unescaped, read left to right as ``str.format`` does."""
+    import re
+
+    parts, field_at = [""], None
+    for tok in re.split(r"(\{\{|\}\}|\{problem\}|\{|\})", template):
+        if tok == "{{":
+            parts[-1] += "{"
+        elif tok == "}}":
+            parts[-1] += "}"
+        elif tok == "{problem}":
+            if field_at is not None:
+                raise ValueError("template must contain {problem} exactly once")
+            field_at = len(parts)
+            parts.append("")
+        elif tok in ("{", "}"):
+            raise ValueError("template may only contain the {problem} field")
+        else:
+            parts[-1] += tok
+    if field_at is None:
         raise ValueError("template must contain {problem} exactly once")
     return parts[0], parts[1]
 

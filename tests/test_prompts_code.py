@@ -257,3 +257,14 @@ def test_generate_code_preference_job(spark, tmp_path):
     # 2 passing and 2 failing samples per problem: 4 unequal pairs each
     assert len(got) == 8
     assert all("print(input())" in a and "nope" in r for _, a, r in got)
+
+
+def test_split_template_follows_format():
+    import pytest
+
+    for t in ["A {{problem}} B {problem} C", "{problem}", "x {{}} {problem} {{y}}", "a}}{problem}{{b"]:
+        pre, post = prompts.split_template(t)
+        assert pre + "P" + post == t.format(problem="P")
+    for bad in ["no field", "{problem} {problem}", "{x} {problem}", "{problem} }"]:
+        with pytest.raises(ValueError):
+            prompts.split_template(bad)
