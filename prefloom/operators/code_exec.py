@@ -39,7 +39,9 @@ def explode_testcases(problems: DataFrame, io_col: str = "input_output",
     tc = parse_testcases(io_col)
     p = problems.select(*key_cols, tc.alias("_tc"))
     m = F.least(F.size("_tc.inputs"), F.size("_tc.outputs"))
-    p = p.select(*key_cols, F.col("_tc.fn_name").alias("fn_name"), F.col("_tc.outputs").alias("_outs"),
+    fn = F.col("_tc.fn_name")
+    fn = F.when(fn != "", fn)  # an empty name means the stdin form, as a falsy name does
+    p = p.select(*key_cols, fn.alias("fn_name"), F.col("_tc.outputs").alias("_outs"),
                  F.posexplode(F.slice("_tc.inputs", 1, F.greatest(m, F.lit(0)))).alias("case_idx", "input"))
     return p.select(*key_cols, F.col("case_idx").cast("int").alias("case_idx"), "fn_name", "input",
                     F.element_at("_outs", F.col("case_idx") + 1).alias("expected"))

@@ -31,9 +31,10 @@ def test_chat_text(spark):
 def test_testcases_cut_at_shorter(spark):
     df = spark.createDataFrame([(1, '{"inputs": ["1", "2", "3"], "outputs": ["a", "b"]}'),
                                 (2, '{"fn_name": "f", "inputs": [[1, 2]], "outputs": [3]}'),
-                                (3, "not json")], "problem_id long, input_output string")
+                                (3, "not json"), (4, '{"fn_name": "", "inputs": ["z"], "outputs": ["z"]}')],
+                               "problem_id long, input_output string")
     got = sorted(rows(code_exec.explode_testcases(df), "problem_id", "case_idx", "fn_name", "input", "expected"))
-    assert got == [(1, 0, None, "1", "a"), (1, 1, None, "2", "b"), (2, 0, "f", "[1,2]", "3")]
+    assert got == [(1, 0, None, "1", "a"), (1, 1, None, "2", "b"), (2, 0, "f", "[1,2]", "3"), (4, 0, None, "z", "z")]
 
 
 def test_run_cases_with_stub_runner(spark):
