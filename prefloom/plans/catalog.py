@@ -54,18 +54,24 @@ def rewards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Capped label pairs scored by each reward model, with the problem's language."""
+    """Capped label pairs scored by each reward model, with the problem's language.
+
+    Each pair is repeated per model name (a literal list) so that both reward
+    joins use the key (model, vec_id) against the same relation: the rewards
+    are shuffled once and the second join reuses the exchange.
+    """
     p = _pairs8(spark, sf)
     vec = testdata.doc_vec_id
     p = (p.withColumn("_da", F.col("problem_id") * 8 + F.col("accepted_idx"))
           .withColumn("_dr", F.col("problem_id") * 8 + F.col("rejected_idx")))
     p = p.withColumn("vec_accepted", vec(spark, sf, "_da")).withColumn("vec_rejected", vec(spark, sf, "_dr"))
+    p = p.withColumn("model", F.explode(F.array(*[F.lit(m) for m in REWARD_MODELS])))
     rw = rewards(spark, sf)
-    ra = rw.select("model", F.col("vec_id").alias("vec_accepted"), F.col("reward").alias("r_accepted"))
-    rr = rw.select("model", F.col("vec_id").alias("vec_rejected"), F.col("reward").alias("r_rejected"))
+    for side, name in (("vec_accepted", "r_accepted"), ("vec_rejected", "r_rejected")):
+        p = (p.withColumnRenamed(side, "vec_id").join(rw, ["model", "vec_id"])
+              .withColumnRenamed("vec_id", side).withColumnRenamed("reward", name))
     dom = testdata.problems(spark, sf, 8).select("problem_id", F.col("lang").alias("domain"))
-    return (p.join(ra, "vec_accepted").join(rr, ["model", "vec_rejected"]).join(dom, "problem_id")
-            .drop("_da", "_dr"))
+    return p.join(dom, "problem_id").drop("_da", "_dr")
 
 
 def _r6(c):
