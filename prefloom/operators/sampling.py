@@ -28,32 +28,51 @@ def seeded_key(seed, key_cols: Sequence[str]) -> Column:
     return shuffle_key(seed, *key_cols)
 
 
+SINGLE_TASK_TOP_N = 1_000_000
+
+
 def top_keys(df: DataFrame, n: int, order: Sequence[Column], key_cols: Sequence[str],
-             rank_name: str | None = None, extra: Sequence[str] = (), descending: bool = False) -> DataFrame:
+             rank_name: str | None = None, extra: Sequence[str] = (), descending: bool = False,
+             single_task_max: int = SINGLE_TASK_TOP_N) -> DataFrame:
     """The ``n`` smallest (``descending``: largest) rows by ``order``, as
     narrow key rows; ties are broken by ``key_cols`` ascending.
 
-    Only ``key_cols`` (plus ``extra``) take part in the top-n: the per-task
-    top-n and the final merge move ids and sort keys, not wide rows. With
-    ``rank_name`` a 1-based rank is added; that window sees the ``n`` chosen
-    rows only.
+    Only ``key_cols`` (plus ``extra``) take part: the top-n moves ids and
+    sort keys, not wide rows. Up to ``single_task_max`` rows, per-task top-n
+    lists are merged in one task (``TakeOrderedAndProject``); above it the
+    rows are ranked by distributed positions (range partitions shifted by
+    the sizes of earlier ones) and kept where the position is below ``n``,
+    so no task holds the whole sample. With ``rank_name`` a 1-based rank is
+    added.
     """
     from pyspark.sql import Window
 
     cols = list(dict.fromkeys([*key_cols, *extra]))
-    narrow = df.select(*cols, *[o.alias(f"_ord{i}") for i, o in enumerate(order)])
-    ords = [F.col(f"_ord{i}").desc() if descending else F.col(f"_ord{i}") for i in range(len(order))]
+    ord_names = [f"_ord{i}" for i in range(len(order))]
+    narrow = df.select(*cols, *[o.alias(nm) for o, nm in zip(order, ord_names)])
+    if n > single_task_max:
+        if descending:
+            narrow = narrow.select(*cols, *[(-F.col(nm)).alias(nm) for nm in ord_names])
+        pos = global_position(narrow, [*ord_names, *key_cols], "_pos")
+        top = pos.where(F.col("_pos") < int(n))
+        if rank_name:
+            top = top.withColumn(rank_name, (F.col("_pos") + 1).cast("int"))
+        return top.drop("_pos", *ord_names)
+    ords = [F.col(nm).desc() if descending else F.col(nm) for nm in ord_names]
     ords += [F.col(c) for c in key_cols]
     top = narrow.orderBy(*ords).limit(int(n))
     if rank_name:
         top = top.withColumn(rank_name, F.row_number().over(Window.orderBy(*ords)))
-    return top.drop(*[f"_ord{i}" for i in range(len(order))])
+    return top.drop(*ord_names)
 
 
-def restrict(df: DataFrame, keys: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+def restrict(df: DataFrame, keys: DataFrame, key_cols: Sequence[str], n: int | None = None) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys``, with the columns of ``keys``
-    attached. ``keys`` comes from a top-n and is bounded by that ``n``, so it
-    is broadcast; the wide rows are never moved."""
+    attached. ``keys`` comes from a top-n and is bounded by that ``n``: it
+    is broadcast up to ``SINGLE_TASK_TOP_N`` keys (the wide rows are never
+    moved), larger key sets are joined normally."""
+    if n is not None and n > SINGLE_TASK_TOP_N:
+        return df.join(keys, list(key_cols))
     return df.join(F.broadcast(keys), list(key_cols))
 
 
@@ -72,7 +91,7 @@ def take_sample(df: DataFrame, n: int, seed, key_cols: Sequence[str], strict: bo
         if have < n:
             raise ValueError(f"source has {have} rows, fewer than the {n} requested")
     keys = top_keys(df, n, [seeded_key(seed, key_cols)], key_cols, rank_name)
-    return restrict(df, keys, key_cols)
+    return restrict(df, keys, key_cols, n)
 
 
 def mix_sources(sources: Sequence[tuple[str, DataFrame, float]], max_examples: int | None,

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions.hashing import gumbel_key
-from prefloom.operators.sampling import restrict, take_sample, top_keys
+from prefloom.operators.sampling import SINGLE_TASK_TOP_N, restrict, take_sample, top_keys
 from prefloom.session import reliable_checkpoint
 
 
@@ -44,19 +44,26 @@ def select_uncertain(window: DataFrame, k: int, seed, key_cols: Sequence[str], t
             raise ValueError(f"cannot select {k} rows from a window of {have}")
     key = gumbel_key(-F.col(gap_col) / F.lit(float(temp)), f"{seed}:draw", *key_cols)
     keys = top_keys(window, k, [key], key_cols, rank_name="select_rank", descending=True)
-    return restrict(window, keys, key_cols)
+    return restrict(window, keys, key_cols, k)
+
+
+def _bounded(df: DataFrame, size: int | None) -> DataFrame:
+    """Broadcast a key set whose size bound is known and small enough."""
+    return F.broadcast(df) if size is not None and size <= SINGLE_TASK_TOP_N else df
 
 
 def split_selection(pool: DataFrame, selected: DataFrame, window: DataFrame, key_cols: Sequence[str],
-                    keep_unseen: bool = False) -> DataFrame:
+                    keep_unseen: bool = False, k: int | None = None,
+                    window_size: int | None = None) -> DataFrame:
     """The rest after selection: window rows not selected (``left_anti``;
-    the selected keys, ``k`` rows, are broadcast). With ``keep_unseen`` the
-    pool rows outside the window are added back (the window keys, bounded by
-    ``max_to_look_at``, are broadcast)."""
+    the selected keys, at most ``k``, are broadcast). With ``keep_unseen``
+    the pool rows outside the window are added back (the window keys, at
+    most ``window_size``, are broadcast). Unknown or large bounds join
+    without a broadcast."""
     keys = list(key_cols)
-    rest = window.join(F.broadcast(selected.select(*keys)), keys, "left_anti")
+    rest = window.join(_bounded(selected.select(*keys), k), keys, "left_anti")
     if keep_unseen:
-        unseen = pool.join(F.broadcast(window.select(*keys)), keys, "left_anti")
+        unseen = pool.join(_bounded(window.select(*keys), window_size), keys, "left_anti")
         rest = rest.unionByName(unseen.select(*rest.columns))
     return rest
 
@@ -72,5 +79,6 @@ def active_selection(pool: DataFrame, k: int, max_to_look_at: int, seed, key_col
     if materialize:
         window = reliable_checkpoint(window)
     selected = select_uncertain(window, k, seed, key_cols, temp)
-    rest = split_selection(pool if not keep_unseen else with_gap(pool), selected, window, key_cols, keep_unseen)
+    rest = split_selection(pool if not keep_unseen else with_gap(pool), selected, window, key_cols, keep_unseen,
+                           k=k, window_size=max_to_look_at)
     return selected, rest

@@ -124,3 +124,12 @@ def test_truncate_tokens_and_matrix(spark):
                                "model string, domain string, r_accepted double, r_rejected double")
     got = sorted(rows(evaluate.accuracy_matrix(sp), "model", "x", "y"))
     assert got == [("m1", 1.0, 0.0), ("m2", 0.0, None)]
+
+
+def test_top_keys_distributed_path_equals_single_task(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"), ((F.col("id") * 7919) % 1000).cast("double").alias("v"))
+    for desc in (False, True):
+        a = sorted(rows(sampling.top_keys(df, 250, [F.col("v")], ["k"], "r", descending=desc), "k", "r"))
+        b = sorted(rows(sampling.top_keys(df, 250, [F.col("v")], ["k"], "r", descending=desc,
+                                          single_task_max=10), "k", "r"))
+        assert a == b and len(a) == 250
