@@ -76,3 +76,17 @@ def test_scale_conf():
     assert c["spark.sql.files.maxPartitionBytes"] == "256m"
     small = scale_conf(10**9, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16  # at least two tasks per core
+
+
+def test_scratch_under_checkpoint_root(spark):
+    from prefloom.session import checkpoint_root, reliable_checkpoint, scratch_path
+
+    root = checkpoint_root(spark)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert root == conf.rstrip("/")
+    p1, p2 = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert p1.startswith(root + "/prefloom/x-") and p1 != p2
+    df = spark.range(5).withColumn("y", F.col("id") * 2)
+    back = reliable_checkpoint(df, "unit")
+    assert sorted(rows(back)) == [(i, 2 * i) for i in range(5)]
+    assert "FileScan parquet" in back._jdf.queryExecution().executedPlan().toString()
