@@ -85,14 +85,16 @@ def score_pair_sides(pairs: DataFrame, make_predict_fn: Callable, chosen_col: st
 
 def pairwise_features(pairs: DataFrame, emb_accepted: str = "emb_accepted",
                       emb_rejected: str = "emb_rejected") -> DataFrame:
-    """Each pair twice: (accepted - rejected, label 1) and the negation (label 0)."""
+    """Each pair twice: (accepted - rejected, label 1) and the negation
+    (label 0), emitted in one pass over the pairs."""
     from pyspark.ml.functions import array_to_vector
 
     diff = F.zip_with(F.col(emb_accepted), F.col(emb_rejected), lambda a, b: a.cast("double") - b.cast("double"))
-    pos = pairs.select(diff.alias("_d"), F.lit(1.0).alias("label"))
-    neg = pairs.select(F.transform(diff, lambda x: -x).alias("_d"), F.lit(0.0).alias("label"))
-    both = pos.unionByName(neg)
-    return both.select(array_to_vector("_d").alias("features"), "label")
+    both = pairs.select(F.explode(F.array(
+        F.struct(diff.alias("d"), F.lit(1.0).alias("label")),
+        F.struct(F.transform(diff, lambda x: -x).alias("d"), F.lit(0.0).alias("label")),
+    )).alias("_x"))
+    return both.select(array_to_vector("_x.d").alias("features"), F.col("_x.label").alias("label"))
 
 
 def train_pairwise(pairs: DataFrame, emb_accepted: str = "emb_accepted", emb_rejected: str = "emb_rejected",
