@@ -67,11 +67,10 @@ def running_accuracy(scored_pairs: DataFrame, order_cols: Sequence[str], batch_s
 def length_filter(pairs: DataFrame, max_tokens: int, texts: Sequence[str] = ("accepted", "rejected"),
                   problem: str | None = "problem") -> DataFrame:
     """Keep pairs whose longest side (problem + response) has at most
-    ``max_tokens`` white-space tokens."""
-    def n(col):
-        base = count_tokens(col)
-        return base + count_tokens(problem) if problem else base
-    longest = F.greatest(*[n(c) for c in texts])
+    ``max_tokens`` white-space tokens (the problem is counted once)."""
+    longest = F.greatest(*[count_tokens(c) for c in texts])
+    if problem:
+        longest = longest + count_tokens(problem)
     return pairs.where(longest <= F.lit(int(max_tokens)))
 
 

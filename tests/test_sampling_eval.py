@@ -133,3 +133,16 @@ def test_top_keys_distributed_path_equals_single_task(spark):
         b = sorted(rows(sampling.top_keys(df, 250, [F.col("v")], ["k"], "r", descending=desc,
                                           single_task_max=10), "k", "r"))
         assert a == b and len(a) == 250
+
+
+def test_length_filter_text_and_narrow_agree(spark):
+    from prefloom.plans import catalog
+    from prefloom.sources import testdata
+    from tests.conftest import SF_MID
+
+    wide = catalog._pairs8_text(spark, SF_MID)
+    a = sorted(rows(evaluate.length_filter(wide, 1024), "problem_id", "pair_rank"))
+    narrow = evaluate.length_filter_narrow(catalog._pairs8(spark, SF_MID), testdata.responses(spark, SF_MID, 8),
+                                           testdata.problems(spark, SF_MID, 8), 1024)
+    b = sorted(rows(narrow, "problem_id", "pair_rank"))
+    assert a == b and 0 < len(a) < wide.count()
