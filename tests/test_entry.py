@@ -32,3 +32,10 @@ def test_sampling_plans_use_top_k(spark):
     qs = E.queries()
     plan = qs["mix_sources_by_ratio"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_entry_schema_is_stable(spark):
+    a, b = E.entry(spark), E.entry(spark)
+    assert a.schema == b.schema
+    assert a.columns == ["problem_id", "pair_rank", "i", "j", "accepted_idx", "rejected_idx",
+                         "accepted_score", "rejected_score", "problem", "accepted", "rejected"]
