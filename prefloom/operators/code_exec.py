@@ -77,7 +77,11 @@ def run_cases(fanned: DataFrame, runner: Runner, libs: Sequence[str] = FORBIDDEN
     """
     n = num_partitions or int(fanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fanned = fanned.repartition(n, "problem_id", "response_idx", "case_idx")
-    out_schema = fanned.schema.simpleString()[len("struct<"):-1] + ",actual:string,ok:boolean,error:string"
+    from pyspark.sql import types as T
+
+    out_schema = T.StructType(fanned.schema.fields + [T.StructField("actual", T.StringType()),
+                                                      T.StructField("ok", T.BooleanType()),
+                                                      T.StructField("error", T.StringType())])
 
     def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
