@@ -120,3 +120,14 @@ from hypothesis import strategies as st  # noqa: E402
 def test_pairs_property(spark, groups_list, k, block_rows):
     groups = dict(enumerate(groups_list))
     assert run(spark, groups, k, block_rows=block_rows) == brute(groups, k)
+
+
+def test_composite_group_key(spark):
+    rnd = random.Random(3)
+    groups = {(a, b): [rnd.randrange(3) for _ in range(rnd.randrange(1, 9))] for a in range(4) for b in ("x", "y")}
+    data = [(a, b, i, s) for (a, b), sc in groups.items() for i, s in enumerate(sc)]
+    df = spark.createDataFrame(data, "a long, b string, response_idx int, score int")
+    p = pairs.preference_pairs(df, 3, group_cols=("a", "b"), materialize=False, block_rows=2)
+    got = sorted(rows(p, "a", "b", "pair_rank", "i", "j", "accepted_idx", "rejected_idx"))
+    exp = sorted((g[0], g[1], *t[1:]) for g, sc in groups.items() for t in brute({g: sc}, 3))
+    assert got == exp
