@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from prefloom.operators import code_exec, evaluate, model, prompts, sampling, select
 from prefloom.plans import preference
-from prefloom.session import scratch_path
+from prefloom.session import reliable_checkpoint, scratch_path
 from prefloom.sources.tables import read_split, write_splits, write_table
 
 
@@ -59,7 +59,11 @@ def generate_preference_data(spark: SparkSession, problems: DataFrame, domain: s
     """Preference pairs from problems (``problem_id`` plus the domain's
     columns: ``problem, solution`` or ``question, input_output,
     starter_code``). Code answers need ``code_runner`` (see
-    ``code_exec.run_cases``). Writes ``out`` and returns it read back."""
+    ``code_exec.run_cases``). Writes ``out`` and returns it read back.
+    Completions and run results are written once before they are reused, so
+    neither the model nor a program runs twice."""
+    if domain == "code" and code_runner is None:
+        raise ValueError("code answers need a code_runner(code, fn_name, input) -> (output, ok, error)")
     rendered = prompts.render_problems(problems, domain, template)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     comp = model.generate(rendered.select("problem_id", "prompt"), make_generate_fn, num_samples, batch_size,
@@ -69,10 +73,9 @@ def generate_preference_data(spark: SparkSession, problems: DataFrame, domain: s
     comp = spark.read.parquet(completions_path)
     probs = rendered.select("problem_id", "problem", "solution")
     if domain == "code":
-        if code_runner is None:
-            raise ValueError("code answers need a code_runner(code, fn_name, input) -> (output, ok, error)")
         cases = code_exec.explode_testcases(probs.withColumnRenamed("solution", "input_output"))
         results = code_exec.run_cases(code_exec.fan_out_cases(comp, cases), code_runner)
+        results = reliable_checkpoint(results, "code-runs")
         pairs = preference.code_preference_data(comp, results, probs, max_pairs)
     else:
         scored = preference.score_responses(

@@ -269,3 +269,29 @@ def test_split_template_follows_format():
     for bad in ["no field", "{problem} {problem}", "{x} {problem}", "{problem} }"]:
         with pytest.raises(ValueError):
             prompts.split_template(bad)
+
+
+def test_code_job_runs_each_case_once(spark, tmp_path):
+    import numpy as np
+
+    from prefloom.plans import jobs
+
+    log = str(tmp_path / "runs.log")
+
+    def runner(code, fn_name, inp):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return (inp if "echo" in code else "?"), True, ""
+
+    def make_gen():
+        return lambda prompts, idx: np.array(["echo" if int(i) % 2 == 0 else "no" for i in idx], dtype=object)
+
+    probs = spark.createDataFrame(
+        [(1, "q1", '{"inputs": ["a", "b"], "outputs": ["a", "b"]}', ""),
+         (2, "q2", '{"inputs": ["c"], "outputs": ["c"]}', "")],
+        "problem_id long, question string, input_output string, starter_code string")
+    out = jobs.generate_preference_data(spark, probs, "code", make_gen, 4, 16, str(tmp_path / "o"),
+                                        code_runner=runner)
+    assert out.count() == 8
+    with open(log) as f:
+        assert len(f.readlines()) == 4 * (2 + 1)
