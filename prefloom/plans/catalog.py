@@ -111,6 +111,11 @@ def q_pair_count_by_problem(spark, sf):
     return pairs.pair_counts(testdata.candidates(spark, sf, 8), MATH_CAP)
 
 
+def q_pair_count_by_problem16(spark, sf):
+    """Groups of 16 with five score levels, capped at the code cap."""
+    return pairs.pair_counts(testdata.candidates16(spark, sf), CODE_CAP)
+
+
 # -- sampling ---------------------------------------------------------------------------
 
 def q_mix_sources_by_ratio(spark, sf):
@@ -318,6 +323,7 @@ QUERIES = {
     "preference_pairs_medical": q_preference_pairs_medical,
     "preference_pairs_code": q_preference_pairs_code,
     "pair_count_by_problem": q_pair_count_by_problem,
+    "pair_count_by_problem16": q_pair_count_by_problem16,
     "mix_sources_by_ratio": q_mix_sources_by_ratio,
     "nested_subsets": q_nested_subsets,
     "render_prompt_math": q_render_prompt_math,

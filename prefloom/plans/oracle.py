@@ -265,6 +265,14 @@ nr AS (SELECT problem_id, count(*) AS n_responses FROM c8 GROUP BY problem_id)
 SELECT nr.problem_id, nr.n_responses, CAST(coalesce(np.n, 0) AS DECIMAL(38,0)) AS n_pairs_all,
   least(coalesce(np.n, 0), {C.MATH_CAP}) AS n_pairs_kept FROM nr LEFT JOIN np USING (problem_id)"""
 
+    q["pair_count_by_problem16"] = f"""WITH {R16},
+c16 AS (SELECT problem_id, response_idx, CAST(n_chars % 5 AS INTEGER) AS score FROM r16),
+np AS (SELECT a.problem_id, count(*) AS n FROM c16 a JOIN c16 b ON a.problem_id = b.problem_id
+  AND a.response_idx < b.response_idx WHERE a.score <> b.score GROUP BY a.problem_id),
+nr AS (SELECT problem_id, count(*) AS n_responses FROM c16 GROUP BY problem_id)
+SELECT nr.problem_id, nr.n_responses, CAST(coalesce(np.n, 0) AS DECIMAL(38,0)) AS n_pairs_all,
+  least(coalesce(np.n, 0), {C.CODE_CAP}) AS n_pairs_kept FROM nr LEFT JOIN np USING (problem_id)"""
+
     shares = source_shares(C.MIX_MAX_EXAMPLES, [r for _, r in C.SOURCES])
     parts = []
     for (name, _), n in zip(C.SOURCES, shares):

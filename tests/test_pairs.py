@@ -131,3 +131,10 @@ def test_composite_group_key(spark):
     got = sorted(rows(p, "a", "b", "pair_rank", "i", "j", "accepted_idx", "rejected_idx"))
     exp = sorted((g[0], g[1], *t[1:]) for g, sc in groups.items() for t in brute({g: sc}, 3))
     assert got == exp
+
+
+def test_candidates16_totals_match_fixture_counts(spark):
+    c = testdata.candidates16(spark, SF_MID)
+    t = pairs.pair_counts(c, 16).agg({"n_pairs_all": "sum", "n_pairs_kept": "sum"}).first()
+    assert (int(t["sum(n_pairs_all)"]), int(t["sum(n_pairs_kept)"])) == (5990, 1008)
+    assert pairs.preference_pairs(c, 16).count() == 1008
