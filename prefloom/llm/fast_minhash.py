@@ -42,7 +42,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x5851F42D4C957F2D
 _CODES = mix64(np.arange(1, 257, dtype=U64) * U64(GOLDEN))
-_CODES[0x41:0x5B] = _CODES[0x61:0x7B]  # A-Z count as a-z
+_FOLDED = _CODES.copy()
+_FOLDED[0x41:0x5B] = _CODES[0x61:0x7B]  # A-Z count as a-z
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -51,13 +52,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased), and each text's first word."""
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lower-cased if ``fold``), and each text's first word."""
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     inside = ~_SPACE[data]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(_CODES[data] * _powers(_BASE, len(data)))])
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum((_FOLDED if fold else _CODES)[data] * _powers(_BASE, len(data)))])
     inverse = pow(_BASE, -1, 1 << 64)
     words = mix64((sums[stop] - sums[start]) * _powers(inverse, len(data) + 1)[start]
                   + (stop - start).astype(U64) * U64(GOLDEN))
