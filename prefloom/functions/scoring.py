@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 
 from prefloom.functions.text import _col, extract_boxed, py_strip
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once: inside a lambda it is a
+    variable, where a plain column expression would be repeated at each use."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 # -- rational numbers ---------------------------------------------------------
 
 _DEC = r"^-?[0-9]+(\.[0-9]+)?$"
@@ -52,15 +58,26 @@ def parse_rational(c) -> Column:
     return F.when(num.isNotNull(), F.struct(num.alias("num"), den.alias("den")))
 
 
+def canonical_decimal(c) -> Column:
+    """A decimal of any length in its shortest form (no separators, leading
+    zeros, trailing fraction zeros or sign of zero); null for anything else."""
+    s = _col(c)
+    s = F.when(s.rlike(_THOUSANDS), F.regexp_replace(s, ",", "")).otherwise(s)
+    short = F.regexp_replace(F.regexp_replace(s, r"^(-?)0+(?=[0-9])", "$1"), r"(\.[0-9]*?)0+$", "$1")
+    short = F.regexp_replace(short, r"\.$", "")
+    return F.when(s.rlike(_DEC), F.when(short == "-0", F.lit("0")).otherwise(short))
+
+
 def rational_equal(a, b) -> Column:
-    """True iff both parse (``parse_rational``) and are the same number.
+    """True iff both are the same number; false (not null) otherwise.
 
-    Cross-multiplication of two 18-digit decimals fits ``decimal(37,0)``
-    exactly, so no rounding is involved. False (not null) otherwise.
+    Decimals compare by their shortest form, at any length. Where a side is a
+    fraction, both are cross-multiplied: exact for up to 18 digits a side
+    (``decimal(37,0)``); longer fractions are equal as strings only.
     """
     ra, rb = parse_rational(a), parse_rational(b)
     eq = (ra["num"] * rb["den"]) == (rb["num"] * ra["den"])
-    return F.coalesce(eq, F.lit(False))
+    return F.coalesce(canonical_decimal(a) == canonical_decimal(b), F.lit(False)) | F.coalesce(eq, F.lit(False))
 
 
 # -- math ---------------------------------------------------------------------
@@ -74,12 +91,12 @@ def math_score(response, answer, mode: str = "first_brace", which: str = "first"
     beyond numbers compare by string only (``math_score_with_cas`` takes a
     user computer-algebra callable for the rest).
     """
-    rc = extract_boxed(response, mode, which)
-    ac = extract_boxed(answer, mode, which)
-    same = rc.eqNullSafe(ac)
-    if rational:
-        same = same | rational_equal(rc, ac)
-    return same
+    def same(core):
+        equal = core["r"].eqNullSafe(core["a"])
+        return equal | rational_equal(core["r"], core["a"]) if rational else equal
+
+    return bound(F.struct(extract_boxed(response, mode, which).alias("r"),
+                          extract_boxed(answer, mode, which).alias("a")), same)
 
 
 def cas_equal(cas_fn: Callable[[str, str], bool]):
@@ -159,8 +176,12 @@ def choice_score(response, answer, only_perfect_match: bool = False,
     (``score == len(correct)``), else 0 - the reference returns a boolean
     there and the integers above elsewhere, which compare the same way.
     """
-    g = parse_choice(extract_boxed(response, mode), trim)
-    c = parse_choice(answer, trim)
+    parsed = F.struct(bound(extract_boxed(response, mode), lambda t: parse_choice(t, trim)).alias("g"),
+                      bound(_col(answer), lambda t: parse_choice(t, trim)).alias("c"))
+    return bound(parsed, lambda p: _choice_score(p["g"], p["c"], only_perfect_match))
+
+
+def _choice_score(g: Column, c: Column, only_perfect_match: bool) -> Column:
     gi, ci = g["items"], c["items"]
     missing = F.size(F.filter(ci, lambda x: ~F.array_contains(gi, x)))
     extra = F.size(F.filter(gi, lambda x: ~F.array_contains(ci, x)))

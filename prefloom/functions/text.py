@@ -32,10 +32,7 @@ NON_WS = r"(?U)[^\s\x{1C}-\x{1F}]"
 # Box patterns. (?d): '.' excludes only '\n', as Python's '.' does.
 BOXED_FIRST = r"(?d)\\boxed\{(.*?)\}"
 BOXED_LAST = r"(?d)(?s:.*)\\boxed\{(.*?)\}"
-# Balanced braces up to depth 3; possessive quantifiers keep the Java regex
-# engine from deep backtracking (and stack overflow) on long boxes.
-BOXED_BALANCED = r"\\boxed\{((?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+)\}"
-BOXED_BALANCED_LAST = r"(?s:.*)" + BOXED_BALANCED
+BOX = "\\boxed{"
 
 FENCE = "```"
 
@@ -49,28 +46,49 @@ def py_strip(c) -> Column:
     return F.trim(_col(c), F.lit(PY_WHITESPACE_CHARS))
 
 
-def _box_pattern(mode: str, which: str) -> str:
-    if mode not in ("first_brace", "balanced"):
-        raise ValueError(f"mode must be 'first_brace' or 'balanced', got {mode!r}")
-    if which not in ("first", "last"):
-        raise ValueError(f"which must be 'first' or 'last', got {which!r}")
-    if mode == "first_brace":
-        return BOXED_FIRST if which == "first" else BOXED_LAST
-    return BOXED_BALANCED if which == "first" else BOXED_BALANCED_LAST
+def _balanced_boxes(t: Column) -> Column:
+    """All boxes that close, as ``array<struct<start, size>>`` of their contents.
+
+    The text is cut after each brace; a fold over the pieces keeps the starts
+    of the braces that are open (0 for a brace that opens no box)."""
+    cut = F.regexp_extract_all(t, F.lit(r"([^{}]*+[{}])"), F.lit(1))
+    boxes = "array<struct<start:int,size:int>>"
+    state = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("open"), F.array().cast(boxes).alias("found"))
+
+    def step(a, piece):
+        at = a["at"] + F.length(piece)
+        top = F.coalesce(F.try_element_at(a["open"], F.lit(-1)), F.lit(0))
+        opened = F.concat(a["open"], F.array(F.when(piece.endswith(BOX), at).otherwise(F.lit(0))))
+        rest = F.slice(a["open"], 1, F.greatest(F.size(a["open"]) - 1, F.lit(0)))
+        box = F.array(F.struct(top.alias("start"), (at - 1 - top).alias("size")))
+        opens = piece.endswith("{")
+        return F.struct(at.alias("at"), F.when(opens, opened).otherwise(rest).alias("open"),
+                        F.when(~opens & (top > 0), F.concat(a["found"], box)).otherwise(a["found"]).cast(boxes).alias("found"))
 
+    return F.aggregate(cut, state, step, lambda a: a["found"])
 
-def has_boxed(c, mode: str = "first_brace", which: str = "first") -> Column:
-    return _col(c).rlike(_box_pattern(mode, which))
+
+def _balanced(t: Column, which: str) -> Column:
+    """The first (or last) box whose brace closes, null if there is none."""
+    boxes = F.slice(F.sort_array(_balanced_boxes(t), which == "first"), 1, 1)
+    text = F.transform(boxes, lambda b: F.substr(t, b["start"], b["size"]))
+    return F.when(t.contains(BOX), F.try_element_at(text, F.lit(1)))
 
 
 def extract_boxed(c, mode: str = "first_brace", which: str = "first") -> Column:
     """Content of a ``\\boxed{...}``, stripped; the stripped text if none.
 
     ``first_brace`` stops at the first closing brace (``\\boxed{\\frac{1}{2}}``
-    gives ``\\frac{1``); ``balanced`` matches nested braces up to depth 3.
+    gives ``\\frac{1``); ``balanced`` matches nested braces of any depth.
     """
-    p = _box_pattern(mode, which)
+    if mode not in ("first_brace", "balanced"):
+        raise ValueError(f"mode must be 'first_brace' or 'balanced', got {mode!r}")
+    if which not in ("first", "last"):
+        raise ValueError(f"which must be 'first' or 'last', got {which!r}")
     t = _col(c)
+    if mode == "balanced":
+        return py_strip(F.coalesce(_balanced(t, which), t))
+    p = BOXED_FIRST if which == "first" else BOXED_LAST
     return py_strip(F.when(t.rlike(p), F.regexp_extract(t, p, 1)).otherwise(t))
 
 
@@ -100,13 +118,13 @@ INT_WHITESPACE_CHARS = "".join(ch for ch in PY_WHITESPACE_CHARS if ch not in "\x
 
 
 def last_line_int(c) -> Column:
-    """Last line (after the final ``\\n``) as an integer, as ``int()`` reads
-    it (ASCII digits, up to 18 of them, optional sign, surrounding white
-    space); 0 otherwise."""
+    """Last line (after the final ``\\n``) as ``decimal(38,0)``, as ``int()``
+    reads it (ASCII digits, optional sign, surrounding white space); 0 if it
+    is no integer, null if it has more than 38 digits."""
     last = F.substring_index(_col(c), "\n", -1)
     core = F.trim(last, F.lit(INT_WHITESPACE_CHARS))
-    ok = core.rlike(r"^[+-]?[0-9]{1,18}$")
-    return F.when(ok, core.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    ok = core.rlike(r"^[+-]?[0-9]+$")
+    return F.when(ok, core.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))
 
 
 def count_tokens(c) -> Column:

@@ -182,66 +182,3 @@ def failure_reasons(results: DataFrame) -> DataFrame:
     failed = results.where(~F.col("ok"))
     reason = F.substring_index(F.col("error"), "\n", -1)
     return failed.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_failed"))
-
-
-_FN_HARNESS = """
-import json, sys
-{code}
-_args = json.loads(sys.stdin.read())
-if not isinstance(_args, list):
-    _args = [_args]
-_res = Solution().{fn}(*_args)
-_out = _res if isinstance(_res, str) else json.dumps(_res, separators=(",", ":"))
-sys.stdout.write("\\x00RESULT\\x00" + _out)
-"""
-_SENTINEL = "\x00RESULT\x00"
-
-
-def _stdin_text(inp) -> str:
-    """Program input as the reference feeds it: a list input one element per
-    line, then a final newline (a list element arrives here as JSON text)."""
-    import json
-
-    if inp is None:
-        return "\n"
-    if inp.startswith("["):
-        try:
-            v = json.loads(inp)
-        except ValueError:
-            v = None
-        if isinstance(v, list):
-            return "\n".join(x if isinstance(x, str) else json.dumps(x) for x in v) + "\n"
-    return inp + "\n"
-
-
-def python_runner(timeout: float = 10.0, python: str = "python3") -> Runner:
-    """A runner that executes each case in a child ``python`` process.
-
-    Stdin form: the case input goes to stdin (a list input one element per
-    line, with a final newline), stdout is the output. Function
-    form: ``Solution().<fn_name>(*args)`` with ``args`` parsed from the JSON
-    input; the result is returned as the test cases hold expected values (a
-    string as is, anything else as compact JSON, which is how Spark renders
-    a non-string JSON element), so equal values compare equal as in the
-    reference's ``str(result) == str(expected)``. A timeout or a non-zero exit is a failed
-    case with the stderr text as error. Not a sandbox: the program runs with
-    the executor's rights, as in the reference; use it only on trusted hosts
-    or behind an isolating ``python`` command.
-    """
-    import subprocess
-
-    def run(code, fn_name, inp):
-        src = code if not fn_name else _FN_HARNESS.format(code=code, fn=fn_name)
-        stdin = (inp if inp is not None else "") if fn_name else _stdin_text(inp)
-        try:
-            p = subprocess.run([python, "-c", src], input=stdin, capture_output=True,
-                               text=True, timeout=timeout, check=False)
-        except subprocess.TimeoutExpired:
-            return "", False, f"TimeoutError: Timed out after {timeout} seconds."
-        if p.returncode != 0:
-            return p.stdout, False, p.stderr.strip()
-        if fn_name:  # the function's str(result), not what the program printed before it
-            return p.stdout.rpartition(_SENTINEL)[2], True, ""
-        return p.stdout, True, ""
-
-    return run

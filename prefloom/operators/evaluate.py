@@ -32,15 +32,23 @@ def pairwise_accuracy(scored_pairs: DataFrame, group_cols: Sequence[str] = (),
     return out.withColumn("accuracy", acc)
 
 
+def accuracy_cells(scored_pairs: DataFrame, row: str = "model", col: str = "domain",
+                   chosen: str = "r_accepted", rejected: str = "r_rejected") -> DataFrame:
+    """``row, col, n_pairs, accuracy``: a row for each cell that occurs
+    (partial aggregation)."""
+    win, _ = _flags(chosen, rejected)
+    return scored_pairs.groupBy(row, col).agg(F.count(F.lit(1)).alias("n_pairs"),
+                                              F.avg(win.cast("double")).alias("accuracy"))
+
+
 def accuracy_matrix(scored_pairs: DataFrame, row: str = "model", col: str = "domain",
                     values: Sequence[str] | None = None, chosen: str = "r_accepted",
                     rejected: str = "r_rejected") -> DataFrame:
-    """Accuracy per (row, column) cell, pivoted; give ``values`` to skip the
-    extra job that finds the distinct column values."""
-    win, _ = _flags(chosen, rejected)
-    g = scored_pairs.groupBy(row)
-    p = g.pivot(col, list(values)) if values is not None else g.pivot(col)
-    return p.agg(F.avg(win.cast("double")))
+    """``accuracy_cells`` pivoted to a column for each value of ``col`` (or of
+    ``values`` alone), for display."""
+    cells = accuracy_cells(scored_pairs, row, col, chosen, rejected).groupBy(row)
+    p = cells.pivot(col, list(values)) if values is not None else cells.pivot(col)
+    return p.agg(F.first("accuracy"))
 
 
 def running_accuracy(scored_pairs: DataFrame, order_cols: Sequence[str], batch_size: int,

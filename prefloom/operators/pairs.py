@@ -6,24 +6,21 @@ scores, orient each kept pair so that the higher score is ``accepted``, keep
 the first ``k``.
 
 Plan. Enumerating all pairs of a group is quadratic and putting a group in
-one task does not survive a group that holds a third of the data. Instead:
-
-* Only the first ``k`` responses of a group can open one of its first ``k``
-  pairs: every response before the final run of equal scores has at least one
-  unequal partner after it, so the first ``k`` of them already open ``k``
-  pairs, and no response inside that final run opens any.
-* For such a head ``i``, the number of unequal partners after it follows from
-  aggregates: ``(n - pos_i) - (count of s_i in the group - same-score heads up
-  to i)``. Counts per (group, score) are a partial aggregation, so hot groups
-  are pre-aggregated map-side.
-* The partners themselves are the first ``need_i`` responses after ``i`` with
-  another score: an equi-join on (group, block), ``block = order div
-  block_rows``. A group of ``n`` responses spans ``n / block_rows`` blocks and
-  its (at most ``k``) heads are repeated once per block, so a hot group is
-  spread over many join tasks while a normal group costs one row per head.
-  The join is followed by a per-head ``row_number() <= k``; since the join is
-  partitioned by block, Spark plans it as a map-side ``WindowGroupLimit``
-  right after the join and shuffles at most ``k`` rows per head and task.
+one task does not survive a group that holds a third of the data. Instead two
+limits keep the responses that can take part in the first ``k`` pairs:
+
+* The first ``2k`` responses of each (group, score). A pair's first response
+  is among the group's first ``k`` (every response before the final run of
+  equal scores opens at least one pair, so ``k`` of them open ``k`` pairs).
+  A head needs at most ``k`` partners of another score, and the first ``2k``
+  of a score hold at least ``k`` that come after such a head.
+* Of these the first ``4k`` of each group: after a head at least ``3k`` rows
+  remain, at most ``2k`` of its own score, so ``k`` partners are there.
+
+Both are ``row_number() <= limit``, which Spark limits on the map side
+(``WindowGroupLimit``): a hot group sends at most ``2k`` rows per score and
+task, then ``4k`` per task. The pairs of the at most ``4k`` rows left are
+formed within one row, without a join.
 
 Texts are joined after the cap (late materialisation), on unique
 ``(group, order)`` keys, so no text crosses the pairing shuffles.
@@ -36,8 +33,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefloom.session import reliable_checkpoint
-
 
 def _cap(max_pairs) -> int:
     if max_pairs is None:
@@ -50,88 +45,36 @@ def _cap(max_pairs) -> int:
     return k
 
 
-def _narrow(scored: DataFrame, group_cols, order_col, score_col, materialize) -> DataFrame:
-    # a response without a score cannot be compared: it takes part in no pair
-    base = scored.select(*[F.col(c) for c in group_cols],
-                         F.col(order_col).alias("_o"), F.col(score_col).alias("_s")).where(F.col("_s").isNotNull())
-    if materialize:
-        # The scores may be expensive (regex over whole texts, model calls);
-        # the narrow (key, order, score) rows are written once and reused by
-        # the three branches below instead of being recomputed.
-        base = reliable_checkpoint(base, "pairs-base")
-    return base
-
-
-def group_stats(base: DataFrame, group_cols: Sequence[str]):
-    """Per (group, score) counts and per-group sizes and last order value
-    (partial aggregation)."""
-    g = list(group_cols)
-    score_n = base.groupBy(*g, "_s").agg(F.count(F.lit(1)).alias("_cs"), F.max("_o").alias("_mo"))
-    group_n = score_n.groupBy(*g).agg(F.sum("_cs").alias("_n"), F.max("_mo").alias("_maxo"))
-    return score_n.drop("_mo"), group_n
-
-
-BLOCK_ROWS = 1 << 20
-
-
 def preference_pairs(scored: DataFrame, max_pairs: int, group_cols: Sequence[str] = ("problem_id",),
-                     order_col: str = "response_idx", score_col: str = "score",
-                     materialize: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                     order_col: str = "response_idx", score_col: str = "score") -> DataFrame:
     """Narrow capped pairs.
 
     Returns ``group_cols, pair_rank, i, j, accepted_idx, rejected_idx,
     accepted_score, rejected_score``; ``pair_rank`` is 1-based in (i, j)
-    order. ``order_col`` is a non-negative integer (a sample index) and
-    ``(group, order_col)`` unique; responses with a null score are left out.
-    ``block_rows`` bounds the candidate rows of one group that meet in one
-    join task.
+    order. ``(group, order_col)`` is unique; responses with a null score are
+    left out, since they cannot be compared.
     """
-    if block_rows <= 0:
-        raise ValueError("block_rows must be positive")
     k = _cap(max_pairs)
     g = list(group_cols)
-    base = _narrow(scored, g, order_col, score_col, materialize)
-    score_n, group_n = group_stats(base, g)
-
-    by_order = Window.partitionBy(*g).orderBy("_o")
-    heads = (base.withColumn("_pos", F.row_number().over(by_order))
-             .where(F.col("_pos") <= k))
-    # Heads are at most k per group, so the list of earlier head scores is bounded.
-    upto = by_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heads = heads.withColumn("_prev", F.collect_list("_s").over(upto))
-    heads = heads.withColumn("_same_upto", F.size(F.filter("_prev", lambda x: x == F.col("_s"))))
-    heads = heads.join(group_n, g).join(score_n, g + ["_s"])
-    cnt = (F.col("_n") - F.col("_pos")) - (F.col("_cs") - F.col("_same_upto"))
-    heads = heads.withColumn("_cnt", cnt)
-    before = Window.partitionBy(*g).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("_cum", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-    heads = heads.withColumn("_need", F.least(F.col("_cnt"), F.lit(k) - F.col("_cum")))
-    b = F.lit(int(block_rows))
-    involved = heads.where(F.col("_need") > 0).select(
-        *g, F.col("_o").alias("_oi"), F.col("_s").alias("_si"), "_need", "_cum",
-        F.explode(F.sequence(F.floor(F.col("_o") / b), F.floor(F.col("_maxo") / b))).alias("_blk"))
-
-    cand = base.select(*g, F.col("_o").alias("_oj"), F.col("_s").alias("_sj"),
-                       F.floor(F.col("_o") / b).alias("_blk"))
-    cond = [involved[c] == cand[c] for c in g + ["_blk"]] + [cand["_oj"] > involved["_oi"],
-                                                              cand["_sj"] != involved["_si"]]
-    joined = involved.join(cand, cond).select(*[involved[c] for c in g], "_oi", "_si", "_need",
-                                               "_cum", "_oj", "_sj")
-    per_head = Window.partitionBy(*g, "_oi").orderBy("_oj")
-    picked = (joined.withColumn("_r", F.row_number().over(per_head))
-              .where(F.col("_r") <= k)
-              .where(F.col("_r") <= F.col("_need")))
-    i_wins = F.col("_si") > F.col("_sj")
-    return picked.select(
-        *g,
-        (F.col("_cum") + F.col("_r")).cast("int").alias("pair_rank"),
-        F.col("_oi").alias("i"),
-        F.col("_oj").alias("j"),
-        F.when(i_wins, F.col("_oi")).otherwise(F.col("_oj")).alias("accepted_idx"),
-        F.when(i_wins, F.col("_oj")).otherwise(F.col("_oi")).alias("rejected_idx"),
-        F.when(i_wins, F.col("_si")).otherwise(F.col("_sj")).alias("accepted_score"),
-        F.when(i_wins, F.col("_sj")).otherwise(F.col("_si")).alias("rejected_score"),
-    )
+    base = scored.select(*[F.col(c) for c in g], F.col(order_col).alias("_o"),
+                         F.col(score_col).alias("_s")).where(F.col("_s").isNotNull())
+    per_score = F.row_number().over(Window.partitionBy(*g, "_s").orderBy("_o"))
+    per_group = F.row_number().over(Window.partitionBy(*g).orderBy("_o"))
+    first = base.withColumn("_r", per_score).where(F.col("_r") <= 2 * k).drop("_r")
+    first = first.withColumn("_r", per_group).where(F.col("_r") <= 4 * k).drop("_r")
+    rows = first.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("_o", "_s"))).alias("_a"))
+
+    def partners(head):
+        later = F.filter("_a", lambda y: (y["_o"] > head["_o"]) & (y["_s"] != head["_s"]))
+        return F.transform(F.slice(later, 1, k), lambda y: F.struct(head.alias("x"), y.alias("y")))
+
+    found = F.slice(F.flatten(F.transform(F.slice("_a", 1, k), partners)), 1, k)
+    out = rows.select(*g, F.posexplode(found).alias("_p", "_q"))
+    oi, oj, si, sj = F.col("_q.x._o"), F.col("_q.y._o"), F.col("_q.x._s"), F.col("_q.y._s")
+    return out.select(
+        *g, (F.col("_p") + 1).alias("pair_rank"), oi.alias("i"), oj.alias("j"),
+        F.when(si > sj, oi).otherwise(oj).alias("accepted_idx"), F.when(si > sj, oj).otherwise(oi).alias("rejected_idx"),
+        F.greatest(si, sj).alias("accepted_score"), F.least(si, sj).alias("rejected_score"))
 
 
 def pair_counts(scored: DataFrame, max_pairs: int | None = None,
@@ -167,17 +110,21 @@ def attach_texts(pairs: DataFrame, responses: DataFrame, problems: DataFrame | N
                  text_col: str = "response", problem_col: str = "problem") -> DataFrame:
     """Join response texts (and the problem text) to capped pairs.
 
-    Both text joins use the unique ``(group, order)`` key of ``responses``
-    and the very same text relation (renames happen on the pair side), so
-    the text table is shuffled once and its exchange reused for the second
-    side (``ReusedExchange``).
+    The responses that pairs use, at most ``2k`` of a group, are listed once
+    and fetched by one join on the unique ``(group, order)`` key: one exchange
+    of response texts. What they hold is brought together by group, where the
+    pairs look up both sides and the problem: one exchange of chosen texts.
     """
     g = list(group_cols)
-    txt = responses.select(*g, F.col(order_col), F.col(text_col))
-    out = pairs
-    for side, name in (("accepted_idx", "accepted"), ("rejected_idx", "rejected")):
-        out = (out.withColumnRenamed(side, order_col).join(txt, g + [order_col])
-               .withColumnRenamed(order_col, side).withColumnRenamed(text_col, name))
+    names = [c for c in pairs.columns if c not in g]
+    groups = pairs.groupBy(*g).agg(F.collect_list(F.struct(*names)).alias("_pairs"))
+    used = groups.select(*g, F.explode(F.array_distinct(F.flatten(F.transform(
+        "_pairs", lambda p: F.array(p["accepted_idx"], p["rejected_idx"]))))).alias(order_col))
+    texts = responses.select(*g, order_col, text_col).join(used, [*g, order_col])
+    held = texts.groupBy(*g).agg(F.map_from_entries(F.collect_list(F.struct(order_col, text_col))).alias("_texts"))
+    out = groups.join(held, g).select(*g, "_texts", F.explode("_pairs").alias("_p"))
+    out = out.select(*g, "_p.*", F.col("_texts")[F.col("_p.accepted_idx")].alias("accepted"),
+                     F.col("_texts")[F.col("_p.rejected_idx")].alias("rejected"))
     if problems is not None:
         out = out.join(problems.select(*g, F.col(problem_col)), g)
     return out

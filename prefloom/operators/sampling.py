@@ -1,9 +1,8 @@
 """Source mixing, seeded sampling, nested subsets and distributed positions.
 
 A seeded shuffle is an order by a hash of (seed, key): the same under any
-partitioning and on retries. Taking the first ``n`` is ``orderBy().limit(n)``
-(``TakeOrderedAndProject``: per-task top-n, then a merge of n rows per task);
-the sample size is the feature and the only thing that reaches one task.
+partitioning and on retries. The hash is uniform, so the first ``n`` lie below
+a threshold near ``n / N``; only rows below it are ranked.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ def seeded_key(seed, key_cols: Sequence[str]) -> Column:
     return shuffle_key(seed, *key_cols)
 
 
+#: Samples up to this size are merged in one task; larger ones are ranked by
+#: distributed positions in the same order.
 SINGLE_TASK_TOP_N = 1_000_000
 
 
@@ -35,45 +36,49 @@ def top_keys(df: DataFrame, n: int, order: Sequence[Column], key_cols: Sequence[
              rank_name: str | None = None, extra: Sequence[str] = (), descending: bool = False,
              single_task_max: int = SINGLE_TASK_TOP_N) -> DataFrame:
     """The ``n`` smallest (``descending``: largest) rows by ``order``, as
-    narrow key rows; ties are broken by ``key_cols`` ascending.
+    narrow key rows; nulls come last either way, ties are broken by
+    ``key_cols`` ascending. With ``rank_name`` a 1-based rank is added.
 
     Only ``key_cols`` (plus ``extra``) take part: the top-n moves ids and
-    sort keys, not wide rows. Up to ``single_task_max`` rows, per-task top-n
-    lists are merged in one task (``TakeOrderedAndProject``); above it the
-    rows are ranked by distributed positions (range partitions shifted by
-    the sizes of earlier ones) and kept where the position is below ``n``,
-    so no task holds the whole sample. With ``rank_name`` a 1-based rank is
-    added.
+    sort keys, not wide rows. The order is the same for every ``n``; above
+    ``single_task_max`` no task holds the whole sample.
     """
-    from pyspark.sql import Window
-
     cols = list(dict.fromkeys([*key_cols, *extra]))
     ord_names = [f"_ord{i}" for i in range(len(order))]
     narrow = df.select(*cols, *[o.alias(nm) for o, nm in zip(order, ord_names)])
+    ords = [F.col(nm).desc_nulls_last() if descending else F.col(nm).asc_nulls_last() for nm in ord_names]
+    ords += [F.col(c).asc() for c in key_cols]
     if n > single_task_max:
-        if descending:
-            narrow = narrow.select(*cols, *[(-F.col(nm)).alias(nm) for nm in ord_names])
-        pos = global_position(narrow, [*ord_names, *key_cols], "_pos")
-        top = pos.where(F.col("_pos") < int(n))
+        top = global_position(narrow, ords, "_pos").where(F.col("_pos") < int(n))
         if rank_name:
-            top = top.withColumn(rank_name, (F.col("_pos") + 1).cast("int"))
+            top = top.withColumn(rank_name, F.col("_pos") + 1)
         return top.drop("_pos", *ord_names)
-    ords = [F.col(nm).desc() if descending else F.col(nm) for nm in ord_names]
-    ords += [F.col(c) for c in key_cols]
     top = narrow.orderBy(*ords).limit(int(n))
     if rank_name:
-        top = top.withColumn(rank_name, F.row_number().over(Window.orderBy(*ords)))
+        top = top.withColumn(rank_name, F.row_number().over(Window.orderBy(*ords)).cast("long"))
     return top.drop(*ord_names)
 
 
-def restrict(df: DataFrame, keys: DataFrame, key_cols: Sequence[str], n: int | None = None) -> DataFrame:
+def restrict(df: DataFrame, keys: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys``, with the columns of ``keys``
-    attached. ``keys`` comes from a top-n and is bounded by that ``n``: it
-    is broadcast up to ``SINGLE_TASK_TOP_N`` keys (the wide rows are never
-    moved), larger key sets are joined normally."""
-    if n is not None and n > SINGLE_TASK_TOP_N:
-        return df.join(keys, list(key_cols))
-    return df.join(F.broadcast(keys), list(key_cols))
+    attached (Spark broadcasts the keys if they are small enough)."""
+    return df.join(keys, list(key_cols))
+
+
+def likely_smallest(df: DataFrame, n: int, key: Column, have: int) -> DataFrame:
+    """Rows that hold the ``n`` smallest of a uniform ``key`` in [0, 2^52).
+
+    Of ``have`` rows about ``share * have`` lie below ``share * 2^52``; the
+    share is set above ``n / have`` and widened until enough rows are kept, so
+    the rows that reach the merge are about ``n`` in all, not ``n`` per task.
+    """
+    share = (1.1 * n + 1000.0) / max(have, 1)
+    while share < 1.0:
+        some = df.where(key < F.lit(share * 2 ** 52))
+        if some.count() >= n:
+            return some
+        share *= 2
+    return df
 
 
 def take_sample(df: DataFrame, n: int, seed, key_cols: Sequence[str], strict: bool = True,
@@ -82,16 +87,20 @@ def take_sample(df: DataFrame, n: int, seed, key_cols: Sequence[str], strict: bo
 
     ``strict``: too few rows is an error (generation and training);
     otherwise the sample is clamped to the source size (evaluation).
-    ``key_cols`` must identify a row.
+    ``key_cols`` must identify a row: a repeated key among the chosen ones is
+    an error, since it would return more than ``n`` rows.
     """
     if n < 0:
         raise ValueError("n must be >= 0")
-    if strict:
-        have = df.limit(n).count()  # stops reading after n rows
-        if have < n:
-            raise ValueError(f"source has {have} rows, fewer than the {n} requested")
-    keys = top_keys(df, n, [seeded_key(seed, key_cols)], key_cols, rank_name)
-    return restrict(df, keys, key_cols, n)
+    key = seeded_key(seed, key_cols)
+    keys_only = reliable_checkpoint(df.select(*key_cols), "sample-keys")
+    have = keys_only.count()
+    if strict and have < n:
+        raise ValueError(f"source has {have} rows, fewer than the {n} requested")
+    keys = top_keys(likely_smallest(keys_only, n, key, have), n, [key], key_cols, rank_name)
+    if not keys.groupBy(*key_cols).count().where("count > 1").isEmpty():
+        raise ValueError(f"{list(key_cols)} does not identify a row")
+    return restrict(df, keys, key_cols)
 
 
 def mix_sources(sources: Sequence[tuple[str, DataFrame, float]], max_examples: int | None,
@@ -129,7 +138,7 @@ def nested_subsets(df: DataFrame, sizes: Sequence[int], seed, key_cols: Sequence
     return ranked.withColumn("subset_size", size)
 
 
-def _range_tagged(df: DataFrame, order_cols: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+def _range_tagged(df: DataFrame, order_cols: Sequence, num_partitions: int | None = None) -> DataFrame:
     """Range-partitioned, sorted rows tagged with partition id and a local id,
     frozen with a reliable checkpoint so that both stay fixed on reuse."""
     spark = df.sparkSession
@@ -151,7 +160,7 @@ def _partition_offsets(tagged: DataFrame, value_cols: Sequence[str] = ()) -> Dat
     return out
 
 
-def global_position(df: DataFrame, order_cols: Sequence[str], name: str = "position") -> DataFrame:
+def global_position(df: DataFrame, order_cols: Sequence, name: str = "position") -> DataFrame:
     """0-based position in the total order of ``order_cols`` (unique), without
     a single-partition window: range partitions are numbered locally and
     shifted by the sizes of the partitions before them. The offsets table has

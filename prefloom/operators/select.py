@@ -10,13 +10,13 @@ single task (``TakeOrderedAndProject``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions.hashing import gumbel_key
-from prefloom.operators.sampling import SINGLE_TASK_TOP_N, restrict, take_sample, top_keys
+from prefloom.operators.sampling import restrict, take_sample, top_keys
 from prefloom.session import reliable_checkpoint
 
 
@@ -39,46 +39,40 @@ def select_uncertain(window: DataFrame, k: int, seed, key_cols: Sequence[str], t
     if temp <= 0:
         raise ValueError("temp must be positive")
     if check:
-        have = window.limit(k + 1).count()
+        have = window.count()
         if k > have:
             raise ValueError(f"cannot select {k} rows from a window of {have}")
     key = gumbel_key(-F.col(gap_col) / F.lit(float(temp)), f"{seed}:draw", *key_cols)
     keys = top_keys(window, k, [key], key_cols, rank_name="select_rank", descending=True)
-    return restrict(window, keys, key_cols, k)
-
-
-def _bounded(df: DataFrame, size: int | None) -> DataFrame:
-    """Broadcast a key set whose size bound is known and small enough."""
-    return F.broadcast(df) if size is not None and size <= SINGLE_TASK_TOP_N else df
+    return restrict(window, keys, key_cols)
 
 
 def split_selection(pool: DataFrame, selected: DataFrame, window: DataFrame, key_cols: Sequence[str],
-                    keep_unseen: bool = False, k: int | None = None,
-                    window_size: int | None = None) -> DataFrame:
-    """The rest after selection: window rows not selected (``left_anti``;
-    the selected keys, at most ``k``, are broadcast). With ``keep_unseen``
-    the pool rows outside the window are added back (the window keys, at
-    most ``window_size``, are broadcast). Unknown or large bounds join
-    without a broadcast."""
+                    keep_unseen: bool = False) -> DataFrame:
+    """The rest after selection: window rows not selected (``left_anti``).
+    With ``keep_unseen`` the pool rows outside the window are added back."""
     keys = list(key_cols)
-    rest = window.join(_bounded(selected.select(*keys), k), keys, "left_anti")
+    rest = window.join(selected.select(*keys), keys, "left_anti")
     if keep_unseen:
-        unseen = pool.join(_bounded(window.select(*keys), window_size), keys, "left_anti")
+        unseen = pool.join(window.select(*keys), keys, "left_anti")
         rest = rest.unionByName(unseen.select(*rest.columns))
     return rest
 
 
 def active_selection(pool: DataFrame, k: int, max_to_look_at: int, seed, key_cols: Sequence[str],
-                     temp: float = 1.0, keep_unseen: bool = False, materialize: bool = True):
-    """Window, gaps, weighted sample and complement: ``(selected, rest)``.
-
-    The window is written once (checkpoint) since it feeds the count check,
-    the draw and the complement; it is bounded by ``max_to_look_at``.
+                     temp: float = 1.0, keep_unseen: bool = False,
+                     score: Callable[[DataFrame], DataFrame] | None = None):
+    """Window, rewards, gaps, weighted sample and complement: ``(selected, rest)``.
+
+    ``score`` adds ``r_accepted`` and ``r_rejected`` to the window's rows, and
+    to no others (without it the pool has them). The scored window is written
+    once, since it feeds the count, the draw and the complement. Rows of the
+    rest that the window never held have a null gap if ``score`` is given.
     """
-    window = with_gap(selection_window(pool, max_to_look_at, seed, key_cols))
-    if materialize:
-        window = reliable_checkpoint(window)
+    window = selection_window(pool, max_to_look_at, seed, key_cols)
+    window = reliable_checkpoint(with_gap(score(window) if score else window), "window")
     selected = select_uncertain(window, k, seed, key_cols, temp)
-    rest = split_selection(pool if not keep_unseen else with_gap(pool), selected, window, key_cols, keep_unseen,
-                           k=k, window_size=max_to_look_at)
+    unseen = with_gap(pool) if score is None else pool.select(
+        "*", *[F.lit(None).cast(window.schema[c].dataType).alias(c) for c in window.columns if c not in pool.columns])
+    rest = split_selection(unseen, selected, window, key_cols, keep_unseen)
     return selected, rest

@@ -48,8 +48,8 @@ def active_rounds(spark: SparkSession, pool: DataFrame, eval_pairs: DataFrame, k
     for r in range(1, rounds + 1):
         if left < k:
             break
-        scored = score_pairs_linear(current, weights)
-        selected, rest = select.active_selection(scored, k, max_to_look_at, f"{seed}:{r}", keys, temp)
+        selected, rest = select.active_selection(current, k, max_to_look_at, f"{seed}:{r}", keys, temp,
+                                                 score=lambda w, by=tuple(weights): score_pairs_linear(w, by))
         cols = [c for c in current.columns]
         path = f"{out_root}/round={r}"
         write_splits({"train": selected.select(*cols), "rest": rest.select(*cols)}, path)

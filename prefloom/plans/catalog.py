@@ -8,6 +8,8 @@ reference's configurations where they exist (cap 4 for math, 16 for code,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from prefloom.functions import scoring, text
 from prefloom.functions.hashing import shuffle_key
 from prefloom.operators import code_exec, evaluate, model, pairs, prompts, sampling, select
 from prefloom.plans import preference
+from prefloom.session import reliable_checkpoint
 from prefloom.sources import testdata
 from prefloom.sources.tables import read_table
 
@@ -29,7 +32,6 @@ SOURCES = [("src0", 1.0), ("src1", 0.5), ("src2", 0.25)]
 MIX_MAX_EXAMPLES = 70
 SUBSET_SIZES = (100, 200, 300)
 FAN_OUT = 4
-DOMAINS = ["de", "en", "es", "fr"]
 REWARD_MODELS = {"lin3": 3, "lin5": 5}
 
 
@@ -135,16 +137,25 @@ def q_nested_subsets(spark, sf):
 # -- prompts, messages, SFT ------------------------------------------------------------------
 
 def q_render_prompt_math(spark, sf):
-    p = testdata.problems(spark, sf, 8)
+    p = testdata.statements(spark, sf)
     return p.select("problem_id", prompts.render_prompt("problem", prompts.MATH_TEMPLATE).alias("prompt"))
 
 
+def _code_statements(spark, sf):
+    return testdata.code_problems(spark, sf, testdata.statements(spark, sf))
+
+
 def q_render_prompt_code(spark, sf):
-    p = testdata.code_problems(spark, sf)
-    r = prompts.render_problems(p, "code")
+    r = prompts.render_problems(_code_statements(spark, sf), "code")
     return r.select("problem_id", "prompt")
 
 
+def q_user_messages(spark, sf):
+    """The message list of each code prompt, flattened to role and content."""
+    r = prompts.render_problems(_code_statements(spark, sf), "code").select("problem_id", F.explode("messages").alias("m"))
+    return r.select("problem_id", "m.role", "m.content")
+
+
 def q_chat_pair_messages(spark, sf):
     cp = preference.chat_pairs(_pairs8_text(spark, sf))
 
@@ -165,8 +176,15 @@ def q_sft_text(spark, sf):
     return s.select("conv_id", "turn", prompts.chat_text(msgs).alias("text"))
 
 
+def q_sft_rows(spark, sf):
+    """A row for each response with its problem, through the SFT operator."""
+    rows = preference.sft_data(testdata.problems(spark, sf, 8), testdata.responses(spark, sf, 8)
+                               .select("problem_id", "response_idx", "response"))
+    return rows.select("problem_id", "response_idx", "problem", "completion")
+
+
 def q_fan_out_samples(spark, sf):
-    p = testdata.problems(spark, sf, 8)
+    p = testdata.statements(spark, sf)
     r = p.select("problem_id", prompts.render_prompt("problem", prompts.MATH_TEMPLATE).alias("prompt"))
     return prompts.fan_out(r, FAN_OUT).select("problem_id", "sample_idx", "prompt")
 
@@ -213,7 +231,7 @@ def q_forbidden_code(spark, sf):
 
 
 def q_testcase_explode(spark, sf):
-    return code_exec.explode_testcases(testdata.code_problems(spark, sf))
+    return code_exec.explode_testcases(_code_statements(spark, sf))
 
 
 def q_code_pass_count(spark, sf):
@@ -249,31 +267,47 @@ def q_pairwise_accuracy(spark, sf):
 
 
 def q_running_accuracy(spark, sf):
-    sp = scored_pairs(spark, sf).where(F.col("model") == "lin3")
+    return _running(spark, sf, 1)
+
+
+def q_running_accuracy_every10(spark, sf):
+    """As the evaluation loop logs it: every 10th batch and the last."""
+    return _running(spark, sf, 10)
+
+
+def _each_model(sp, fn):
+    """``fn`` on the pairs of each reward model, with the model's name."""
+    return reduce(DataFrame.unionByName, [
+        fn(sp.where(F.col("model") == m)).withColumn("model", F.lit(m)) for m in REWARD_MODELS])
+
+
+def _running(spark, sf, every):
+    sp = reliable_checkpoint(scored_pairs(spark, sf).select("model", "problem_id", "pair_rank", "r_accepted", "r_rejected"))
     sp = sp.withColumn("_key", shuffle_key(SEED, "problem_id", "pair_rank"))
-    ra = evaluate.running_accuracy(sp, ["_key", "problem_id", "pair_rank"], EVAL_BATCH)
-    return ra.select("batch_id", "seen", "correct", _r6("accuracy"))
+    out = _each_model(sp, lambda x: evaluate.running_accuracy(
+        x, ["_key", "problem_id", "pair_rank"], EVAL_BATCH, every=every))
+    return out.select("model", "batch_id", "seen", "correct", _r6("accuracy"))
 
 
 def q_eval_matrix(spark, sf):
-    m = evaluate.accuracy_matrix(scored_pairs(spark, sf), "model", "domain", DOMAINS)
-    return m.select("model", *[_r6(d) for d in DOMAINS])
+    m = evaluate.accuracy_cells(scored_pairs(spark, sf), "model", "domain")
+    return m.select("model", "domain", "n_pairs", _r6("accuracy"))
 
 
-def _selection(spark, sf):
-    pool = scored_pairs(spark, sf).where(F.col("model") == "lin3") \
-        .select("problem_id", "pair_rank", "r_accepted", "r_rejected")
-    return select.active_selection(pool, SELECT_K, SELECT_WINDOW, SEED, ["problem_id", "pair_rank"])
+def _selection(spark, sf, part, keep_unseen=False):
+    """Part 0 (selected) or 1 (rest) of each reward model's selection."""
+    pool = reliable_checkpoint(scored_pairs(spark, sf).select("model", "problem_id", "pair_rank", "r_accepted", "r_rejected"))
+    return _each_model(pool, lambda x: select.active_selection(
+        x.drop("model"), SELECT_K, SELECT_WINDOW, SEED, ["problem_id", "pair_rank"], keep_unseen=keep_unseen)[part])
 
 
 def q_active_selected(spark, sf):
-    sel, _ = _selection(spark, sf)
-    return sel.select("problem_id", "pair_rank", F.col("select_rank").cast("int").alias("select_rank"), _r6("gap"))
+    return _selection(spark, sf, 0).select("model", "problem_id", "pair_rank",
+                                           F.col("select_rank").cast("int").alias("select_rank"), _r6("gap"))
 
 
 def q_active_rest(spark, sf):
-    _, rest = _selection(spark, sf)
-    return rest.select("problem_id", "pair_rank", _r6("gap"))
+    return _selection(spark, sf, 1).select("model", "problem_id", "pair_rank", _r6("gap"))
 
 
 def q_resume_pending(spark, sf):
@@ -303,18 +337,56 @@ def q_code_pass_count_partial(spark, sf):
 
 
 def q_active_rest_keep_unseen(spark, sf):
-    pool = scored_pairs(spark, sf).where(F.col("model") == "lin3") \
-        .select("problem_id", "pair_rank", "r_accepted", "r_rejected")
-    _, rest = select.active_selection(pool, SELECT_K, SELECT_WINDOW, SEED, ["problem_id", "pair_rank"],
-                                      keep_unseen=True)
-    return rest.select("problem_id", "pair_rank", _r6("gap"))
+    return _selection(spark, sf, 1, keep_unseen=True).select("model", "problem_id", "pair_rank", _r6("gap"))
 
 
 def q_eval_batches(spark, sf):
-    sp = scored_pairs(spark, sf).where(F.col("model") == "lin3").select("problem_id", "pair_rank")
+    sp = reliable_checkpoint(scored_pairs(spark, sf).select("model", "problem_id", "pair_rank"))
     sp = sp.withColumn("_key", shuffle_key(SEED, "problem_id", "pair_rank"))
-    b = sampling.batch_ids(sp, ["_key", "problem_id", "pair_rank"], EVAL_BATCH)
-    return b.select("problem_id", "pair_rank", "batch_id")
+    b = _each_model(sp, lambda x: sampling.batch_ids(x, ["_key", "problem_id", "pair_rank"], EVAL_BATCH))
+    return b.select("model", "problem_id", "pair_rank", "batch_id")
+
+
+def q_last_line_int(spark, sf):
+    """Whole texts that end in a line of 0 to 44 digits."""
+    r = testdata.responses(spark, sf, 8)
+    t = F.concat("response", F.lit("\n "), F.expr("repeat('7', cast(n_chars % 45 as int))"), F.lit(" "))
+    return r.select("problem_id", "response_idx", text.last_line_int(t).alias("value"))
+
+
+def q_truncate_tokens(spark, sf):
+    """The first tokens of each text, as the single-pair evaluation cuts them."""
+    r = testdata.responses(spark, sf, 8)
+    return r.select("problem_id", "response_idx", evaluate.truncate_tokens("response", 64).alias("cut"))
+
+
+def q_output_projection(spark, sf):
+    return preference.output_projection(preference.chat_pairs(_pairs8_text(spark, sf)))
+
+
+def q_tables_round_trip(spark, sf):
+    """Scored pairs written as two splits, read back by split, and as CSV."""
+    from prefloom.plans.active import split_by_problem
+    from prefloom.session import scratch_path
+    from prefloom.sources import tables
+
+    p = _pairs8(spark, sf)
+    rest, train = split_by_problem(p, 0.25, SEED)
+    out = scratch_path(spark, "splits")
+    tables.write_splits({"train": train, "rest": rest}, out)
+    back = [tables.read_split(spark, out, tables.pool_split(first)).withColumn("split", F.lit(tables.pool_split(first)))
+            for first in (True, False)]
+    both = back[0].unionByName(back[1]).select("split", "problem_id", "pair_rank", "accepted_idx", "rejected_idx")
+    csv = scratch_path(spark, "csv")
+    tables.write_table(both, csv, fmt="csv")
+    return spark.read.csv(csv, header=True, schema=both.schema)
+
+
+def q_strict_sample(spark, sf):
+    """A quarter of all documents by a strict sample (an error if there were fewer)."""
+    d = read_table(spark, sf, "documents").select("doc_id")
+    s = sampling.take_sample(d, d.count() // 4, SEED, ["doc_id"], strict=True, rank_name="sample_rank")
+    return s.select("doc_id", "sample_rank")
 
 
 QUERIES = {
@@ -356,6 +428,14 @@ QUERIES = {
     "code_pass_count_partial": q_code_pass_count_partial,
     "active_rest_keep_unseen": q_active_rest_keep_unseen,
     "eval_batches": q_eval_batches,
+    "running_accuracy_every10": q_running_accuracy_every10,
+    "user_messages": q_user_messages,
+    "sft_rows": q_sft_rows,
+    "last_line_int": q_last_line_int,
+    "truncate_tokens": q_truncate_tokens,
+    "output_projection": q_output_projection,
+    "tables_round_trip": q_tables_round_trip,
+    "strict_sample": q_strict_sample,
 }
 
 
@@ -390,7 +470,7 @@ def q_active_rounds(spark, sf):
 
 
 def q_generate_completions(spark, sf):
-    p = testdata.problems(spark, sf, 8)
+    p = testdata.statements(spark, sf)
     r = p.select("problem_id", prompts.render_prompt("problem", prompts.MATH_TEMPLATE).alias("prompt"))
     return model.generate(r, model.make_echo_generator, FAN_OUT, batch_size=64) \
         .select("problem_id", "response_idx", "response")
@@ -402,7 +482,7 @@ def q_reward_model_scores(spark, sf):
                    prompts.chat_text("rejected_messages").alias("rejected_text"))
     s = model.predict_scores(cp, model.make_length_reward, ["chosen_text"], 8, "r_accepted")
     s = model.predict_scores(s, model.make_length_reward, ["rejected_text"], 8, "r_rejected")
-    return s.select("problem_id", "pair_rank", "r_accepted", "r_rejected")
+    return s.select("problem_id", "pair_rank", _r6("r_accepted"), _r6("r_rejected"))
 
 
 def _stream_input(spark, df, name, parts=4, order_col=None):
@@ -417,38 +497,42 @@ def _stream_input(spark, df, name, parts=4, order_col=None):
     return path
 
 
-STREAM_BUCKET = 16  # problems per bucket of the written responses table
+STREAM_BUCKETS = 32  # hash buckets of the written responses table, whatever its size
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("problem_id"), F.lit(STREAM_BUCKETS)).cast("int").alias("problem_bucket")
 
 
 def q_stream_preference_pairs(spark, sf):
     from prefloom.session import scratch_path
     from prefloom.streaming import incremental
 
-    mc = testdata.math_candidates(spark, sf).withColumn("problem_bucket", F.expr(f"problem_id div {STREAM_BUCKET}"))
+    mc = testdata.math_candidates(spark, sf).select(_bucket(), "problem_id", "response_idx", "response")
     resp_path = scratch_path(spark, "stream-responses")
-    mc.select("problem_bucket", "problem_id", "response_idx", "response") \
-        .write.partitionBy("problem_bucket").parquet(resp_path)
-    probs = testdata.problems(spark, sf, 8).select(
-        F.expr(f"problem_id div {STREAM_BUCKET}").alias("problem_bucket"), "problem_id", "problem",
-        testdata.math_answer().alias("answer"))
+    mc.repartition("problem_bucket").write.partitionBy("problem_bucket").parquet(resp_path)
+    probs = testdata.problems(spark, sf, 8).select(_bucket(), "problem_id", "problem", testdata.math_answer().alias("answer"))
     src = _stream_input(spark, probs, "stream-problems", order_col="problem_id")
     out = scratch_path(spark, "stream-pairs")
     incremental.incremental_preferences(spark, src, probs.schema, spark.read.parquet(resp_path), out,
                                         scratch_path(spark, "stream-ckpt"), "math", MATH_CAP,
                                         bucket_col="problem_bucket")
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id", "problem_bucket")
 
 
 def q_stream_sft(spark, sf):
     from prefloom.session import scratch_path
     from prefloom.streaming import incremental
 
-    probs = testdata.problems(spark, sf, 8).select("problem_id", "problem")
-    src = _stream_input(spark, probs, "stream-sft-problems")
+    probs = testdata.problems(spark, sf, 8).select(_bucket(), "problem_id", "problem")
+    src = _stream_input(spark, probs, "stream-sft-problems", order_col="problem_id")
     out = scratch_path(spark, "stream-sft")
-    comp = testdata.responses(spark, sf, 8).select("problem_id", "response_idx", "response")
-    incremental.incremental_sft(spark, src, probs.schema, comp, out, scratch_path(spark, "stream-sft-ckpt"))
-    return spark.read.parquet(out)
+    comp_path = scratch_path(spark, "stream-completions")
+    comp = testdata.responses(spark, sf, 8).select(_bucket(), "problem_id", "response_idx", "response")
+    comp.repartition("problem_bucket").write.partitionBy("problem_bucket").parquet(comp_path)
+    incremental.incremental_sft(spark, src, probs.schema, spark.read.parquet(comp_path), out,
+                                scratch_path(spark, "stream-sft-ckpt"), bucket_col="problem_bucket")
+    return spark.read.parquet(out).drop("batch_id")
 
 
 def q_stream_running_accuracy(spark, sf):
@@ -464,8 +548,7 @@ def q_stream_running_accuracy(spark, sf):
 
 
 def q_error_digest(spark, sf):
-    """Shortened tracebacks of the failed runs (no SQL form: a stateful fold
-    over lines; tested against a Python reduction)."""
+    """Shortened tracebacks of the failed runs."""
     res = testdata.code_results(spark, sf).where(~F.col("ok"))
     return res.select("problem_id", "response_idx", "case_idx",
                       code_exec.reduce_error("error", "/tmp/run/tmp.py").alias("digest"))

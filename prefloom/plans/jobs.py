@@ -25,30 +25,26 @@ from prefloom.session import reliable_checkpoint, scratch_path
 from prefloom.sources.tables import read_split, write_splits, write_table
 
 
-ID_BITS = 40  # ids of one source stay below 2^40; the source index goes above
-
-
 def load_sources(spark: SparkSession, sources: Sequence[dict], max_examples: int | None, seed: int,
                  key_cols: Sequence[str] = ("problem_id",), strict: bool = True,
                  rekey: bool = True) -> DataFrame:
     """Read each ``{"path", "split", "ratio"}`` source, sample its share,
     concatenate (duplicates kept).
 
-    Sources may reuse ids, so with ``rekey`` the ``problem_id`` becomes
-    ``source_index << 40 | problem_id`` (the source's own id is kept as
-    ``source_problem_id``); later steps group by ``problem_id``.
+    Sources may reuse ids, so with ``rekey`` the ``problem_id`` becomes the
+    text ``<source index>:<problem_id>`` (the source's own id is kept as
+    ``source_problem_id``); later steps group by ``problem_id``. A source's
+    index is its place in the list, so one path may be read with two splits.
     """
     parts = []
-    for spec in sources:
+    for i, spec in enumerate(sources):
         df = read_split(spark, spec["path"], spec.get("split")).drop("split")
-        parts.append((spec.get("name", spec["path"]), df, float(spec.get("ratio", 1.0))))
+        parts.append((spec.get("name", spec["path"]), df.withColumn("_source", F.lit(i)), float(spec.get("ratio", 1.0))))
     mixed = sampling.mix_sources(parts, max_examples, seed, key_cols, strict=strict)
     if rekey and "problem_id" in key_cols:
-        names = [p[0] for p in parts]
-        index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source_name")) - F.lit(1)
         mixed = (mixed.withColumn("source_problem_id", F.col("problem_id"))
-                      .withColumn("problem_id", F.shiftleft(index.cast("long"), ID_BITS) + F.col("problem_id")))
-    return mixed
+                 .withColumn("problem_id", F.concat_ws(":", "_source", "problem_id")))
+    return mixed.drop("_source")
 
 
 def generate_preference_data(spark: SparkSession, problems: DataFrame, domain: str,
@@ -128,16 +124,13 @@ def select_active_data(spark: SparkSession, dataset_path: str, initial: bool, sc
                        k: int, max_to_look_at: int, out: str, seed: int = 42, temp: float = 1.0,
                        keep_unseen: bool = False) -> str:
     """One selection round: pool split (``train`` if initial, else ``rest``),
-    rewards by ``score_pairs(df) -> df + r_accepted, r_rejected``, weighted
-    draw, and ``train``/``rest`` written as splits of ``out``."""
+    rewards of the window alone by ``score_pairs(df) -> df + r_accepted,
+    r_rejected``, weighted draw, and ``train``/``rest`` written as splits of ``out``."""
     from prefloom.sources.tables import pool_split
 
     pool = read_split(spark, dataset_path, pool_split(initial)).drop("split")
-    scored_path = scratch_path(spark, "pool-rewards")
-    write_table(score_pairs(pool), scored_path)
-    scored = spark.read.parquet(scored_path)
-    sel, rest = select.active_selection(scored, k, max_to_look_at, seed, ["problem_id", "pair_rank"], temp,
-                                        keep_unseen=keep_unseen)
+    sel, rest = select.active_selection(pool, k, max_to_look_at, seed, ["problem_id", "pair_rank"], temp,
+                                        keep_unseen=keep_unseen, score=score_pairs)
     cols = pool.columns
     write_splits({"train": sel.select(*cols), "rest": rest.select(*cols)}, out)
     return out

@@ -74,6 +74,7 @@ R8 = responses(8, "r8")
 P8 = problems("r8", "p8")
 C8 = ("c8 AS (SELECT r8.*, CAST(coalesce(l.quality, 0) AS INTEGER) AS score "
       "FROM r8 LEFT JOIN labels l ON l.doc_id = r8.doc_id)")
+ST = "st AS (SELECT doc_id AS problem_id, text AS problem, lang, source, n_chars FROM documents)"
 R16 = responses(16, "r16")
 P16 = problems("r16", "p16")
 
@@ -162,7 +163,7 @@ cs AS (SELECT *, CAST(CASE WHEN (gi IS NULL) <> (ci IS NULL) THEN -1
     WHEN g = c THEN 1 ELSE -1 END AS INTEGER) AS score FROM cs1)"""
 
 
-def code_ctes() -> str:
+def code_ctes(statements: str = "p16") -> str:
     t = "response"
     shape = "n_chars % 5"
     resp = (f"CASE WHEN {shape} = 0 THEN {t} "
@@ -181,10 +182,10 @@ def code_ctes() -> str:
            f" || {lst(T.ERROR_KINDS)}[n_chars % 3 + 1] ELSE '' END")
     passed = (f"(ok AND coalesce(CASE WHEN fn_name IS NULL THEN {norm('actual')} = {norm('expected')} "
               f"ELSE actual = expected END, false))")
-    return f"""{R16}, {P16},
+    return f"""{R16}, {P16}, {ST},
 kc AS (SELECT problem_id, response_idx, doc_id, n_chars, {resp} AS response FROM r16),
 kx AS (SELECT problem_id, response_idx, {code} AS code FROM kc),
-kp0 AS (SELECT problem_id, problem AS question, lang, string_split(problem, {NL}) AS lines FROM p16),
+kp0 AS (SELECT problem_id, problem AS question, lang, string_split(problem, {NL}) AS lines FROM {statements}),
 kp1 AS (SELECT *, list_transform(lines, lambda x: replace(x, ' ', '_')) AS outs0 FROM kp0),
 kp AS (SELECT problem_id, question, lang, {starter} AS starter_code,
   to_json({{'fn_name': CASE WHEN problem_id % 3 = 2 THEN 'solve' END, 'inputs': lines,
@@ -233,12 +234,12 @@ def selection_ctes() -> str:
     key = skey(C.SEED, "problem_id", "pair_rank")
     g = f"(-gap / 1.0 - ln(-ln({uniform(str(C.SEED) + ':draw', 'problem_id', 'pair_rank')})))"
     return f"""{scored_pairs_ctes()},
-pool AS (SELECT problem_id, pair_rank, r_accepted, r_rejected FROM sp WHERE model = 'lin3'),
+pool AS (SELECT model, problem_id, pair_rank, r_accepted, r_rejected FROM sp),
 win AS (SELECT *, abs(r_accepted - r_rejected) AS gap FROM pool
-  ORDER BY {key}, problem_id, pair_rank LIMIT {C.SELECT_WINDOW}),
+  QUALIFY row_number() OVER (PARTITION BY model ORDER BY {key}, problem_id, pair_rank) <= {C.SELECT_WINDOW}),
 keyed AS (SELECT *, {g} AS gkey FROM win),
-sel AS (SELECT *, row_number() OVER (ORDER BY gkey DESC, problem_id, pair_rank) AS select_rank FROM keyed
-  ORDER BY gkey DESC, problem_id, pair_rank LIMIT {C.SELECT_K})"""
+sel AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY gkey DESC, problem_id, pair_rank) AS select_rank
+  FROM keyed QUALIFY select_rank <= {C.SELECT_K})"""
 
 
 def _sql() -> dict[str, str]:
@@ -288,12 +289,14 @@ rk AS (SELECT problem_id, pair_rank, CAST(row_number() OVER (ORDER BY {skey(C.SE
 SELECT problem_id, pair_rank, subset_rank, {case} AS subset_size FROM rk WHERE subset_rank <= {sizes[-1]}"""
 
     pre, post = prompts.split_template(prompts.MATH_TEMPLATE)
-    q["render_prompt_math"] = f"WITH {R8}, {P8} SELECT problem_id, {lit(pre)} || problem || {lit(post)} AS prompt FROM p8"
+    q["render_prompt_math"] = f"WITH {ST} SELECT problem_id, {lit(pre)} || problem || {lit(post)} AS prompt FROM st"
     cpre, cpost = prompts.split_template(prompts.CODE_TEMPLATE)
-    q["render_prompt_code"] = f"""WITH {code_ctes()},
+    code_prompt = f"""WITH {code_ctes('st')},
 pp AS (SELECT problem_id, starter_code, {lit(cpre)} || question || {lit(cpost)} AS prompt FROM kp)
 SELECT problem_id, CASE WHEN coalesce(starter_code, '') <> '' THEN prompt || {lit(prompts.STARTER_NOTE)} || starter_code
   ELSE prompt END AS prompt FROM pp"""
+    q["render_prompt_code"] = code_prompt
+    q["user_messages"] = f"SELECT problem_id, 'user' AS role, prompt AS content FROM ({code_prompt})"
     q["chat_pair_messages"] = f"""WITH {R8}, {P8}, {C8}, {pairs_cte('pr', 'c8', C.MATH_CAP)},
 {texts_cte('pt', 'pr', 'r8', 'p8')}
 SELECT problem_id, pair_rank, 'user: ' || problem || {NL} || 'assistant: ' || accepted AS chosen_text,
@@ -304,8 +307,8 @@ SELECT problem_id, pair_rank, 'user: ' || problem || {NL} || 'assistant: ' || ac
     q["sft_pairs"] = f"WITH {sft} SELECT conv_id, turn, problem, completion FROM sft"
     q["sft_text"] = (f"WITH {sft} SELECT conv_id, turn, '<|im_start|>user' || {NL} || problem || '<|im_end|>' || {NL}"
                      f" || '<|im_start|>assistant' || {NL} || completion || '<|im_end|>' || {NL} AS text FROM sft")
-    q["fan_out_samples"] = f"""WITH {R8}, {P8},
-pm AS (SELECT problem_id, {lit(pre)} || problem || {lit(post)} AS prompt FROM p8),
+    q["fan_out_samples"] = f"""WITH {ST},
+pm AS (SELECT problem_id, {lit(pre)} || problem || {lit(post)} AS prompt FROM st),
 fo AS (SELECT problem_id, prompt, unnest(range(0, {C.FAN_OUT})) AS s FROM pm)
 SELECT problem_id, CAST(s AS INTEGER) AS sample_idx, prompt FROM fo"""
 
@@ -321,7 +324,7 @@ SELECT problem_id, CAST(s AS INTEGER) AS sample_idx, prompt FROM fo"""
     q["extract_code"] = f"WITH {code_ctes()} SELECT problem_id, response_idx, code FROM kx"
     q["forbidden_code"] = (f"WITH {code_ctes()} SELECT problem_id, response_idx, "
                            f"contains(code, 'subprocess') OR contains(code, 'venv') AS forbidden FROM kx")
-    q["testcase_explode"] = f"WITH {code_ctes()} SELECT problem_id, case_idx, fn_name, input, expected FROM cases"
+    q["testcase_explode"] = f"WITH {code_ctes('st')} SELECT problem_id, case_idx, fn_name, input, expected FROM cases"
     q["code_pass_count"] = f"WITH {code_ctes()} SELECT problem_id, response_idx, n_cases, n_passed, score FROM ks"
     q["failure_reasons"] = (f"WITH {code_ctes()} SELECT string_split(error, {NL})[-1] AS reason, "
                             f"count(*) AS n_failed FROM cr WHERE NOT ok GROUP BY 1")
@@ -339,22 +342,24 @@ a AS (SELECT model, count(*) AS n_pairs,
   CAST(sum(CASE WHEN r_accepted > r_rejected THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
   CAST(sum(CASE WHEN r_accepted = r_rejected THEN 1 ELSE 0 END) AS BIGINT) AS n_ties FROM sp GROUP BY model)
 SELECT model, n_pairs, n_correct, n_ties, round(n_correct / n_pairs, 6) AS accuracy FROM a"""
-    q["running_accuracy"] = f"""WITH {scored_pairs_ctes()},
-o AS (SELECT *, row_number() OVER (ORDER BY {skey(C.SEED, 'problem_id', 'pair_rank')}, problem_id, pair_rank) - 1 AS pos
-  FROM sp WHERE model = 'lin3'),
-b AS (SELECT pos // {C.EVAL_BATCH} AS batch_id, count(*) AS n,
-  sum(CASE WHEN r_accepted > r_rejected THEN 1 ELSE 0 END) AS c FROM o GROUP BY 1),
-cum AS (SELECT batch_id, CAST(sum(n) OVER (ORDER BY batch_id) AS BIGINT) AS seen,
-  CAST(sum(c) OVER (ORDER BY batch_id) AS BIGINT) AS correct FROM b)
-SELECT batch_id, seen, correct, round(correct / seen, 6) AS accuracy FROM cum"""
-    cells = ", ".join(f"round(avg(CASE WHEN domain = '{d}' THEN CAST(r_accepted > r_rejected AS DOUBLE) END), 6) AS {d}"
-                      for d in C.DOMAINS)
-    q["eval_matrix"] = f"WITH {scored_pairs_ctes()} SELECT model, {cells} FROM sp GROUP BY model"
-    q["active_selected"] = (f"WITH {selection_ctes()} SELECT problem_id, pair_rank, "
+    running = f"""WITH {scored_pairs_ctes()},
+o AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {skey(C.SEED, 'problem_id', 'pair_rank')},
+  problem_id, pair_rank) - 1 AS pos FROM sp),
+b AS (SELECT model, pos // {C.EVAL_BATCH} AS batch_id, count(*) AS n,
+  sum(CASE WHEN r_accepted > r_rejected THEN 1 ELSE 0 END) AS c FROM o GROUP BY 1, 2),
+cum AS (SELECT model, batch_id, CAST(sum(n) OVER w AS BIGINT) AS seen, CAST(sum(c) OVER w AS BIGINT) AS correct,
+  max(batch_id) OVER (PARTITION BY model) AS final FROM b WINDOW w AS (PARTITION BY model ORDER BY batch_id))
+SELECT model, batch_id, seen, correct, round(correct / seen, 6) AS accuracy FROM cum"""
+    q["running_accuracy"] = running
+    q["running_accuracy_every10"] = running + " WHERE batch_id % 10 = 0 OR batch_id = final"
+    q["eval_matrix"] = f"""WITH {scored_pairs_ctes()}
+SELECT model, domain, count(*) AS n_pairs, round(avg(CAST(r_accepted > r_rejected AS DOUBLE)), 6) AS accuracy
+FROM sp GROUP BY model, domain"""
+    q["active_selected"] = (f"WITH {selection_ctes()} SELECT model, problem_id, pair_rank, "
                             f"CAST(select_rank AS INTEGER) AS select_rank, round(gap, 6) AS gap FROM sel")
     q["active_rest"] = f"""WITH {selection_ctes()}
-SELECT problem_id, pair_rank, round(gap, 6) AS gap FROM win w
-WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.problem_id = w.problem_id AND s.pair_rank = w.pair_rank)"""
+SELECT model, problem_id, pair_rank, round(gap, 6) AS gap FROM win w
+WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.model = w.model AND s.problem_id = w.problem_id AND s.pair_rank = w.pair_rank)"""
     q["resume_pending"] = f"""WITH {R8}, {P8}
 SELECT problem_id FROM p8 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id // 8 = p8.problem_id)"""
     q["extract_boxed_last"] = (f"WITH {R8}, {CC} SELECT problem_id, response_idx, "
@@ -374,15 +379,49 @@ SELECT problem_id, response_idx, CAST(CASE WHEN (gi IS NULL) <> (ci IS NULL) THE
                                   "ELSE coalesce(pc.n_passed, 0) END")
     q["code_pass_count_partial"] = f"WITH {partial} SELECT problem_id, response_idx, score FROM ks"
     q["active_rest_keep_unseen"] = f"""WITH {selection_ctes()}
-SELECT problem_id, pair_rank, round(gap, 6) AS gap FROM win w
-WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.problem_id = w.problem_id AND s.pair_rank = w.pair_rank)
+SELECT model, problem_id, pair_rank, round(gap, 6) AS gap FROM win w
+WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.model = w.model AND s.problem_id = w.problem_id AND s.pair_rank = w.pair_rank)
 UNION ALL
-SELECT problem_id, pair_rank, round(abs(r_accepted - r_rejected), 6) AS gap FROM pool p
-WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.problem_id = p.problem_id AND w.pair_rank = p.pair_rank)"""
+SELECT model, problem_id, pair_rank, round(abs(r_accepted - r_rejected), 6) AS gap FROM pool p
+WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.model = p.model AND w.problem_id = p.problem_id AND w.pair_rank = p.pair_rank)"""
     q["eval_batches"] = f"""WITH {scored_pairs_ctes()},
-o AS (SELECT problem_id, pair_rank, row_number() OVER (ORDER BY {skey(C.SEED, 'problem_id', 'pair_rank')},
-  problem_id, pair_rank) - 1 AS pos FROM sp WHERE model = 'lin3')
-SELECT problem_id, pair_rank, pos // {C.EVAL_BATCH} AS batch_id FROM o"""
+o AS (SELECT model, problem_id, pair_rank, row_number() OVER (PARTITION BY model
+  ORDER BY {skey(C.SEED, 'problem_id', 'pair_rank')}, problem_id, pair_rank) - 1 AS pos FROM sp)
+SELECT model, problem_id, pair_rank, pos // {C.EVAL_BATCH} AS batch_id FROM o"""
+    sft_rows = f"""WITH {R8}, {P8}
+SELECT problem_id, response_idx, problem, response AS completion FROM r8 JOIN p8 USING (problem_id)"""
+    q["sft_rows"] = q["stream_sft"] = sft_rows
+    q["last_line_int"] = f"""WITH {R8} SELECT problem_id, response_idx,
+  CASE WHEN n_chars % 45 = 0 THEN CAST(0 AS DECIMAL(38,0)) WHEN n_chars % 45 <= 38
+       THEN CAST(repeat('7', CAST(n_chars % 45 AS INTEGER)) AS DECIMAL(38,0)) END AS value FROM r8"""
+    q["truncate_tokens"] = f"""WITH {R8} SELECT problem_id, response_idx,
+  array_to_string(regexp_extract_all(response, '{NON_WS}+')[1:64], ' ') AS cut FROM r8"""
+    q["output_projection"] = f"SELECT problem_id, pair_rank, problem, accepted, rejected FROM ({q['preference_pairs']})"
+    q["tables_round_trip"] = f"""WITH {R8}, {C8}, {pairs_cte('pr', 'c8', C.MATH_CAP)}
+SELECT CASE WHEN {uniform(f'{C.SEED}:split', 'problem_id')} < 0.25 THEN 'train' ELSE 'rest' END AS split,
+  problem_id, pair_rank, accepted_idx, rejected_idx FROM pr"""
+    q["strict_sample"] = f"""SELECT doc_id, row_number() OVER (ORDER BY {skey(C.SEED, 'doc_id')}, doc_id) AS sample_rank
+FROM documents QUALIFY sample_rank <= (SELECT count(*) // 4 FROM documents)"""
+    q["stream_preference_pairs"] = q["preference_pairs_math"].replace(
+        f"SELECT {pairs_cols}, problem, accepted, rejected FROM pt", f"SELECT {pairs_cols}, i, j, problem, accepted, rejected FROM pt")
+    q["error_digest"] = f"""WITH {code_ctes()},
+l AS (SELECT problem_id, response_idx, case_idx, string_split(error, {NL}) AS m FROM cr WHERE NOT ok)
+SELECT problem_id, response_idx, case_idx, array_to_string([m[1], regexp_extract(m[2], '^[^\"]*\"'), m[3], m[4]], {NL}) AS digest
+FROM l"""
+    q["generate_completions"] = f"""WITH {ST},
+pm AS (SELECT problem_id, {lit(pre)} || problem || {lit(post)} AS prompt FROM st),
+fo AS (SELECT problem_id, prompt, unnest(range(0, {C.FAN_OUT})) AS s FROM pm)
+SELECT problem_id, CAST(s AS INTEGER) AS response_idx,
+  array_to_string(regexp_extract_all(prompt, '{NON_WS}+')[-5:], ' ') || ' ... so the answer is \\boxed{{'
+  || CAST((length(prompt) + s) % 7 AS VARCHAR) || '}}' AS response FROM fo"""
+
+    def side(x):
+        chat = (f"('<|im_start|>user' || {NL} || problem || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} || {x}"
+                f" || '<|im_end|>' || {NL})")
+        return f"round(len(list_distinct(regexp_extract_all({chat}, '{NON_WS}+'))) / (1.0 + sqrt(length({chat}))), 6)"
+
+    q["reward_model_scores"] = f"""SELECT problem_id, pair_rank, {side('accepted')} AS r_accepted, {side('rejected')} AS r_rejected
+FROM ({q['preference_pairs']})"""
     return q
 
 

@@ -28,19 +28,19 @@ def score_responses(responses: DataFrame, scorer: str = "math", response_col: st
 
 
 def preference_data(scored: DataFrame, problems: DataFrame | None, max_pairs: int,
-                    key_cols: Sequence[str] = ("problem_id",), materialize: bool = True) -> DataFrame:
+                    key_cols: Sequence[str] = ("problem_id",)) -> DataFrame:
     """Capped pairs with texts: ``problem, accepted, rejected`` plus keys."""
-    narrow = pairs.preference_pairs(scored, max_pairs, group_cols=key_cols, materialize=materialize)
+    narrow = pairs.preference_pairs(scored, max_pairs, group_cols=key_cols)
     return pairs.attach_texts(narrow, scored, problems, group_cols=key_cols)
 
 
 def code_preference_data(responses: DataFrame, results: DataFrame, problems: DataFrame | None,
-                         max_pairs: int, on_error: str = "zero", materialize: bool = True) -> DataFrame:
+                         max_pairs: int, on_error: str = "zero") -> DataFrame:
     """Code pairs: scores are passed test cases (0 for forbidden code or a
     failed run), then the same capped pairing."""
     counts = code_exec.pass_counts(results, on_error=on_error)
     scored = code_exec.code_scores(responses, counts)
-    return preference_data(scored, problems, max_pairs, materialize=materialize)
+    return preference_data(scored, problems, max_pairs)
 
 
 def output_projection(pairs_with_text: DataFrame, keys: Sequence[str] = ("problem_id", "pair_rank")) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -37,14 +36,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and incremental state.
 
-    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir); a
-    private temporary folder is set only when neither is configured, which is
-    the case in local tests.
+    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir). A
+    single-process session (``local[...]``, as in tests) without either gets a
+    temporary folder of its own; a cluster without it is an error, since its
+    machines would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="prefloom-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -57,18 +60,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/prefloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side file access in local tests."""
-    return path[5:] if path.startswith("file:") else path
-
-
-def ensure_dir(path: str) -> str:
-    p = local_path(path)
-    if "://" not in p:
-        os.makedirs(p, exist_ok=True)
-    return path
-
-
 def reliable_checkpoint(df, name: str = "ckpt"):
     """Write ``df`` to the shared checkpoint folder and read it back.
 

@@ -41,6 +41,12 @@ def problems(spark: SparkSession, sf_dir: str, group_size: int = 8) -> DataFrame
         "problem_id", F.col("response").alias("problem"), "lang", "source", "n_chars")
 
 
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the statement of a problem of its own."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("problem_id"), F.col("text").alias("problem"), "lang", "source", "n_chars")
+
+
 def candidates(spark: SparkSession, sf_dir: str, group_size: int = 8) -> DataFrame:
     """Responses scored by the label table (quality 0/1, 0 when unlabelled)."""
     r = responses(spark, sf_dir, group_size)
@@ -99,13 +105,13 @@ def code_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("problem_id", "response_idx", "doc_id", "n_chars", resp.alias("response"))
 
 
-def code_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_problems(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """Code problems with JSON test cases built from the statement's lines.
 
     ``problem_id % 3``: 0 = stdin form; 1 = stdin form with one output fewer;
     2 = function form with ``fn_name``. Starter code by language.
     """
-    p = problems(spark, sf_dir, 16)
+    p = problems(spark, sf_dir, 16) if p is None else p
     lines = F.split(F.col("problem"), "\n", -1)
     outs = F.transform(lines, lambda x: F.replace(x, F.lit(" "), F.lit("_")))
     form = F.col("problem_id") % 3

@@ -53,9 +53,9 @@ def incremental_preferences(spark: SparkSession, problems_path: str, problem_sch
     reference's batch loop does; written once before scoring) or from a
     static ``responses`` table (``problem_id, response_idx, response``).
     A static table should be partitioned by ``bucket_col`` (a problem bucket
-    the problem rows carry too): the micro-batch's bucket ids (no more than
-    its problems, so bounded by the trigger size) prune the scan to those
-    partitions, so a batch reads its own responses, not the whole table.
+    the problem rows carry too, with a fixed number of buckets): the join is
+    on bucket and problem, so that Spark prunes the scan to the batch's
+    buckets when it runs (dynamic partition pruning).
     """
     if (responses is None) == (make_generate_fn is None):
         raise ValueError("give either responses or make_generate_fn")
@@ -72,11 +72,7 @@ def incremental_preferences(spark: SparkSession, problems_path: str, problem_sch
             resp = batch.sparkSession.read.parquet(path).join(probs.select("problem_id", "answer"), "problem_id")
         else:
             keys = [bucket_col, "problem_id"] if bucket_col else ["problem_id"]
-            static = responses
-            if bucket_col:
-                ids = [r[0] for r in probs.select(bucket_col).distinct().collect()]
-                static = responses.where(F.col(bucket_col).isin(ids))
-            resp = static.join(probs.select(*keys, "answer"), keys).drop(*([bucket_col] if bucket_col else []))
+            resp = responses.join(probs.select(*keys, "answer"), keys).drop(*([bucket_col] if bucket_col else []))
         scored = preference.score_responses(resp, scorer)
         out_df = preference.preference_data(scored, probs.select("problem_id", "problem"), max_pairs)
         out_df.write.mode("overwrite").parquet(_batch_path(out, batch_id))
@@ -105,8 +101,7 @@ def incremental_sft(spark: SparkSession, problems_path: str, problem_schema, com
         else:
             comp = completions
             if bucket_col:
-                ids = [r[0] for r in batch.select(bucket_col).distinct().collect()]
-                comp = comp.where(F.col(bucket_col).isin(ids)).drop(bucket_col)
+                comp = comp.join(batch.select(bucket_col, "problem_id"), [bucket_col, "problem_id"], "left_semi").drop(bucket_col)
         rows = preference.sft_data(probs, comp)
         rows.select("problem_id", "response_idx", "problem", "completion") \
             .write.mode("overwrite").parquet(_batch_path(out, batch_id))

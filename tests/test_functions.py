@@ -73,6 +73,29 @@ def test_normalize_and_last_line(spark):
     assert _one(spark, ["a  b\tc\n", "", "   "], lambda d: text.count_tokens(d.a)) == [3, 0, 0]
 
 
+def test_boxes_of_any_depth(spark):
+    deep = "ans \\boxed{\\frac{\\sqrt{\\frac{1}{2}}}{3}} ok"
+    vals = [deep, "\\boxed{a \\boxed{b}} \\boxed{c}", "} \\boxed{ open \\boxed{x}", "{\\boxed{}}", " none } { ", "\\boxed{" * 40 + "}" * 39]
+    first = _one(spark, vals, lambda d: text.extract_boxed(d.a, "balanced"))
+    last = _one(spark, vals, lambda d: text.extract_boxed(d.a, "balanced", "last"))
+    assert first[:5] == ["\\frac{\\sqrt{\\frac{1}{2}}}{3}", "a \\boxed{b}", "x", "", "none } {"]
+    assert last[:5] == ["\\frac{\\sqrt{\\frac{1}{2}}}{3}", "c", "x", "", "none } {"]
+    assert first[5] == "\\boxed{" * 38 + "}" * 38 and last[5] == ""
+
+
+def test_numbers_of_any_length(spark):
+    cases = [("1000000000000000000000", "1,000,000,000,000,000,000,000", True), ("1234567890123456789", "1234567890123456789.0", True),
+             ("-0.0", "0", True), ("007.50", "7.5", True), ("1234567890123456789", "1234567890123456788", False), ("100", "1", False),
+             ("0.10", "0.1000000000000000000000000", True), ("1/2", "0.5", True), ("x", "x1", False)]
+    df = spark.createDataFrame(cases, "a string, b string, e boolean")
+    assert [r[0] for r in df.select(scoring.rational_equal("a", "b")).collect()] == [c[2] for c in cases]
+
+
+def test_last_lines_of_any_length(spark):
+    assert _one(spark, ["1234567890123456789", "a\n" + "9" * 38, "9" * 39, "-5"], lambda d: text.last_line_int(d.a)) == [
+        1234567890123456789, int("9" * 38), None, -5]
+
+
 def test_choice_trim_option(spark):
     df = spark.createDataFrame([("\\boxed{A, B}", "A,B")], "r string, a string")
     assert rows(df, scoring.choice_score(df.r, df.a)) == [(0,)]

@@ -25,10 +25,10 @@ def brute(groups, k):
     return sorted(out)
 
 
-def run(spark, groups, k, materialize=False, block_rows=pairs.BLOCK_ROWS):
+def run(spark, groups, k):
     data = [(g, i, s) for g, sc in groups.items() for i, s in enumerate(sc)]
     df = spark.createDataFrame(data, "problem_id long, response_idx int, score int")
-    p = pairs.preference_pairs(df, k, materialize=materialize, block_rows=block_rows)
+    p = pairs.preference_pairs(df, k)
     return sorted(rows(p, "problem_id", "pair_rank", "i", "j", "accepted_idx", "rejected_idx"))
 
 
@@ -49,17 +49,13 @@ def test_random_groups_match_brute_force(spark):
     groups[101] = [0, 1] + [2] * 40
     for k in (1, 4, 16):
         assert run(spark, groups, k) == brute(groups, k)
-    # groups spread over several blocks of 3 responses
-    assert run(spark, groups, 4, block_rows=3) == brute(groups, 4)
 
 
 def test_hot_group(spark):
     # one group with most of the rows, scores in long runs
     hot = [(i // 700) % 3 for i in range(3000)]
     groups = {0: hot, 1: [0, 1, 0, 1], 2: [5] * 10}
-    assert run(spark, groups, 4, materialize=True) == brute(groups, 4)
-    # the hot group spans 30 blocks: its candidates meet their heads in 30 join tasks
-    assert run(spark, groups, 4, materialize=True, block_rows=100) == brute(groups, 4)
+    assert run(spark, groups, 4) == brute(groups, 4)
 
 
 def test_bad_caps(spark):
@@ -87,26 +83,40 @@ def test_candidates8_counts(spark):
 
 def test_plan_has_group_limit_and_no_cartesian(spark):
     c = testdata.candidates(spark, SF_MID, 8)
-    plan = pairs.preference_pairs(c, 4, materialize=False)._jdf.queryExecution().executedPlan().toString()
-    # both top-k windows (heads per group, partners per head) are limited map-side
+    plan = pairs.preference_pairs(c, 4)._jdf.queryExecution().executedPlan().toString()
+    # both limits (per score, per group) run map-side first; pairs need no join of candidates
     assert plan.count("WindowGroupLimit") >= 4 and plan.count("Partial") >= 2
-    # the partner join is keyed on (group, block), so a hot group spans tasks
-    assert re.search(r"Join \[problem_id#\d+L, _blk#\d+L\], \[problem_id#\d+L, _blk#\d+L\]", plan)
+    assert plan.count("Join") == 1  # the label join of the input
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_texts_cross_two_exchanges(spark):
+    """One exchange of response texts, one of the chosen ones."""
+    from prefloom.plans import preference
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = preference.score_responses(testdata.math_candidates(spark, SF_MID), "math")
+        df = pairs.attach_texts(pairs.preference_pairs(scored, 4), scored)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    project = re.findall(r"Exchange hashpartitioning\([^)]*\)[^\n]*\n[^\n]*Project \[([^\n]*)", plan)
+    assert sum("response#" in p for p in project) == 1
+
+
 def test_pairs_unchanged_by_repartition(spark):
     c = testdata.candidates(spark, SF_MID, 8)
     cols = ("problem_id", "pair_rank", "accepted_idx", "rejected_idx")
-    a = sorted(rows(pairs.preference_pairs(c, 4, materialize=False), *cols))
-    b = sorted(rows(pairs.preference_pairs(c.repartition(17, "response_idx"), 4, materialize=False), *cols))
+    a = sorted(rows(pairs.preference_pairs(c, 4), *cols))
+    b = sorted(rows(pairs.preference_pairs(c.repartition(17, "response_idx"), 4), *cols))
     assert a == b
 
 
 def test_null_scores_take_no_part(spark):
     data = [(0, 0, 1), (0, 1, None), (0, 2, 0), (0, 3, None), (0, 4, 1)]
     df = spark.createDataFrame(data, "problem_id long, response_idx int, score int")
-    got = sorted(rows(pairs.preference_pairs(df, 10, materialize=False), "pair_rank", "i", "j"))
+    got = sorted(rows(pairs.preference_pairs(df, 10), "pair_rank", "i", "j"))
     assert got == [(1, 0, 2), (2, 2, 4)]
 
 
@@ -116,10 +126,10 @@ from hypothesis import strategies as st  # noqa: E402
 
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=12), min_size=1, max_size=25),
-       st.integers(1, 20), st.integers(1, 6))
-def test_pairs_property(spark, groups_list, k, block_rows):
+       st.integers(1, 20))
+def test_pairs_property(spark, groups_list, k):
     groups = dict(enumerate(groups_list))
-    assert run(spark, groups, k, block_rows=block_rows) == brute(groups, k)
+    assert run(spark, groups, k) == brute(groups, k)
 
 
 def test_composite_group_key(spark):
@@ -127,7 +137,7 @@ def test_composite_group_key(spark):
     groups = {(a, b): [rnd.randrange(3) for _ in range(rnd.randrange(1, 9))] for a in range(4) for b in ("x", "y")}
     data = [(a, b, i, s) for (a, b), sc in groups.items() for i, s in enumerate(sc)]
     df = spark.createDataFrame(data, "a long, b string, response_idx int, score int")
-    p = pairs.preference_pairs(df, 3, group_cols=("a", "b"), materialize=False, block_rows=2)
+    p = pairs.preference_pairs(df, 3, group_cols=("a", "b"))
     got = sorted(rows(p, "a", "b", "pair_rank", "i", "j", "accepted_idx", "rejected_idx"))
     exp = sorted((g[0], g[1], *t[1:]) for g, sc in groups.items() for t in brute({g: sc}, 3))
     assert got == exp
@@ -138,3 +148,15 @@ def test_candidates16_totals_match_fixture_counts(spark):
     t = pairs.pair_counts(c, 16).agg({"n_pairs_all": "sum", "n_pairs_kept": "sum"}).first()
     assert (int(t["sum(n_pairs_all)"]), int(t["sum(n_pairs_kept)"])) == (5990, 1008)
     assert pairs.preference_pairs(c, 16).count() == 1008
+
+
+def test_sparse_orders_and_continuous_scores(spark):
+    rnd = random.Random(11)
+    data, exp = [], []
+    for g in range(40):
+        orders = sorted(rnd.sample(range(10 ** 9), rnd.randrange(1, 30)))
+        scores = [rnd.choice([rnd.random(), 0.5, 0.25]) for _ in orders]
+        data += [(g, o, s) for o, s in zip(orders, scores)]
+        exp += [(g, r, orders[i], orders[j]) for _, r, i, j, _, _ in brute({g: scores}, 5)]
+    df = spark.createDataFrame(data, "problem_id long, response_idx long, score double")
+    assert sorted(rows(pairs.preference_pairs(df, 5), "problem_id", "pair_rank", "i", "j")) == sorted(exp)

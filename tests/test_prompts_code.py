@@ -154,24 +154,6 @@ def test_replayed_batch_is_replaced_not_duplicated(spark, tmp_path):
     assert again == first and len(first) > 0
 
 
-def test_python_runner(spark):
-    runner = code_exec.python_runner(timeout=5)
-    resp = spark.createDataFrame([
-        (1, 0, "```python\nprint(' '.join(input().split()[::-1]))\n```"),
-        (1, 1, "print(int(input()) + 1)"),
-        (2, 0, "```python\nclass Solution:\n    def add(self, a, b):\n        return a + b\n```"),
-        (2, 1, "```python\nclass Solution:\n    def add(self, a, b):\n        while True: pass\n```"),
-    ], "problem_id long, response_idx int, response string")
-    io = spark.createDataFrame([(1, '{"inputs": ["1 2", "3 4"], "outputs": ["2 1", "4  3\\n"]}'),
-                                (2, '{"fn_name": "add", "inputs": ["[1, 2]", "[5, 5]"], "outputs": ["3", "10"]}')],
-                               "problem_id long, input_output string")
-    cases = code_exec.explode_testcases(io)
-    res = code_exec.run_cases(code_exec.fan_out_cases(resp, cases), code_exec.python_runner(timeout=3), num_partitions=4)
-    got = {(r[0], r[1]): r[2] for r in rows(code_exec.pass_counts(res), "problem_id", "response_idx", "score")}
-    assert got == {(1, 0): 2, (1, 1): 0, (2, 0): 2, (2, 1): 0}
-    assert runner("print(input())", None, "x")[0] == "x\n"
-
-
 def test_stream_generates_inside_batches(spark, tmp_path):
     from prefloom.operators import model
     from prefloom.sources import testdata
@@ -216,27 +198,6 @@ def test_error_digest_against_python(spark):
     assert sorted(rows(got)) == exp and len(exp) > 0
 
 
-def test_python_runner_function_results_as_json(spark):
-    resp = spark.createDataFrame([(1, 0, "class Solution:\n    def pair(self, a):\n        return [a, a + 1]"),
-                                  (1, 1, "class Solution:\n    def pair(self, a):\n        return str(a)")],
-                                 "problem_id long, response_idx int, response string")
-    io = spark.createDataFrame([(1, '{"fn_name": "pair", "inputs": ["[1]", "[5]"], "outputs": [[1, 2], "5"]}')],
-                               "problem_id long, input_output string")
-    res = code_exec.run_cases(code_exec.fan_out_cases(resp, code_exec.explode_testcases(io)),
-                              code_exec.python_runner(timeout=5), num_partitions=2)
-    got = {r[0]: r[1] for r in rows(code_exec.pass_counts(res), "response_idx", "n_passed")}
-    assert got == {0: 1, 1: 1}
-
-
-def test_stdin_of_list_inputs():
-    assert code_exec._stdin_text('["3", "1 2"]') == "3\n1 2\n"
-    assert code_exec._stdin_text("1 2") == "1 2\n"
-    assert code_exec._stdin_text("[x") == "[x\n"
-    run = code_exec.python_runner(timeout=5)
-    out, ok, _ = run("n = int(input())\nprint(sum(map(int, input().split())) * n)", None, '["3", "1 2"]')
-    assert ok and out.strip() == "9"
-
-
 def test_generate_code_preference_job(spark, tmp_path):
     import numpy as np
 
@@ -253,7 +214,7 @@ def test_generate_code_preference_job(spark, tmp_path):
          (2, "Echo again.", '{"inputs": ["x"], "outputs": ["x"]}', None)],
         "problem_id long, question string, input_output string, starter_code string")
     out = jobs.generate_preference_data(spark, probs, "code", make_gen, 4, 16, str(tmp_path / "c"),
-                                        code_runner=code_exec.python_runner(timeout=10))
+                                        code_runner=lambda code, fn, inp: (inp + "\n" if "print(input())" in code else "nope", True, ""))
     got = rows(out, "problem_id", "accepted", "rejected")
     # 2 passing and 2 failing samples per problem: 4 unequal pairs each
     assert len(got) == 8

@@ -135,6 +135,38 @@ def test_top_keys_distributed_path_equals_single_task(spark):
         assert a == b and len(a) == 250
 
 
+def test_top_keys_order_of_nulls_is_the_same_for_every_size(spark):
+    df = spark.createDataFrame([(1, 0.1), (2, None), (3, 5.0), (4, float("nan"))], "k long, v double")
+    for desc, ids in ((True, [4, 3]), (False, [1, 3])):
+        for most in (1, 100):
+            got = sampling.top_keys(df, 2, [F.col("v")], ["k"], "r", descending=desc, single_task_max=most)
+            assert [k for _, k in sorted(rows(got, "r", "k"))] == ids
+
+
+def test_repeated_sample_keys_are_refused(spark):
+    import pytest
+
+    df = spark.range(50).select((F.col("id") % 10).alias("k"))
+    with pytest.raises(ValueError):
+        sampling.take_sample(df, 20, 1, ["k"])
+
+
+def test_only_the_window_is_scored(spark):
+    from prefloom.operators import select
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(df):
+        def count(batches):
+            for b in batches:
+                seen.add(len(b))
+                yield b.assign(r_accepted=1.0, r_rejected=0.5)
+        return df.mapInPandas(count, "k long, r_accepted double, r_rejected double")
+
+    sel, rest = select.active_selection(spark.range(500).withColumnRenamed("id", "k"), 5, 40, 1, ["k"], score=score)
+    assert sel.count() == 5 and rest.count() == 35 and seen.value == 40
+
+
 def test_length_filter_text_and_narrow_agree(spark):
     from prefloom.plans import catalog
     from prefloom.sources import testdata

@@ -30,7 +30,7 @@ def test_hot_group_and_many_small_groups(spark):
                                     F.when(F.col("id") < 20_000, 1).otherwise((F.col("id") / 7).cast("int") % 2)
                                     .cast("int").alias("score"))
     df = small.unionByName(hot)
-    got = pairs.preference_pairs(df, k, materialize=True, block_rows=4096)
+    got = pairs.preference_pairs(df, k)
     counts = pairs.pair_counts(df, k)
     per_group = got.groupBy("problem_id").agg(F.count(F.lit(1)).alias("c"), F.max("pair_rank").alias("mx"),
                                               F.min("pair_rank").alias("mn"))

@@ -44,7 +44,7 @@ def test_load_sources_by_ratio(spark, tmp_path):
     assert got == {"s0": 10, "s1": 10, "s2": 20}
     assert mixed.select("problem_id").distinct().count() == 40
     ids = rows(mixed.where("source_name = 's2'"), "problem_id", "source_problem_id")
-    assert all(p == (2 << 40) + s for p, s in ids)
+    assert all(p == f"2:{s}" for p, s in ids)
 
 
 def test_load_sources_rekeys_overlapping_ids(spark, tmp_path):
@@ -57,6 +57,15 @@ def test_load_sources_rekeys_overlapping_ids(spark, tmp_path):
     assert mixed.select("problem_id").distinct().count() == 10
 
 
+def test_load_sources_one_path_two_splits_and_large_ids(spark, tmp_path):
+    path = str(tmp_path / "both")
+    big = spark.range(1).select((F.lit(1 << 40) + F.col("id")).alias("problem_id"))
+    tables.write_splits({"train": spark.range(3).withColumnRenamed("id", "problem_id"), "rest": big.union(spark.range(1))}, path)
+    specs = [{"path": path, "split": "train"}, {"path": path, "split": "rest"}]
+    ids = [r[0] for r in rows(jobs.load_sources(spark, specs, None, 1), "problem_id")]
+    assert sorted(ids) == ["0:0", "0:1", "0:2", "1:0", f"1:{1 << 40}"]
+
+
 def test_split_dataset_by_problem(spark, tmp_path):
     df = spark.range(2000).select((F.col("id") / 4).cast("long").alias("problem_id"),
                                   (F.col("id") % 4).cast("int").alias("pair_rank"))
