@@ -6,8 +6,8 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _STOP = ", ".join("'" + w + "'" for s in dict.fromkeys(quality_table.STOP_WORDS) for w in (s, s.capitalize()))
 _RULES = " AND ".join(
     cond for r in quality_table.RULES
-    for cond in ([f"coalesce(CAST({r.ratio} AS DOUBLE) >= {r.least}, false)"] if r.least is not None else [])
-    + ([f"coalesce(CAST({r.ratio} AS DOUBLE) <= {r.most}, false)"] if r.most is not None else []))
+    for cond in ([f"coalesce(CAST({r.part} AS DOUBLE) / nullif({r.whole}, 0) >= {r.least}, false)"] if r.least is not None else [])
+    + ([f"coalesce(CAST({r.part} AS DOUBLE) / nullif({r.whole}, 0) <= {r.most}, false)"] if r.most is not None else []))
 
 QUALITY = rf"""
 WITH w AS (

@@ -38,17 +38,18 @@ class Rule(NamedTuple):
     """Accepted range of a ratio; a bound of None is open."""
 
     name: str
-    ratio: str
+    part: str
+    whole: str
     least: float | None
     most: float | None
 
 
-#: The table. Ratios are SQL expressions on the columns of ``features``.
+#: The table. Ratios are of columns of ``features``.
 RULES = [
-    Rule("mean_word_length", "word_chars / n_words", 2.0, 20.0),
-    Rule("symbols_per_word", "n_symbols / n_words", None, 0.25),
-    Rule("stop_word_share", "n_stop_words / n_words", 0.02, None),
-    Rule("duplicate_line_share", "n_dup_lines / n_lines", None, 0.5),
+    Rule("mean_word_length", "word_chars", "n_words", 2.0, 20.0),
+    Rule("symbols_per_word", "n_symbols", "n_words", None, 0.25),
+    Rule("stop_word_share", "n_stop_words", "n_words", 0.02, None),
+    Rule("duplicate_line_share", "n_dup_lines", "n_lines", None, 0.5),
 ]
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -101,7 +102,7 @@ def verdict(rules: list[Rule] | None = None) -> Column:
     undefined ratio, of a text without words or lines, is outside)."""
     out = F.lit(True)
     for r in RULES if rules is None else rules:
-        ratio = F.expr(f"cast(({r.ratio}) as double)")
+        ratio = F.try_divide(F.col(r.part), F.col(r.whole)).cast("double")
         if r.least is not None:
             out = out & F.coalesce(ratio >= F.lit(r.least), F.lit(False))
         if r.most is not None:
