@@ -136,12 +136,18 @@ def content(lines: list[tuple[str, int, tuple]]) -> list[str]:
     if not lines:
         return []
     chars = np.array([len(t) for t, _, _ in lines], float)
-    ratio = smoothed(chars / np.array([max(1, n) for _, n, _ in lines], float))
-    dense = ratio >= SHARE * ratio.std()
+    plain = chars / np.array([max(1, n) for _, n, _ in lines], float)
+    ratio = smoothed(plain)
+    threshold = SHARE * ratio.std()
+    dense = ratio >= threshold
     # clusters of dense lines; the one with the most text is the page's content
     edge = np.flatnonzero(np.diff(np.concatenate([[False], dense, [False]]).astype(int)))
     regions = list(zip(edge[::2].tolist(), edge[1::2].tolist())) or [(0, len(lines))]
     a, b = max(regions, key=lambda r: (chars[r[0]:r[1]].sum(), -r[0]))
+    while a + 1 < b and plain[a] < threshold:  # smoothing carries a region over its edges
+        a += 1
+    while a + 1 < b and plain[b - 1] < threshold:
+        b -= 1
     paths = [lines[i][2] for i in range(a, b)]
     # the article around most of the region's text, else the elements that all its lines share
     inside: dict[int, float] = {}
