@@ -1,8 +1,9 @@
 """Code answers: test cases, runs, pass counts and failure reasons.
 
 Running untrusted programs is the job of a runner supplied by the caller
-(``run_cases``); everything around it is DataFrame work: parse the test-case
-JSON, fan (response x case) out, compare outputs, count passes per response.
+(``run_responses``); everything around it is DataFrame work: parse the test-case
+JSON, hand each response with its case list to the runner, compare outputs,
+count passes per response.
 """
 
 from __future__ import annotations
@@ -52,55 +53,59 @@ def is_forbidden(code, libs: Sequence[str] = FORBIDDEN_LIBS) -> Column:
     return contains_any(code, libs)
 
 
-def fan_out_cases(responses: DataFrame, cases: DataFrame, response_col: str = "response",
-                  key_cols: Sequence[str] = ("problem_id",)) -> DataFrame:
-    """(response x case) rows with the extracted code; keyed on the problem."""
-    r = responses.select(*key_cols, "response_idx", extract_code(response_col).alias("code"))
-    return r.join(cases, list(key_cols))
-
-
 Runner = Callable[[str, "str | None", str], tuple]
 
 
-def run_cases(fanned: DataFrame, runner: Runner, libs: Sequence[str] = FORBIDDEN_LIBS,
-              num_partitions: int | None = None) -> DataFrame:
-    """Run each (code, case) with ``runner(code, fn_name, input) -> (actual, ok, error)``.
+def run_one(runner: Runner, code: str | None, fn: str | None, inp: str | None, libs: Sequence[str]) -> tuple:
+    """(actual, ok, error) of one case; programs naming a forbidden library
+    are not run and a crashing runner is a failed case."""
+    bad = next((lib for lib in libs if code is not None and lib in code), None)
+    if bad is not None:
+        return "", False, f"{bad} is not allowed"
+    try:
+        actual, ok, error = runner(code, fn, inp)
+        return actual, bool(ok), error
+    except Exception as e:
+        return "", False, f"{type(e).__name__}: {e}"
 
-    Arrow batches through ``mapInPandas``; programs naming a forbidden
-    library are not run (``ok`` false). A timeout is the runner's business
-    and should come back as ``ok = False``.
 
-    Runs are spread by (problem, response, case) over ``num_partitions``
-    tasks first: a run costs seconds, so a problem with many responses must
-    not stay in the task of its join partition (the explicit shuffle also
-    lets AQE split a skewed fan-out join, and is not coalesced by size).
-    """
-    n = num_partitions or int(fanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fanned = fanned.repartition(n, "problem_id", "response_idx", "case_idx")
-    from pyspark.sql import types as T
+RESULT_SCHEMA = "case_idx int, fn_name string, expected string, actual string, ok boolean, error string"
 
-    out_schema = T.StructType(fanned.schema.fields + [T.StructField("actual", T.StringType()),
-                                                      T.StructField("ok", T.BooleanType()),
-                                                      T.StructField("error", T.StringType())])
 
-    def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def run_responses(responses: DataFrame, problems: DataFrame, runner: Runner, libs: Sequence[str] = FORBIDDEN_LIBS,
+                  num_partitions: int | None = None, response_col: str = "response", io_col: str = "input_output",
+                  key_cols: Sequence[str] = ("problem_id",)) -> DataFrame:
+    """Run every response's program on its problem's cases with
+    ``runner(code, fn_name, input) -> (actual, ok, error)``.
+
+    One row per response goes to the runner, with its code once and the
+    problem's case list; narrow rows per case come out (``key_cols,
+    response_idx`` and ``RESULT_SCHEMA``). Responses are spread by (problem,
+    response) over ``num_partitions`` tasks first: a run costs seconds, so a
+    problem with many responses must not stay in the task of its join
+    partition. A timeout is the runner's business and should come back as
+    ``ok = False``.
+    """
+    spark = responses.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*key_cols, "response_idx"]
+    code = responses.select(*keys, extract_code(response_col).alias("code"))
+    cases = problems.select(*key_cols, parse_testcases(io_col).alias("cases"))
+    rows = code.join(cases, list(key_cols)).select(*keys, "code", "cases.*").repartition(n, *keys)
+    out = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", " + RESULT_SCHEMA
+    names = [*keys, "case_idx", "fn_name", "expected", "actual", "ok", "error"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            actual, ok, err = [], [], []
-            for code, fn, inp in zip(pdf["code"], pdf["fn_name"], pdf["input"]):
-                bad = next((lib for lib in libs if code is not None and lib in code), None)
-                if bad is not None:
-                    a, o, e = "", False, f"{bad} is not allowed"
-                else:
-                    try:
-                        a, o, e = runner(code, fn, inp)
-                    except Exception as exc:  # a crashing runner is a failed case
-                        a, o, e = "", False, f"{type(exc).__name__}: {exc}"
-                actual.append(a)
-                ok.append(bool(o))
-                err.append(e)
-            yield pdf.assign(actual=actual, ok=ok, error=err)
-
-    return fanned.mapInPandas(_run, out_schema)
+            for row in pdf.itertuples(index=False):
+                inputs = [] if row.inputs is None or row.outputs is None else row.inputs
+                fn = row.fn_name or None  # an empty name means the stdin form
+                done = [(*(getattr(row, k) for k in keys), i, fn, expected, *run_one(runner, row.code, fn, inp, libs))
+                        for i, (inp, expected) in enumerate(zip(inputs, row.outputs if len(inputs) else []))]
+                if done:
+                    yield pd.DataFrame(done, columns=names)
+
+    return rows.mapInPandas(run, out)
 
 
 def case_passed(actual="actual", expected="expected", fn_name="fn_name") -> Column:

@@ -240,6 +240,18 @@ def q_code_pass_count(spark, sf):
     return scored.select("problem_id", "response_idx", "n_cases", "n_passed", "score")
 
 
+def echo_runner(code, fn_name, inp):
+    """A stand-in for a program runner: the input with underscores; inputs
+    whose length is a multiple of 7 fail."""
+    return inp.replace(" ", "_"), len(inp) % 7 != 0, "" if len(inp) % 7 else "ValueError: seven"
+
+
+def q_code_run_responses(spark, sf):
+    """All responses run on their problem's cases by the stand-in runner."""
+    results = code_exec.run_responses(testdata.code_candidates(spark, sf), testdata.code_problems(spark, sf), echo_runner)
+    return code_exec.pass_counts(results).select("problem_id", "response_idx", "n_cases", "n_passed", "score")
+
+
 def q_failure_reasons(spark, sf):
     return code_exec.failure_reasons(testdata.code_results(spark, sf))
 
@@ -559,6 +571,7 @@ ROWS_ONLY = {
     "train_pairwise_reward": q_train_pairwise_reward,
     "active_rounds": q_active_rounds,
     "generate_completions": q_generate_completions,
+    "code_run_responses": q_code_run_responses,
     "reward_model_scores": q_reward_model_scores,
     "stream_preference_pairs": q_stream_preference_pairs,
     "stream_sft": q_stream_sft,

@@ -55,7 +55,7 @@ def generate_preference_data(spark: SparkSession, problems: DataFrame, domain: s
     """Preference pairs from problems (``problem_id`` plus the domain's
     columns: ``problem, solution`` or ``question, input_output,
     starter_code``). Code answers need ``code_runner`` (see
-    ``code_exec.run_cases``). Writes ``out`` and returns it read back.
+    ``code_exec.run_responses``). Writes ``out`` and returns it read back.
     Completions and run results are written once before they are reused, so
     neither the model nor a program runs twice."""
     if domain == "code" and code_runner is None:
@@ -69,8 +69,7 @@ def generate_preference_data(spark: SparkSession, problems: DataFrame, domain: s
     comp = spark.read.parquet(completions_path)
     probs = rendered.select("problem_id", "problem", "solution")
     if domain == "code":
-        cases = code_exec.explode_testcases(probs.withColumnRenamed("solution", "input_output"))
-        results = code_exec.run_cases(code_exec.fan_out_cases(comp, cases), code_runner)
+        results = code_exec.run_responses(comp, probs.withColumnRenamed("solution", "input_output"), code_runner)
         results = reliable_checkpoint(results, "code-runs")
         pairs = preference.code_preference_data(comp, results, probs, max_pairs)
     else:

@@ -415,6 +415,13 @@ SELECT problem_id, CAST(s AS INTEGER) AS response_idx,
   array_to_string(regexp_extract_all(prompt, '{NON_WS}+')[-5:], ' ') || ' ... so the answer is \\boxed{{'
   || CAST((length(prompt) + s) % 7 AS VARCHAR) || '}}' AS response FROM fo"""
 
+    q["code_run_responses"] = f"""WITH {code_ctes()},
+run AS (SELECT kx.problem_id, kx.response_idx, length(input) % 7 <> 0
+    AND NOT (contains(code, 'subprocess') OR contains(code, 'venv')) AS ok
+  FROM kx JOIN cases ON cases.problem_id = kx.problem_id)
+SELECT problem_id, response_idx, count(*) AS n_cases, CAST(sum(CAST(ok AS INTEGER)) AS BIGINT) AS n_passed,
+  CAST(CASE WHEN bool_and(ok) THEN count(*) ELSE 0 END AS INTEGER) AS score FROM run GROUP BY problem_id, response_idx"""
+
     def side(x):
         chat = (f"('<|im_start|>user' || {NL} || problem || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} || {x}"
                 f" || '<|im_end|>' || {NL})")

@@ -163,7 +163,7 @@ def code_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cases = explode_testcases(code_problems(spark, sf_dir))
     resp = code_candidates(spark, sf_dir).select("problem_id", "response_idx", "n_chars")
-    # spread like code_exec.run_cases does before a runner: a problem with many
+    # spread like code_exec.run_responses does before a runner: a problem with many
     # responses is split over tasks (and AQE may split the skewed join)
     j = resp.join(cases, "problem_id").repartition("problem_id", "response_idx", "case_idx")
     v = (F.col("n_chars") + F.col("case_idx")) % 5

@@ -37,7 +37,7 @@ def test_testcases_cut_at_shorter(spark):
     assert got == [(1, 0, None, "1", "a"), (1, 1, None, "2", "b"), (2, 0, "f", "[1,2]", "3"), (4, 0, None, "z", "z")]
 
 
-def test_run_cases_with_stub_runner(spark):
+def test_run_responses_with_stub_runner(spark):
     def runner(code, fn_name, inp):
         if "boom" in code:
             return "", False, "Traceback (most recent call last):\nValueError: boom"
@@ -45,9 +45,9 @@ def test_run_cases_with_stub_runner(spark):
 
     resp = spark.createDataFrame([(1, 0, "```python\nprint(input().upper())\n```"), (1, 1, "boom"),
                                   (1, 2, "import subprocess")], "problem_id long, response_idx int, response string")
-    cases = spark.createDataFrame([(1, 0, None, "a b", "A  B"), (1, 1, None, "c", "X")],
-                                  "problem_id long, case_idx int, fn_name string, input string, expected string")
-    res = code_exec.run_cases(code_exec.fan_out_cases(resp, cases), runner)
+    io = spark.createDataFrame([(1, '{"inputs": ["a b", "c", "unpaired"], "outputs": ["A  B", "X"]}'), (2, "not json")],
+                               "problem_id long, input_output string")
+    res = code_exec.run_responses(resp, io, runner)
     counts = {r[0]: r[1] for r in rows(code_exec.pass_counts(res), "response_idx", "score")}
     assert counts == {0: 1, 1: 0, 2: 0}
     scored = {r[0]: r[1] for r in rows(code_exec.code_scores(resp, code_exec.pass_counts(res)), "response_idx", "score")}

@@ -70,14 +70,14 @@ def test_runs_of_a_hot_problem_are_spread(spark):
     resp = spark.range(400).select(F.lit(1).cast("long").alias("problem_id"),
                                    F.col("id").cast("int").alias("response_idx"),
                                    F.lit("print(input())").alias("response"))
-    cases = spark.range(5).select(F.lit(1).cast("long").alias("problem_id"), F.col("id").cast("int").alias("case_idx"),
-                                  F.lit(None).cast("string").alias("fn_name"), F.lit("x").alias("input"),
-                                  F.lit("x").alias("expected"))
+    io = spark.createDataFrame([(1, '{"inputs": ["x", "x", "x", "x", "x"], "outputs": ["x", "x", "x", "x", "x"]}')],
+                               "problem_id long, input_output string")
 
     def runner(code, fn, inp):
         return inp, True, ""
 
-    res = code_exec.run_cases(code_exec.fan_out_cases(resp, cases), runner, num_partitions=8)
+    res = code_exec.run_responses(resp, io, runner, num_partitions=8)
     per_task = res.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(per_task) == 8 and max(r["count"] for r in per_task) < 2000 * 0.3
     assert res.count() == 2000
+    assert res.columns == ["problem_id", "response_idx", "case_idx", "fn_name", "expected", "actual", "ok", "error"]
