@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import U64, StaticTable, pieces
+from prefloom.llm.common import U64, StaticTable, most_frequent, pieces, saved
 
 #: Words of the lexicon, the most frequent chunks of the corpus.
 LEXICON_WORDS = 32_768
@@ -326,7 +326,7 @@ def chunk_counts(docs: DataFrame, text: str = "text", flush: int = 200_000) -> D
 def build_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = LEXICON_WORDS) -> str:
     """Compile the ``words`` most frequent chunks; returns the name under which
     executors find the file."""
-    top = chunk_counts(docs, text).orderBy(F.desc("n"), "chunk").limit(words)
+    top = most_frequent(saved(chunk_counts(docs, text), "chunks"), words, ["chunk"])
     chunks = [r[0] for r in top.select("chunk").collect()]  # bounded by ``words``
     c = Codec(path)
     chunks = [x for x in chunks if x and not c.marks.search(x)]
