@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import U64, StaticTable, pieces
+from prefloom.llm.common import U64, StaticTable, most_frequent, pieces, saved
 
 ORDER = 4
-NODES = 1 << 19
+NODES = 1 << 18
 #: Numbers in the tables of code lengths at most (nodes times languages).
 CELLS = 1 << 23
 UNDETERMINED = "und"
@@ -147,9 +147,8 @@ class Trees:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", nodes: int = NODES) -> Trees | None:
-    counted = count_contexts(docs, text, lang)
-    top = counted.orderBy(F.desc("n"), "lang", "key").limit(nodes)  # the model's size
-    rows = top.toPandas()
+    counted = saved(count_contexts(docs, text, lang), "contexts")
+    rows = most_frequent(counted, nodes, ["lang", "key"]).toPandas()  # the model's size
     langs = sorted(rows["lang"].unique().tolist())
     if not langs:
         return None
