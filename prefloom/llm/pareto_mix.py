@@ -32,6 +32,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
 SEED = 20
+#: A table with a row for each source is broadcast up to so many sources.
+BROADCAST_SOURCES = 10_000
 
 
 def _text_hash(text: str) -> Column:
@@ -102,7 +104,8 @@ def pareto_cuts(sized: DataFrame, targets: DataFrame, seed=SEED) -> DataFrame:
     taken = run.groupBy("source_rank").agg(
         F.max(F.when(F.col("in"), F.col("key"))).alias("cut"),
         (F.max("open_size") - F.coalesce(F.sum(F.when(F.col("in"), F.col("size"))), F.lit(0))).alias("gap"))
-    fill = (run.where(~F.col("in")).join(taken, "source_rank")
+    few = F.broadcast if targets.count() <= BROADCAST_SOURCES else lambda x: x
+    fill = (run.where(~F.col("in")).join(few(taken.select("source_rank", "gap")), "source_rank")
             .withColumn("miss", F.abs(F.col("size") - F.col("gap"))).where("miss < gap")
             .groupBy("source_rank").agg(F.min(F.struct("miss", "key")).alias("best"))
             .select("source_rank", F.col("best.key").alias("fill")))
