@@ -145,13 +145,13 @@ _PAIRS = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("s
 
 
 def _slot(term: str) -> int:
-    return zlib.crc32(term.encode()) & (BITMAP - 1)
+    return zlib.crc32(term.encode()) % BITMAP
 
 
 def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """term, n_term: the distinct texts of the whole table that hold each term."""
-    slot = F.udf(_slot, "int")  # on the few terms in question; at most BITMAP distinct values reach the driver
-    used = [r[0] for r in terms.select(slot("term").alias("s")).distinct().collect()]
+    slot = F.crc32(F.col("term").cast("binary")) % BITMAP  # at most BITMAP numbers reach the driver
+    used = [int(r[0]) for r in terms.select(slot.alias("s")).distinct().collect()]
     bits = np.zeros(BITMAP, bool)
     bits[used] = True
     packed = np.packbits(bits).tobytes()
@@ -182,13 +182,21 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", support:
     if both.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
     entity = pair.select("text_hash", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = saved(both.select("term").distinct(), "terms")
-    n = found.agg(F.count_distinct("text_hash")).first()[0]
-    joined = both.join(entity, "entity").join(document_counts(docs, terms, text), "term")
-    information = F.log(F.lit(float(n)) / F.col("n_entity"))
-    pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    return joined.select("entity", "term", F.when(information > 0, pmi / information).alias("ratio")).where(
-        F.col("ratio") >= threshold)
+    near = pair.select("text_hash", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    n = float(found.agg(F.count_distinct("text_hash")).first()[0])
+    information = F.log(F.lit(n) / F.col("n_entity"))
+
+    def ratio(n_term):
+        pmi = F.log(F.lit(n) * F.col("n_both") / (F.col(n_term) * F.col("n_entity")))
+        return F.when(information > 0, pmi / information)
+
+    # a term is in at least as many texts as it is near a mention: pairs that fall short even so need no count
+    open_ = saved(both.join(entity, "entity").join(near, "term").where(ratio("n_near") >= threshold).drop("n_near"), "open")
+    terms = saved(open_.select("term").distinct(), "terms")
+    if terms.isEmpty():
+        return docs.sparkSession.createDataFrame([], schema)
+    counted = open_.join(document_counts(docs, terms, text), "term")
+    return counted.select("entity", "term", ratio("n_term").alias("ratio")).where(F.col("ratio") >= threshold)
 
 
 def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
