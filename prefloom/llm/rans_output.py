@@ -10,13 +10,15 @@ each block ends with a CRC-32.
 
 The file format is a folder of three Parquet tables, written and read by
 Spark: ``frequencies`` (id, frequency out of 2^SCALE), ``blocks`` (task,
-block, doc_ids, lengths, payload) and ``starts`` (task, start: the ids of all
+block, before, doc_ids, lengths, payload; ``before`` counts the task's ids
+before the block) and ``starts`` (task, start: the ids of all
 documents before the task's). Blocks in (task, block) order are the ids in
 ascending doc_id order.
 
 The library encodes distinct pieces only: white space separates pieces in
-this tokenizer, so a text's ids are those of its pieces. A worker remembers
-pieces it has seen.
+this tokenizer, so a text's ids are those of its pieces, and a piece of Latin
+letters, digits and signs is cut as the tokenizer's pattern cuts it. A worker
+remembers pieces it has seen.
 
 Defined results: a null text is empty and has the end id alone; a null id
 comes first; rows that repeat an id follow each other by text hash; a
@@ -33,6 +35,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,11 @@ LANES = 1024
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 128
 MEMO = 500_000
+#: The starts, a row for each task of the writer, are broadcast up to so many.
+BROADCAST_TASKS = 1_000_000
+# The tokenizer's pattern, for lower-case text in the range of _LATIN (where NFC changes nothing).
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_LATIN = re.compile("[!-~\u00a1-\u024f]+")
 _LOW = U64(1 << 31)
 _HEAD = np.dtype([("magic", "<u4"), ("lanes", "<u4"), ("tokens", "<u8"), ("words", "<u8"), ("marks", "<u4"), ("every", "<u4")])
 _MAGIC = 0x31534E41
@@ -153,6 +161,7 @@ class PieceEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.memo: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -161,10 +170,17 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
             self.memo = {"": b""}
+        if len(self.parts) > MEMO:
+            self.parts = {}
         whole = {i for i, t in enumerate(texts) if self.special.search(t)}
         split = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        unseen = list(set().union(*split).difference(self.memo))
-        self.memo.update(zip(unseen, self.ids(unseen)))
+        unseen = set().union(*split).difference(self.memo)
+        latin = {w: _PIECES.findall(w.lower()) for w in unseen if _LATIN.fullmatch(w)}
+        other = list(unseen.difference(latin))
+        self.memo.update(zip(other, self.ids(other)))
+        parts = list(set().union(*latin.values()).difference(self.parts))
+        self.parts.update(zip(parts, self.ids(parts)))
+        self.memo.update((w, b"".join(map(self.parts.__getitem__, p))) for w, p in latin.items())
         out = [b"".join(map(self.memo.__getitem__, s)) for s in split]
         for i in whole:
             out[i] = self.ids([texts[i]])[0]
@@ -185,14 +201,15 @@ def token_blocks(docs: DataFrame, path: str, text: str = "text", end_id: int = E
     def run(batches):
         encoder = piece_encoder(path)
         end = np.array([end_id], encoder.kind).tobytes()
-        width, block, ids, held, size = len(end), 0, [], [], 0
+        width, block, ids, held, size, before = len(end), 0, [], [], 0, 0
 
         def emit(task):
             return pa.RecordBatch.from_arrays([
-                pa.array([task], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(pa.int64())),
+                pa.array([task], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
+                pa.array([ids], pa.list_(pa.int64())),
                 pa.array([[len(x) // width for x in held]], pa.list_(pa.int64())), pa.array([width], pa.int32()),
                 pa.array([b"".join(held)], pa.binary())],
-                names=["task", "block", "doc_ids", "lengths", "width", "ids"])
+                names=["task", "block", "before", "doc_ids", "lengths", "width", "ids"])
 
         task = 0
         for batch in pieces(batches, 1, 2 << 20):
@@ -202,14 +219,14 @@ def token_blocks(docs: DataFrame, path: str, text: str = "text", end_id: int = E
                 x += end
                 if held and size + len(x) > BLOCK_TOKENS * width:
                     yield emit(task)
-                    block, ids, held, size = block + 1, [], [], 0
+                    block, before, ids, held, size = block + 1, before + size // width, [], [], 0
                 ids.append(i)
                 held.append(x)
                 size += len(x)
         if held:
             yield emit(task)
 
-    return dealt.mapInArrow(run, "task int, block int, doc_ids array<bigint>, lengths array<bigint>, width int, ids binary")
+    return dealt.mapInArrow(run, "task int, block int, before long, doc_ids array<bigint>, lengths array<bigint>, width int, ids binary")
 
 
 def id_counts(blocks: DataFrame) -> DataFrame:
@@ -256,12 +273,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, text: str = "text",
         table = FrequencyTable(scaled)
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(5)[i].as_py(), f"<u{batch.column(4)[i].as_py()}")
+                ids = np.frombuffer(batch.column(6)[i].as_py(), f"<u{batch.column(5)[i].as_py()}")
                 one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*one.columns[:4], pa.array([encode_block(ids, table)], pa.binary())],
-                                                 names=["task", "block", "doc_ids", "lengths", "payload"])
+                yield pa.RecordBatch.from_arrays([*one.columns[:5], pa.array([encode_block(ids, table)], pa.binary())],
+                                                 names=["task", "block", "before", "doc_ids", "lengths", "payload"])
 
-    raw.mapInArrow(run, "task int, block int, doc_ids array<bigint>, lengths array<bigint>, payload binary") \
+    raw.mapInArrow(run, "task int, block int, before long, doc_ids array<bigint>, lengths array<bigint>, payload binary") \
         .write.parquet(f"{folder}/blocks")
     per_task = raw.select("task", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n")).groupBy("task").agg(
         F.sum("n").alias("n"))
@@ -275,33 +292,28 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/frequencies").select("id", "frequency").collect()]
     starts = spark.read.parquet(f"{folder}/starts")
     blocks = spark.read.parquet(f"{folder}/blocks")
-    sizes = blocks.select("task", "block", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n"))
-    before = Window.partitionBy("task").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    place = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(starts, "task").select(
-        "task", "block", (F.col("start") + F.col("before")).alias("block_start"))
+    if starts.count() <= BROADCAST_TASKS:
+        starts = F.broadcast(starts)
+    placed = blocks.join(starts, "task").select(
+        (F.col("start") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload")
 
     def run(batches):
         table = _table(rows)
         for batch in batches:
             for i in range(batch.num_rows):
-                lengths = np.array(batch.column(3)[i].as_py(), np.int64)
-                ids = decode_block(batch.column(4)[i].as_py(), table).astype("<u4")
-                ends = np.cumsum(lengths)
-                n, doc_ids = len(lengths), batch.column(2)[i].as_py()
+                lengths = np.array(batch.column(2)[i].as_py(), np.int64)
+                ids = decode_block(batch.column(3)[i].as_py(), table).astype("<u4")
+                ends, start = np.cumsum(lengths), batch.column(0)[i].as_py()
+                n, doc_ids = len(lengths), batch.column(1)[i].as_py()
                 for a in range(0, n, 512):
                     z = range(a, min(a + 512, n))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([batch.column(0)[i].as_py()] * len(z), pa.int32()),
-                        pa.array([batch.column(1)[i].as_py()] * len(z), pa.int32()),
-                        pa.array([doc_ids[k] for k in z], pa.int64()), pa.array((ends - lengths)[a:a + 512], pa.int64()),
+                        pa.array([doc_ids[k] for k in z], pa.int64()), pa.array((start + ends - lengths)[a:a + 512], pa.int64()),
                         pa.array(lengths[a:a + 512], pa.int64()),
                         pa.array([ids[ends[k] - lengths[k]:ends[k]].tobytes() for k in z], pa.binary())],
-                        names=["task", "block", "doc_id", "inside", "n_tokens", "ids"])
+                        names=["doc_id", "start", "n_tokens", "ids"])
 
-    decoded = blocks.select("task", "block", "doc_ids", "lengths", "payload").mapInArrow(
-        run, "task int, block int, doc_id long, inside long, n_tokens long, ids binary")
-    return decoded.join(place, ["task", "block"]).select(
-        "doc_id", (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def written(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:

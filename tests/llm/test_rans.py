@@ -61,3 +61,13 @@ def test_documents(spark, docs, no_docs):
     assert sorted(r[2:] for r in got if r[0] == 12) == sorted(r[2:] for r in hand if r[0] == 12)
     assert sorted(r[1] for r in got) == sorted(np.cumsum([0] + [r[2] for r in sorted(got, key=lambda r: r[1])])[:-1].tolist())
     assert R.written(no_docs, PATH).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t'stre<|>endoftx \x1c\xa0\xad²½ßİΣς"), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=4))
+def test_pieces_equal_the_library(texts):
+    for text, ids in zip(texts, ENCODER.encode(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+ENCODER = R.PieceEncoder(PATH)
