@@ -12,8 +12,12 @@ Groups of copies: documents with equal sets are one class. Candidates of a
 bucket are first compared with one representative (a star, not all pairs);
 classes that are linked by then need no further comparison. What is left,
 buckets whose members still lie in several components, is compared with
-another representative, chosen per bucket, and then exhaustively, but only
-across components. No link of the candidates is lost.
+another representative, chosen per bucket. The pairs across components that
+remain are found through the differences from the bucket's representative:
+members x, y with symmetric differences Dx, Dy from it are linked if and only
+if Dx and Dy share a number of shingles that follows from four set sizes (see
+``across_pairs``), so a prefix filter over the rarest differences finds every
+link without comparing all members. No link of the candidates is lost.
 
 Defined results: a document without words (or null) has an empty set and is
 linked with nothing; a null id takes no part (component null, kept); rows
@@ -27,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.llm.common import GOLDEN, U64, mix64, pieces, saved
@@ -144,14 +148,12 @@ def sketch_documents(docs: DataFrame, text: str = "text", width: int = 2) -> Dat
         run, "doc_id long, text_hash long, n_shingles long, set_id binary, bands array<bigint>")
 
 
-def confirm(edges: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """The edges (a, b) between set ids whose full sets are similar enough.
+def class_texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
+    """set_id, text of the classes in ``nodes`` (distinct set ids).
 
-    Texts of the classes concerned are fetched by their first document and
-    recognised by the set's digest; the two text joins are on set ids, which
-    adaptive execution splits where one is hot.
+    Texts are fetched by the class's first document and recognised by the
+    set's digest.
     """
-    nodes = edges.select(F.col("a").alias("set_id")).union(edges.select("b")).distinct()
     wanted = saved(nodes.join(classes.select("set_id", "first_doc"), "set_id"), "wanted")
     ids = wanted.select(F.col("first_doc").alias("doc_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
@@ -165,8 +167,18 @@ def confirm(edges: DataFrame, classes: DataFrame, docs: DataFrame, text: str, wi
                 pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), batch.column(1)],
                 names=["set_id", "text"])
 
-    texts = saved(some.mapInArrow(identify, "set_id binary, text string").where("set_id is not null")
-                  .join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "texts")
+    return saved(some.mapInArrow(identify, "set_id binary, text string").where("set_id is not null")
+                 .join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "texts")
+
+
+def confirm(edges: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """The edges (a, b) between set ids whose full sets are similar enough.
+
+    The two text joins are on set ids, which adaptive execution splits where
+    one is hot.
+    """
+    nodes = edges.select(F.col("a").alias("set_id")).union(edges.select("b")).distinct()
+    texts = class_texts(nodes, classes, docs, text, width)
     left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
     pairs = edges.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -186,6 +198,81 @@ def confirm(edges: DataFrame, classes: DataFrame, docs: DataFrame, text: str, wi
     return pairs.mapInArrow(check, "a binary, b binary")
 
 
+def across_pairs(several: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int,
+                 percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked; no link between
+    members of one bucket is missing, given that each was compared with the
+    bucket's lead ``c``.
+
+    With R = c - x, A = x - c, D = R + A and W = 200 |R| + 2 percent |A| -
+    (100 - percent) |c|, the sets x and y are linked if and only if
+    S |Dx & Dy| >= Wx + Wy, where S = 2 (100 + percent). Where Wx + Wy <= 0 both
+    are linked with c, hence in one component. Else, of a pair with Wx <= Wy, x
+    shares at least 2 Wx / S differences, and y at least (Wy + L) / S, where
+    L = (2 percent Wy - S (100 - percent) |c|) / 200 is the least Wx that |Dx|
+    allows. So a linked pair meets in the first |D| - need + 1 differences of
+    either side, rarest first. Differences are keyed by a hash of lead and
+    shingle: equal hashes only add candidates.
+    """
+    scale = 2 * (100 + percent)
+    units = several.where("set_id <> lead").select("lead", "set_id", "component").distinct()
+    units = saved(units.withColumn("u", F.monotonically_increasing_id()), "units")
+    nodes = units.select("set_id").union(units.select("lead")).distinct()
+    texts = class_texts(nodes, classes, docs, text, width)
+    both = (units.join(texts.select(F.col("set_id").alias("lead"), F.col("text").alias("lead_text")), "lead")
+            .join(texts, "set_id").select("u", "lead_text", "text"))
+
+    def differ(batches):
+        for batch in pieces(pieces(batches, 1), 2):
+            sides = [_texts(batch, 1), _texts(batch, 2)]
+            one = list(dict.fromkeys(sides[0] + sides[1]))
+            sets = dict(zip(one, shingle_sets(one, width)))
+            removed, added, lead, diff = [], [], [], []
+            for c, x in zip(*sides):
+                c, x = sets[c], sets[x]
+                gone, new = np.setdiff1d(c, x, assume_unique=True), np.setdiff1d(x, c, assume_unique=True)
+                removed.append(len(gone))
+                added.append(len(new))
+                lead.append(len(c))
+                diff.append(np.concatenate([gone, new]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(removed, pa.int64()), pa.array(added, pa.int64()),
+                pa.array(lead, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
+                names=["u", "removed", "added", "n_lead", "diff"])
+
+    sized = both.mapInArrow(differ, "u long, removed long, added long, n_lead long, diff array<bigint>")
+    sized = sized.select("u", "n_lead", "diff", (F.col("removed") + F.col("added")).alias("d"),
+                         (F.lit(200) * F.col("removed") + F.lit(2 * percent) * F.col("added")
+                          - F.lit(100 - percent) * F.col("n_lead")).alias("w"))
+    lower = F.floor((F.lit(2 * percent) * F.col("w") - F.lit(scale * (100 - percent)) * F.col("n_lead")) / 200)
+    units = saved(units.join(sized.select(
+        "u", "diff", "d", "w",
+        F.greatest(F.lit(1), F.ceil(2 * F.col("w") / scale)).alias("need_small"),
+        F.greatest(F.lit(1), F.ceil((F.col("w") + lower) / scale)).alias("need_large")), "u"), "differences")
+    # a difference that no other unit of the lead has joins nothing, but counts as the rarest
+    item = units.select("u", "d", "need_small", "need_large", "lead", F.explode("diff").alias("shingle")).select(
+        "u", "d", "need_small", "need_large", F.xxhash64("lead", "shingle").alias("key"))
+    often = item.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mine = Window.partitionBy("u")
+    ranked = (item.join(often, "key")
+              .withColumn("pos", F.row_number().over(mine.orderBy("n", "key")) - 1)
+              .withColumn("pos", F.col("d") - F.count(F.lit(1)).over(mine) + F.col("pos")))
+    head = ranked.where(F.col("pos") <= F.col("d") - F.least("need_small", "need_large")).select(
+        "u", "key", (F.col("d") - F.col("pos")).alias("rest"),
+        (F.col("pos") <= F.col("d") - F.col("need_small")).alias("small"),
+        (F.col("pos") <= F.col("d") - F.col("need_large")).alias("large"))
+    head = saved(head.join(units.select("u", "set_id", "component", "w"), "u").drop("u"), "heads")
+
+    def side(flag, suffix):
+        return head.where(flag).select("key", *[F.col(c).alias(c + suffix) for c in ("set_id", "component", "w", "rest")])
+
+    met = side("small", "_x").join(side("large", "_y"), "key").where(
+        (F.col("component_x") != F.col("component_y"))
+        & ((F.col("w_x") < F.col("w_y")) | ((F.col("w_x") == F.col("w_y")) & (F.col("set_id_x") < F.col("set_id_y"))))
+        & (scale * F.least("rest_x", "rest_y") >= F.col("w_x") + F.col("w_y")))
+    return met.select(F.col("set_id_x").alias("a"), F.col("set_id_y").alias("b"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """set_id, component: the smallest set id reachable, for all linked ids.
 
@@ -242,9 +329,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 2, percent
     random = saved(random.join(lead, ["a", "b"], "left_anti"), "edges")
     star = comp.select(F.col("set_id").alias("a"), F.col("component").alias("b"))
     comp, several = label(star.union(confirm(random, classes, docs, text, width, percent)))
-    outside = several.where("component <> low").select("bucket", F.col("set_id").alias("a"), F.col("component").alias("ca"))
-    inside = several.select("bucket", F.col("set_id").alias("b"), F.col("component").alias("cb"))
-    across = sized(outside.join(inside, "bucket").where("ca <> cb").select("a", "b"))
+    across = sized(across_pairs(several, classes, docs, text, width, percent))
     across = saved(across.join(lead.union(random), ["a", "b"], "left_anti"), "edges")
     star = comp.select(F.col("set_id").alias("a"), F.col("component").alias("b"))
     comp = components(star.union(confirm(across, classes, docs, text, width, percent)))

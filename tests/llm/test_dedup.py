@@ -50,6 +50,23 @@ def test_components_equal_brute_force(spark):
     assert got == by_hand(texts)
 
 
+def test_family_of_mostly_unlinked_copies(spark):
+    """Copies on both sides of the threshold, so that many pairs of a bucket stay in different components."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.randint(2, 13)):
+            w[k] = f"e{rng.randrange(40)}"
+        texts[i] = " ".join(w[rng.randint(0, 6):])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in D.near_duplicates(rows).collect()}
+    want = by_hand(texts)
+    assert len({c for _, c in want.values()}) > 10
+    assert got == want
+
+
 def test_odd_rows(spark, docs, no_docs):
     out = D.near_duplicates(docs).collect()
     assert len(out) == docs.count()
