@@ -4,12 +4,14 @@ The standard library's streaming parser turns a page into lines, one for each
 block of text, with the text's characters and the tags met on the way. Each
 line's ratio of characters to tags is smoothed by a Gaussian over its
 neighbours, and the lines at or above a threshold (a share of the page's
-standard deviation, as in CETR) form clusters: the content regions. The
-regions choose the page's container: the deepest element around the largest
-region, widened to its enclosing article. Blocks of the container are kept
-whole, also short ones that the threshold alone would lose; what the markup
-declares as something else (navigation, forms, adverts, comments, scripts)
-never counts, neither as content nor in a ratio.
+standard deviation, as in CETR) form clusters: the content regions. All
+regions together choose the page's container: its articles if they hold at
+least half of the regions' text, else the deepest element around nearly all of
+it, never a block of one line. Blocks of the container are kept whole, also
+short ones that the threshold alone would lose, and a region outside it is kept
+with the element around it, so no region is lost; what the markup declares as
+something else (navigation, forms, adverts, comments, scripts) never counts,
+neither as content nor in a ratio.
 
 Defined results: a null or empty page, or one without text, has the empty
 text; unclosed and stray tags are closed by the blocks around them; an empty
@@ -19,6 +21,7 @@ table gives an empty table; equal pages get equal texts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,6 +33,8 @@ from prefloom.llm.common import pieces
 
 SIGMA = 1.0
 SHARE = 0.5
+#: Part of the regions' text that the container holds where no article does.
+AROUND = 0.9
 
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
                     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table "
@@ -38,6 +43,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _DROPPED = frozenset("nav header footer aside form script style noscript template iframe object svg math canvas button "
                      "select option textarea input label dialog menu head title audio video".split())
 _CLOSES_P = _BLOCKS
+#: Elements that can be the container; others are parts of a text (paragraphs, items, rows, tables).
+_HOLDERS = frozenset("html body main article section div center details td".split())
 #: Words of class, id or role that mark what is not the article.
 _OTHER = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|header|masthead|"
@@ -62,7 +69,7 @@ class Lines(HTMLParser):
     def end_line(self):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, tuple((n, a) for _, n, _, a in self.stack)))
+            self.lines.append((text, self.tags, tuple((n, a, t in _HOLDERS) for t, n, _, a in self.stack)))
             self.tags = 0
         self.text = []
 
@@ -140,30 +147,41 @@ def content(lines: list[tuple[str, int, tuple]]) -> list[str]:
     ratio = smoothed(plain)
     threshold = SHARE * ratio.std()
     dense = ratio >= threshold
-    # clusters of dense lines; the one with the most text is the page's content
+    # clusters of dense lines
     edge = np.flatnonzero(np.diff(np.concatenate([[False], dense, [False]]).astype(int)))
     regions = list(zip(edge[::2].tolist(), edge[1::2].tolist())) or [(0, len(lines))]
-    a, b = max(regions, key=lambda r: (chars[r[0]:r[1]].sum(), -r[0]))
-    while a + 1 < b and plain[a] < threshold:  # smoothing carries a region over its edges
-        a += 1
-    while a + 1 < b and plain[b - 1] < threshold:
-        b -= 1
-    paths = [lines[i][2] for i in range(a, b)]
-    # the article around most of the region's text, else the elements that all its lines share
-    inside: dict[int, float] = {}
-    for path, n in zip(paths, chars[a:b]):
-        for number, article in path:
-            if article:
-                inside[number] = inside.get(number, 0) + n
-    most = max(inside.values(), default=0)
-    if most * 2 >= chars[a:b].sum():
-        container = min(k for k, v in inside.items() if v == most)
+    core = []
+    for a, b in regions:
+        while a + 1 < b and plain[a] < threshold:  # smoothing carries a region over its edges
+            a += 1
+        while a + 1 < b and plain[b - 1] < threshold:
+            b -= 1
+        core += range(a, b)
+    # elements that can hold the content: articles, and others of more than one line
+    size = Counter(n for _, _, path in lines for n, _, _ in path)
+    holders = [[n for n, article, holder in path if article or holder and size[n] > 1] for _, _, path in lines]
+    articles = [next((n for n, article, _ in path if article), None) for _, _, path in lines]
+    total = chars[core].sum()
+    if sum(chars[i] for i in core if articles[i] is not None) * 2 >= total:
+        kept = {articles[i] for i in core} - {None}
     else:
-        shared = set(paths[0]).intersection(*map(set, paths[1:]))
-        container = max((n for n, _ in shared), default=None)
-    if container is None:
-        return [t for t, _, _ in lines]
-    return [t for t, _, path in lines if any(n == container for n, _ in path)]
+        held: dict[int, float] = {}
+        for i in core:
+            for n in holders[i]:
+                held[n] = held.get(n, 0) + chars[i]
+        # an element's number is larger than those of the elements around it
+        kept = {max((n for n, v in held.items() if v >= AROUND * total), default=None)}
+        if None in kept:
+            return [t for t, _, _ in lines]
+    around = {n for inside in holders if not kept.isdisjoint(inside) for n in inside}
+    alone = set()
+    for i in core:
+        if kept.isdisjoint(holders[i]):
+            if holders[i] and holders[i][-1] not in around:
+                kept.add(holders[i][-1])
+            else:
+                alone.add(i)
+    return [t for i, (t, _, path) in enumerate(lines) if i in alone or any(n in kept for n, _, _ in path)]
 
 
 def main_text(html: str | None) -> str:

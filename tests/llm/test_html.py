@@ -39,3 +39,34 @@ def test_pages(spark):
     assert sorted((r.page_id or 0, r.n_chars) for r in out) == [
         (0, 0), (1, len("\n\n".join(TEXT))), (1, len("\n\n".join(TEXT))), (2, 0), (3, 20_000 * 9 + 19_999 * 2), (4, 9)]
     assert H.extract(table.where("false")).count() == 0
+
+
+LONG = "A long paragraph of plain words that goes on and on. " * 40
+SIDE = "".join(f"<li><a href=x>{w}</a></li>" for w in ("Home", "News", "Sport", "More"))
+
+
+@pytest.mark.parametrize("block", ["<p>{}</p>", "<div>{}</div>", "<div><p>{}</p></div>", "<h2>{}</h2>"])
+def test_uneven_blocks_stay_together(block):
+    texts = [LONG.strip(), *(f"Paragraph {i} has about sixty characters, no more, no less." for i in range(4))]
+    page = f"<body><ul>{SIDE}</ul><div class=content>" + "".join(block.format(t) for t in texts) + "</div></body>"
+    assert H.main_text(page).split("\n\n") == texts
+
+
+def test_sections_parted_by_lists_are_all_kept():
+    texts = [f"{i} " + LONG.strip() for i in range(4)]
+    parts = (f"<ul>{SIDE * 4}</ul>").join(f"<section><h2>Head {i}</h2><p>{t}</p></section>" for i, t in enumerate(texts))
+    out = H.main_text(f"<body><ul>{SIDE}</ul><div id=content>{parts}</div></body>").split("\n\n")
+    assert [t for t in out if len(t) > 100] == texts
+    assert [t for t in out if t.startswith("Head")] == [f"Head {i}" for i in range(4)]
+
+
+def test_regions_outside_the_article_are_kept():
+    page = (f"<body><ul>{SIDE * 4}</ul><article><p>{LONG}</p></article><ul>{SIDE * 4}</ul>"
+            f"<div><h2>On</h2><p>{LONG[:900]}</p></div><ul>{SIDE * 4}</ul></body>")
+    assert H.main_text(page).split("\n\n") == [LONG.strip(), "On", LONG[:900].strip()]
+
+
+def test_table_with_uneven_cells():
+    rows = "".join(f"<tr><td>{i}</td><td>{LONG if i == 2 else 'short cell'}</td></tr>" for i in range(5))
+    out = H.main_text(f"<body><div><ul>{SIDE}</ul></div><div><table>{rows}</table></div></body>")
+    assert out.split("\n\n") == [t for i in range(5) for t in (str(i), LONG.strip() if i == 2 else "short cell")]
