@@ -11,7 +11,9 @@ it, never a block of one line. Blocks of the container are kept whole, also
 short ones that the threshold alone would lose, and a region outside it is kept
 with the element around it, so no region is lost; what the markup declares as
 something else (navigation, forms, adverts, comments, scripts) never counts,
-neither as content nor in a ratio.
+neither as content nor in a ratio. Scripts and the like are never read; other
+such elements are judged when the page has been read (see ``declared``), so
+that a wrapper around the page is not taken for the sidebar in its name.
 
 Defined results: a null or empty page, or one without text, has the empty
 text; unclosed and stray tags are closed by the blocks around them; an empty
@@ -40,28 +42,54 @@ _BLOCKS = frozenset("address article aside blockquote body center dd details dia
                     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table "
                     "tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("nav header footer aside form script style noscript template iframe object svg math canvas button "
-                     "select option textarea input label dialog menu head title audio video".split())
+_DROPPED = frozenset("script style noscript template iframe object svg math canvas button select option textarea input label "
+                     "head title audio video".split())
+_OTHER_TAGS = frozenset("nav header footer aside dialog menu".split())
 _CLOSES_P = _BLOCKS
 #: Elements that can be the container; others are parts of a text (paragraphs, items, rows, tables).
 _HOLDERS = frozenset("html body main article section div center details td".split())
 #: Words of class, id or role that mark what is not the article.
 _OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|header|masthead|"
+    r"ads?|advert\w*|banner\w*|breadcrumbs?|comments?|cookies?|consent|disqus|footer|gdpr|header|masthead|"
     r"menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|recommend\w*|replies|"
-    r"respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo)"
-    r"(?:$|[\s_-])", re.I)
+    r"respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo", re.I)
+#: Names that begin so tell a layout, not what the element is (has-sidebar, no-comments).
+_LAYOUT = frozenset("has no with without".split())
+#: Characters to a tag from which on a line counts as prose, and prose of an article that needs no other.
+PROSE = 10
+ENOUGH = 500
+#: Whether an element is declared as something else: no, perhaps (part of a name, a form), yes (its tag, a whole name).
+NO, PERHAPS, YES = range(3)
 _ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|main|post|entry|story)(?:$|[\s_-])|articlebody", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+def declared(tag: str, marks: str) -> int:
+    """What an element's tag and names (class, id, role, itemprop) say of it."""
+    if tag in _OTHER_TAGS:
+        return YES
+    doubt = PERHAPS if tag == "form" else NO
+    if tag in ("html", "body", "article", "main"):
+        return doubt
+    for name in marks.split():
+        parts = [x for x in re.split("[_-]+", name) if x]
+        if parts and parts[0].lower() not in _LAYOUT:
+            other = [bool(_OTHER.fullmatch(x)) for x in parts]
+            if all(other):
+                return YES
+            if any(other):
+                doubt = PERHAPS
+    return doubt
+
+
 class Lines(HTMLParser):
     """Lines of (text, tags, path of open elements) from the parser's events."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple]] = []
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, dropped, article
+        self.stack: list[tuple[str, int, bool, bool, int]] = []  # tag, number, dropped, article, doubt
+        self.outer: dict[int, int] = {}  # tags met before each open element in doubt
         self.number = self.tags = 0
         self.text: list[str] = []
         self.path: tuple = ()
@@ -69,12 +97,15 @@ class Lines(HTMLParser):
     def end_line(self):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, tuple((n, a, t in _HOLDERS) for t, n, _, a in self.stack)))
+            self.lines.append((text, self.tags, tuple((n, a, t in _HOLDERS, d, t in ("article", "main")) for t, n, _, a, d in self.stack)))
             self.tags = 0
         self.text = []
 
     def pop_to(self, at: int):
         self.end_line()
+        left = [self.outer.pop(n) for _, n, _, _, doubt in self.stack[at:] if doubt]
+        if left:
+            self.tags = left[0]
         del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -98,14 +129,17 @@ class Lines(HTMLParser):
                     break
             self.end_line()
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop"))
-        gone = (dropped or tag in _DROPPED or tag not in ("html", "body", "article", "main") and bool(_OTHER.search(marks))
-                or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-                or any(k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs))
-        if gone and not dropped:
-            self.end_line()
+        gone = dropped or tag in _DROPPED or tag not in ("html", "body") and (
+            any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
+            or any(k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs))
+        doubt = NO if gone else declared(tag, marks)
         self.number += 1
+        if (gone or doubt) and not dropped:
+            self.end_line()
+        if doubt:
+            self.outer[self.number], self.tags = self.tags, 0
         article = tag in ("article", "main") or tag in ("div", "section", "td") and bool(_ARTICLE.search(marks))
-        self.stack.append((tag, self.number, gone, article and not gone))
+        self.stack.append((tag, self.number, gone, article and not gone, doubt))
 
     def handle_endtag(self, tag):
         for at in range(len(self.stack) - 1, -1, -1):
@@ -115,10 +149,12 @@ class Lines(HTMLParser):
             return
         if not self.stack[at][2]:
             self.tags += 1
-        if tag in _BLOCKS or self.stack[at][2]:
+        if tag in _BLOCKS or self.stack[at][2] or self.stack[at][4]:
             self.pop_to(at)
         elif any(name in _BLOCKS for name, *_ in self.stack[at:]):
             return  # an inline tag that closes across blocks
+        elif any(doubt for *_, doubt in self.stack[at:]):
+            self.pop_to(at)
         else:
             del self.stack[at:]
 
@@ -138,8 +174,43 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, kernel)[reach:reach + len(ratio)] / weight
 
 
+def read_on(lines: list[tuple[str, int, tuple]]) -> list[tuple[str, int, tuple]]:
+    """The lines outside of what is declared as something else.
+
+    An element in doubt counts as content after all if nothing outside such
+    elements is an article, and it holds an article or most of the page's prose
+    (a name that says so as a whole, or a tag: an article of most of the prose,
+    or most of the prose and ``ENOUGH`` of it where hardly any is left).
+    """
+    doubts = [{n: doubt for n, _, _, doubt, _ in path if doubt} for _, _, path in lines]
+    if not any(doubts):
+        return lines
+    prose = [len(t) if len(t) >= PROSE * max(1, tags) else 0 for t, tags, _ in lines]
+    total = sum(prose)
+    article = sum(n for n, doubt, (_, _, path) in zip(prose, doubts, lines) if not doubt and any(a for _, a, *_ in path))
+    cleared: set[int] = set()
+    if total and article < ENOUGH and article * 10 < total:
+        level: dict[int, int] = {}
+        held: Counter = Counter()
+        whole: Counter = Counter()  # prose of articles inside
+        for n, doubt, (_, _, path) in zip(prose, doubts, lines):
+            last = max((k for k, *_, tag in path if tag), default=0)
+            for k, d in doubt.items():
+                level[k] = d
+                held[k] += n
+                whole[k] += n if k < last else 0
+        cleared = {k for k, d in level.items() if (whole[k] or held[k] * 2 > total if d == PERHAPS
+                                                   else whole[k] * 2 > total)}
+        left = [(n, path) for n, doubt, (_, _, path) in zip(prose, doubts, lines) if cleared.issuperset(doubt)]
+        rest = sum(n for n, _ in left)
+        if rest < ENOUGH and rest * 10 < total and not any(a for _, path in left for _, a, *_ in path):
+            cleared |= {k for k in level if held[k] * 2 > total and held[k] >= ENOUGH}
+    return [line for line, doubt in zip(lines, doubts) if cleared.issuperset(doubt)]
+
+
 def content(lines: list[tuple[str, int, tuple]]) -> list[str]:
     """The blocks of the page's content, in page order."""
+    lines = read_on(lines)
     if not lines:
         return []
     chars = np.array([len(t) for t, _, _ in lines], float)
@@ -158,9 +229,9 @@ def content(lines: list[tuple[str, int, tuple]]) -> list[str]:
             b -= 1
         core += range(a, b)
     # elements that can hold the content: articles, and others of more than one line
-    size = Counter(n for _, _, path in lines for n, _, _ in path)
-    holders = [[n for n, article, holder in path if article or holder and size[n] > 1] for _, _, path in lines]
-    articles = [next((n for n, article, _ in path if article), None) for _, _, path in lines]
+    size = Counter(n for _, _, path in lines for n, *_ in path)
+    holders = [[n for n, article, holder, *_ in path if article or holder and size[n] > 1] for _, _, path in lines]
+    articles = [next((n for n, article, *_ in path if article), None) for _, _, path in lines]
     total = chars[core].sum()
     if sum(chars[i] for i in core if articles[i] is not None) * 2 >= total:
         kept = {articles[i] for i in core} - {None}
@@ -181,7 +252,7 @@ def content(lines: list[tuple[str, int, tuple]]) -> list[str]:
                 kept.add(holders[i][-1])
             else:
                 alone.add(i)
-    return [t for i, (t, _, path) in enumerate(lines) if i in alone or any(n in kept for n, _, _ in path)]
+    return [t for i, (t, _, path) in enumerate(lines) if i in alone or any(n in kept for n, *_ in path)]
 
 
 def main_text(html: str | None) -> str:

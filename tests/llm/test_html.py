@@ -70,3 +70,27 @@ def test_table_with_uneven_cells():
     rows = "".join(f"<tr><td>{i}</td><td>{LONG if i == 2 else 'short cell'}</td></tr>" for i in range(5))
     out = H.main_text(f"<body><div><ul>{SIDE}</ul></div><div><table>{rows}</table></div></body>")
     assert out.split("\n\n") == [t for i in range(5) for t in (str(i), LONG.strip() if i == 2 else "short cell")]
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='site has-sidebar'>", "<div class=no-comments>", "<section class=with-header>", "<div class=elementor-widget-text>",
+    "<div id=main-header-wrap>", "<form action=/>", "<div class=sidebar>", "<header>", "<div id=page-nav><div class=has-ads>"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div id=text>{}</div>"])
+def test_wrappers_around_the_page(wrapper, inner):
+    texts = ["A title", *(f"{i} " + LONG.strip() for i in range(3))]
+    text = inner.format("".join(f"<p>{t}</p>" for t in texts))
+    page = (f"<body><a href=x>Skip</a>{wrapper}<nav>{SIDE}</nav>{text}<div class=comments><p>{LONG[:500]}</p></div>"
+            f"<footer><p>{LONG[:300]}</p></footer>")
+    assert H.main_text(page).split("\n\n") == texts if "article" in inner else set(texts) <= set(H.main_text(page).split("\n\n"))
+    assert LONG[:500].strip() not in H.main_text(page).split("\n\n")
+
+
+def test_many_comments_do_not_hide_the_article():
+    text = "<p>" + LONG + "</p><p>The end.</p>"
+    comments = "".join(f"<article class=comment-body><p>{i} {LONG}</p></article>" for i in range(40))
+    page = f"<body><article>{text}</article><div class=comment-list>{comments}</div><nav>{SIDE * 20}</nav>"
+    assert H.main_text(page).split("\n\n") == [LONG.strip(), "The end."]
+
+
+def test_declared_elements_alone_have_no_text():
+    assert H.main_text(f"<body><nav>{SIDE * 50}</nav><footer>&copy; somebody</footer>") == ""
