@@ -69,6 +69,13 @@ class StaticTable:
             self.keys[slot[placed]] = keys[left[placed]]
             slot, left = (slot[~placed] + 1) & (size - 1), left[~placed]
 
+    @classmethod
+    def of(cls, keys: np.ndarray, rows: np.ndarray) -> StaticTable:
+        """The table that has these arrays."""
+        out = cls.__new__(cls)
+        out.keys, out.rows, out.bits = keys, rows, len(rows).bit_length() - 1
+        return out
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * U64(GOLDEN)) >> U64(64 - self.bits)).astype(np.int64)
 

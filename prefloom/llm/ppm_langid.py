@@ -9,11 +9,14 @@ code length under every language is a sum over its bytes, and the language
 with the shortest code wins.
 
 All training documents are counted: each task counts the longest contexts
-(their shorter ones are sums of them) before a shuffle adds them up. The
-model keeps the ``NODES`` most frequent nodes of all trees, which bounds what
-is sent to the executors; that is the size of the model, not of the counts.
+(their shorter ones are sums of them) before a shuffle adds them up. Every
+node is kept, so that a rare language has its whole tree beside large ones.
 The trees are laid out as tables of code lengths with a column for each
-language, so that scoring looks up a byte once for all languages.
+language, so that scoring looks up a byte once for all languages. The driver
+fills the tables one language after the other in a file, which is sent once to
+each executor by ``SparkContext.addFile`` and memory-mapped by its Python
+workers: the model's size follows the training data, memory holds a few numbers
+for each node.
 
 Defined results: a null text, or one without letters, is ``und`` with score
 0, as is any text if nothing can be learned from; an empty table gives an
@@ -22,17 +25,18 @@ empty table; equal texts get equal predictions.
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import U64, StaticTable, most_frequent, pieces, saved
+from prefloom.llm.common import U64, StaticTable, pieces, saved
 
 ORDER = 4
-NODES = 1 << 18
-#: Numbers in the tables of code lengths at most (nodes times languages).
-CELLS = 1 << 23
 UNDETERMINED = "und"
 
 
@@ -91,70 +95,116 @@ def count_contexts(docs: DataFrame, text: str = "text", lang: str = "lang", flus
     return some.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
+class Arrays:
+    """Arrays one after the other in a file, memory-mapped."""
+
+    def __init__(self, path: str):
+        self.path, self.at = path, {}
+        self.size = 0
+        open(path, "wb").close()
+
+    def add(self, name: str, dtype, shape: tuple) -> np.ndarray:
+        """A new array of zeros, to be filled."""
+        self.at[name] = self.size, np.dtype(dtype), shape
+        length = max(1, int(np.prod(shape)) * np.dtype(dtype).itemsize)
+        out = np.memmap(self.path, np.uint8, "r+", self.size, (length,))  # extends the file
+        self.size += -(-length // 64) * 64
+        return out.view(np.ndarray)[:int(np.prod(shape)) * np.dtype(dtype).itemsize].view(dtype).reshape(shape)
+
+    def put(self, name: str, value: np.ndarray):
+        self.add(name, value.dtype, value.shape)[:] = value
+
+    @staticmethod
+    def load(path: str, at: dict) -> dict[str, np.ndarray]:
+        data = np.memmap(path, np.uint8, "r").view(np.ndarray)
+        return {name: data[a:a + int(np.prod(shape)) * dtype.itemsize].view(dtype).reshape(shape)
+                for name, (a, dtype, shape) in at.items()}
+
+
 class Trees:
     """Frozen statistics: for each order, code lengths of known (context, byte)
-    and escape costs of known contexts, a column for each language."""
-
-    def __init__(self, langs: list[str], lang: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        self.langs = langs
-        n = len(langs)
-        lower = np.full((256, n), 8.0)
-        self.codes: list[tuple[np.ndarray, np.ndarray]] = []
-        self.escapes: list[tuple[np.ndarray, np.ndarray]] = []
-        known = np.arange(256, dtype=U64)
-        for order in range(ORDER + 1):
-            mask = U64((1 << 8 * (order + 1)) - 1)
-            node, at = np.unique(keys & mask, return_inverse=True)
-            number = np.zeros((len(node), n))
-            np.add.at(number, (at, lang), counts)
-            context, of = np.unique(node >> U64(8), return_inverse=True)
-            total, distinct = np.zeros((len(context), n)), np.zeros((len(context), n))
-            np.add.at(total, of, number)
-            np.add.at(distinct, of, number > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, np.log2((total + distinct) / np.maximum(distinct, 1)), 0.0)
-                direct = np.log2((total + distinct)[of] / number)
-            suffix = node & U64((1 << 8 * max(order, 1)) - 1) if order else node
-            code = np.where(number > 0, direct, escape[of] + lower[np.searchsorted(known, suffix)])
-            self.codes.append((node, code.astype(np.float32)))
-            self.escapes.append((context, escape.astype(np.float32)))
-            if order == 0:  # any byte has a code, known or not
-                full = escape[0] + np.full((256, n), 8.0) if len(context) else np.full((256, n), 8.0)
-                full[node.astype(np.int64)] = code
-                known, lower = np.arange(256, dtype=U64), full
-                self.codes[0] = (known, full.astype(np.float32))
-            else:
-                known, lower = node, code
-        self.tables = None
+    and escape costs of known contexts, a column for each language.
+
+    ``counts(lang)`` gives a language's longest contexts (each once) and how
+    often they occur; it is asked twice for each."""
+
+    def __init__(self, langs: list[str], counts, path: str):
+        self.langs, self.name, self.tables = langs, os.path.basename(path), None
+        file = Arrays(path)
+        longest = np.empty(0, U64)
+        for name in langs:
+            longest = np.union1d(longest, counts(name)[0])
+        nodes = [np.unique(longest & U64((1 << 8 * (order + 1)) - 1)) for order in range(ORDER + 1)]
+        contexts = [np.unique(node >> U64(8)) for node in nodes]
+        codes = [file.add(f"codes{k}", np.float32, (len(nodes[k]) if k else 256, len(langs))) for k in range(ORDER + 1)]
+        escapes = [file.add(f"escapes{k}", np.float32, (len(contexts[k]), len(langs))) for k in range(ORDER + 1)]
+        for column, name in enumerate(langs):
+            keys, n = counts(name)
+            known, lower = np.arange(256, dtype=U64), np.full(256, 8.0)
+            for order, (node, context) in enumerate(zip(nodes, contexts)):
+                at = np.searchsorted(node, keys & U64((1 << 8 * (order + 1)) - 1))
+                number = np.bincount(at, n, len(node))
+                of = np.searchsorted(context, node >> U64(8))
+                total = np.bincount(of, number, len(context))
+                distinct = np.bincount(of, number > 0, len(context))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    escape = np.where(total > 0, np.log2((total + distinct) / np.maximum(distinct, 1)), 0.0)
+                    direct = np.log2((total + distinct)[of] / number)
+                suffix = node & U64((1 << 8 * max(order, 1)) - 1) if order else node
+                code = np.where(number > 0, direct, escape[of] + lower[np.searchsorted(known, suffix)])
+                if order == 0:  # any byte has a code, known or not
+                    full = escape[0] + np.full(256, 8.0) if len(context) else np.full(256, 8.0)
+                    full[node.astype(np.int64)] = code
+                    known, lower = np.arange(256, dtype=U64), full
+                else:
+                    known, lower = node, code
+                codes[order][:, column] = lower
+                escapes[order][:, column] = escape
+        for order in range(1, ORDER + 1):
+            for name, keys in (("node", nodes[order]), ("context", contexts[order])):
+                table = StaticTable(keys)
+                file.put(f"{name}{order}_keys", table.keys)
+                file.put(f"{name}{order}_rows", table.rows)
+        self.at = file.at
+
+    def __getstate__(self):
+        return self.__dict__ | {"tables": None}
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Code length in bits of each text (not empty) under each language."""
         if self.tables is None:
-            self.tables = [(StaticTable(k), StaticTable(c)) for (k, _), (c, _) in zip(self.codes, self.escapes)]
+            self.tables = Arrays.load(SparkFiles.get(self.name), self.at)
+            for name in [f"{x}{k}" for x in ("node", "context") for k in range(1, ORDER + 1)]:
+                self.tables[name] = StaticTable.of(self.tables[f"{name}_keys"], self.tables[f"{name}_rows"])
         keys, start = context_keys(texts)
         cost = np.zeros((len(keys), len(self.langs)), np.float32)
         left = np.arange(len(keys))
         for order in range(ORDER, 0, -1):
             key = keys[left] & U64((1 << 8 * (order + 1)) - 1)
-            row = self.tables[order][0].find(key)
+            row = self.tables[f"node{order}"].find(key)
             hit = row >= 0
-            cost[left[hit]] += self.codes[order][1][row[hit]]
+            cost[left[hit]] += self.tables[f"codes{order}"][row[hit]]
             left, key = left[~hit], key[~hit]
-            row = self.tables[order][1].find(key >> U64(8))
-            cost[left[row >= 0]] += self.escapes[order][1][row[row >= 0]]
-        cost[left] += self.codes[0][1][(keys[left] & U64(255)).astype(np.int64)]
+            row = self.tables[f"context{order}"].find(key >> U64(8))
+            cost[left[row >= 0]] += self.tables[f"escapes{order}"][row[row >= 0]]
+        cost[left] += self.tables["codes0"][(keys[left] & U64(255)).astype(np.int64)]
         return np.add.reduceat(cost, start, axis=0, dtype=np.float64)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", nodes: int = NODES) -> Trees | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Trees | None:
     counted = saved(count_contexts(docs, text, lang), "contexts")
-    rows = most_frequent(counted, nodes, ["lang", "key"]).toPandas()  # the model's size
-    langs = sorted(rows["lang"].unique().tolist())
+    langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
     if not langs:
         return None
-    rows = rows.head(max(1, CELLS // len(langs)))
-    index = {name: i for i, name in enumerate(langs)}
-    return Trees(langs, rows["lang"].map(index).to_numpy(), rows["key"].to_numpy(np.int64).view(U64), rows["n"].to_numpy(np.int64))
+
+    def counts(name):
+        rows = counted.where(F.col("lang") == name).select("key", "n").toArrow()
+        return rows["key"].to_numpy().view(U64), rows["n"].to_numpy()
+
+    path = os.path.join(place := tempfile.mkdtemp(prefix="trees-"), f"{os.path.basename(place)}.bin")
+    trees = Trees(langs, counts, path)
+    docs.sparkSession.sparkContext.addFile(path)
+    return trees
 
 
 def predict(docs: DataFrame, trees: Trees | None, keep: list[str], text: str = "text") -> DataFrame:

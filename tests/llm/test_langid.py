@@ -64,3 +64,17 @@ def test_odd_rows(spark, docs, no_docs):
         assert (row.lang_pred, row.score) == ("und", 0.0)
     assert P.identify(no_docs).count() == 0
     assert set(P.identify(docs.where("lang is null")).toPandas().lang_pred) == {"und"}
+
+
+def test_rare_language_keeps_its_tree(spark):
+    """Two large languages with far more than 2^18 nodes, each seen more often than those of a rare one."""
+    rng = np.random.default_rng(5)
+    big = {lang: "".join(rng.choice(list(letters), 300_000)) for lang, letters in
+           (("xx", "abcdefghijklmnop"), ("yy", "klmnopqrstuvwxyz"))}
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(big["xx"], "xx"), (big["yy"], "yy")] * 2 + [(PROSE["fr"], "rare")])]
+    trees = P.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert trees.langs == ["rare", "xx", "yy"]
+    asked = ["le chat dans la maison du roi", big["xx"][:50], big["yy"][-50:]]
+    assert trees.lengths(asked).argmin(axis=1).tolist() == [0, 1, 2]
+    hand = by_hand({"rare": [PROSE["fr"]]}, asked[0])["rare"]
+    assert np.isclose(trees.lengths(asked)[0][0], hand, rtol=1e-5)
