@@ -551,12 +551,14 @@ def q_stream_running_accuracy(spark, sf):
     from prefloom.session import scratch_path
     from prefloom.streaming import incremental
 
-    sp = scored_pairs(spark, sf).where(F.col("model") == "lin3") \
-        .select("problem_id", "pair_rank", "r_accepted", "r_rejected")
+    sp = scored_pairs(spark, sf).select("model", "problem_id", "pair_rank", "r_accepted", "r_rejected")
     src = _stream_input(spark, sp, "stream-scored")
     out = scratch_path(spark, "stream-acc")
-    incremental.incremental_accuracy_counts(spark, src, sp.schema, out, scratch_path(spark, "stream-acc-ckpt"))
-    return incremental.running_accuracy_from_counts(spark, out)
+    incremental.incremental_accuracy_counts(spark, src, sp.schema, out, scratch_path(spark, "stream-acc-ckpt"),
+                                            group_cols=["model"])
+    parts = [incremental.running_accuracy_from_counts(spark, out, F.col("model") == m).withColumn("model", F.lit(m))
+             for m in REWARD_MODELS]
+    return reduce(DataFrame.unionByName, parts).select("model", "batch_id", "seen", "correct", "accuracy")
 
 
 def q_error_digest(spark, sf):

@@ -13,7 +13,7 @@ processes only new files (``trigger(availableNow=True)``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,20 +111,23 @@ def incremental_sft(spark: SparkSession, problems_path: str, problem_schema, com
 
 
 def incremental_accuracy_counts(spark: SparkSession, pairs_path: str, pair_schema, out: str, checkpoint: str,
-                                max_files_per_trigger: int = 1) -> str:
+                                max_files_per_trigger: int = 1, group_cols: Sequence[str] = ()) -> str:
     """Per-micro-batch pair counts of scored pairs (``r_accepted``,
-    ``r_rejected``), appended as ``batch_id=N``."""
+    ``r_rejected``) for each group, appended as ``batch_id=N``."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        acc = evaluate.pairwise_accuracy(batch).select("n_pairs", "n_correct", "n_ties")
+        acc = evaluate.pairwise_accuracy(batch, group_cols).select(*group_cols, "n_pairs", "n_correct", "n_ties")
         acc.write.mode("overwrite").parquet(_batch_path(out, batch_id))
 
     _run(problem_stream(spark, pairs_path, pair_schema, max_files_per_trigger), handle, checkpoint)
     return out
 
 
-def running_accuracy_from_counts(spark: SparkSession, counts_path: str) -> DataFrame:
-    """Accuracy after each micro-batch: running sums of the per-batch counts."""
+def running_accuracy_from_counts(spark: SparkSession, counts_path: str, where=None) -> DataFrame:
+    """Accuracy after each micro-batch: running sums of the per-batch counts
+    (of the group that the condition ``where`` names)."""
     counts = spark.read.parquet(counts_path)
+    if where is not None:
+        counts = counts.where(where)
     cum = running_sums(counts, ["batch_id"], ["n_pairs", "n_correct"])
     return cum.select("batch_id", F.col("n_pairs_cum").alias("seen"), F.col("n_correct_cum").alias("correct"),
                       (F.col("n_correct_cum") / F.col("n_pairs_cum")).alias("accuracy"))

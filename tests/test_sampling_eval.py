@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefloom.operators import evaluate, sampling, select
+from prefloom.plans import catalog
 from tests.conftest import rows
 
 
@@ -178,3 +179,12 @@ def test_length_filter_text_and_narrow_agree(spark):
                                            testdata.problems(spark, SF_MID, 8), 1024)
     b = sorted(rows(narrow, "problem_id", "pair_rank"))
     assert a == b and 0 < len(a) < wide.count()
+
+
+def test_stream_running_accuracy_has_every_model(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {r.model: (r.n_pairs, r.n_correct) for r in evaluate.pairwise_accuracy(catalog.scored_pairs(spark, sf), ["model"]).collect()}
+    last = {}
+    for r in sorted(catalog.q_stream_running_accuracy(spark, sf).collect(), key=lambda r: r.batch_id):
+        last[r.model] = (r.seen, r.correct)
+    assert set(last) == set(catalog.REWARD_MODELS) and last == want
