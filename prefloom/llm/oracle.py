@@ -87,4 +87,76 @@ FROM run LEFT JOIN fill ON run.source_rank = fill.source_rank AND run.odds = fil
                        AND run.doc_id = fill.doc_id AND run.th = fill.th
 """
 
-ORACLE_SQL = {"op6_pareto_mix": MIX, "op10_quality_table": QUALITY}
+_EDGES = """
+  SELECT * FROM (VALUES
+    -- role initial (null: any), state before, state after, letters, cost
+    (NULL, 'e', 'e', 'D', 3), (NULL, 's', 's', 'D', 3), (NULL, 'u', 'u', 'D', 3), (NULL, 'a', 'a', 'D', 3),
+    ('s', 'e', 's', 'K', 0), ('u', 'e', 'u', 'K', 0), ('u', 's', 'u', 'K', 0), ('u', 'a', 'u', 'K', 0), ('a', 'u', 'a', 'K', 0),
+    ('u', 'u', 'u', 'IK', 2), ('a', 'e', 'a', 'IK', 2), ('a', 's', 'a', 'IK', 2), ('a', 'a', 'a', 'IK', 2),
+    (NULL, 'e', 'u', 'R', 2), (NULL, 's', 'u', 'R', 2), (NULL, 'a', 'u', 'R', 2), (NULL, 'u', 'a', 'R', 2),
+    (NULL, 'u', 'u', 'IR', 4), (NULL, 'e', 'a', 'IR', 4), (NULL, 's', 'a', 'IR', 4), (NULL, 'a', 'a', 'IR', 4)
+  ) AS t(initial, before, after, letters, price)"""
+
+REPAIR = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce([b, 1, 1, 1, 1, 1, 1, 1, 1],
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS b))
+), hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(place, ''), lambda c: ascii(c)::BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS hit
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place
+        FROM conversations), crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hit, (SELECT unnest([1, 2]) AS copy) WHERE hit <> 0 AND (copy = 1 OR hit = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         left(role, 1) AS initial, right(rtrim(text, E' \t\n\x0b\x0c\r'), 1) AS ending FROM damaged
+), coded AS (
+  SELECT *, ending = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         ending NOT IN ('.', '!', '?') AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+         count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM coded GROUP BY conv_id
+), edges AS ({_EDGES}
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 'e' AS state, {{'cost': 0, 'audit': '', 'rows': ''}} AS best FROM counted
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, e.after, min({{
+      'cost': w.best.cost + e.price + CASE WHEN e.letters <> 'D' AND c.cut THEN 1 ELSE 0 END,
+      'audit': w.best.audit || e.letters,
+      'rows': w.best.rows
+        || CASE WHEN e.letters LIKE 'I%' THEN CASE WHEN w.state = 'u' THEN 'assistant:' ELSE 'user:' END || chr(10) ELSE '' END
+        || CASE WHEN e.letters = 'D' THEN ''
+                WHEN e.letters LIKE '%K' THEN c.role || ':' || c.text || chr(10)
+                WHEN e.after = 'u' THEN 'user:' || c.text || chr(10) ELSE 'assistant:' || c.text || chr(10) END}})
+  FROM walk w JOIN coded c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i + 1
+              JOIN edges e ON e.before = w.state AND (e.initial IS NULL OR e.initial = c.initial)
+                          AND (e.letters = 'D' OR NOT (c.blank OR c.again))
+  GROUP BY w.conv_id, w.i, e.after
+), closed AS (
+  SELECT w.conv_id, min({{
+      'cost': w.best.cost + CASE state WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END,
+      'audit': w.best.audit || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+      'rows': w.best.rows || CASE state WHEN 's' THEN 'user:' || chr(10) || 'assistant:' || chr(10)
+                                        WHEN 'u' THEN 'assistant:' || chr(10) ELSE '' END}}) AS best
+  FROM walk w JOIN counted n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = n.n GROUP BY w.conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+       coalesce(best.audit, '') AS audit,
+       sha256(coalesce(left(best.rows, greatest(length(best.rows) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN closed c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLE_SQL = {"op6_pareto_mix": MIX, "op10_quality_table": QUALITY, "op11_conversation_repair": REPAIR}

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefloom.llm import (bpe_lexicon, fast_minhash, html_ratio, pareto_mix, pii_disclosure, ppm_langid, quality_table,
+from prefloom.llm import (bpe_lexicon, conversation_repair, fast_minhash, html_ratio, pareto_mix, pii_disclosure, ppm_langid, quality_table,
                           rans_output, rp_forest, sparse_suffix)
 from prefloom.sources.tables import read_table
 
@@ -62,6 +62,11 @@ def op10_quality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(read_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(damaged, present=F.col("present"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,4 +75,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe_lexicon, op2_ppm_langid, op3_sparse_suffix, op4_rans_output, op5_rp_forest, op6_pareto_mix, op7_fast_minhash,
-    op8_html_ratio, op9_pii_disclosure, op10_quality_table, pipeline)}
+    op8_html_ratio, op9_pii_disclosure, op10_quality_table, op11_conversation_repair, pipeline)}
