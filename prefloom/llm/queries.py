@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.llm import (bpe_lexicon, conversation_repair, fast_minhash, html_ratio, pareto_mix, pii_disclosure, ppm_langid, quality_table,
-                          rans_output, rp_forest, sparse_suffix)
+                          rans_output, rp_forest, sparse_suffix, token_counts)
 from prefloom.sources.tables import read_table
 
 
@@ -67,6 +67,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(damaged, present=F.col("present"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,4 +79,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe_lexicon, op2_ppm_langid, op3_sparse_suffix, op4_rans_output, op5_rp_forest, op6_pareto_mix, op7_fast_minhash,
-    op8_html_ratio, op9_pii_disclosure, op10_quality_table, op11_conversation_repair, pipeline)}
+    op8_html_ratio, op9_pii_disclosure, op10_quality_table, op11_conversation_repair,
+    op12_token_counts, pipeline)}
