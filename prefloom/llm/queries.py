@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.llm import (bpe_lexicon, conversation_repair, fast_minhash, html_ratio, pareto_mix, pii_disclosure, ppm_langid, quality_table,
-                          rans_output, rp_forest, sparse_suffix, token_counts)
+                          rans_output, rp_forest, sparse_suffix, spelling_variants, token_counts)
 from prefloom.sources.tables import read_table
 
 
@@ -71,6 +71,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants.misspelt(spelling_variants.runs(read_table(spark, sf_dir, "documents")))
+    return spelling_variants.group_variants(spelling_variants.vocabulary(found))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,4 +85,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_bpe_lexicon, op2_ppm_langid, op3_sparse_suffix, op4_rans_output, op5_rp_forest, op6_pareto_mix, op7_fast_minhash,
     op8_html_ratio, op9_pii_disclosure, op10_quality_table, op11_conversation_repair,
-    op12_token_counts, pipeline)}
+    op12_token_counts, op13_spelling_variants, pipeline)}
