@@ -12,50 +12,77 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prefloom.functions.text import _col, extract_boxed, py_strip
-
-def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn`` of a value that is computed once: inside a lambda it is a
-    variable, where a plain column expression would be repeated at each use."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
+from prefloom.functions.text import _col, bound, extract_boxed, py_strip
 
 
 # -- rational numbers ---------------------------------------------------------
 
 _DEC = r"^-?[0-9]+(\.[0-9]+)?$"
 _THOUSANDS = r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
-_FRAC_TEX = r"^\\[dt]?frac\{(-?[0-9]{1,18})\}\{(-?[0-9]{1,18})\}$"
-_FRAC_SLASH = r"^(-?[0-9]{1,18})/(-?[0-9]{1,18})$"
-_MAX_DIGITS = 18
+_FRACTION = r"^(?:(-?)\\[dt]?frac\{(-?[0-9]+)\}\{(-?[0-9]+)\}|(-?[0-9]+)/(-?[0-9]+))$"
+#: Digits of a limb: products of limbs can be summed 9 million times in a long.
+_LIMB = 6
+#: Digits a side up to which products fit a decimal.
+_SHORT = 18
 
 
 def parse_rational(c) -> Column:
-    """Exact value of a number as ``struct<num decimal(18,0), den decimal(18,0)>``.
+    """Exact value of a number as ``struct<neg boolean, num string, den string>``
+    (digits without sign or leading zeros; any length).
 
-    Accepts integers and decimals (up to 18 digits), thousands separators
-    (``1,000``), ``\\frac{a}{b}`` / ``\\dfrac`` / ``\\tfrac`` and ``a/b`` of
-    integers. Anything else is null: this is the numeric part of answer
-    equality only, not a computer-algebra system.
+    Accepts integers and decimals, thousands separators (``1,000``),
+    ``\\frac{a}{b}`` / ``\\dfrac`` / ``\\tfrac`` and ``a/b`` of integers.
+    Anything else, and a zero denominator, is null: this is the numeric part
+    of answer equality only, not a computer-algebra system.
     """
+    def digits(x):
+        return F.regexp_replace(x, r"^-?0*(?=[0-9])", "")
+
+    def parsed(s):
+        ip, fp = F.regexp_extract(s, r"^-?([0-9]+)", 1), F.regexp_extract(s, r"\.([0-9]+)$", 1)
+        decimal = F.struct(s.startswith("-").alias("neg"), digits(F.concat(ip, fp)).alias("num"),
+                           F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(fp))).alias("den"))
+        num = F.concat(F.regexp_extract(s, _FRACTION, 2), F.regexp_extract(s, _FRACTION, 4))
+        den = F.concat(F.regexp_extract(s, _FRACTION, 3), F.regexp_extract(s, _FRACTION, 5))
+        neg = (num.startswith("-") != den.startswith("-")) != (F.regexp_extract(s, _FRACTION, 1) == "-")
+        fraction = F.struct(neg.alias("neg"), digits(num).alias("num"), digits(den).alias("den"))
+        return F.when(s.rlike(_DEC), decimal).when(s.rlike(_FRACTION) & (digits(den) != "0"), fraction)
+
     s = _col(c)
-    s = F.when(s.rlike(_THOUSANDS), F.regexp_replace(s, ",", "")).otherwise(s)
-    neg = s.startswith("-")
-    ip = F.regexp_extract(s, r"^-?([0-9]+)", 1)
-    fp = F.regexp_extract(s, r"\.([0-9]+)$", 1)
-    digits = F.concat(ip, fp)
-    dec_ok = s.rlike(_DEC) & (F.length(digits) <= _MAX_DIGITS)
-    dec_num = F.when(neg, -digits.try_cast("decimal(18,0)")).otherwise(digits.try_cast("decimal(18,0)"))
-    dec_den = F.concat(F.lit("1"), F.repeat(F.lit("0"), F.length(fp))).try_cast("decimal(18,0)")
+    return bound(F.when(s.rlike(_THOUSANDS), F.regexp_replace(s, ",", "")).otherwise(s), parsed)
+
+
+def _limbs(digits: Column) -> Column:
+    """An integer's digits as limbs of ``_LIMB`` digits, the lowest first."""
+    size = F.ceil(F.length(digits) / F.lit(_LIMB)).cast("int") * _LIMB
+    cut = F.regexp_extract_all(F.lpad(digits, size, F.lit("0")), F.lit(f"[0-9]{{{_LIMB}}}"), F.lit(0))
+    return F.transform(F.reverse(cut), lambda x: x.cast("long"))
+
+
+def _times(x: Column, y: Column) -> Column:
+    """Product of two integers in limbs, without carries."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(x) + F.size(y) - 2),
+        lambda k: F.aggregate(F.sequence(F.greatest(k - F.size(y) + 1, F.lit(0)), F.least(k, F.size(x) - 1)), F.lit(0).cast("long"),
+                              lambda total, i: total + F.get(x, i) * F.get(y, k - i)))
+
+
+def _long_products_equal(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether a * b = c * d, for digit strings of any length: the limbs'
+    differences must all go into carries, the last of which is zero."""
+    base = F.lit(10 ** _LIMB).cast("long")
+    state = F.struct(F.lit(0).cast("long").alias("carry"), F.lit(True).alias("same"))
+
+    def step(s, gap):
+        t = s["carry"] + gap  # a multiple of the base if equal so far; its quotient is below 2^53
+        return F.struct(F.rint((t - t % base) / base).cast("long").alias("carry"), (s["same"] & (t % base == 0)).alias("same"))
 
-    tex_ok = s.rlike(_FRAC_TEX)
-    sl_ok = s.rlike(_FRAC_SLASH)
-    fr_num = F.when(tex_ok, F.regexp_extract(s, _FRAC_TEX, 1)).otherwise(F.regexp_extract(s, _FRAC_SLASH, 1))
-    fr_den = F.when(tex_ok, F.regexp_extract(s, _FRAC_TEX, 2)).otherwise(F.regexp_extract(s, _FRAC_SLASH, 2))
-    fr_ok = (tex_ok | sl_ok) & (fr_den.try_cast("decimal(18,0)") != 0)
+    def compared(v):
+        gaps = F.zip_with(_times(v["a"], v["b"]), _times(v["c"], v["d"]),
+                          lambda p, q: F.coalesce(p, F.lit(0).cast("long")) - F.coalesce(q, F.lit(0).cast("long")))
+        return F.aggregate(gaps, state, step, lambda s: s["same"] & (s["carry"] == 0))
 
-    num = F.when(dec_ok, dec_num).when(fr_ok, fr_num.try_cast("decimal(18,0)"))
-    den = F.when(dec_ok, dec_den).when(fr_ok, fr_den.try_cast("decimal(18,0)"))
-    return F.when(num.isNotNull(), F.struct(num.alias("num"), den.alias("den")))
+    return bound(F.struct(*[_limbs(x).alias(n) for x, n in ((a, "a"), (b, "b"), (c, "c"), (d, "d"))]), compared)
 
 
 def canonical_decimal(c) -> Column:
@@ -71,13 +98,27 @@ def canonical_decimal(c) -> Column:
 def rational_equal(a, b) -> Column:
     """True iff both are the same number; false (not null) otherwise.
 
-    Decimals compare by their shortest form, at any length. Where a side is a
-    fraction, both are cross-multiplied: exact for up to 18 digits a side
-    (``decimal(37,0)``); longer fractions are equal as strings only.
+    Two decimals compare by their shortest form. Where a side is a fraction,
+    both are cross-multiplied exactly: as decimals for up to 18 digits a part,
+    limb by limb beyond, at any length.
     """
-    ra, rb = parse_rational(a), parse_rational(b)
-    eq = (ra["num"] * rb["den"]) == (rb["num"] * ra["den"])
-    return F.coalesce(canonical_decimal(a) == canonical_decimal(b), F.lit(False)) | F.coalesce(eq, F.lit(False))
+    def crossed(v):
+        x, y = v["x"], v["y"]
+        parts = (x["num"], y["den"], y["num"], x["den"])
+        short = F.greatest(*[F.length(p) for p in parts]) <= _SHORT
+        p, q, r, t = [part.try_cast(f"decimal({_SHORT},0)") for part in parts]
+        zero = (x["num"] == "0") & (y["num"] == "0")
+        return zero | ((x["neg"] == y["neg"]) & F.when(short, p * q == r * t).otherwise(_long_products_equal(*parts)))
+
+    def compared(v):
+        both = v["p"].isNotNull() & v["q"].isNotNull()
+        fraction = v["a"].rlike(_FRACTION) | v["b"].rlike(_FRACTION)
+        return F.when(both, v["p"] == v["q"]).when(fraction, bound(
+            F.struct(parse_rational(v["a"]).alias("x"), parse_rational(v["b"]).alias("y")), crossed))
+
+    a, b = _col(a), _col(b)
+    sides = F.struct(a.alias("a"), b.alias("b"), canonical_decimal(a).alias("p"), canonical_decimal(b).alias("q"))
+    return F.coalesce(bound(sides, compared), F.lit(False))
 
 
 # -- math ---------------------------------------------------------------------

@@ -46,33 +46,55 @@ def py_strip(c) -> Column:
     return F.trim(_col(c), F.lit(PY_WHITESPACE_CHARS))
 
 
-def _balanced_boxes(t: Column) -> Column:
-    """All boxes that close, as ``array<struct<start, size>>`` of their contents.
+def bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once: inside a lambda it is a
+    variable, where a plain column expression would be repeated at each use."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
 
-    The text is cut after each brace; a fold over the pieces keeps the starts
-    of the braces that are open (0 for a brace that opens no box)."""
-    cut = F.regexp_extract_all(t, F.lit(r"([^{}]*+[{}])"), F.lit(1))
-    boxes = "array<struct<start:int,size:int>>"
-    state = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("open"), F.array().cast(boxes).alias("found"))
+
+def _box_opening(pieces: Column, which: str) -> Column:
+    """Number (from 1) of the piece that ends in the first or last box brace
+    that closes, 0 if none does.
+
+    Read from the end, a brace that opens closes if a closing brace behind it
+    is still free; so the state is three numbers, whatever the depth."""
+    state = F.struct(F.size(pieces).alias("at"), F.lit(0).alias("free"), F.lit(0).alias("box"))
 
     def step(a, piece):
-        at = a["at"] + F.length(piece)
-        top = F.coalesce(F.try_element_at(a["open"], F.lit(-1)), F.lit(0))
-        opened = F.concat(a["open"], F.array(F.when(piece.endswith(BOX), at).otherwise(F.lit(0))))
-        rest = F.slice(a["open"], 1, F.greatest(F.size(a["open"]) - 1, F.lit(0)))
-        box = F.array(F.struct(top.alias("start"), (at - 1 - top).alias("size")))
         opens = piece.endswith("{")
-        return F.struct(at.alias("at"), F.when(opens, opened).otherwise(rest).alias("open"),
-                        F.when(~opens & (top > 0), F.concat(a["found"], box)).otherwise(a["found"]).cast(boxes).alias("found"))
+        closes = opens & (a["free"] > 0) & piece.endswith(BOX)
+        if which == "last":
+            closes = closes & (a["box"] == 0)
+        return F.struct((a["at"] - 1).alias("at"),
+                        F.when(~opens, a["free"] + 1).otherwise(F.greatest(a["free"] - 1, F.lit(0))).alias("free"),
+                        F.when(closes, a["at"]).otherwise(a["box"]).alias("box"))
 
-    return F.aggregate(cut, state, step, lambda a: a["found"])
+    return F.aggregate(F.reverse(pieces), state, step, lambda a: a["box"])
+
+
+def _until_closed(pieces: Column) -> Column:
+    """Number of pieces up to the brace that closes one opened before them."""
+    state = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+
+    def step(a, piece):
+        depth = a["depth"] + F.when(piece.endswith("{"), 1).otherwise(-1)
+        return F.when(a["depth"] == 0, a).otherwise(F.struct(depth.alias("depth"), (a["n"] + 1).alias("n")))
+
+    return F.aggregate(pieces, state, step, lambda a: a["n"])
 
 
 def _balanced(t: Column, which: str) -> Column:
-    """The first (or last) box whose brace closes, null if there is none."""
-    boxes = F.slice(F.sort_array(_balanced_boxes(t), which == "first"), 1, 1)
-    text = F.transform(boxes, lambda b: F.substr(t, b["start"], b["size"]))
-    return F.when(t.contains(BOX), F.try_element_at(text, F.lit(1)))
+    """The first (or last) box whose brace closes, null if there is none.
+
+    The text is cut after each brace; two folds over the pieces, each with a
+    state of fixed size, find the box and its end: linear in the braces."""
+    def content(pieces):
+        return bound(_box_opening(pieces, which), lambda box: F.when(box > 0, bound(
+            F.slice(pieces, box + 1, F.size(pieces)),
+            lambda rest: F.regexp_replace(F.array_join(F.slice(rest, 1, _until_closed(rest)), ""), r"\}\z", ""))))
+
+    cut = F.regexp_extract_all(t, F.lit(r"([^{}]*+[{}])"), F.lit(1))
+    return F.when(t.contains(BOX), bound(cut, content))
 
 
 def extract_boxed(c, mode: str = "first_brace", which: str = "first") -> Column:

@@ -1,5 +1,8 @@
 """Golden rows for the scalar functions (FIXTURES.md part 3)."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from prefloom.functions import scoring, text
@@ -111,3 +114,54 @@ def test_math_score_with_cas(spark):
 
     got = sorted(rows(scoring.math_score_with_cas(df, cas), "id", "correct"))
     assert got == [(0, True), (1, True), (2, False)]
+
+
+def test_fractions_of_any_length(spark):
+    rng = random.Random(4)
+    cases = []
+    for size in (1, 5, 17, 18, 19, 20, 40, 41, 300):
+        for _ in range(6):
+            n, d, k = (rng.randrange(10 ** (size - 1), 10 ** size) for _ in range(3))
+            sign = rng.choice(["", "-"])
+            cases.append((f"{sign}{n}/{d}", f"{sign}\\frac{{{n * k}}}{{{d * k}}}", True))
+            cases.append((f"{n}/{d}", f"\\dfrac{{-{n * k}}}{{-{d * k}}}", True))
+            cases.append((f"{n}/{d}", f"{n * k + 1}/{d * k}", False))
+            cases.append((f"{n}/{d}", f"-{n}/{d}", False))
+            cases.append((f"{n}.{d}", f"{n}{d}/1{'0' * len(str(d))}", True))
+            cases.append((f"{n}.{d}", f"{n}{d}/1{'0' * (len(str(d)) + 1)}", False))
+    cases += [("0/5", "0.00", True), ("-0/7", "0", True), ("0/9", "1/9", False), ("1/0", "1/0", False), ("0" * 50 + "1/3", "2/6", True),
+              ("1/" + "0" * 30, "1", False), (None, "1/2", False), ("1/2", None, False)]
+    df = spark.createDataFrame(cases, "a string, b string, e boolean")
+    got = df.select("a", "b", "e", scoring.rational_equal("a", "b").alias("g")).where("g <> e OR g IS NULL").collect()
+    assert got == []
+
+
+def test_boxes_against_a_stack(spark):
+    rng = random.Random(9)
+    vals = ["".join(rng.choices(["{", "}", "\\boxed{", "a", " "], k=rng.randrange(30))) for _ in range(400)]
+
+    def by_hand(t, last):
+        found, open_ = [], []
+        for i, ch in enumerate(t):
+            if ch == "{":
+                open_.append(i + 1 if t[:i + 1].endswith("\\boxed{") else 0)
+            elif ch == "}" and open_:
+                start = open_.pop()
+                if start:
+                    found.append((start, t[start:i]))
+        return (sorted(found)[-1 if last else 0][1] if found else t).strip()
+
+    for which in ("first", "last"):
+        assert _one(spark, vals, lambda d: text.extract_boxed(d.a, "balanced", which)) == [by_hand(v, which == "last") for v in vals]
+
+
+def test_a_million_braces(spark):
+    n = 250_000
+    deep = "\\boxed{" + "{}" * n + "{" * n + "}" * n + "} tail"
+    df = spark.createDataFrame([(deep,)], "a string").repartition(1).persist()
+    df.count()
+    out = df.select(F.length(text.extract_boxed("a", "balanced")).alias("n"))
+    out.collect()
+    start = time.time()
+    assert out.collect()[0][0] == 4 * n
+    assert time.time() - start < 10  # alone about a second; a fold that copies its stack takes minutes
