@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefloom.functions.text import count_tokens
-from prefloom.operators.sampling import batch_ids, running_sums
+from prefloom.operators.sampling import batch_ids, join_same, running_sums
 
 
 def _flags(chosen: str, rejected: str):
@@ -53,22 +53,31 @@ def accuracy_matrix(scored_pairs: DataFrame, row: str = "model", col: str = "dom
 
 def running_accuracy(scored_pairs: DataFrame, order_cols: Sequence[str], batch_size: int,
                      chosen: str = "r_accepted", rejected: str = "r_rejected",
-                     every: int = 1) -> DataFrame:
-    """Accuracy after each batch (every ``every``-th batch and the last).
+                     every: int = 1, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Accuracy after each batch (every ``every``-th batch and the last), per
+    group of ``group_cols`` (the models of an evaluation, say) in one plan.
 
     Pairs are numbered in ``order_cols`` order (distributed positions),
     counted per batch, and the per-batch counts are summed in batch order
     with a distributed running sum.
     """
+    groups = list(group_cols)
     win, _ = _flags(chosen, rejected)
-    b = batch_ids(scored_pairs, order_cols, batch_size)
-    per = b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(win).alias("n_correct"))
-    cum = running_sums(per, ["batch_id"], ["n_pairs", "n_correct"])
-    out = cum
+    b = batch_ids(scored_pairs, order_cols, batch_size, groups)
+    per = b.groupBy(*groups, "batch_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(win).alias("n_correct"))
+    return accuracy_from_counts(per, every, groups)
+
+
+def accuracy_from_counts(per: DataFrame, every: int = 1, group_cols: Sequence[str] = ()) -> DataFrame:
+    """``batch_id, seen, correct, accuracy`` after each batch, from its counts
+    ``n_pairs`` and ``n_correct`` (per group; every ``every``-th and the last)."""
+    groups = list(group_cols)
+    out = running_sums(per, ["batch_id"], ["n_pairs", "n_correct"], group_cols=groups)
     if every > 1:  # log every `every`-th batch and the last one
-        last = cum.agg(F.max("batch_id")).scalar()
-        out = cum.where((F.col("batch_id") % every == 0) | (F.col("batch_id") == last))
-    return out.select("batch_id", F.col("n_pairs_cum").alias("seen"), F.col("n_correct_cum").alias("correct"),
+        last = per.groupBy(*groups).agg(F.max("batch_id").alias("_last"))
+        out = join_same(out, last, groups) if groups else out.crossJoin(F.broadcast(last))  # one row
+        out = out.where((F.col("batch_id") % every == 0) | (F.col("batch_id") == F.col("_last")))
+    return out.select(*groups, "batch_id", F.col("n_pairs_cum").alias("seen"), F.col("n_correct_cum").alias("correct"),
                       (F.col("n_correct_cum") / F.col("n_pairs_cum")).alias("accuracy"))
 
 

@@ -26,11 +26,12 @@ MATH_CAP = 4
 CODE_CAP = 16
 MAX_TOKENS = 1024
 EVAL_BATCH = 8
-SELECT_WINDOW = 400
-SELECT_K = 50
-SOURCES = [("src0", 1.0), ("src1", 0.5), ("src2", 0.25)]
-MIX_MAX_EXAMPLES = 70
-SUBSET_SIZES = (100, 200, 300)
+# Sizes of samples follow the tables: one row in so many.
+SELECT_WINDOW = 2
+SELECT_K = 16
+MIX_EXAMPLES = 4
+SUBSETS = (8, 4, 2)
+SOURCE_RATIOS = (1.0, 0.5, 0.25)  # of the sources in order of their names, repeating
 FAN_OUT = 4
 REWARD_MODELS = {"lin3": 3, "lin5": 5}
 
@@ -121,15 +122,19 @@ def q_pair_count_by_problem16(spark, sf):
 # -- sampling ---------------------------------------------------------------------------
 
 def q_mix_sources_by_ratio(spark, sf):
-    docs = read_table(spark, sf, "documents")
-    srcs = [(name, docs.where(F.col("source") == name).select("doc_id"), ratio) for name, ratio in SOURCES]
-    mixed = sampling.mix_sources(srcs, MIX_MAX_EXAMPLES, SEED, ["doc_id"], strict=False)
+    """A quarter as many documents as there are, from all sources."""
+    docs = read_table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_name"))
+    sizes = docs.where("source_name IS NOT NULL").groupBy("source_name").count().collect()  # a row for each source
+    names = sorted(r[0] for r in sizes)
+    ratios = {n: SOURCE_RATIOS[i % len(SOURCE_RATIOS)] for i, n in enumerate(names)}
+    mixed = sampling.mix_by_source(docs, ratios, sum(r["count"] for r in sizes) // MIX_EXAMPLES, SEED, ["doc_id"], strict=False)
     return mixed.select("source_name", "doc_id", F.col("sample_rank").cast("int").alias("sample_rank"))
 
 
 def q_nested_subsets(spark, sf):
-    p = _pairs8(spark, sf).select("problem_id", "pair_rank")
-    s = sampling.nested_subsets(p, SUBSET_SIZES, SEED, ["problem_id", "pair_rank"])
+    p = reliable_checkpoint(_pairs8(spark, sf).select("problem_id", "pair_rank"))
+    n = p.count()
+    s = sampling.nested_subsets(p, [n // part for part in SUBSETS], SEED, ["problem_id", "pair_rank"])
     return s.select("problem_id", "pair_rank", F.col("subset_rank").cast("int").alias("subset_rank"),
                     "subset_size")
 
@@ -287,17 +292,15 @@ def q_running_accuracy_every10(spark, sf):
     return _running(spark, sf, 10)
 
 
-def _each_model(sp, fn):
-    """``fn`` on the pairs of each reward model, with the model's name."""
-    return reduce(DataFrame.unionByName, [
-        fn(sp.where(F.col("model") == m)).withColumn("model", F.lit(m)) for m in REWARD_MODELS])
+def _ordered_pairs(spark, sf):
+    """Scored pairs of all models with the seeded order of the evaluation."""
+    sp = reliable_checkpoint(scored_pairs(spark, sf).select("model", "problem_id", "pair_rank", "r_accepted", "r_rejected"))
+    return sp.withColumn("_key", shuffle_key(SEED, "problem_id", "pair_rank"))
 
 
 def _running(spark, sf, every):
-    sp = reliable_checkpoint(scored_pairs(spark, sf).select("model", "problem_id", "pair_rank", "r_accepted", "r_rejected"))
-    sp = sp.withColumn("_key", shuffle_key(SEED, "problem_id", "pair_rank"))
-    out = _each_model(sp, lambda x: evaluate.running_accuracy(
-        x, ["_key", "problem_id", "pair_rank"], EVAL_BATCH, every=every))
+    out = evaluate.running_accuracy(_ordered_pairs(spark, sf), ["_key", "problem_id", "pair_rank"], EVAL_BATCH, every=every,
+                                    group_cols=["model"])
     return out.select("model", "batch_id", "seen", "correct", _r6("accuracy"))
 
 
@@ -309,8 +312,11 @@ def q_eval_matrix(spark, sf):
 def _selection(spark, sf, part, keep_unseen=False):
     """Part 0 (selected) or 1 (rest) of each reward model's selection."""
     pool = reliable_checkpoint(scored_pairs(spark, sf).select("model", "problem_id", "pair_rank", "r_accepted", "r_rejected"))
-    return _each_model(pool, lambda x: select.active_selection(
-        x.drop("model"), SELECT_K, SELECT_WINDOW, SEED, ["problem_id", "pair_rank"], keep_unseen=keep_unseen)[part])
+    sizes = {r["model"]: r["count"] for r in pool.groupBy("model").count().collect()}
+    return reduce(DataFrame.unionByName, [
+        select.active_selection(pool.where(F.col("model") == m).drop("model"), sizes.get(m, 0) // SELECT_K, sizes.get(m, 0) // SELECT_WINDOW,
+                                SEED, ["problem_id", "pair_rank"], keep_unseen=keep_unseen)[part].withColumn("model", F.lit(m))
+        for m in REWARD_MODELS])
 
 
 def q_active_selected(spark, sf):
@@ -353,9 +359,7 @@ def q_active_rest_keep_unseen(spark, sf):
 
 
 def q_eval_batches(spark, sf):
-    sp = reliable_checkpoint(scored_pairs(spark, sf).select("model", "problem_id", "pair_rank"))
-    sp = sp.withColumn("_key", shuffle_key(SEED, "problem_id", "pair_rank"))
-    b = _each_model(sp, lambda x: sampling.batch_ids(x, ["_key", "problem_id", "pair_rank"], EVAL_BATCH))
+    b = sampling.batch_ids(_ordered_pairs(spark, sf), ["_key", "problem_id", "pair_rank"], EVAL_BATCH, ["model"])
     return b.select("model", "problem_id", "pair_rank", "batch_id")
 
 
@@ -471,14 +475,38 @@ def q_train_pairwise_reward(spark, sf):
     return spark.createDataFrame([(i + 1, x) for i, x in enumerate(w)], "dim int, weight double")
 
 
-def q_active_rounds(spark, sf):
+def _rounds(spark, sf):
+    """Three rounds on the whole pool: its own pairs, its metrics, and where they are written."""
     from prefloom.plans import active
+    from prefloom.session import scratch_path
 
-    pe = pairs_with_embeddings(spark, sf)
+    out = scratch_path(spark, "active")
+    pe = reliable_checkpoint(pairs_with_embeddings(spark, sf))
     pool, held_out = active.split_by_problem(pe, 0.2, SEED)
-    return active.active_rounds(spark, pool, held_out, ["problem_id", "pair_rank"],
-                                model.rule_weights(64, 3), rounds=3, k=SELECT_K,
-                                max_to_look_at=SELECT_WINDOW, seed=SEED)
+    n = pool.count()
+    metrics = active.active_rounds(spark, pool, held_out, ["problem_id", "pair_rank"], model.rule_weights(64, 3), rounds=3,
+                                   k=max(1, n // SELECT_K), max_to_look_at=n // SELECT_WINDOW, seed=SEED, out_root=out)
+    return metrics, out
+
+
+def q_active_rounds(spark, sf):
+    return _rounds(spark, sf)[0]
+
+
+def q_active_round_sizes(spark, sf):
+    """What each round trained on, looked at and left, and how many pairs it
+    trained on that an earlier round had or that it left (none)."""
+    metrics, out = _rounds(spark, sf)
+    keys = ["problem_id", "pair_rank"]
+    rounds = [r[0] for r in metrics.select("round").collect()]
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(f"{out}/round={r}").select(*keys, "split", F.lit(r).alias("round"))
+                                          for r in rounds])
+    train = rows.where("split = 'train'").select(*keys, "round")
+    other = rows.select(*keys, F.col("round").alias("_r"), F.col("split").alias("_s"))
+    clash = (train.join(other, keys).where("(_s = 'train' AND _r < round) OR (_s = 'rest' AND _r = round)")
+             .groupBy("round").agg(F.count(F.lit(1)).alias("n_shared")))
+    return metrics.join(clash, "round", "left").select("round", "n_train", "n_eval", "n_rest",
+                                                       F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
 
 
 def q_generate_completions(spark, sf):
@@ -548,17 +576,18 @@ def q_stream_sft(spark, sf):
 
 
 def q_stream_running_accuracy(spark, sf):
+    """Accuracy after each evaluation batch, from a stream whose files hold
+    pairs of any batches: the counts are the stream's state."""
     from prefloom.session import scratch_path
     from prefloom.streaming import incremental
 
-    sp = scored_pairs(spark, sf).select("model", "problem_id", "pair_rank", "r_accepted", "r_rejected")
-    src = _stream_input(spark, sp, "stream-scored")
+    b = sampling.batch_ids(_ordered_pairs(spark, sf), ["_key", "problem_id", "pair_rank"], EVAL_BATCH, ["model"])
+    b = b.select("model", "batch_id", "r_accepted", "r_rejected")
+    src = _stream_input(spark, b, "stream-scored")
     out = scratch_path(spark, "stream-acc")
-    incremental.incremental_accuracy_counts(spark, src, sp.schema, out, scratch_path(spark, "stream-acc-ckpt"),
-                                            group_cols=["model"])
-    parts = [incremental.running_accuracy_from_counts(spark, out, F.col("model") == m).withColumn("model", F.lit(m))
-             for m in REWARD_MODELS]
-    return reduce(DataFrame.unionByName, parts).select("model", "batch_id", "seen", "correct", "accuracy")
+    incremental.streaming_accuracy(spark, src, b.schema, out, scratch_path(spark, "stream-acc-ckpt"), ["model"])
+    counts = incremental.latest_counts(spark, out, ["model"])
+    return evaluate.accuracy_from_counts(counts, group_cols=["model"]).select("model", "batch_id", "seen", "correct", _r6("accuracy"))
 
 
 def q_error_digest(spark, sf):
@@ -572,6 +601,7 @@ ROWS_ONLY = {
     "error_digest": q_error_digest,
     "train_pairwise_reward": q_train_pairwise_reward,
     "active_rounds": q_active_rounds,
+    "active_round_sizes": q_active_round_sizes,
     "generate_completions": q_generate_completions,
     "code_run_responses": q_code_run_responses,
     "reward_model_scores": q_reward_model_scores,

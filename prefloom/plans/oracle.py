@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from prefloom.functions.text import PY_WHITESPACE_CHARS, WS_CLASS_BODY
 from prefloom.operators import prompts
-from prefloom.operators.sampling import source_shares
 from prefloom.plans import catalog as C
 from prefloom.sources import testdata as T
 
@@ -236,10 +235,11 @@ def selection_ctes() -> str:
     return f"""{scored_pairs_ctes()},
 pool AS (SELECT model, problem_id, pair_rank, r_accepted, r_rejected FROM sp),
 win AS (SELECT *, abs(r_accepted - r_rejected) AS gap FROM pool
-  QUALIFY row_number() OVER (PARTITION BY model ORDER BY {key}, problem_id, pair_rank) <= {C.SELECT_WINDOW}),
+  QUALIFY row_number() OVER (PARTITION BY model ORDER BY {key}, problem_id, pair_rank)
+    <= count(*) OVER (PARTITION BY model) // {C.SELECT_WINDOW}),
 keyed AS (SELECT *, {g} AS gkey FROM win),
 sel AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY gkey DESC, problem_id, pair_rank) AS select_rank
-  FROM keyed QUALIFY select_rank <= {C.SELECT_K})"""
+  FROM keyed QUALIFY select_rank <= (SELECT count(*) FROM pool p WHERE p.model = keyed.model) // {C.SELECT_K})"""
 
 
 def _sql() -> dict[str, str]:
@@ -274,19 +274,19 @@ nr AS (SELECT problem_id, count(*) AS n_responses FROM c16 GROUP BY problem_id)
 SELECT nr.problem_id, nr.n_responses, CAST(coalesce(np.n, 0) AS DECIMAL(38,0)) AS n_pairs_all,
   least(coalesce(np.n, 0), {C.CODE_CAP}) AS n_pairs_kept FROM nr LEFT JOIN np USING (problem_id)"""
 
-    shares = source_shares(C.MIX_MAX_EXAMPLES, [r for _, r in C.SOURCES])
-    parts = []
-    for (name, _), n in zip(C.SOURCES, shares):
-        parts.append(f"""SELECT * FROM (SELECT '{name}' AS source_name, doc_id,
-  CAST(row_number() OVER (ORDER BY {skey(C.SEED, 'doc_id')}, doc_id) AS INTEGER) AS sample_rank
-  FROM documents WHERE source = '{name}') WHERE sample_rank <= {n}""")
-    q["mix_sources_by_ratio"] = "\nUNION ALL\n".join(parts)
-    sizes = sorted(C.SUBSET_SIZES)
-    case = "CASE " + " ".join(f"WHEN subset_rank <= {s} THEN {s}" for s in sizes) + " END"
+    ratio = "[" + ", ".join(f"{r}::DOUBLE" for r in C.SOURCE_RATIOS) + "]"
+    q["mix_sources_by_ratio"] = f"""WITH n AS (
+  SELECT source, {ratio}[(row_number() OVER (ORDER BY source) - 1) % {len(C.SOURCE_RATIOS)} + 1] AS ratio, count(*) AS n
+  FROM documents WHERE source IS NOT NULL GROUP BY source),
+quota AS (SELECT source, floor((sum(n) OVER () // {C.MIX_EXAMPLES}) * ratio / sum(ratio) OVER ()) AS quota FROM n)
+SELECT source AS source_name, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY {skey(C.SEED, 'doc_id')}, doc_id) AS INTEGER)
+  AS sample_rank FROM documents JOIN quota USING (source) QUALIFY sample_rank <= quota"""
     q["nested_subsets"] = f"""WITH {R8}, {C8}, {pairs_cte('pr', 'c8', C.MATH_CAP)},
 rk AS (SELECT problem_id, pair_rank, CAST(row_number() OVER (ORDER BY {skey(C.SEED, 'problem_id', 'pair_rank')},
-  problem_id, pair_rank) AS INTEGER) AS subset_rank FROM pr)
-SELECT problem_id, pair_rank, subset_rank, {case} AS subset_size FROM rk WHERE subset_rank <= {sizes[-1]}"""
+  problem_id, pair_rank) AS INTEGER) AS subset_rank, count(*) OVER () AS n FROM pr)
+SELECT problem_id, pair_rank, subset_rank,
+  CAST(CASE {" ".join(f"WHEN subset_rank <= n // {k} THEN n // {k}" for k in C.SUBSETS)} END AS INTEGER) AS subset_size
+FROM rk WHERE subset_rank <= n // {C.SUBSETS[-1]}"""
 
     pre, post = prompts.split_template(prompts.MATH_TEMPLATE)
     q["render_prompt_math"] = f"WITH {ST} SELECT problem_id, {lit(pre)} || problem || {lit(post)} AS prompt FROM st"
@@ -350,7 +350,7 @@ b AS (SELECT model, pos // {C.EVAL_BATCH} AS batch_id, count(*) AS n,
 cum AS (SELECT model, batch_id, CAST(sum(n) OVER w AS BIGINT) AS seen, CAST(sum(c) OVER w AS BIGINT) AS correct,
   max(batch_id) OVER (PARTITION BY model) AS final FROM b WINDOW w AS (PARTITION BY model ORDER BY batch_id))
 SELECT model, batch_id, seen, correct, round(correct / seen, 6) AS accuracy FROM cum"""
-    q["running_accuracy"] = running
+    q["running_accuracy"] = q["stream_running_accuracy"] = running
     q["running_accuracy_every10"] = running + " WHERE batch_id % 10 = 0 OR batch_id = final"
     q["eval_matrix"] = f"""WITH {scored_pairs_ctes()}
 SELECT model, domain, count(*) AS n_pairs, round(avg(CAST(r_accepted > r_rejected AS DOUBLE)), 6) AS accuracy
@@ -388,6 +388,14 @@ WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.model = p.model AND w.problem_id =
 o AS (SELECT model, problem_id, pair_rank, row_number() OVER (PARTITION BY model
   ORDER BY {skey(C.SEED, 'problem_id', 'pair_rank')}, problem_id, pair_rank) - 1 AS pos FROM sp)
 SELECT model, problem_id, pair_rank, pos // {C.EVAL_BATCH} AS batch_id FROM o"""
+    q["active_round_sizes"] = f"""WITH RECURSIVE {R8}, {C8}, {pairs_cte('pr', 'c8', C.MATH_CAP)},
+n AS (SELECT count(*) FILTER (NOT held) AS pool, count(*) FILTER (held) AS held FROM (
+  SELECT {uniform(str(C.SEED) + ':split', 'problem_id')} < 0.2 AS held FROM pr)),
+rounds AS (
+  SELECT 0 AS round, greatest(1, pool // {C.SELECT_K}) AS k, pool // {C.SELECT_WINDOW} AS look, pool AS n_rest, held FROM n
+  UNION ALL
+  SELECT round + 1, k, look, least(look, n_rest) - k, held FROM rounds WHERE round < 3 AND n_rest >= k)
+SELECT round, k AS n_train, held AS n_eval, n_rest, 0::BIGINT AS n_shared FROM rounds WHERE round > 0"""
     sft_rows = f"""WITH {R8}, {P8}
 SELECT problem_id, response_idx, problem, response AS completion FROM r8 JOIN p8 USING (problem_id)"""
     q["sft_rows"] = q["stream_sft"] = sft_rows

@@ -58,6 +58,7 @@ def write_splits(splits: dict[str, DataFrame], path: str, mode: str = "overwrite
     return write_table(out, path, mode=mode, partition_by=["split"])
 
 
-def write_metrics(spark: SparkSession, records: list[dict], path: str, mode: str = "append") -> str:
-    """Append a few metric rows (a handful of driver-side numbers) as a table."""
-    return write_table(spark.createDataFrame(records), path, mode=mode)
+def write_metrics(spark: SparkSession, records: list[dict], path: str, mode: str = "append", schema=None) -> str:
+    """Append a few metric rows (a handful of driver-side numbers) as a table.
+    Give a ``schema`` where values may be null."""
+    return write_table(spark.createDataFrame(records, schema), path, mode=mode)

@@ -133,6 +133,39 @@ def running_accuracy_from_counts(spark: SparkSession, counts_path: str, where=No
                       (F.col("n_correct_cum") / F.col("n_pairs_cum")).alias("accuracy"))
 
 
+def streaming_accuracy(spark: SparkSession, pairs_path: str, pair_schema, out: str, checkpoint: str,
+                       group_cols: Sequence[str] = (), batch_col: str = "batch_id", max_files_per_trigger: int = 1) -> str:
+    """Pair counts of each evaluation batch, kept in the stream's state store.
+
+    Pairs carry the number of their evaluation batch (``sampling.batch_ids``),
+    so the counts, and the running accuracy made of them
+    (``evaluate.accuracy_from_counts`` on ``latest_counts``), do not depend on
+    which files arrive together or in what order. Each micro-batch writes the
+    counts that changed as ``update=N`` by overwrite: a replay replaces its own
+    output, and a restart with the same checkpoint goes on from the state. The
+    state is one narrow row per group and batch, spread over the shuffle
+    partitions; with the RocksDB provider it is on disk.
+    """
+    win, tie = F.col("r_accepted") > F.col("r_rejected"), F.col("r_accepted") == F.col("r_rejected")
+    counts = problem_stream(spark, pairs_path, pair_schema, max_files_per_trigger).groupBy(*group_cols, batch_col).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(win).alias("n_correct"), F.count_if(tie).alias("n_ties"))
+
+    def handle(changed: DataFrame, n: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out.rstrip('/')}/update={n}")
+
+    q = (counts.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out
+
+
+def latest_counts(spark: SparkSession, out: str, group_cols: Sequence[str] = (), batch_col: str = "batch_id") -> DataFrame:
+    """The counts after the last update of each group and batch."""
+    counts = F.struct("n_pairs", "n_correct", "n_ties")
+    return (spark.read.parquet(out).groupBy(*group_cols, F.col(batch_col).alias("batch_id"))
+            .agg(F.max_by(counts, "update").alias("_c")).select(*group_cols, "batch_id", "_c.*"))
+
+
 def pending_problems(problems: DataFrame, written: DataFrame, key: str = "problem_id") -> DataFrame:
     """Problems not yet in the output (resume by anti-join, no index
     arithmetic; duplicate keys in the output need no distinct)."""

@@ -33,10 +33,16 @@ def test_no_python_or_cartesian_in_oracle_queries(spark):
 
 def test_sampling_plans_use_top_k(spark):
     qs = E.queries()
-    plan = qs["mix_sources_by_ratio"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = qs["strict_sample"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
 
 
+def test_mixing_ranks_no_source_in_one_task(spark):
+    qs = E.queries()
+    plan = qs["mix_sources_by_ratio"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "hashpartitioning(source_name" in plan and "_slice" in plan
+
+
 def test_entry_schema_is_stable(spark):
     a, b = E.entry(spark), E.entry(spark)
     assert a.schema == b.schema
