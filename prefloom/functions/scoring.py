@@ -26,6 +26,10 @@ _LIMB = 6
 _SHORT = 18
 
 
+def _without_separators(s: Column) -> Column:
+    return F.when(s.rlike(_THOUSANDS), F.regexp_replace(s, ",", "")).otherwise(s)
+
+
 def parse_rational(c) -> Column:
     """Exact value of a number as ``struct<neg boolean, num string, den string>``
     (digits without sign or leading zeros; any length).
@@ -48,8 +52,7 @@ def parse_rational(c) -> Column:
         fraction = F.struct(neg.alias("neg"), digits(num).alias("num"), digits(den).alias("den"))
         return F.when(s.rlike(_DEC), decimal).when(s.rlike(_FRACTION) & (digits(den) != "0"), fraction)
 
-    s = _col(c)
-    return bound(F.when(s.rlike(_THOUSANDS), F.regexp_replace(s, ",", "")).otherwise(s), parsed)
+    return bound(_without_separators(_col(c)), parsed)
 
 
 def _limbs(digits: Column) -> Column:
@@ -88,11 +91,11 @@ def _long_products_equal(a: Column, b: Column, c: Column, d: Column) -> Column:
 def canonical_decimal(c) -> Column:
     """A decimal of any length in its shortest form (no separators, leading
     zeros, trailing fraction zeros or sign of zero); null for anything else."""
-    s = _col(c)
-    s = F.when(s.rlike(_THOUSANDS), F.regexp_replace(s, ",", "")).otherwise(s)
-    short = F.regexp_replace(F.regexp_replace(s, r"^(-?)0+(?=[0-9])", "$1"), r"(\.[0-9]*?)0+$", "$1")
-    short = F.regexp_replace(short, r"\.$", "")
-    return F.when(s.rlike(_DEC), F.when(short == "-0", F.lit("0")).otherwise(short))
+    def shortest(s):
+        short = F.regexp_replace(F.regexp_replace(s, r"^(-?)0+(?=[0-9])", "$1"), r"(\.[0-9]*?)0+$", "$1")
+        return F.when(s.rlike(_DEC), bound(F.regexp_replace(short, r"\.$", ""), lambda x: F.when(x == "-0", F.lit("0")).otherwise(x)))
+
+    return bound(_without_separators(_col(c)), shortest)
 
 
 def rational_equal(a, b) -> Column:
@@ -103,22 +106,20 @@ def rational_equal(a, b) -> Column:
     limb by limb beyond, at any length.
     """
     def crossed(v):
-        x, y = v["x"], v["y"]
+        x, y = F.get(v, 0), F.get(v, 1)
         parts = (x["num"], y["den"], y["num"], x["den"])
         short = F.greatest(*[F.length(p) for p in parts]) <= _SHORT
         p, q, r, t = [part.try_cast(f"decimal({_SHORT},0)") for part in parts]
         zero = (x["num"] == "0") & (y["num"] == "0")
         return zero | ((x["neg"] == y["neg"]) & F.when(short, p * q == r * t).otherwise(_long_products_equal(*parts)))
 
-    def compared(v):
-        both = v["p"].isNotNull() & v["q"].isNotNull()
-        fraction = v["a"].rlike(_FRACTION) | v["b"].rlike(_FRACTION)
-        return F.when(both, v["p"] == v["q"]).when(fraction, bound(
-            F.struct(parse_rational(v["a"]).alias("x"), parse_rational(v["b"]).alias("y")), crossed))
-
-    a, b = _col(a), _col(b)
-    sides = F.struct(a.alias("a"), b.alias("b"), canonical_decimal(a).alias("p"), canonical_decimal(b).alias("q"))
-    return F.coalesce(bound(sides, compared), F.lit(False))
+    def compared(sides):
+        shortest = F.transform(sides, canonical_decimal)
+        fraction = F.exists(sides, lambda s: s.rlike(_FRACTION))
+        return F.when(fraction, bound(F.transform(sides, parse_rational), crossed)).otherwise(
+            bound(shortest, lambda s: F.get(s, 0) == F.get(s, 1)))
+
+    return F.coalesce(bound(F.array(_col(a), _col(b)), compared), F.lit(False))
 
 
 # -- math ---------------------------------------------------------------------

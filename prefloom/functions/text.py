@@ -86,15 +86,16 @@ def _until_closed(pieces: Column) -> Column:
 def _balanced(t: Column, which: str) -> Column:
     """The first (or last) box whose brace closes, null if there is none.
 
-    The text is cut after each brace; two folds over the pieces, each with a
-    state of fixed size, find the box and its end: linear in the braces."""
+    The text from its first box on (no brace before it matters) is cut after
+    each brace; two folds over the pieces, each with a state of fixed size,
+    find the box and its end: linear in the braces."""
     def content(pieces):
         return bound(_box_opening(pieces, which), lambda box: F.when(box > 0, bound(
             F.slice(pieces, box + 1, F.size(pieces)),
             lambda rest: F.regexp_replace(F.array_join(F.slice(rest, 1, _until_closed(rest)), ""), r"\}\z", ""))))
 
-    cut = F.regexp_extract_all(t, F.lit(r"([^{}]*+[{}])"), F.lit(1))
-    return F.when(t.contains(BOX), bound(cut, content))
+    boxes = F.regexp_extract(t, r"(?s)\\boxed\{.*", 0)
+    return bound(F.regexp_extract_all(boxes, F.lit(r"([^{}]*+[{}])"), F.lit(1)), content)
 
 
 def extract_boxed(c, mode: str = "first_brace", which: str = "first") -> Column:

@@ -130,12 +130,13 @@ def stratified_sample(df: DataFrame, group: str, quotas: dict, seed, key_cols: S
     """The first ``quotas[g]`` rows of a seeded shuffle of each group ``g``, all
     groups at once; ``rank_name`` is the 1-based place in the group's order.
 
-    The number of jobs does not depend on the number of groups: the keys are
-    written once, one histogram gives each group its own threshold, and the
-    rows below it are ranked together. A group's order is cut into slices of
-    equal hash ranges, about ``RANK_ROWS`` rows each, that are ranked apart and
-    shifted by the sizes of the slices before; so no task ranks a whole hot
-    group. ``strict``: a group with fewer rows than its quota is an error
+    The number of jobs does not depend on the number of groups: one histogram
+    of the keys gives each group its own threshold, and the rows below it are
+    ranked together. A group's order is cut into slices of equal hash ranges,
+    about ``RANK_ROWS`` rows each, that are ranked apart and shifted by the
+    sizes of the slices before; so no task ranks a whole hot group. ``df`` is
+    read several times, only its keys but for the last: give a table.
+    ``strict``: a group with fewer rows than its quota is an error
     (``ValueError``). A key that repeats within a group's sample is an error
     when the result is computed. Groups without a quota take no part.
     """
@@ -145,25 +146,27 @@ def stratified_sample(df: DataFrame, group: str, quotas: dict, seed, key_cols: S
     quotas = {g: int(n) for g, n in quotas.items()}
     known = [g for g in quotas if g is not None]
     keyed = df.where(F.col(group).isin(known)).select(group, *keys, seeded_key(seed, keys).alias("_u"))
-    keyed = reliable_checkpoint(keyed, "sample-keys")
     limits = sample_limits(keyed, group, quotas)
     if strict:
         few = {g: have for g, (have, _) in limits.items() if have < quotas[g]}
         if few:
             raise ValueError(f"sources with fewer rows than requested: {sorted(few.items(), key=str)[:5]}")
-    plan = [(g, n, 2.0 ** 53 if limits[g][1] is None else 2.0 ** ((limits[g][1] + 1) / STEPS),
+    cuts = [(g, n, 2.0 ** 53 if limits[g][1] is None else 2.0 ** ((limits[g][1] + 1) / STEPS),
              max(1, -(-min(n, limits[g][0]) // RANK_ROWS))) for g, n in quotas.items()]
-    plan = spark.createDataFrame(plan, keyed.select(group).schema.add("_n", "long").add("_width", "double").add("_slices", "long"))
+    plan = spark.createDataFrame(cuts, keyed.select(group).schema.add("_n", "long").add("_width", "double").add("_slices", "long"))
     cut = F.least(F.floor(F.col("_u") * F.col("_slices") / F.col("_width")), F.col("_slices") - 1)
     near = keyed.join(plan, group).where(F.col("_u") < F.col("_width")).withColumn("_slice", cut)
-    earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (near.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-             .select(group, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")))
     order = Window.partitionBy(group, "_slice").orderBy("_u", *keys)
     one = F.struct(*[F.col(k) for k in keys])
-    ranked = (near.withColumn("_again", F.lag(one).over(order).eqNullSafe(one)).withColumn("_at", F.row_number().over(order))
-              .join(sizes, [group, "_slice"]).withColumn(rank_name, F.col("_before") + F.col("_at"))
-              .where(F.col(rank_name) <= F.col("_n")))
+    ranked = near.withColumn("_again", F.lag(one).over(order).eqNullSafe(one)).withColumn("_at", F.row_number().over(order))
+    if all(c[3] == 1 for c in cuts):  # no slice is behind another
+        ranked = ranked.withColumn("_before", F.lit(0))
+    else:
+        earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = near.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+        ranked = ranked.join(sizes.select(group, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")),
+                             [group, "_slice"])
+    ranked = ranked.withColumn(rank_name, F.col("_before") + F.col("_at")).where(F.col(rank_name) <= F.col("_n"))
     text = F.lit(f"{keys} does not identify a row")
     ranked = ranked.select(group, *keys, F.when(F.col("_again"), F.raise_error(text).cast("long")).otherwise(F.col(rank_name)).alias(rank_name))
     return restrict(df, ranked, [group, *keys])
