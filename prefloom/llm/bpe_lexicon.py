@@ -39,8 +39,10 @@ from prefloom.llm.common import U64, StaticTable, most_frequent, pieces, saved
 
 #: Words of the lexicon, the most frequent chunks of the corpus.
 LEXICON_WORDS = 32_768
-#: Chunks a worker remembers before it starts over.
-MEMO = 400_000
+#: Chunks of one generation that a worker remembers, and letters of the longest one.
+MEMO, MEMO_LETTERS = 150_000, 64
+#: Counters of a task that counts chunks.
+COUNTERS = 200_000
 
 # The pre-token pattern of byte-level BPE files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -227,6 +229,23 @@ class Codec:
         self.lexicon: Lexicon | None = None
         self.chunks: dict[str, bytes] = {}  # of a word that follows a space, or of a line's start
         self.others: dict[str, bytes] = {}  # of chunks and pre-tokens as they are
+        self.old: tuple[dict, dict] = ({}, {})  # the generation before
+
+    def _renew(self) -> None:
+        """Memos beyond their size become the older generation; long entries go."""
+        if len(self.chunks) > MEMO or len(self.others) > MEMO:
+            self.old = tuple({w: x for w, x in memo.items() if len(w) <= MEMO_LETTERS} for memo in (self.chunks, self.others))
+            self.chunks, self.others = {}, {}
+
+    def _unseen(self, words: set[str], which: int) -> list[str]:
+        """Words in neither generation of a memo; those of the older one come back."""
+        memo, old = (self.chunks, self.others)[which], self.old[which]
+        new = words.difference(memo)
+        if old:
+            back = {w: old[w] for w in new if w in old}
+            memo.update(back)
+            new.difference_update(back)
+        return list(new)
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each chunk."""
@@ -248,16 +267,14 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for memo in (self.chunks, self.others):
-            if len(memo) > MEMO:
-                memo.clear()
+        self._renew()
         parts = [self.marks.split(t) if self.marks.search(t) else [t] for t in texts]
         marks = [self.marks.findall(t) if len(p) > 1 else [] for t, p in zip(texts, parts)]
         flat = [chunked(p) for s in parts for p in s]
-        unseen = list(set().union(*[after for _, after in flat]).difference(self.chunks))
+        unseen = self._unseen(set().union(*[after for _, after in flat]), 0)
         if unseen:
             self.chunks.update(zip(unseen, self.encode_chunks([w if w[:1] == "\n" else " " + w for w in unseen])))
-        unseen = list(set().union(*[first for first, _ in flat]).difference(self.others))
+        unseen = self._unseen(set().union(*[first for first, _ in flat]), 1)
         if unseen:
             self.others.update(zip(unseen, self.encode_chunks(unseen)))
         ids = iter([b"".join([*map(self.others.__getitem__, first), *map(self.chunks.__getitem__, after)])
@@ -285,7 +302,7 @@ def chunked(text: str) -> tuple[list[str], list[str]]:
     return [first] if first else [], after
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def codec(path: str, lexicon: str | None = None) -> Codec:
     """One codec for each worker, file and lexicon (by its file's name)."""
     c = Codec(path)
@@ -294,18 +311,24 @@ def codec(path: str, lexicon: str | None = None) -> Codec:
     return c
 
 
-def chunk_counts(docs: DataFrame, text: str = "text", flush: int = 200_000) -> DataFrame:
-    """chunk, n over all documents (summed in the task first)."""
+def thinned(count: Counter) -> Counter:
+    """The counters without the rarer half: the median count is taken off all
+    of them and those that reach zero go (Misra and Gries), so a chunk's count
+    is low by at most the sum of what was taken off."""
+    off = int(np.partition(np.fromiter(count.values(), np.int64, len(count)), len(count) // 2)[len(count) // 2])
+    return Counter({w: n - off for w, n in count.items() if n > off})
 
-    def run(batches):
-        count: Counter = Counter()
 
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())],
-                                             names=["chunk", "n"])
-            count.clear()
-            return out
+def chunk_counts(docs: DataFrame, text: str = "text", most: int = COUNTERS) -> DataFrame:
+    """chunk, n over all documents, for the choice of the lexicon's words.
+
+    A task keeps at most about ``most`` counters (see ``thinned``), whatever
+    its texts, and sends each once; so counts of chunks that are rare in every
+    task are low or missing, those of frequent ones low by a few. The choice
+    affects speed only: words outside the lexicon are merged exactly."""
 
+    def run(batches):
+        count: Counter = Counter()
         for batch in pieces(batches, 0, 2 << 20):
             after: Counter = Counter()
             for t in batch.column(0).to_pylist():
@@ -315,9 +338,10 @@ def chunk_counts(docs: DataFrame, text: str = "text", flush: int = 200_000) -> D
                     after.update(rest)
             for w, n in after.items():
                 count[w if w[:1] == "\n" else " " + w] += n
-            if len(count) > flush:
-                yield rows()
-        yield rows()
+            if len(count) > most:
+                count = thinned(count)
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())],
+                                         names=["chunk", "n"])
 
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "chunk string, n long")
     return counted.groupBy("chunk").agg(F.sum("n").alias("n"))
