@@ -47,7 +47,8 @@ SCALE = 20
 LANES = 1024
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 128
-MEMO = 500_000
+#: Words of one generation that a worker remembers.
+MEMO = 250_000
 #: The starts, a row for each task of the writer, are broadcast up to so many.
 BROADCAST_TASKS = 1_000_000
 # The tokenizer's pattern, for lower-case text in the range of _LATIN (where NFC changes nothing).
@@ -148,7 +149,13 @@ def decode_block(payload: bytes, table: FrequencyTable, part: int | None = None)
 
 
 class PieceEncoder:
-    """Ids by the tokenizers library, piece by piece, remembered as 16- or 32-bit strings."""
+    """Ids by the tokenizers library, word by word, remembered as 16- or 32-bit strings.
+
+    Unseen pieces go to the library many at a time, as one text with spaces
+    between them; each ends in one id of a token with the word end. Words are
+    remembered in two generations of bounded size, so those in use stay."""
+
+    END = "</w>"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -157,37 +164,63 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocab = self.tokenizer.get_vocab()
+        self.kind = "<u2" if len(vocab) <= 1 << 16 else "<u4"
+        self.is_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.is_end[[i for t, i in vocab.items() if t.endswith(self.END)]] = True
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.memo: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in encoded]
 
+    def piece_ids(self, found: list[str], together: int = 2048) -> list[bytes]:
+        """Ids of pieces, each of which the tokenizer's pattern leaves whole."""
+        out: list[bytes] = []
+        parts = [found[i:i + together] for i in range(0, len(found), together)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            stop = (np.flatnonzero(self.is_end[ids]) + 1) * ids.itemsize
+            if len(stop) == len(part):
+                raw, stop = ids.tobytes(), stop.tolist()
+                out += [raw[i:j] for i, j in zip([0, *stop], stop)]
+            else:  # a piece that does not end in one such token
+                out += self.ids(part)
+        return out
+
+    def _unseen(self, words: set[str]) -> set[str]:
+        """Words in neither generation; those of the older one come back."""
+        new = words.difference(self.memo)
+        if self.old:
+            back = {w: self.old[w] for w in new if w in self.old}
+            self.memo.update(back)
+            new.difference_update(back)
+        return new
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
-            self.memo = {"": b""}
-        if len(self.parts) > MEMO:
-            self.parts = {}
+            self.memo, self.old = {"": b""}, self.memo
         whole = {i for i, t in enumerate(texts) if self.special.search(t)}
         split = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        unseen = set().union(*split).difference(self.memo)
-        latin = {w: _PIECES.findall(w.lower()) for w in unseen if _LATIN.fullmatch(w)}
+        unseen = self._unseen(set().union(*split))
+        latin = [w for w in unseen if _LATIN.fullmatch(w)]
         other = list(unseen.difference(latin))
         self.memo.update(zip(other, self.ids(other)))
-        parts = list(set().union(*latin.values()).difference(self.parts))
-        self.parts.update(zip(parts, self.ids(parts)))
-        self.memo.update((w, b"".join(map(self.parts.__getitem__, p))) for w, p in latin.items())
-        out = [b"".join(map(self.memo.__getitem__, s)) for s in split]
+        cut = {w: [w.lower()] if w.isalpha() else _PIECES.findall(w.lower()) for w in latin}
+        alone = list(self._unseen(set().union(*cut.values())))
+        self.memo.update(zip(alone, self.piece_ids(alone)))
+        known = self.memo
+        self.memo.update((w, known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])) for w, p in cut.items())
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
         for i in whole:
             out[i] = self.ids([texts[i]])[0]
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
