@@ -8,11 +8,11 @@ send all shingles to one given bin each, so that every coordinate fills
 candidates, which are confirmed on the full shingle sets. At the threshold
 0.8 a pair shares no band with probability (1 - 0.8^5)^26 = 3e-5.
 
-Groups of copies: documents with equal sets are one class. Candidates of a
-bucket are first compared with one representative (a star, not all pairs);
-classes that are linked by then need no further comparison. What is left,
-buckets whose members still lie in several components, is compared with
-another representative, chosen per bucket. The pairs across components that
+Groups of copies: documents with equal sets are one class. A class is first
+compared with one representative, the least of its buckets' leads; classes
+that are linked by then need no further comparison. What is left, buckets whose
+members still lie in several components, is compared with the bucket's lead,
+then with another member (stars, not all pairs). The pairs across components that
 remain are found through the differences from the bucket's representative:
 members x, y with symmetric differences Dx, Dy from it are linked if and only
 if Dx and Dy share a number of shingles that follows from four set sizes (see
@@ -44,35 +44,35 @@ BROADCAST_IDS = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = 0x5851F42D4C957F2D
 _CODES = mix64(np.arange(1, 257, dtype=U64) * U64(GOLDEN))
 _FOLDED = _CODES.copy()
 _FOLDED[0x41:0x5B] = _CODES[0x61:0x7B]  # A-Z count as a-z
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[:1] = 1
-    return np.cumprod(out)
+def word_hashes(texts: list[bytes], fold: bool = True, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (A-Z lower-cased if ``fold``), and each text's first word.
 
-
-def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased if ``fold``), and each text's first word."""
+    A word's hash is the sum of random numbers, one for each pair of place and
+    byte, mixed with its length: unlike a polynomial in the bytes it has no
+    structure that words could share. Other seeds give independent hashes."""
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    inside = ~_SPACE[data]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum((_FOLDED if fold else _CODES)[data] * _powers(_BASE, len(data)))])
-    inverse = pow(_BASE, -1, 1 << 64)
-    words = mix64((sums[stop] - sums[start]) * _powers(inverse, len(data) + 1)[start]
-                  + (stop - start).astype(U64) * U64(GOLDEN))
+    edge = np.diff((~_SPACE[data]).astype(np.int8), prepend=0, append=0)
+    start, size = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = size - start
+    place = mix64(np.arange(1 + seed, 1 + seed + int(size.max(initial=0)), dtype=U64) * U64(0xD1342543DE82EF95))
+    first = np.cumsum(size) - size  # of each word among the bytes of words
+    inside = np.arange(int(size.sum())) - np.repeat(first, size)
+    at = np.repeat(start, size) + inside
+    values = mix64((_FOLDED if fold else _CODES)[data[at]] ^ place[inside])
+    sums = np.add.reduceat(values, first) if len(first) else np.zeros(0, U64)
+    words = mix64(sums + size.astype(U64) * U64(GOLDEN))
     begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     return words, np.searchsorted(start, begin)
 
 
-def shingle_sets(texts: list[bytes], width: int = 2) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int = 2, seed: int = 0) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    words, first = word_hashes(texts)
+    words, first = word_hashes(texts, seed=seed)
     rolled = words.copy()
     for k in range(1, width):
         rolled[:-k] = mix64(rolled[:-k] * U64(GOLDEN) + words[k:])
@@ -187,7 +187,8 @@ def confirm(edges: DataFrame, classes: DataFrame, docs: DataFrame, text: str, wi
         for batch in pieces(pieces(batches, 2), 3):
             sides = [_texts(batch, 2), _texts(batch, 3)]
             one = list(dict.fromkeys(sides[0] + sides[1]))
-            sets = dict(zip(one, shingle_sets(one, width)))
+            # hashes of their own: a link does not rest on the hashes that proposed it
+            sets = dict(zip(one, shingle_sets(one, width, seed=1 << 32)))
             keep = []
             for x, y in zip(*sides):
                 x, y = sets[x], sets[y]
@@ -202,7 +203,7 @@ def across_pairs(several: DataFrame, classes: DataFrame, docs: DataFrame, text:
                  percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may be linked; no link between
     members of one bucket is missing, given that each was compared with the
-    bucket's lead ``c``.
+    bucket's lead ``c`` or is in its component.
 
     With R = c - x, A = x - c, D = R + A and W = 200 |R| + 2 percent |A| -
     (100 - percent) |c|, the sets x and y are linked if and only if
@@ -242,11 +243,12 @@ def across_pairs(several: DataFrame, classes: DataFrame, docs: DataFrame, text:
 
     sized = both.mapInArrow(differ, "u long, removed long, added long, n_lead long, diff array<bigint>")
     sized = sized.select("u", "n_lead", "diff", (F.col("removed") + F.col("added")).alias("d"),
+                         (F.col("n_lead") - F.col("removed") + F.col("added")).alias("size"),
                          (F.lit(200) * F.col("removed") + F.lit(2 * percent) * F.col("added")
                           - F.lit(100 - percent) * F.col("n_lead")).alias("w"))
     lower = F.floor((F.lit(2 * percent) * F.col("w") - F.lit(scale * (100 - percent)) * F.col("n_lead")) / 200)
     units = saved(units.join(sized.select(
-        "u", "diff", "d", "w",
+        "u", "diff", "d", "w", "size",
         F.greatest(F.lit(1), F.ceil(2 * F.col("w") / scale)).alias("need_small"),
         F.greatest(F.lit(1), F.ceil((F.col("w") + lower) / scale)).alias("need_large")), "u"), "differences")
     # a difference that no other unit of the lead has joins nothing, but counts as the rarest
@@ -261,14 +263,15 @@ def across_pairs(several: DataFrame, classes: DataFrame, docs: DataFrame, text:
         "u", "key", (F.col("d") - F.col("pos")).alias("rest"),
         (F.col("pos") <= F.col("d") - F.col("need_small")).alias("small"),
         (F.col("pos") <= F.col("d") - F.col("need_large")).alias("large"))
-    head = saved(head.join(units.select("u", "set_id", "component", "w"), "u").drop("u"), "heads")
+    head = saved(head.join(units.select("u", "set_id", "component", "w", "size"), "u").drop("u"), "heads")
 
     def side(flag, suffix):
-        return head.where(flag).select("key", *[F.col(c).alias(c + suffix) for c in ("set_id", "component", "w", "rest")])
+        return head.where(flag).select("key", *[F.col(c).alias(c + suffix) for c in ("set_id", "component", "w", "rest", "size")])
 
     met = side("small", "_x").join(side("large", "_y"), "key").where(
         (F.col("component_x") != F.col("component_y"))
         & ((F.col("w_x") < F.col("w_y")) | ((F.col("w_x") == F.col("w_y")) & (F.col("set_id_x") < F.col("set_id_y"))))
+        & (100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y"))
         & (scale * F.least("rest_x", "rest_y") >= F.col("w_x") + F.col("w_y")))
     return met.select(F.col("set_id_x").alias("a"), F.col("set_id_y").alias("b"))
 
@@ -318,21 +321,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 2, percent
         now = member.join(comp, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         order = F.xxhash64("set_id", "bucket")
         several = now.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("set_id", order).alias("other"),
-            F.min_by("component", order).alias("other_component")).where("low < high")
+            F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "set_id").alias("lead_component"),
+            F.min_by("set_id", order).alias("other"), F.min_by("component", order).alias("other_component")).where("low < high")
         return comp, saved(now.join(several, "bucket"), "several")
 
-    lead = saved(sized(member.select(F.col("set_id").alias("a"), F.col("lead").alias("b"))), "edges")
-    comp, several = label(confirm(lead, classes, docs, text, width, percent))
-    random = sized(several.where("component <> other_component")
-                   .select(F.col("set_id").alias("a"), F.col("other").alias("b")))
-    random = saved(random.join(lead, ["a", "b"], "left_anti"), "edges")
-    star = comp.select(F.col("set_id").alias("a"), F.col("component").alias("b"))
-    comp, several = label(star.union(confirm(random, classes, docs, text, width, percent)))
+    def star(comp):
+        return comp.select(F.col("set_id").alias("a"), F.col("component").alias("b"))
+
+    def confirmed(edges):
+        return confirm(edges, classes, docs, text, width, percent)
+
+    # one comparison of each member first; then, where a bucket still holds several components, with its lead, and with another
+    seen = saved(sized(member.groupBy("set_id").agg(F.min("lead").alias("b")).select(F.col("set_id").alias("a"), "b")), "edges")
+    comp, several = label(confirmed(seen))
+    for side in ("lead", "other"):
+        new = sized(several.where(F.col("component") != F.col(f"{side}_component"))
+                    .select(F.col("set_id").alias("a"), F.col(side).alias("b")))
+        new = saved(new.join(seen, ["a", "b"], "left_anti"), "edges")
+        comp, several = label(star(comp).union(confirmed(new)))
+        seen = seen.union(new)
     across = sized(across_pairs(several, classes, docs, text, width, percent))
-    across = saved(across.join(lead.union(random), ["a", "b"], "left_anti"), "edges")
-    star = comp.select(F.col("set_id").alias("a"), F.col("component").alias("b"))
-    comp = components(star.union(confirm(across, classes, docs, text, width, percent)))
+    across = saved(across.join(seen, ["a", "b"], "left_anti"), "edges")
+    comp = components(star(comp).union(confirmed(across)))
     labelled = classes.select("set_id", "first_doc").join(comp, "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id"))
     smallest = labelled.groupBy("component").agg(F.min("first_doc").alias("component_id"))

@@ -97,3 +97,30 @@ def test_word_shingles_match_python():
     for width in (1, 2, 5):
         sets = D.shingle_sets([t.encode() for t in texts], width)
         assert [len(s) for s in sets] == [len(shingles(t, width)) for t in texts]
+
+
+def test_words_of_a_polynomial_collision_differ(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2^64, whatever the base and the codes."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    words, _ = D.word_hashes([morse.encode(), other.encode(), b"x " + morse.encode(), b"ab ba", b"Ab"])
+    assert len(set(words.tolist())) == 5 and words[0] == words[3]
+    assert not set(D.word_hashes([morse.encode()], seed=1 << 32)[0].tolist()) & set(words.tolist())
+    texts = {1: f"{morse} one two", 2: f"{other} one two", 3: f"{morse.upper()} one two"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in D.near_duplicates(df).collect()}
+    assert got == by_hand(texts) == {1: (2, 1), 2: (2, 2), 3: (2, 1)}
+
+
+def test_a_member_is_compared_with_few_leads(spark):
+    """A family of near copies shares its buckets in many ways; components still equal brute force."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in D.near_duplicates(df).collect()} == by_hand(texts)
