@@ -41,7 +41,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 _LEVEL = """
 sized AS (
-  SELECT doc_id, source, md5(coalesce(text, '')) AS th, CAST(len({words}) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS th, CAST(len({words}) AS BIGINT) AS size,
+         row_number() OVER (PARTITION BY source, doc_id, md5(coalesce(text, ''))) AS rep FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank
   FROM sized GROUP BY source
@@ -63,7 +64,7 @@ sized AS (
 MIX = "WITH " + _LEVEL.format(
     words=_WORDS, weights=", ".join(f"{w}.0::DOUBLE" for w in pareto_mix.WEIGHTS), n=len(pareto_mix.WEIGHTS),
     most=pareto_mix.MOST_COPIES, share=f"{pareto_mix.SHARE}::DOUBLE") + f""", ranked AS (
-  SELECT doc_id, th, size, source_rank, source_size, target, copies, copies - floor(copies) AS p,
+  SELECT doc_id, th, rep, size, source_rank, source_size, target, copies, copies - floor(copies) AS p,
          target - floor(copies) * source_size AS open_size,
          (CAST(('0x' || substr(md5(concat_ws(':', '{pareto_mix.SEED}', CAST(doc_id AS VARCHAR), th)), 1, 13))::BIGINT AS DOUBLE)
           + 0.5) / 4503599627370496.0 AS u
@@ -73,18 +74,18 @@ MIX = "WITH " + _LEVEL.format(
   SELECT *, CASE WHEN p > 0 THEN (u / (1.0 - u)) / (p / (1.0 - p)) END AS odds FROM ranked
 ), run AS (
   SELECT *, CASE WHEN p > 0 AND size > 0 THEN
-    sum(size) OVER (PARTITION BY source_rank ORDER BY odds, doc_id, th) <= open_size END AS inside FROM odds
+    sum(size) OVER (PARTITION BY source_rank ORDER BY odds, doc_id, th, rep ROWS UNBOUNDED PRECEDING) <= open_size END AS inside FROM odds
 ), gap AS (
   SELECT source_rank, max(open_size) - coalesce(sum(size) FILTER (inside), 0) AS gap FROM run GROUP BY source_rank
 ), fill AS (
-  SELECT source_rank, odds, doc_id, th FROM (
-    SELECT *, row_number() OVER (PARTITION BY source_rank ORDER BY abs(size - gap), odds, doc_id, th) AS k
+  SELECT source_rank, odds, doc_id, th, rep FROM (
+    SELECT *, row_number() OVER (PARTITION BY source_rank ORDER BY abs(size - gap), odds, doc_id, th, rep) AS k
     FROM run JOIN gap USING (source_rank) WHERE NOT inside AND abs(size - gap) < gap) WHERE k = 1
 )
 SELECT run.doc_id, size, source_size, target,
        CAST(size * (floor(copies) + CASE WHEN inside OR fill.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM run LEFT JOIN fill ON run.source_rank = fill.source_rank AND run.odds = fill.odds
-                       AND run.doc_id = fill.doc_id AND run.th = fill.th
+                       AND run.doc_id = fill.doc_id AND run.th = fill.th AND run.rep = fill.rep
 """
 
 _EDGES = """

@@ -15,13 +15,16 @@ narrow row per document. The per-source running sum is a range exchange on
 tasks. Only the table of sources, one row each, is ordered in one task.
 
 Defined results: a null text has size 0 and takes 0; a null source is a
-source of its own, the last one; rows that repeat an id and its text share their random
-number and so their copies; an empty table gives an empty table; a document
-of size 0 is never more than its certain copies.
+source of its own, the last one; rows that repeat an id and its text share
+their random number, are ranked one after another and taken one by one; an
+empty table gives an empty table; a document of size 0 is never more than its
+certain copies.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +44,20 @@ def _text_hash(text: str) -> Column:
 
 
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, source, size (words) and a hash of the text."""
+    """doc_id, source, size (words), a hash of the text, and ``rep``, which
+    numbers rows that are equal in all of these."""
     spaces = " \t\n\x0b\x0c\r"
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(spaces))
-    return docs.select(
+    return _numbered(docs.select(
         "doc_id", F.col("source").cast("string").alias("source"),
         F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, f"[{spaces}]+"))).cast("long").alias("size"),
-        _text_hash(text).alias("text_hash"))
+        _text_hash(text).alias("text_hash")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rep`` from 1 for rows equal in source, id and text."""
+    same = Window.partitionBy("source", "doc_id", "text_hash")
+    return rows.withColumn("rep", F.row_number().over(same.orderBy(F.lit(0))).cast("long"))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -80,11 +90,11 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 
 def _key(seed) -> Column:
-    """Rank of a row: random odds over inclusion odds, ties by id and text."""
+    """Rank of a row: random odds over inclusion odds, ties by id, text and number."""
     p = F.col("copies") - F.floor("copies")
     u = uniform(seed, "doc_id", "text_hash")
     odds = F.when(p > 0, (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p))).otherwise(F.lit(float("inf")))
-    return F.struct(odds.alias("odds"), F.col("doc_id"), F.col("text_hash"))
+    return F.struct(odds.alias("odds"), F.col("doc_id"), F.col("text_hash"), F.col("rep"))
 
 
 def pareto_cuts(sized: DataFrame, targets: DataFrame, seed=SEED) -> DataFrame:
@@ -95,12 +105,12 @@ def pareto_cuts(sized: DataFrame, targets: DataFrame, seed=SEED) -> DataFrame:
               .withColumn("open_size", F.col("target") - F.floor("copies") * F.col("source_size")))
     same = F.col("d.source").eqNullSafe(F.col("t.source"))
     rows = (sized.alias("d").join(wanted.alias("t"), same).where("copies > floor(copies) and size > 0")
-            .select("source_rank", "doc_id", "text_hash", "size", "copies", "open_size")
+            .select("source_rank", "doc_id", "text_hash", "rep", "size", "copies", "open_size")
             .withColumn("key", _key(seed)))
     flat = rows.select("source_rank", "size", "open_size", "key.*")
-    run = running_total(flat, "source_rank", ["odds", "doc_id", "text_hash"], "size", "run")
+    run = running_total(flat, "source_rank", ["odds", "doc_id", "text_hash", "rep"], "size", "run")
     run = saved(run.withColumn("in", F.col("run") <= F.col("open_size"))
-                .withColumn("key", F.struct("odds", "doc_id", "text_hash")), "ranked")
+                .withColumn("key", F.struct("odds", "doc_id", "text_hash", "rep")), "ranked")
     taken = run.groupBy("source_rank").agg(
         F.max(F.when(F.col("in"), F.col("key"))).alias("cut"),
         (F.max("open_size") - F.coalesce(F.sum(F.when(F.col("in"), F.col("size"))), F.lit(0))).alias("gap"))
@@ -138,6 +148,11 @@ def mix(docs: DataFrame, seed=SEED) -> DataFrame:
     cuts = pareto_cuts(sized, source_targets(sized), seed)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id",
                          F.col("source").cast("string").alias("source"), _text_hash("text").alias("text_hash"))
+    # only rows that repeat need a number, so texts of others stay where they are
+    again = sized.where("rep = 2").select(*[F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "text_hash")])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("source", "doc_id", "text_hash")])
+    packed = packed.join(again, same, "left_anti").withColumn("rep", F.lit(1).cast("long")).union(
+        _numbered(packed.join(again, same, "left_semi")))
     some = take(packed, cuts, seed).where("taken_copies > 0")
     copies = F.sequence(F.lit(1), F.col("taken_copies").cast("int"))
     return some.select("_row", F.explode(copies)).select("_row.*")

@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+import duckdb
+
 from prefloom.llm import pareto_mix as M
 from prefloom.sources.tables import read_table
 
@@ -62,3 +64,25 @@ def test_inclusion_follows_the_odds(spark):
         counts = [v for (x, _), v in n.items() if x == s]
         assert abs(sum(counts) / len(counts) / 12 - share[s]) < 0.05
         assert len(set(counts)) > 1 or share[s] == int(share[s])
+
+
+def test_repeated_rows_are_taken_one_by_one(spark, tmp_path):
+    """Forty equal rows of a source whose target lies between two of them; the SQL agrees."""
+    from prefloom.llm import oracle, queries
+
+    rows = [(7, "w " * 100, "a", i) for i in range(40)] + [(8, "v " * 10, "b", 1)] * 3 + [(None, "u u", None, 2)] * 2 + [
+        (i, f"x{i} " * (i % 9), "b", i) for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rep int")
+    plan = M.plan_mix(df).collect()
+    for s in ("a", "b"):
+        taken, target = sum(r.taken for r in plan if r.source == s), next(r.target for r in plan if r.source == s)
+        assert abs(taken - target) <= max(r.size for r in plan if r.source == s)
+    assert len({r.taken_copies for r in plan if r.source == "a"}) > 1 or target % 100 == 0
+    mixed = M.mix(df)
+    assert mixed.columns == df.columns and mixed.count() == sum(r.taken_copies for r in plan)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_pareto_mix(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(oracle.MIX).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
