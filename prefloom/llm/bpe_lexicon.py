@@ -40,7 +40,7 @@ from prefloom.llm.common import U64, StaticTable, most_frequent, pieces, saved
 #: Words of the lexicon, the most frequent chunks of the corpus.
 LEXICON_WORDS = 32_768
 #: Chunks of one generation that a worker remembers, and letters of the longest one.
-MEMO, MEMO_LETTERS = 150_000, 64
+MEMO, MEMO_LETTERS = 200_000, 64
 #: Counters of a task that counts chunks.
 COUNTERS = 200_000
 
@@ -76,8 +76,8 @@ class Merges:
         row = self.table.find(left.astype(U64) << U64(32) | right.astype(U64))
         return np.where(row >= 0, self.ranks[row], _NONE)
 
-    def apply(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each non-empty byte string."""
+    def apply(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each non-empty byte string, as little-endian 32-bit numbers."""
         out: list = [None] * len(words)
         lengths = np.array([len(w) for w in words])
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -94,9 +94,10 @@ class Merges:
             best = np.minimum.reduceat(rank, start)
             done = best == _NONE
             if done.any():
-                for s, n in zip(start[done].tolist(), size[done].tolist()):
-                    out[owner[s]] = ids[s:s + n]
                 left = np.repeat(~done, size)
+                raw, stop = ids[~left].astype("<u4").tobytes(), (np.cumsum(size[done]) * 4).tolist()
+                for word, a, b in zip(owner[start[done]].tolist(), [0, *stop], stop):
+                    out[word] = raw[a:b]
                 ids, owner, rank = ids[left], owner[left], rank[left]
                 best, size = best[~done], size[~done]
                 if not len(ids):
@@ -178,7 +179,7 @@ class Lexicon:
         return len(head).to_bytes(8, "little") + head + bytes(-len(head) % 8) + body
 
     def __init__(self, path: str):
-        data = np.memmap(path, np.uint8, "r")
+        data = np.memmap(path, np.uint8, "r").view(np.ndarray)  # still mapped; slices of a plain array are cheaper
         size = int(data[:8].view("<u8")[0])
         head = json.loads(bytes(data[8:8 + size]))
         at = 8 + size + -size % 8
@@ -260,7 +261,7 @@ class Codec:
         split = [_PRETOKENS.findall(chunks[i]) for i in rest]
         unseen = [p for p in dict.fromkeys(p for s in split for p in s) if p not in self.others]
         for p, ids in zip(unseen, self.merges.apply([p.encode() for p in unseen]) if unseen else []):
-            self.others[p] = ids.astype("<u4").tobytes()
+            self.others[p] = ids
         for i, s in zip(rest, split):
             out[i] = b"".join(map(self.others.__getitem__, s))
         return out
