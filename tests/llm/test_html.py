@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from prefloom.llm import html_ratio as H
@@ -94,3 +97,52 @@ def test_many_comments_do_not_hide_the_article():
 
 def test_declared_elements_alone_have_no_text():
     assert H.main_text(f"<body><nav>{SIDE * 50}</nav><footer>&copy; somebody</footer>") == ""
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 60_000, "<b>" * 60_000 + "<p>x" * 1000, "<div>" * 40_000 + "</i>" * 40_000 + "x",
+                                  "<p><b>x" * 40_000, "<div class=share-price>x" * 20_000])
+def test_deep_and_unclosed_elements_take_linear_time(page):
+    start = time.time()
+    H.main_text(page)
+    assert time.time() - start < 20  # a second or two; a copy of the path for each line takes hours
+
+
+@pytest.mark.parametrize("tag", ["div class=related-work", "section id=share-prices", "div class=respond-time", "div class=social-history",
+                                 "section class='notice-period'", "div id=banner_years"])
+def test_ordinary_words_in_names_do_not_remove_prose(tag):
+    texts = [f"{i} " + LONG.strip() for i in range(3)]
+    name = tag.split()[0]
+    page = f"<body><nav>{SIDE}</nav><article><p>{texts[0]}</p><{tag}><p>{texts[1]}</p></{name}><p>{texts[2]}</p></article></body>"
+    assert H.main_text(page).split("\n\n") == texts
+    links = page.replace(f"<p>{texts[1]}</p>", f"<ul>{SIDE}</ul>")
+    assert H.main_text(links).split("\n\n") == [texts[0], texts[2]]
+
+
+@pytest.mark.parametrize("tag", ["div class=comment-thread", "div id=related-posts", "div class=social-links", "section class=cookie-notice",
+                                 "div class=comments", "div class='share share-bar'"])
+def test_names_of_other_things_remove_them(tag):
+    texts = [f"{i} " + LONG.strip() for i in range(3)]
+    name = tag.split()[0]
+    page = f"<body><article><p>{texts[0]}</p><{tag}><p>{texts[1]}</p></{name}><p>{texts[2]}</p></article></body>"
+    assert H.main_text(page).split("\n\n") == [texts[0], texts[2]]
+
+
+def in_paragraphs(elements):
+    """Every line's elements as they are, without sums: what the tree must give."""
+    tree, paths = H.Tree(), [[0]]
+    for parent, marked in elements:
+        n = tree.add(parent, "div", marked, H.NO)
+        paths.append([*paths[parent], n])
+    return tree, paths
+
+
+def test_tree_sums_and_marks():
+    rng = random.Random(2)
+    for _ in range(50):
+        elements = [(rng.randrange(n + 1), rng.random() < 0.2) for n in range(rng.randrange(1, 40))]
+        tree, paths = in_paragraphs(elements)
+        at = [rng.randrange(len(paths)) for _ in range(30)]
+        values = [rng.randrange(9) for _ in at]
+        assert tree.summed(at, values) == [sum(v for n, v in zip(at, values) if k in paths[n]) for k in range(len(paths))]
+        assert tree.inside(tree.article) == [any(tree.article[k] for k in p) for p in paths]
+        assert tree.nearest(tree.article) == [max((k for k in p if tree.article[k]), default=0) for p in paths]
