@@ -10,6 +10,13 @@ the left and right; matches of ``LENGTH`` words or more are repeated passages.
 Within reach of one suffix a match extends ``LENGTH`` words; longer passages
 are the union of their suffixes' matches.
 
+A neighbour in the order shares the most words to the right, not to both
+sides, so where three suffixes or more begin with the same words a partner may
+be missed by its neighbours. There the windows of ``LENGTH`` words around the
+suffix are hashed whole, and those that no match covers yet and that occur in
+another text are passages as well (grouped by hash, never paired); with two
+suffixes the comparison is complete.
+
 The sort is a range exchange on the whole order, so a passage that a third of
 all documents share spreads over many tasks; the rows at the tasks' edges are
 compared in a second, small step. Documents with equal text are compared
@@ -152,17 +159,72 @@ def _compare(batches):
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
             some = batch.slice(a, 4096)
-            rows = carried + list(zip(*[c.to_pylist() for c in some.columns]))
+            new = list(zip(*[c.to_pylist() for c in some.columns]))
+            if carried and (carried[0][0], carried[0][3]) == (new[-1][0], new[-1][3]):
+                carried += new  # all of one run, which is compared when it ends
+                continue
+            rows = carried + new
             head = ends(rows, False) if head is None or len(head) < 2 else head
             yield emit(set(matches(rows)))
             carried = ends(rows, True)
-    if head is not None:
+    if carried:
+        head = ends(carried, False) if head is None else head
         yield emit((), dict.fromkeys(head + carried))
 
 
 _COMPARED = ("text_hash long, start int, stop int, other long, gram long, right binary, left binary, edge_text long, at int")
 
 
+def window_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of the ``LENGTH`` words from each place on."""
+    n = len(words) - LENGTH + 1
+    out = words[:n].copy()
+    for k in range(1, LENGTH):
+        out = mix64(out * U64(GOLDEN) + words[k:n + k])
+    return out
+
+
+def windows_around(texts: DataFrame) -> DataFrame:
+    """text_hash, start, window, open: the windows that hold a listed suffix
+    (``at``) of their text whole, and whether they lie in none of its ``spans``."""
+
+    def run(batches):
+        for batch in pieces(batches, 1):
+            hashes, starts, windows, opens = [], [], [], []
+            for h, words, at, spans in zip(batch.column(0).to_pylist(), _words(batch, 1), batch.column(2).to_pylist(),
+                                           batch.column(3).to_pylist()):
+                n = len(words) - LENGTH + 1
+                near = np.zeros(n + 1, np.int64)  # windows from p - (LENGTH - GRAM) to p hold the suffix at p
+                at = np.array(at, np.int64)
+                np.add.at(near, np.maximum(at - (LENGTH - GRAM), 0), 1)
+                np.add.at(near, np.minimum(at + 1, n), -1)
+                near = np.flatnonzero(np.cumsum(near)[:n])
+                open_ = np.ones(n, bool)
+                for x in spans or ():
+                    open_[x["start"]:max(x["start"], x["stop"] - LENGTH + 1)] = False
+                hashes.append(np.full(len(near), h, np.int64))
+                starts.append(near)
+                windows.append(window_hashes(words)[near])
+                opens.append(open_[near])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(starts), pa.int32()),
+                 pa.array(np.concatenate(windows).view(np.int64)), pa.array(np.concatenate(opens))],
+                names=["text_hash", "start", "window", "open"])
+
+    return texts.select("text_hash", "text", "at", "spans").mapInArrow(run, "text_hash long, start int, window long, open boolean")
+
+
+def merged_spans(found: DataFrame) -> DataFrame:
+    """text_hash, spans: overlapping matches of a text as one passage; a text's
+    matches are as many as its retained suffixes."""
+    return found.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("m")).select(
+        "text_hash", F.expr(
+            "aggregate(m, cast(array() as array<struct<start:int,stop:int>>), (a, x) ->"
+            " if(size(a) > 0 and element_at(a, -1).stop >= x.start,"
+            " concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start,"
+            " 'stop', greatest(element_at(a, -1).stop, x.stop)))), concat(a, array(x))))").alias("spans"))
+
+
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, start_word, end_word, n_words, n_copies (documents of the same
     text): each maximal repeated passage of each document."""
@@ -173,21 +235,23 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     some = _hashed(docs, text)
     ids = wanted.select("text_hash")
     some = some.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "text_hash", "left_semi")
-    texts = some.dropDuplicates(["text_hash"]).join(wanted, "text_hash")
+    texts = saved(some.dropDuplicates(["text_hash"]).join(wanted, "text_hash"), "texts")
     rows = saved(suffixes(texts), "suffixes")
     order = ["gram", "right", "left", "text_hash", "at"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*order)
     compared = saved(dealt.mapInArrow(_compare, _COMPARED), "compared")
     edges = compared.where("gram is not null").select("gram", "right", "left", F.col("edge_text").alias("text_hash"), "at")
     edges = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_compare, _COMPARED)  # a few rows of each task
-    found = compared.union(edges).where("text_hash is not null").select("text_hash", "start", "stop").distinct()
-    # overlapping matches of a text become one passage; a text's matches are as many as its retained suffixes
-    merged = found.groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("m")).select(
-        "text_hash", F.expr(
-            "aggregate(m, cast(array() as array<struct<start:int,stop:int>>), (a, x) ->"
-            " if(size(a) > 0 and element_at(a, -1).stop >= x.start,"
-            " concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start,"
-            " 'stop', greatest(element_at(a, -1).stop, x.stop)))), concat(a, array(x))))").alias("spans"))
+    found = saved(compared.union(edges).where("text_hash is not null").select("text_hash", "start", "stop").distinct(), "matches")
+    many = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("gram")
+    at = rows.select("gram", "text_hash", "at").join(many, "gram", "left_semi").groupBy("text_hash").agg(F.collect_list("at").alias("at"))
+    around = texts.select("text_hash", "text").join(at, "text_hash").join(merged_spans(found), "text_hash", "left")
+    windows = saved(windows_around(around), "windows")
+    twice = windows.groupBy("window").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"),
+                                          F.bool_or("open").alias("open")).where("open and low < high")
+    also = windows.where("open").join(twice.select("window"), "window", "left_semi").select(
+        "text_hash", "start", (F.col("start") + LENGTH).alias("stop"))
+    merged = merged_spans(found.union(also))
     spaces = " \t\n\x0b\x0c\r"
     trimmed = F.btrim(F.col(text), F.lit(spaces))
     named = docs.where(F.col(text).isNotNull()).select(

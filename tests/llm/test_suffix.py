@@ -51,3 +51,40 @@ def test_odd_rows(spark, docs, no_docs):
     assert {r.doc_id for r in out} == {12, 15}  # the equal prose; the very long text and self-repeating ones are clean
     assert all(r.end_word - r.start_word == len(texts[15].split()) for r in out)
     assert S.repeated_passages(no_docs).count() == 0
+
+
+def test_passages_with_a_frequent_core_are_found(spark):
+    """Each of 40 passages is in two texts; its last 35 words are also in many others, with other words around."""
+    rng = random.Random(8)
+    fresh = iter(range(10 ** 6))
+
+    def own(n):
+        return [f"u{next(fresh)}" for _ in range(n)]
+
+    texts, n = {}, 0
+    for _ in range(40):
+        head, core = own(25), own(35)
+        for _ in range(2):
+            texts[n] = " ".join(own(rng.randint(0, 40)) + head + core + own(rng.randint(0, 40)))
+            n += 1
+        for _ in range(12):
+            texts[n] = " ".join(own(rng.randint(30, 60)) + core + own(rng.randint(30, 60)))
+            n += 1
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    hand = by_hand(texts)
+    assert len(hand) == 80 and covered(S.repeated_passages(rows).collect()) == hand
+
+
+def test_texts_that_repeat_themselves(spark):
+    """Two texts of one short period, far longer than a task's step of rows, and a family of near copies."""
+    rng = random.Random(5)
+    period = " ".join(f"p{i}" for i in range(17))
+    texts = {1: " ".join([period] * 600), 2: "start " + " ".join([period] * 500) + " end"}
+    base = [f"b{i}" for i in range(400)]
+    for i in range(3, 40):
+        w = list(base)
+        for _ in range(12):
+            w[rng.randrange(400)] = f"x{rng.randrange(5)}"
+        texts[i] = " ".join(w)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert covered(S.repeated_passages(rows).collect()) == by_hand(texts)
