@@ -4,18 +4,23 @@ Protected entities are the personal data that the base patterns find (email,
 ip, card, phone). A term discloses an entity if the corpus says so: with
 document counts, ``PMI(term; entity) = log(N * n_both / (n_term * n_entity))``
 over the entity's information ``log(N / n_entity)`` is 1 for a term that
-never occurs without the entity (Sanchez and Batet). Terms near a mention
-whose ratio reaches ``THRESHOLD`` become spans of kind ``term``; ``redact``
-generalises all spans to their kind.
-
-Counts are over distinct texts, so that copies of one document do not make
-its rare words look like evidence, and a pair counts from ``SUPPORT``
-distinct texts on. Co-occurrence is within ``NEAR`` words of a mention, so
-the number of pairs grows with the mentions, not with their square.
-
-Scale: one pass finds spans and context pairs, one pass counts the documents
-of the terms in question (a bitmap of fixed size keeps other words out of the
-shuffle, a join decides). Patterns run in time linear in the text.
+never occurs without the entity (Sanchez and Batet). A term whose ratio reaches
+``THRESHOLD`` is marked wherever it occurs in the entity's texts, as a span of
+kind ``term``; ``redact`` generalises all spans to their kind. Texts that hold
+the term alone do not name the entity and keep it.
+
+Counts are over whole, distinct texts, so that copies of one document do not
+make its rare words look like evidence. Every word of the entity's texts that
+overlaps no base span is a candidate, at any distance from the mention. With
+fewer than ``SUPPORT`` distinct texts there is no estimate (each rare word of a
+single text would occur nowhere without the entity): the words of entities
+that are rarer stay, their base spans are marked as all are.
+
+Scale: one pass finds the base spans; only texts of entities with enough texts
+are read again, for (entity, term) counts that are summed in the task first;
+one pass counts the documents of the terms left (a bitmap of fixed size keeps
+other words out of the shuffle, a join decides). Patterns run in time linear in
+the text.
 
 Defined results: a null text is empty and has no spans; rows with equal text
 get equal spans; an empty table gives an empty table.
@@ -26,6 +31,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +42,13 @@ from pyspark.sql import types as T
 from prefloom.llm.common import pieces, saved
 
 KINDS = ["email", "ip", "card", "phone"]
-NEAR = 20
 SUPPORT = 3
 THRESHOLD = 0.9
 BITMAP = 1 << 20
-#: Term spans are broadcast up to so many rows, else joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Tables of texts' spans or entities are broadcast up to so many bytes, else joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Pairs that a task counts before it sends them on.
+FLUSH = 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -95,27 +102,23 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return found
 
 
-def contexts(text: str, spans: list[list[tuple[int, int]]], near: int = NEAR) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the words within ``near`` words of a
-    mention that overlap no span."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+def free_words(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """The words that overlap no span."""
     covered = sorted(s for kind in spans for s in kind)
     starts = [s for s, _ in covered]
-    reach = np.maximum.accumulate([e for _, e in covered])
+    reach = np.maximum.accumulate([e for _, e in covered]) if covered else []
 
     def free(a, b):
         i = bisect.bisect_left(starts, b)
         return not i or reach[i - 1] <= a
 
-    words = [w for w in words if free(*w)]
-    out = set()
-    for kind, found in zip(KINDS, spans):
-        for s, e in found:
-            value = text[s:e].lower() if kind in ("email", "ip") else _digits(text[s:e])
-            i = bisect.bisect_left(words, (s, e))
-            for a, b in words[max(0, i - near):i + near]:
-                out.add((f"{kind}:{value}", text[a:b].lower(), a, b))
-    return sorted(out)
+    return [m.span() for m in _WORD.finditer(text) if free(*m.span())]
+
+
+def entities(text: str, spans: list[list[tuple[int, int]]]) -> list[str]:
+    """The distinct entities that the spans mention."""
+    return sorted({f"{kind}:{text[s:e].lower() if kind in ('email', 'ip') else _digits(text[s:e])}"
+                   for kind, found in zip(KINDS, spans) for s, e in found})
 
 
 def _join(spans) -> str:
@@ -123,25 +126,59 @@ def _join(spans) -> str:
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, counts, base (spans joined) and context pairs."""
+    """doc_id, text_hash, counts, base (spans joined) and the entities of each text."""
 
     def run(batches):
         for batch in pieces(batches, 2, 2 << 20):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             spans = [base_spans(t) for t in texts]
-            pairs = [[{"entity": e, "term": w, "start": a, "stop": b} for e, w, a, b in contexts(t, s)]
-                     if any(s) else [] for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array([len(s[k]) for s in spans], pa.int64()) for k in range(4)],
-                 pa.array([_join(s) for s in spans], pa.string()), pa.array(pairs, _PAIRS)],
-                names=["doc_id", "text_hash", *[f"n_{k}" for k in KINDS], "base", "pairs"])
+                 pa.array([_join(s) for s in spans], pa.string()),
+                 pa.array([entities(t, s) for t, s in zip(texts, spans)], pa.list_(pa.string()))],
+                names=["doc_id", "text_hash", *[f"n_{k}" for k in KINDS], "base", "entities"])
 
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_email long, n_ip long,"
-        " n_card long, n_phone long, base string, pairs array<struct<entity:string,term:string,start:int,stop:int>>")
+        " n_card long, n_phone long, base string, entities array<string>")
+
+
+def _small(df: DataFrame, size) -> DataFrame:
+    """The table, to be broadcast if its rows hold few enough bytes."""
+    held = df.agg(F.sum(size + 16).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
+def whole_texts(docs: DataFrame, lists: DataFrame, column: str, text: str = "text") -> DataFrame:
+    """text_hash, text and the list ``column`` of the texts in ``lists``, each once."""
+    lists = _small(lists, F.expr(f"aggregate({column}, 0L, (a, x) -> a + length(x))"))
+    return (docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
+            .join(lists, "text_hash").dropDuplicates(["text_hash"]))
+
+
+def together(texts: DataFrame) -> DataFrame:
+    """entity, term, n: the texts that hold both; with a null entity, the texts that hold the term."""
 
+    def run(batches):
+        count: Counter = Counter()
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array([e for e, _ in count], pa.string()), pa.array([w for _, w in count], pa.string()),
+                                              pa.array(list(count.values()), pa.int64())], names=["entity", "term", "n"])
+            count.clear()
+            return out
+
+        for batch in pieces(batches, 0, 2 << 20):
+            for t, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                terms = {t[a:b].lower() for a, b in free_words(t, base_spans(t))}
+                for entity in (None, *known):
+                    count.update((entity, w) for w in terms)
+                    if len(count) > FLUSH:
+                        yield rows()
+        yield rows()
 
-_PAIRS = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+    return texts.select("text", "entities").mapInArrow(run, "entity string, term string, n long").groupBy("entity", "term").agg(
+        F.sum("n").alias("n"))
 
 
 def _slot(term: str) -> int:
@@ -175,14 +212,16 @@ def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> Da
 def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT,
                 threshold: float = THRESHOLD) -> DataFrame:
     """entity, term, ratio of the pairs whose ratio reaches the threshold."""
-    pair = found.where(F.size("pairs") > 0).select("text_hash", F.explode("pairs").alias("p")).select(
-        "text_hash", "p.entity", "p.term").distinct()
-    both = saved(pair.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support), "pairs")
     schema = "entity string, term string, ratio double"
-    if both.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
-    entity = pair.select("text_hash", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    near = pair.select("text_hash", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    nothing = docs.sparkSession.createDataFrame([], schema)
+    mention = found.select("text_hash", F.explode("entities").alias("entity")).distinct()
+    entity = saved(mention.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support), "entities")
+    if entity.isEmpty():
+        return nothing
+    known = mention.join(entity, "entity").groupBy("text_hash").agg(F.collect_list("entity").alias("entities"))
+    counted = saved(together(whole_texts(docs, saved(known, "mentions"), "entities", text)), "together")
+    held = counted.where("entity IS NULL").select("term", F.col("n").alias("n_held"))
+    both = counted.where("entity IS NOT NULL").where(F.col("n") >= support).withColumnRenamed("n", "n_both")
     n = float(found.agg(F.count_distinct("text_hash")).first()[0])
     information = F.log(F.lit(n) / F.col("n_entity"))
 
@@ -190,29 +229,41 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", support:
         pmi = F.log(F.lit(n) * F.col("n_both") / (F.col(n_term) * F.col("n_entity")))
         return F.when(information > 0, pmi / information)
 
-    # a term is in at least as many texts as it is near a mention: pairs that fall short even so need no count
-    open_ = saved(both.join(entity, "entity").join(near, "term").where(ratio("n_near") >= threshold).drop("n_near"), "open")
+    # a term is in at least as many texts as in those of the entities: pairs that fall short even so need no count
+    open_ = saved(both.join(entity, "entity").join(held, "term").where(ratio("n_held") >= threshold).drop("n_held"), "open")
     terms = saved(open_.select("term").distinct(), "terms")
     if terms.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
-    counted = open_.join(document_counts(docs, terms, text), "term")
-    return counted.select("entity", "term", ratio("n_term").alias("ratio")).where(F.col("ratio") >= threshold)
+        return nothing
+    sized = open_.join(document_counts(docs, terms, text), "term")
+    return sized.select("entity", "term", ratio("n_term").alias("ratio")).where(F.col("ratio") >= threshold)
+
+
+def term_spans(texts: DataFrame) -> DataFrame:
+    """text_hash, n_term, extra: every occurrence of the texts' ``terms`` outside base spans."""
+
+    def run(batches):
+        for batch in pieces(batches, 1, 2 << 20):
+            spans = []
+            for t, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                terms = set(terms)
+                spans.append([(a, b) for a, b in free_words(t, base_spans(t)) if t[a:b].lower() in terms])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in spans], pa.int64()),
+                 pa.array([",".join(f"term:{a}:{b}" for a, b in s) for s in spans], pa.string())], names=["text_hash", "n_term", "extra"])
+
+    return texts.select("text_hash", "text", "terms").mapInArrow(run, "text_hash long, n_term long, extra string")
 
 
 def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text_hash, n_email, n_ip, n_card, n_phone, n_term, base, spans."""
     found = saved(find(docs, text), "found")
-    risky = disclosures(docs, found, text)
-    hits = (found.where(F.size("pairs") > 0).dropDuplicates(["text_hash"])
-            .select("text_hash", F.explode("pairs").alias("p")).select("text_hash", "p.*").join(risky, ["entity", "term"]))
-    spans = hits.select("text_hash", F.struct("start", "stop").alias("span")).distinct().groupBy("text_hash").agg(
-        F.sort_array(F.collect_list("span")).alias("terms"))
-    spans = saved(spans.select("text_hash", F.size("terms").cast("long").alias("n_term"), F.expr(
-        "concat_ws(',', transform(terms, s -> concat('term:', s.start, ':', s.stop)))").alias("extra")), "spans")
-    if spans.count() <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
-    out = found.drop("pairs").join(spans, "text_hash", "left").withColumn("n_term", F.coalesce("n_term", F.lit(0).cast("long")))
-    return out.withColumn("spans", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "extra")).drop("extra")
+    risky = saved(disclosures(docs, found, text), "disclosures")
+    told = (found.select("text_hash", F.explode("entities").alias("entity")).distinct().join(risky, "entity")
+            .groupBy("text_hash").agg(F.collect_set("term").alias("terms")))
+    spans = saved(term_spans(whole_texts(docs, saved(told, "told"), "terms", text)), "spans")
+    out = found.drop("entities").join(_small(spans, F.length("extra")), "text_hash", "left")
+    out = out.withColumn("n_term", F.coalesce("n_term", F.lit(0).cast("long")))
+    return out.withColumn("spans", F.concat_ws(",", *[F.when(F.col(c) != "", F.col(c)) for c in ("base", "extra")])).drop("extra")
 
 
 def redacted(text: str, spans: str) -> str:
@@ -232,25 +283,24 @@ def redacted(text: str, spans: str) -> str:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with their personal data generalised; n_chars follows."""
-    found = personal_data(docs, text).where("spans <> ''").select(
-        F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_hash"])
-    found = saved(found, "redactions")
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
+    found = personal_data(docs, text).where("spans <> ''").select("text_hash", "spans").dropDuplicates(["text_hash"])
+    found = _small(saved(found, "redactions"), F.length("spans"))
     columns, schema = docs.columns, docs.schema
     at = columns.index(text)
     chars = columns.index("n_chars") if "n_chars" in columns else None
-    joined = docs.withColumn("_hash", F.xxhash64(text)).join(found, "_hash", "left").select(*columns, "_spans")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # names of its own: none clashes with those of the join
+    joined = plain.withColumn("text_hash", F.xxhash64(f"c{at}")).join(found, "text_hash", "left").select(*plain.columns, "spans")
 
     def run(batches):
         for batch in pieces(batches, at):
-            texts = [redacted(t, s) if s else t
-                     for t, s in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist())]
+            spans = batch.column(len(columns)).to_pylist()
+            texts = [redacted(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), spans)]
             out = list(batch.columns[:len(columns)])
             out[at] = pa.array(texts, out[at].type)
             if chars is not None:
-                out[chars] = pa.array([n if not s else len(t) for n, t, s in zip(
-                    batch.column(chars).to_pylist(), texts, batch.column(len(columns)).to_pylist())], out[chars].type)
-            yield pa.RecordBatch.from_arrays(out, names=columns)
+                out[chars] = pa.array([n if not s else len(t) for n, t, s in zip(batch.column(chars).to_pylist(), texts, spans)],
+                                      out[chars].type)
+            yield pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(columns))])
 
-    return joined.mapInArrow(run, T.StructType(schema.fields))
+    kinds = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return joined.mapInArrow(run, kinds).toDF(*columns)

@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -60,3 +61,59 @@ def test_disclosing_terms(spark, docs, no_docs):
 
 def test_overlapping_spans_are_one():
     assert P.redacted("call +1 578 555 6437 now", "card:6:20,phone:5:20") == "call [PHONE] now"
+
+
+def marked_by_hand(texts):
+    """doc -> spans that the method adds, by counting every word of every text."""
+    import math
+
+    found = {i: P.base_spans(t or "") for i, t in texts.items()}
+    distinct = {t: i for i, t in sorted(texts.items(), reverse=True)}  # one document of each text
+    holds, named = {}, {}
+    for t, i in distinct.items():
+        holds[t] = {t[a:b].lower() for a, b in P.free_words(t or "", found[i])} if t else set()
+        named[t] = set(P.entities(t or "", found[i]))
+    everywhere = {t: {m.lower() for m in re.findall(r"[^\W\d_]{3,}", t or "")} for t in distinct}
+    n, risky = len(distinct), set()
+    for e in set().union(*named.values()):
+        mine = [t for t in distinct if e in named[t]]
+        if len(mine) < P.SUPPORT or len(mine) == n:
+            continue
+        for w in set().union(*[holds[t] for t in mine]):
+            both, all_ = sum(w in holds[t] for t in mine), sum(w in s for s in everywhere.values())
+            if both >= P.SUPPORT and math.log(n * both / (all_ * len(mine))) / math.log(n / len(mine)) >= P.THRESHOLD - 1e-12:
+                risky.add((e, w))
+    return {i: [f"term:{a}:{b}" for a, b in P.free_words(t or "", found[i])
+                if any((e, t[a:b].lower()) in risky for e in named[t])] for i, t in texts.items()}
+
+
+def test_terms_equal_a_count_over_whole_texts(spark):
+    """Names near and far from the mention, more than once in a text, and in texts without the entity."""
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("river", "stone", "cloud", "paper", "light") for b in ("bank", "wall", "mill", "yard", "gate", "lane")]
+    texts = {}
+    for i in range(300):
+        w = rng.choices(words, k=rng.randint(5, 90))
+        if i % 10 == 0:  # the name opens the text, the address is up to 90 words on; the name comes again at the end
+            w = ["Zorblax"] + w + ["zed@corp.example.com"] + rng.choices(words, k=45) + ["zorblax", "said"]
+        if i % 15 == 1:
+            w = ["Quillon", *w, "10.1.2.3", "quillon"]
+        if i % 60 == 2:
+            w = ["Rare", "entity", f"r{i % 2}@x.org", *w]
+        if i % 100 == 3:
+            w += ["zorblax", "alone"]
+        texts[i] = " ".join(w)
+    texts |= {300: None, 301: "", 302: texts[0], 303: "İx " * 5 + "zed@corp.example.com Zorblax"}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = marked_by_hand(texts)
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term:")] for r in P.personal_data(table).collect()}
+    assert got == want
+    assert sum(len(x) >= 2 for x in want.values()) > 40 and not want[3]  # the last word of text 3 is "alone" without the address
+
+
+def test_clashing_columns(spark):
+    rows = [(i, f"call a{i}@b.org now", 1, "x", "y", "z") for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, text_hash int, _hash string, _spans string, spans string")
+    out = P.redact(table)
+    assert out.columns == table.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(i, "call [EMAIL] now", 1, "x", "y", "z") for i in range(4)]
