@@ -3,15 +3,21 @@
 from prefloom.llm import pareto_mix, quality_table
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-_STOP = ", ".join("'" + w + "'" for s in dict.fromkeys(quality_table.STOP_WORDS) for w in (s, s.capitalize()))
-_RULES = " AND ".join(
-    cond for r in quality_table.RULES
-    for cond in ([f"coalesce(CAST({r.part} AS DOUBLE) / nullif({r.whole}, 0) >= {r.least}, false)"] if r.least is not None else [])
-    + ([f"coalesce(CAST({r.part} AS DOUBLE) / nullif({r.whole}, 0) <= {r.most}, false)"] if r.most is not None else []))
+_STOP = ", ".join("'" + w + "'" for w in quality_table.stop_words())
+_OTHER_LANG = "(coalesce(lang NOT IN (" + ", ".join(f"'{x}'" for x in quality_table.STOP_LANGUAGES) + "), false))"
+
+
+def _rule(r) -> str:
+    bounds = [f"coalesce(CAST({r.part} AS DOUBLE) / nullif({r.whole}, 0) {sign} {bound}, false)"
+              for sign, bound in ((">=", r.least), ("<=", r.most)) if bound is not None]
+    return "(" + " AND ".join(bounds) + (f" OR {_OTHER_LANG})" if r.part == "n_stop_words" else ")")
+
+
+_RULES = " AND ".join(map(_rule, quality_table.RULES))
 
 QUALITY = rf"""
 WITH w AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS words FROM documents
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS words FROM documents
 ), windows AS (
   SELECT r, i, [words[i], words[i + 1], words[i + 2]] AS win
   FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)
@@ -24,7 +30,7 @@ WITH w AS (
   SELECT w.r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
   FROM w, unnest(string_split(t, chr(10))) AS u(l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY w.r
 ), f AS (
-  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+  SELECT doc_id, lang, CAST(len(words) AS BIGINT) AS n_words,
          CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,

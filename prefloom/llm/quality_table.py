@@ -5,6 +5,9 @@ the range in which they are accepted. ``judge`` adds the counts and the
 verdict as column expressions only: no user function, no exchange, the text
 is read once.
 
+The stop-word rule speaks for the languages of its words only: where a
+language column names another one, the other rules decide.
+
 Defined results: a null text counts as empty, has no words and is rejected;
 an empty table gives an empty table; equal rows get equal verdicts; columns
 of the input with clashing names are kept apart (the caller gets new columns
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Frequent function words of the corpus's languages (lower case; a capital first letter also counts).
+#: Languages of the stop words. A text without a language is judged by them.
+STOP_LANGUAGES = ("en", "fr", "de", "es")
+#: Frequent function words of these languages (lower case; capitals also count).
 STOP_WORDS = [
     "a", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the",
     "this", "to", "was", "with",
@@ -55,16 +60,21 @@ RULES = [
 _SPACE = " \t\n\x0b\x0c\r"
 
 
+def stop_words() -> list[str]:
+    """The stop words as they may be written."""
+    return list(dict.fromkeys(v for w in STOP_WORDS for v in (w, w.capitalize(), w.upper())))
+
+
 def features(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns with n_words, word_chars, n_symbols, n_lines,
     n_dup_lines, n_repeat_words and n_stop_words.
 
     Repeated 3-word windows: every window is hashed to 64 bits, its position
     takes the low ``b`` bits (as many as the word count needs), and one sort
-    of longs brings equal windows together; a text of 65,000 words keeps 48
-    bits of hash.
+    of longs brings equal windows together; neighbours of equal hash count as
+    equal only if their words are.
     """
-    stop = ", ".join("'" + w + "'" for s in dict.fromkeys(STOP_WORDS) for w in (s, s.capitalize()))
+    stop = ", ".join("'" + w + "'" for w in stop_words())
     texts = df.select(*(keep or []), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     words = texts.select("*", F.btrim("_text", F.lit(_SPACE)).alias("_trimmed")).select(
         "*",
@@ -82,10 +92,15 @@ def features(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
         "if(n_words < 3, cast(array() as array<bigint>), sort_array(transform(slice(_words, 1, cast(n_words - 2 as int)),"
         " (w, i) -> shiftleft(xxhash64(w, get(_words, i + 1), get(_words, i + 2)), _bits) | cast(i as bigint))))")
         .alias("_windows"))
+    def word(x, k):
+        return f"get(_words, cast({x} & (shiftleft(1L, _bits) - 1) as int) + {k})"
+
+    def equal(y):
+        same = " and ".join(f"{word('x', k)} = {word(y, k)}" for k in range(3))
+        return f"coalesce(shiftright(x, _bits) = shiftright({y}, _bits) and {same}, false)"
+
     found = windows.select("*", F.expr(
-        "sort_array(transform(filter(_windows, (x, i) ->"
-        " coalesce(shiftright(x, _bits) = shiftright(get(_windows, i - 1), _bits), false)"
-        " or coalesce(shiftright(x, _bits) = shiftright(get(_windows, i + 1), _bits), false)),"
+        f"sort_array(transform(filter(_windows, (x, i) -> {equal('get(_windows, i - 1)')} or {equal('get(_windows, i + 1)')}),"
         " x -> x & (shiftleft(1L, _bits) - 1)))").alias("_at"))
     return found.select(
         *(keep or []), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words",
@@ -97,30 +112,35 @@ def base_failed() -> Column:
     return F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
 
 
-def verdict(rules: list[Rule] | None = None) -> Column:
+def verdict(rules: list[Rule] | None = None, lang: Column | None = None) -> Column:
     """The table as one condition: true if every ratio lies in its range (an
-    undefined ratio, of a text without words or lines, is outside)."""
+    undefined ratio, of a text without words or lines, is outside). A rule on
+    stop words holds where ``lang`` is null or one of theirs."""
     out = F.lit(True)
     for r in RULES if rules is None else rules:
+        other = F.lit(False) if lang is None or r.part != "n_stop_words" else F.coalesce(~lang.isin(*STOP_LANGUAGES), F.lit(False))
         ratio = F.try_divide(F.col(r.part), F.col(r.whole)).cast("double")
         if r.least is not None:
-            out = out & F.coalesce(ratio >= F.lit(r.least), F.lit(False))
+            out = out & (other | F.coalesce(ratio >= F.lit(r.least), F.lit(False)))
         if r.most is not None:
-            out = out & F.coalesce(ratio <= F.lit(r.most), F.lit(False))
+            out = out & (other | F.coalesce(ratio <= F.lit(r.most), F.lit(False)))
     return out
 
 
 def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None,
-          rules: list[Rule] | None = None) -> DataFrame:
-    """``features`` with base_failed and kept."""
-    return (features(df, text, keep).withColumn("base_failed", base_failed())
-            .withColumn("kept", ~F.col("base_failed") & verdict(rules)))
+          rules: list[Rule] | None = None, lang: str | None = None) -> DataFrame:
+    """``features`` with base_failed and kept; ``lang`` is the language column, if there is one."""
+    kept = list(keep or [])
+    held = df if lang is None else df.withColumn("_lang", F.col(f"`{lang}`").cast("string"))
+    out = features(held, text, kept + ["_lang"] * (lang is not None)).withColumn("base_failed", base_failed())
+    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules, None if lang is None else F.col("_lang"))).drop("_lang")
 
 
-def accepted(df: DataFrame, text: str = "text") -> DataFrame:
+def accepted(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows that pass, with their own columns only (a filter stage)."""
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text}`").alias("_t"))
-    judged = judge(packed, "_t", ["_row"])
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text}`").alias("_t"),
+                       (F.col(f"`{lang}`") if lang in df.columns else F.lit(None)).cast("string").alias("_l"))
+    judged = judge(packed, "_t", ["_row"], lang="_l")
     # The optimiser would push a plain filter below the projection and so copy every expression into the
     # condition, where each lambda evaluates its arrays anew; a non-deterministic column stays where it is.
     return judged.withColumn("_kept", F.col("kept") & (F.monotonically_increasing_id() >= 0)).where("_kept").select("_row.*")

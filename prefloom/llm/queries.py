@@ -58,7 +58,7 @@ def op9_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_table.judge(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    out = quality_table.judge(read_table(spark, sf_dir, "documents"), keep=["doc_id"], lang="lang")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

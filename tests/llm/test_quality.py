@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -40,3 +41,24 @@ def test_stage_keeps_columns_and_whole_rows(spark, docs, no_docs):
 def test_no_user_function(spark, docs):
     plan = Q.judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_languages_without_stop_words_are_judged_by_the_other_rules(spark):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(80))
+    english = " ".join(f"THE {w}" for w in text.split())
+    rows = [(1, text, "pl"), (2, text, "en"), (3, text, None), (4, english, "en"), (5, english, None), (6, "!! " * 80, "pl"), (7, None, "pl")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in Q.judge(df, keep=["doc_id"], lang="lang").collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False, 7: False}
+    assert {r.doc_id for r in Q.accepted(df).collect()} == {1, 4, 5} and Q.accepted(df).columns == df.columns
+    assert {r.doc_id for r in Q.accepted(df.drop("lang")).collect()} == {4, 5}
+
+
+def test_a_million_words(spark):
+    """Windows of very long texts are confirmed on their words."""
+    rng = random.Random(4)
+    text = " ".join(str(rng.randrange(10 ** 5)) for _ in range(10 ** 6)) + " a b c d a b c"
+    df = spark.createDataFrame([(1, text), (2, "x y z " * 20)], "doc_id long, text string")
+    got = {r.doc_id: r.n_repeat_words for r in Q.judge(df, keep=["doc_id"]).collect()}
+    assert got == {1: by_hand(text)[4], 2: 60}
