@@ -26,6 +26,7 @@ MATH_CAP = 4
 CODE_CAP = 16
 MAX_TOKENS = 1024
 EVAL_BATCH = 8
+CUT_TOKENS = 64
 # Sizes of samples follow the tables: one row in so many.
 SELECT_WINDOW = 2
 SELECT_K = 16
@@ -475,6 +476,48 @@ def q_train_pairwise_reward(spark, sf):
     return spark.createDataFrame([(i + 1, x) for i, x in enumerate(w)], "dim int, weight double")
 
 
+def q_single_pair_rewards(spark, sf):
+    """The single-pair evaluation path: texts cut to their first tokens, one pair a call."""
+    cp = preference.chat_pairs(_pairs8_text(spark, sf))
+    cp = cp.select("problem_id", "pair_rank", prompts.chat_text("chosen").alias("chosen_text"),
+                   prompts.chat_text("rejected_messages").alias("rejected_text"))
+    s = model.score_pair_sides(cp, model.make_length_reward, batch_size=1, max_tokens=CUT_TOKENS)
+    return s.select("problem_id", "pair_rank", _r6("r_accepted"), _r6("r_rejected"))
+
+
+def q_evaluation_metrics(spark, sf):
+    """Accuracy and running accuracy of the stand-in reward model, as the job writes them."""
+    from prefloom.plans import jobs
+    from prefloom.session import scratch_path
+
+    pairs_ = _pairs8_text(spark, sf).select("problem_id", "pair_rank", "problem", "accepted", "rejected")
+    acc, running = jobs.evaluate_reward_model(spark, pairs_, model.make_length_reward, batch_size=EVAL_BATCH, max_tokens=CUT_TOKENS,
+                                              seed=SEED, running_every=10, metrics=scratch_path(spark, "metrics"))
+    whole = acc.select(F.lit(-1).cast("long").alias("batch_id"), F.col("n_pairs").alias("seen"), F.col("n_correct").alias("correct"),
+                       _r6("accuracy"))
+    return whole.unionByName(running.select("batch_id", "seen", "correct", _r6("accuracy")))
+
+
+def q_render_problems_math(spark, sf):
+    """The math side of the column mapping: problem, solution, prompt and its message."""
+    p = testdata.problems(spark, sf, 8).select("problem_id", "problem", testdata.math_answer().alias("solution"))
+    m = F.element_at("messages", 1)
+    return prompts.render_problems(p, "math").select("problem_id", "problem", "solution", "prompt", m["role"].alias("role"),
+                                                     m["content"].alias("content"))
+
+
+def q_pairwise_gradient(spark, sf):
+    """The training loss's slope at zero weights, from the rows the fit gets:
+    each pair once as (difference, 1) and once as (its negation, 0)."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = model.pairwise_features(pairs_with_embeddings(spark, sf))
+    each = rows.select("label", F.posexplode(vector_to_array("features")).alias("dim", "x"))
+    return each.groupBy((F.col("dim") + 1).alias("dim")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("label").cast("long").alias("n_positive"),
+        F.round(F.sum((F.col("label") - 0.5) * F.col("x")), 3).alias("slope"))
+
+
 def _rounds(spark, sf):
     """Three rounds on the whole pool: its own pairs, its metrics, and where they are written."""
     from prefloom.plans import active
@@ -600,8 +643,12 @@ def q_error_digest(spark, sf):
 ROWS_ONLY = {
     "error_digest": q_error_digest,
     "train_pairwise_reward": q_train_pairwise_reward,
+    "pairwise_gradient": q_pairwise_gradient,
     "active_rounds": q_active_rounds,
     "active_round_sizes": q_active_round_sizes,
+    "single_pair_rewards": q_single_pair_rewards,
+    "render_problems_math": q_render_problems_math,
+    "evaluation_metrics": q_evaluation_metrics,
     "generate_completions": q_generate_completions,
     "code_run_responses": q_code_run_responses,
     "reward_model_scores": q_reward_model_scores,

@@ -95,11 +95,12 @@ def generate_sft_data(spark: SparkSession, problems: DataFrame, domain: str, mak
 def evaluate_reward_model(spark: SparkSession, pairs: DataFrame, make_predict_fn: Callable,
                           batch_size: int = 8, max_tokens: int | None = None, seed: int = 42,
                           max_examples: int | None = None, running_every: int | None = None,
-                          out: str | None = None):
+                          out: str | None = None, metrics: str | None = None):
     """Accuracy of a reward model on (problem, accepted, rejected) pairs.
 
     Rewards are written once; returns ``(accuracy, running)`` DataFrames
-    (``running`` is None unless ``running_every``)."""
+    (``running`` is None unless ``running_every``). With ``metrics`` both are
+    written below that path, as tables ``accuracy`` and ``running``, and read back."""
     if max_examples is not None:
         pairs = sampling.take_sample(pairs, max_examples, seed, ["problem_id", "pair_rank"], strict=False)
     cp = preference.chat_pairs(pairs)
@@ -116,6 +117,9 @@ def evaluate_reward_model(spark: SparkSession, pairs: DataFrame, make_predict_fn
         keyed = scored.withColumn("_key", shuffle_key(seed, "problem_id", "pair_rank"))
         running = evaluate.running_accuracy(keyed, ["_key", "problem_id", "pair_rank"], batch_size,
                                             every=running_every)
+    if metrics is not None:
+        acc = spark.read.parquet(write_table(acc, f"{metrics}/accuracy"))
+        running = None if running is None else spark.read.parquet(write_table(running, f"{metrics}/running"))
     return acc, running
 
 

@@ -388,6 +388,37 @@ WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.model = p.model AND w.problem_id =
 o AS (SELECT model, problem_id, pair_rank, row_number() OVER (PARTITION BY model
   ORDER BY {skey(C.SEED, 'problem_id', 'pair_rank')}, problem_id, pair_rank) - 1 AS pos FROM sp)
 SELECT model, problem_id, pair_rank, pos // {C.EVAL_BATCH} AS batch_id FROM o"""
+    def cut(x):
+        return f"array_to_string(regexp_split_to_array({strip(x)}, '{WS}+')[1:{C.CUT_TOKENS}], ' ')"
+
+    def length_reward(x):
+        return f"(len(list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> ''))) / (1.0 + sqrt(length({x}))))"
+
+    side = {s: (f"'<|im_start|>user' || {NL} || problem || '<|im_end|>' || {NL} || '<|im_start|>assistant' || {NL} || "
+                f"{s} || '<|im_end|>' || {NL}") for s in ("accepted", "rejected")}
+    single = f"""{R8}, {P8}, {C8}, {pairs_cte('pr', 'c8', C.MATH_CAP)}, {texts_cte('pt', 'pr', 'r8', 'p8')},
+ct AS (SELECT problem_id, pair_rank, {cut(side['accepted'])} AS ta, {cut(side['rejected'])} AS tr FROM pt),
+rs AS (SELECT problem_id, pair_rank, {length_reward('ta')} AS r_accepted, {length_reward('tr')} AS r_rejected FROM ct)"""
+    q["single_pair_rewards"] = f"""WITH {single}
+SELECT problem_id, pair_rank, round(r_accepted, 6) AS r_accepted, round(r_rejected, 6) AS r_rejected FROM rs"""
+    q["evaluation_metrics"] = f"""WITH {single},
+o AS (SELECT *, (row_number() OVER (ORDER BY {skey(C.SEED, 'problem_id', 'pair_rank')}, problem_id, pair_rank) - 1)
+  // {C.EVAL_BATCH} AS batch_id FROM rs),
+b AS (SELECT batch_id, count(*) AS n, count(*) FILTER (r_accepted > r_rejected) AS c FROM o GROUP BY 1),
+cum AS (SELECT batch_id, CAST(sum(n) OVER w AS BIGINT) AS seen, CAST(sum(c) OVER w AS BIGINT) AS correct,
+  max(batch_id) OVER () AS final FROM b WINDOW w AS (ORDER BY batch_id))
+SELECT batch_id, seen, correct, round(correct / seen, 6) AS accuracy FROM cum WHERE batch_id % 10 = 0 OR batch_id = final
+UNION ALL SELECT -1, seen, correct, round(correct / seen, 6) FROM cum WHERE batch_id = final"""
+    q["render_problems_math"] = f"""WITH {R8}, {P8},
+s AS (SELECT problem_id, problem, '\\boxed{{' || {lst(T.MATH_VALUES)}[problem_id % 7 + 1] || '}}' AS solution,
+  {lit(pre)} || problem || {lit(post)} AS prompt FROM p8)
+SELECT problem_id, problem, solution, prompt, 'user' AS role, prompt AS content FROM s"""
+    q["pairwise_gradient"] = f"""WITH {R8}, {C8}, {pairs_cte('pr', 'c8', C.MATH_CAP)},
+d AS (SELECT unnest(range(1, len(a.embedding) + 1)) AS dim, a.embedding AS ea, r.embedding AS er FROM pr p
+  JOIN embeddings a ON a.vec_id = (p.problem_id * 8 + p.accepted_idx) % (SELECT count(*) FROM embeddings)
+  JOIN embeddings r ON r.vec_id = (p.problem_id * 8 + p.rejected_idx) % (SELECT count(*) FROM embeddings))
+SELECT CAST(dim AS INTEGER) AS dim, 2 * count(*) AS n_rows, count(*) AS n_positive,
+  round(sum(CAST(ea[dim] AS DOUBLE) - CAST(er[dim] AS DOUBLE)), 3) AS slope FROM d GROUP BY dim"""
     q["active_round_sizes"] = f"""WITH RECURSIVE {R8}, {C8}, {pairs_cte('pr', 'c8', C.MATH_CAP)},
 n AS (SELECT count(*) FILTER (NOT held) AS pool, count(*) FILTER (held) AS held FROM (
   SELECT {uniform(str(C.SEED) + ':split', 'problem_id')} < 0.2 AS held FROM pr)),
