@@ -9,9 +9,11 @@ call the model again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,14 +65,69 @@ def predict_scores(df: DataFrame, make_predict_fn: Callable, input_cols: Sequenc
     return df.withColumn(out_col, udf(*[F.col(c) for c in input_cols]))
 
 
+def token_batches(lengths: np.ndarray, budget: int) -> list[np.ndarray]:
+    """Rows in calls of at most ``budget`` tokens, padding counted: shortest
+    first, a call's size times its longest row. A row beyond the budget is a
+    call of its own."""
+    order = np.argsort(lengths, kind="stable")
+    calls, start = [], 0
+    for i in range(1, len(order) + 1):
+        if i == len(order) or (i + 1 - start) * max(1, int(lengths[order[i]])) > budget:
+            calls.append(order[start:i])
+            start = i
+    return calls
+
+
+_MODELS: dict[str, Callable] = {}
+
+
+def _built(key: str, make: Callable) -> Callable:
+    """One model instance for each Python worker, kept over its tasks."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = make()
+    return _MODELS[key]
+
+
+def predict_scores_by_tokens(df: DataFrame, make_predict_fn: Callable, input_col: str, budget: int,
+                             out_col: str = "reward", count: Callable[[str], int] = lambda t: len(t.split())) -> DataFrame:
+    """``predict_scores`` of one text column with calls cut by tokens, not rows.
+
+    Within an Arrow batch (``spark.sql.execution.arrow.maxRecordsPerBatch``
+    rows) texts are ordered by length, so that a call pads little, and a call
+    holds at most ``budget`` padded tokens, whatever the texts' lengths.
+    ``count`` gives a text's tokens; a null text has none and no reward. Rows
+    keep their order.
+    """
+    key, at = uuid.uuid4().hex, df.columns.index(input_col)
+    if budget <= 0:
+        raise ValueError("budget must be positive")
+
+    def run(batches):
+        fn = _built(key, make_predict_fn)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            known = np.array([i for i, t in enumerate(texts) if t is not None], np.int64)
+            lengths = np.array([count(texts[i]) for i in known], np.int64)
+            scores: list = [None] * len(texts)
+            for call in token_batches(lengths, budget):
+                rows = known[call]
+                for i, x in zip(rows.tolist(), np.asarray(fn(np.array([texts[i] for i in rows], dtype=object)), float).tolist()):
+                    scores[i] = x
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out_col])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.DoubleType())]))
+
+
 def score_pair_sides(pairs: DataFrame, make_predict_fn: Callable, chosen_col: str = "chosen_text",
                      rejected_col: str = "rejected_text", batch_size: int = 8,
-                     max_tokens: int | None = None) -> DataFrame:
+                     max_tokens: int | None = None, token_budget: int | None = None) -> DataFrame:
     """Reward of both sides of each pair in one model pass per side.
 
     ``batch_size=1`` with ``max_tokens`` is the single-pair evaluation path
     (texts truncated to ``max_tokens`` white-space tokens first); every pair
-    is scored once whatever the batch size.
+    is scored once whatever the batch size. With ``token_budget`` calls are cut
+    by padded tokens instead (``predict_scores_by_tokens``).
     """
     from prefloom.operators.evaluate import truncate_tokens
 
@@ -78,8 +135,9 @@ def score_pair_sides(pairs: DataFrame, make_predict_fn: Callable, chosen_col: st
     if max_tokens is not None:
         c, r = truncate_tokens(c, max_tokens), truncate_tokens(r, max_tokens)
     tmp = pairs.withColumn("_c_in", c).withColumn("_r_in", r)
-    tmp = predict_scores(tmp, make_predict_fn, ["_c_in"], batch_size, "r_accepted")
-    tmp = predict_scores(tmp, make_predict_fn, ["_r_in"], batch_size, "r_rejected")
+    for col, out in (("_c_in", "r_accepted"), ("_r_in", "r_rejected")):
+        tmp = (predict_scores(tmp, make_predict_fn, [col], batch_size, out) if token_budget is None
+               else predict_scores_by_tokens(tmp, make_predict_fn, col, token_budget, out))
     return tmp.drop("_c_in", "_r_in")
 
 
