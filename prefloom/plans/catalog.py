@@ -614,6 +614,38 @@ def q_stream_preference_pairs(spark, sf):
     return spark.read.parquet(out).drop("batch_id", "problem_bucket")
 
 
+def q_stream_preference_pairs_merged(spark, sf):
+    """The same pairs from choice responses, merged every second micro-batch."""
+    from prefloom.session import scratch_path
+    from prefloom.streaming import incremental, snapshots
+
+    c = testdata.choice_candidates(spark, sf).select(_bucket(), "problem_id", "response_idx", "response", "answer")
+    resp_path = scratch_path(spark, "stream-choices")
+    c.drop("answer").repartition("problem_bucket").write.partitionBy("problem_bucket").parquet(resp_path)
+    answers = c.groupBy("problem_bucket", "problem_id").agg(F.min("answer").alias("answer"))
+    probs = testdata.problems(spark, sf, 8).select("problem_id", "problem").join(answers, "problem_id")
+    probs = probs.select("problem_bucket", "problem_id", "problem", "answer")
+    src = _stream_input(spark, probs, "stream-choice-problems", parts=5, order_col="problem_id")
+    out = scratch_path(spark, "stream-merged")
+    incremental.incremental_preferences(spark, src, probs.schema, spark.read.parquet(resp_path), out,
+                                        scratch_path(spark, "stream-merged-ckpt"), "medical", MATH_CAP,
+                                        bucket_col="problem_bucket", save_every=2)
+    return snapshots.read_snapshots(spark, out).select("problem_id", "pair_rank", "accepted_idx", "rejected_idx",
+                                                       "accepted_score", "rejected_score", "accepted", "rejected")
+
+
+def q_versioned_pairs(spark, sf):
+    """The capped pairs as the second version of a table, next to one that was never published."""
+    from prefloom.session import scratch_path
+    from prefloom.streaming import snapshots
+
+    p, out = _pairs8(spark, sf).select("problem_id", "pair_rank", "accepted_idx", "rejected_idx"), scratch_path(spark, "versions")
+    snapshots.write_version(p.where("pair_rank = 1"), out)
+    snapshots.write_version(p, out, partition_by=["pair_rank"])
+    p.where("false").write.parquet(f"{out}/_data/2-unpublished")
+    return snapshots.read_version(spark, out).select("problem_id", "pair_rank", "accepted_idx", "rejected_idx")
+
+
 def q_stream_sft(spark, sf):
     from prefloom.session import scratch_path
     from prefloom.streaming import incremental
@@ -665,6 +697,8 @@ ROWS_ONLY = {
     "code_run_responses": q_code_run_responses,
     "reward_model_scores": q_reward_model_scores,
     "stream_preference_pairs": q_stream_preference_pairs,
+    "stream_preference_pairs_merged": q_stream_preference_pairs_merged,
+    "versioned_pairs": q_versioned_pairs,
     "stream_sft": q_stream_sft,
     "stream_running_accuracy": q_stream_running_accuracy,
 }

@@ -466,6 +466,9 @@ SELECT problem_id, response_idx, count(*) AS n_cases, CAST(sum(CAST(ok AS INTEGE
                 f" || '<|im_end|>' || {NL})")
         return f"round(len(list_distinct(regexp_extract_all({chat}, '{NON_WS}+'))) / (1.0 + sqrt(length({chat}))), 6)"
 
+    q["stream_preference_pairs_merged"] = q["preference_pairs_medical"]
+    q["versioned_pairs"] = f"""WITH {R8}, {C8}, {pairs_cte('pr', 'c8', C.MATH_CAP)}
+SELECT problem_id, pair_rank, accepted_idx, rejected_idx FROM pr"""
     q["pair_rewards_by_tokens"] = q["reward_model_scores"] = f"""SELECT problem_id, pair_rank, {side('accepted')} AS r_accepted, {side('rejected')} AS r_rejected
 FROM ({q['preference_pairs']})"""
     return q

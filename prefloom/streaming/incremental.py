@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from prefloom.operators import evaluate
 from prefloom.operators.sampling import running_sums
 from prefloom.plans import preference
+from prefloom.streaming import snapshots
 
 
 def problem_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1) -> DataFrame:
@@ -44,9 +45,13 @@ def incremental_preferences(spark: SparkSession, problems_path: str, problem_sch
                             out: str, checkpoint: str, scorer: str = "math", max_pairs: int = 4,
                             max_files_per_trigger: int = 1, bucket_col: str | None = None,
                             make_generate_fn: Callable | None = None, num_samples: int = 8,
-                            prompt_col: str = "prompt", batch_size: int = 64) -> str:
+                            prompt_col: str = "prompt", batch_size: int = 64, save_every: int | None = None) -> str:
     """Preference pairs per micro-batch of problems.
 
+    With ``save_every`` the batches' folders are merged each time so many are
+    written (``snapshots.compact``); read the output with
+    ``snapshots.read_snapshots`` then.
+
     ``problems_path`` holds problem rows (``problem_id, problem, answer`` and,
     for generation, ``prompt``). Responses come either from
     ``make_generate_fn`` (generated inside the micro-batch, as the
@@ -76,6 +81,8 @@ def incremental_preferences(spark: SparkSession, problems_path: str, problem_sch
         scored = preference.score_responses(resp, scorer)
         out_df = preference.preference_data(scored, probs.select("problem_id", "problem"), max_pairs)
         out_df.write.mode("overwrite").parquet(_batch_path(out, batch_id))
+        if save_every and (batch_id + 1) % save_every == 0:
+            snapshots.compact(batch.sparkSession, out, batch_id)
 
     _run(problem_stream(spark, problems_path, problem_schema, max_files_per_trigger), handle, checkpoint)
     return out
