@@ -37,6 +37,8 @@ MOST_COPIES = 2
 SEED = 20
 #: A table with a row for each source is broadcast up to so many sources.
 BROADCAST_SOURCES = 10_000
+#: The keys of rows that repeat are broadcast up to so many bytes.
+BROADCAST_BYTES = 16 << 20
 
 
 def _text_hash(text: str) -> Column:
@@ -149,7 +151,9 @@ def mix(docs: DataFrame, seed=SEED) -> DataFrame:
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id",
                          F.col("source").cast("string").alias("source"), _text_hash("text").alias("text_hash"))
     # only rows that repeat need a number, so texts of others stay where they are
-    again = sized.where("rep = 2").select(*[F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "text_hash")])
+    again = saved(sized.where("rep = 2").select(*[F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "text_hash")]), "repeats")
+    held = again.agg(F.sum(F.coalesce(F.length("_source"), F.lit(0)) + 64)).first()[0] or 0
+    again = F.broadcast(again) if held <= BROADCAST_BYTES else again
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("source", "doc_id", "text_hash")])
     packed = packed.join(again, same, "left_anti").withColumn("rep", F.lit(1).cast("long")).union(
         _numbered(packed.join(again, same, "left_semi")))
