@@ -16,8 +16,9 @@ then with another member (stars, not all pairs). The pairs across components tha
 remain are found through the differences from the bucket's representative:
 members x, y with symmetric differences Dx, Dy from it are linked if and only
 if Dx and Dy share a number of shingles that follows from four set sizes (see
-``across_pairs``), so a prefix filter over the rarest differences finds every
-link without comparing all members. No link of the candidates is lost.
+``across_pairs``), so a prefix filter over the rarest differences, and bitmaps
+of all differences, find every link without comparing all members. No link of
+the candidates is lost.
 
 Defined results: a document without words (or null) has an empty set and is
 linked with nothing; a null id takes no part (component null, kept); rows
@@ -28,10 +29,11 @@ table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefloom.llm.common import GOLDEN, U64, mix64, pieces, saved
@@ -39,6 +41,8 @@ from prefloom.llm.common import GOLDEN, U64, mix64, pieces, saved
 ROWS, BANDS = 5, 26
 COORDS = ROWS * BANDS
 PERCENT = 80
+#: Bits of the bitmap of a member's differences.
+BITS = 256
 #: A list of ids is broadcast up to so many rows (16 MB), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -128,6 +132,14 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``BITS`` bits, as 64-bit numbers, for each set of hashes: bit ``h % BITS`` for each hash."""
+    bits = np.zeros((len(sets), BITS), bool)
+    for row, s in zip(bits, sets):
+        row[s.view(U64) % U64(BITS)] = True
+    return np.packbits(bits, axis=1).view(np.int64).reshape(len(sets), BITS // 64)
+
+
 def sketch_documents(docs: DataFrame, text: str = "text", width: int = 2) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_id (16 bytes, null if empty) and band keys."""
 
@@ -213,8 +225,11 @@ def across_pairs(several: DataFrame, classes: DataFrame, docs: DataFrame, text:
     L = (2 percent Wy - S (100 - percent) |c|) / 200 is the least Wx that |Dx|
     allows. So a linked pair meets in the first |D| - need + 1 differences of
     either side, rarest first. Differences are keyed by a hash of lead and
-    shingle: equal hashes only add candidates.
+    shingle: equal hashes only add candidates. Of the pairs that meet, those go
+    whose bitmaps rule out so many shared differences: each bit of x that y
+    lacks stands for a difference of x alone.
     """
+    marks = [f"mark{i}" for i in range(BITS // 64)]
     scale = 2 * (100 + percent)
     units = several.where("set_id <> lead").select("lead", "set_id", "component").distinct()
     units = saved(units.withColumn("u", F.monotonically_increasing_id()), "units")
@@ -236,19 +251,21 @@ def across_pairs(several: DataFrame, classes: DataFrame, docs: DataFrame, text:
                 added.append(len(new))
                 lead.append(len(c))
                 diff.append(np.concatenate([gone, new]).view(np.int64))
+            bits = bitmaps(diff)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(removed, pa.int64()), pa.array(added, pa.int64()),
-                pa.array(lead, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
-                names=["u", "removed", "added", "n_lead", "diff"])
+                pa.array(lead, pa.int64()), pa.array(diff, pa.list_(pa.int64())), *[pa.array(x) for x in bits.T.copy()]],
+                names=["u", "removed", "added", "n_lead", "diff", *marks])
 
-    sized = both.mapInArrow(differ, "u long, removed long, added long, n_lead long, diff array<bigint>")
-    sized = sized.select("u", "n_lead", "diff", (F.col("removed") + F.col("added")).alias("d"),
+    sized = both.mapInArrow(differ, "u long, removed long, added long, n_lead long, diff array<bigint>, "
+                            + ", ".join(f"{m} long" for m in marks))
+    sized = sized.select("u", "n_lead", "diff", *marks, (F.col("removed") + F.col("added")).alias("d"),
                          (F.col("n_lead") - F.col("removed") + F.col("added")).alias("size"),
                          (F.lit(200) * F.col("removed") + F.lit(2 * percent) * F.col("added")
                           - F.lit(100 - percent) * F.col("n_lead")).alias("w"))
     lower = F.floor((F.lit(2 * percent) * F.col("w") - F.lit(scale * (100 - percent)) * F.col("n_lead")) / 200)
     units = saved(units.join(sized.select(
-        "u", "diff", "d", "w", "size",
+        "u", "diff", "d", "w", "size", *marks,
         F.greatest(F.lit(1), F.ceil(2 * F.col("w") / scale)).alias("need_small"),
         F.greatest(F.lit(1), F.ceil((F.col("w") + lower) / scale)).alias("need_large")), "u"), "differences")
     # a difference that no other unit of the lead has joins nothing, but counts as the rarest
@@ -263,16 +280,21 @@ def across_pairs(several: DataFrame, classes: DataFrame, docs: DataFrame, text:
         "u", "key", (F.col("d") - F.col("pos")).alias("rest"),
         (F.col("pos") <= F.col("d") - F.col("need_small")).alias("small"),
         (F.col("pos") <= F.col("d") - F.col("need_large")).alias("large"))
-    head = saved(head.join(units.select("u", "set_id", "component", "w", "size"), "u").drop("u"), "heads")
+    head = saved(head.join(units.select("u", "set_id", "component", "d", "w", "size", *marks), "u").drop("u"), "heads")
 
     def side(flag, suffix):
-        return head.where(flag).select("key", *[F.col(c).alias(c + suffix) for c in ("set_id", "component", "w", "rest", "size")])
+        return head.where(flag).select("key", *[F.col(c).alias(c + suffix) for c in ("set_id", "component", "d", "w", "rest", "size", *marks)])
+
+    def common(x, y):
+        """The most differences that x can share with y."""
+        alone = [F.bit_count(F.col(f"{m}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{m}_{y}")))) for m in marks]
+        return F.col(f"d_{x}") - reduce(Column.__add__, alone)
 
     met = side("small", "_x").join(side("large", "_y"), "key").where(
         (F.col("component_x") != F.col("component_y"))
         & ((F.col("w_x") < F.col("w_y")) | ((F.col("w_x") == F.col("w_y")) & (F.col("set_id_x") < F.col("set_id_y"))))
         & (100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y"))
-        & (scale * F.least("rest_x", "rest_y") >= F.col("w_x") + F.col("w_y")))
+        & (scale * F.least("rest_x", "rest_y", common("x", "y"), common("y", "x")) >= F.col("w_x") + F.col("w_y")))
     return met.select(F.col("set_id_x").alias("a"), F.col("set_id_y").alias("b"))
 
 
@@ -303,17 +325,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 2, percent
     named = sketched.where("set_id is not null and doc_id is not null")
     classes = saved(named.groupBy("set_id").agg(
         F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "classes")
-    member = classes.select("set_id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("lead")).where("n > 1")
-    member = saved(member.join(shared, "bucket").select("bucket", "set_id", "lead"), "members")
-    sizes = classes.select("set_id", F.col("size"))
+    member = classes.select("set_id", "size", F.explode("bands").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("set_id", "size")).alias("_lead")).where("n > 1")
+    member = saved(member.join(shared, "bucket").select(
+        "bucket", "set_id", "size", F.col("_lead.set_id").alias("lead"), F.col("_lead.size").alias("lead_size")), "members")
 
     def sized(edges):
-        """Edges once each, without those whose sizes rule them out."""
-        edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        e = (edges.join(sizes.select(F.col("set_id").alias("a"), F.col("size").alias("sa")), "a")
-             .join(sizes.select(F.col("set_id").alias("b"), F.col("size").alias("sb")), "b"))
-        return e.where(F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent).select("a", "b")
+        """Edges (a, b of sizes sa, sb) once each, without those whose sizes rule them out."""
+        possible = F.least("sa", "sb") * 100 >= F.greatest("sa", "sb") * percent
+        return edges.where((F.col("a") != F.col("b")) & possible).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     def label(links):
         """Components, and the members of buckets that still hold several."""
@@ -322,7 +342,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 2, percent
         order = F.xxhash64("set_id", "bucket")
         several = now.groupBy("bucket").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "set_id").alias("lead_component"),
-            F.min_by("set_id", order).alias("other"), F.min_by("component", order).alias("other_component")).where("low < high")
+            F.min_by("set_id", order).alias("other"), F.min_by("size", order).alias("other_size"),
+            F.min_by("component", order).alias("other_component")).where("low < high")
         return comp, saved(now.join(several, "bucket"), "several")
 
     def star(comp):
@@ -332,15 +353,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 2, percent
         return confirm(edges, classes, docs, text, width, percent)
 
     # one comparison of each member first; then, where a bucket still holds several components, with its lead, and with another
-    seen = saved(sized(member.groupBy("set_id").agg(F.min("lead").alias("b")).select(F.col("set_id").alias("a"), "b")), "edges")
+    first = member.groupBy("set_id", "size").agg(F.min(F.struct("lead", "lead_size")).alias("_lead"))
+    seen = saved(sized(first.select(F.col("set_id").alias("a"), F.col("_lead.lead").alias("b"), F.col("size").alias("sa"),
+                                    F.col("_lead.lead_size").alias("sb"))), "edges")
     comp, several = label(confirmed(seen))
     for side in ("lead", "other"):
         new = sized(several.where(F.col("component") != F.col(f"{side}_component"))
-                    .select(F.col("set_id").alias("a"), F.col(side).alias("b")))
+                    .select(F.col("set_id").alias("a"), F.col(side).alias("b"), F.col("size").alias("sa"), F.col(f"{side}_size").alias("sb")))
         new = saved(new.join(seen, ["a", "b"], "left_anti"), "edges")
         comp, several = label(star(comp).union(confirmed(new)))
         seen = seen.union(new)
-    across = sized(across_pairs(several, classes, docs, text, width, percent))
+    across = across_pairs(several, classes, docs, text, width, percent)
+    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     across = saved(across.join(seen, ["a", "b"], "left_anti"), "edges")
     comp = components(star(comp).union(confirmed(across)))
     labelled = classes.select("set_id", "first_doc").join(comp, "set_id", "left").withColumn(

@@ -124,3 +124,38 @@ def test_a_member_is_compared_with_few_leads(spark):
         texts[i] = " ".join(w)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in D.near_duplicates(df).collect()} == by_hand(texts)
+
+
+def test_bitmaps_never_understate_what_two_sets_share():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(-1 << 63, (1 << 63) - 1, 400)
+    sets = [np.unique(rng.choice(pool, n)) for n in (0, 1, 7, 60, 180, 300)]
+    marks = [[int(x) & (1 << 64) - 1 for x in row] for row in D.bitmaps(sets)]
+    for x, mx in zip(sets, marks):
+        for y, my in zip(sets, marks):
+            alone = sum((a & ~b).bit_count() for a, b in zip(mx, my))
+            assert len(x) - alone >= len(np.intersect1d(x, y))
+
+
+def test_few_members_of_a_group_are_compared_across(spark, monkeypatch):
+    """Copies that differ too much from each other are not confirmed on their texts one by one."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    texts = {}
+    for i in range(160):
+        w = list(base)
+        for k in rng.sample(range(60), 4 if i % 8 else 2):  # alone below the threshold from each other, near the base
+            w[k] = rng.choice([f"n{i}x{k}", f"s{k}"])
+        texts[i] = " ".join(w)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    found, across = [], D.across_pairs
+
+    def counted(*args):
+        out = across(*args)
+        found.append(out.select("a", "b").distinct().count())
+        return out
+
+    monkeypatch.setattr(D, "across_pairs", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in D.near_duplicates(rows).collect()}
+    assert got == by_hand(texts)
+    assert found[0] < 200  # 1,014 by the prefixes alone
