@@ -51,6 +51,9 @@ CHECKPOINT = 128
 MEMO = 250_000
 #: The starts, a row for each task of the writer, are broadcast up to so many.
 BROADCAST_TASKS = 1_000_000
+#: A row holds a block: writers look at their sizes after each one, so that pages, groups of rows and with them
+#: readers' buffers stay small (the default is 100 rows of half a megabyte at least).
+SMALL_PAGES = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 # The tokenizer's pattern, for lower-case text in the range of _LATIN (where NFC changes nothing).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _LATIN = re.compile("[!-~\u00a1-\u024f]+")
@@ -292,7 +295,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, text: str = "text",
     """Write the ids of all documents in the file format to ``folder``."""
     spark = docs.sparkSession
     raw_path = scratch_path(spark, "llm-token-blocks")
-    token_blocks(docs, tokenizer, text, end_id).write.parquet(raw_path)
+    token_blocks(docs, tokenizer, text, end_id).write.options(**SMALL_PAGES).parquet(raw_path)
     raw = spark.read.parquet(raw_path)
     counts = id_counts(raw).collect()  # a row for each id of the vocabulary at most
     most = np.zeros(max([r[0] for r in counts], default=0) + 1, np.int64)
@@ -312,7 +315,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, text: str = "text",
                                                  names=["task", "block", "before", "doc_ids", "lengths", "payload"])
 
     raw.mapInArrow(run, "task int, block int, before long, doc_ids array<bigint>, lengths array<bigint>, payload binary") \
-        .write.parquet(f"{folder}/blocks")
+        .write.options(**SMALL_PAGES).parquet(f"{folder}/blocks")
     per_task = raw.select("task", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n")).groupBy("task").agg(
         F.sum("n").alias("n"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task

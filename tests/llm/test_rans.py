@@ -71,3 +71,19 @@ def test_pieces_equal_the_library(texts):
 
 
 ENCODER = R.PieceEncoder(PATH)
+
+
+def test_files_of_blocks_have_small_pages_and_groups_of_rows(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(2)
+    blocks = [(0, b, b * 300_000, [b], [300_000], 2, rng.integers(0, 40_000, 300_000).astype("<u2").tobytes()) for b in range(24)]
+    raw = spark.createDataFrame(blocks, "task int, block int, before long, doc_ids array<bigint>, lengths array<bigint>, width int, ids binary")
+    monkeypatch.setattr(R, "token_blocks", lambda *a, **k: raw.coalesce(1))
+    R.write_ids(raw, str(tmp_path), PATH)
+    files = [pq.ParquetFile(f) for f in (tmp_path / "blocks").glob("*.parquet")]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 24
+    assert max(g.total_byte_size for g in groups) < 10 << 20
+    got = {r.doc_id: (r.start, r.ids) for r in R.read_ids(spark, str(tmp_path)).collect()}
+    assert got == {b: (b * 300_000, np.frombuffer(x[6], "<u2").astype("<u4").tobytes()) for b, x in enumerate(blocks)}
