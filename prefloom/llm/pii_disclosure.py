@@ -18,8 +18,9 @@ that are rarer stay, their base spans are marked as all are.
 
 Scale: one pass finds the base spans; only texts of entities with enough texts
 are read again, for (entity, term) counts that are summed in the task first;
-one pass counts the documents of the terms left (a bitmap of fixed size keeps
-other words out of the shuffle, a join decides). Patterns run in time linear in
+one pass counts the documents of the terms left, in the task where a text comes
+once (bitmaps of fixed size keep other words out of the shuffle and tell texts
+that may come twice, a join decides). Patterns run in time linear in
 the text.
 
 Defined results: a null text is empty and has no spans; rows with equal text
@@ -45,6 +46,8 @@ KINDS = ["email", "ip", "card", "phone"]
 SUPPORT = 3
 THRESHOLD = 0.9
 BITMAP = 1 << 20
+#: Bits that tell texts which may come twice (4 MB).
+COPIES = 1 << 25
 #: Tables of texts' spans or entities are broadcast up to so many bytes, else joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 #: Pairs that a task counts before it sends them on.
@@ -185,28 +188,69 @@ def _slot(term: str) -> int:
     return zlib.crc32(term.encode()) % BITMAP
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """term, n_term: the distinct texts of the whole table that hold each term."""
-    slot = F.crc32(F.col("term").cast("binary")) % BITMAP  # at most BITMAP numbers reach the driver
-    used = [int(r[0]) for r in terms.select(slot.alias("s")).distinct().collect()]
-    bits = np.zeros(BITMAP, bool)
-    bits[used] = True
-    packed = np.packbits(bits).tobytes()
+def repeated(hashes: DataFrame) -> bytes:
+    """A bitmap of ``COPIES`` bits in which those of the hashes that come twice or more are set (and bits of others
+    that share their place)."""
+    place = F.pmod(F.col("text_hash"), F.lit(COPIES)) + 1
+    twice = hashes.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(place.alias("p"))
+    parts = twice.groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = bytearray(COPIES // 8)
+    for part, bits in parts.collect():  # COPIES / 8 bytes at most
+        out[(part - 1) * len(bits):part * len(bits)] = bits
+    return bytes(out)
+
+
+def term_rows(table: DataFrame, packed: bytes, copies: bytes) -> DataFrame:
+    """term, text_hash, n of the table's (text_hash, text) rows, for terms whose slot is set in ``packed``.
+
+    Texts that come once are counted in the task (a null hash). Those in the
+    bitmap ``copies`` may come again: their terms go with the text's hash."""
 
     def run(batches):
         wanted = np.unpackbits(np.frombuffer(packed, np.uint8)).tobytes()
+        count: Counter = Counter()
+
+        def rows(terms, hashes, n):
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(hashes, pa.int64()), pa.array(n, pa.int64())],
+                                              names=["term", "text_hash", "n"])
+
+        def counted():
+            out = rows(list(count), [None] * len(count), list(count.values()))
+            count.clear()
+            return out
+
         for batch in pieces(batches, 1, 2 << 20):
-            hashes, out, terms = batch.column(0).to_pylist(), [], []
-            for h, t in zip(hashes, batch.column(1).to_pylist()):
+            out, terms = [], []
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hit = [w for w in set(_WORD.findall((t or "").lower())) if wanted[_slot(w)]]
-                out += [h] * len(hit)
-                terms += hit
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(out, pa.int64())],
-                                             names=["term", "text_hash"])
+                place = h % COPIES
+                if copies[place >> 3] >> (place & 7) & 1:
+                    out += [h] * len(hit)
+                    terms += hit
+                else:
+                    count.update(hit)
+            if terms:
+                yield rows(terms, out, [1] * len(terms))
+            if len(count) > FLUSH:
+                yield counted()
+        yield counted()
+
+    return table.mapInArrow(run, "term string, text_hash long, n long")
+
 
-    held = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "term string, text_hash long")
-    return held.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text", hashes: DataFrame | None = None) -> DataFrame:
+    """term, n_term: the distinct texts of the whole table that hold each term.
+
+    ``hashes`` is a text_hash for each row of the table, if that is at hand."""
+    slot = F.crc32(F.col("term").cast("binary")) % BITMAP  # at most BITMAP numbers reach the driver
+    used = [int(r[0]) for r in terms.select(slot.alias("s")).distinct().collect()]
+    bits = np.zeros(BITMAP, bool)
+    bits[used] = True
+    table = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    copies = repeated(table if hashes is None else hashes)
+    held = term_rows(table, np.packbits(bits).tobytes(), copies).join(terms, "term", "left_semi")
+    texts = held.groupBy("term", "text_hash").agg(F.sum("n").alias("n"))
+    return texts.groupBy("term").agg(F.sum(F.when(F.col("text_hash").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT,
@@ -234,7 +278,7 @@ def disclosures(docs: DataFrame, found: DataFrame, text: str = "text", support:
     terms = saved(open_.select("term").distinct(), "terms")
     if terms.isEmpty():
         return nothing
-    sized = open_.join(document_counts(docs, terms, text), "term")
+    sized = open_.join(document_counts(docs, terms, text, found.select("text_hash")), "term")
     return sized.select("entity", "term", ratio("n_term").alias("ratio")).where(F.col("ratio") >= threshold)
 
 

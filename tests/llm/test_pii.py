@@ -117,3 +117,23 @@ def test_clashing_columns(spark):
     out = P.redact(table)
     assert out.columns == table.columns
     assert sorted(tuple(r) for r in out.collect()) == [(i, "call [EMAIL] now", 1, "x", "y", "z") for i in range(4)]
+
+
+def test_terms_are_counted_by_distinct_texts_and_summed_in_the_task(spark):
+    texts = [f"alpha beta w{'abcdefghij'[i % 10] * 3} {'x' * 3 if i % 2 else 'yyy'} alpha {i}" for i in range(300)]
+    texts += texts[:40] + texts[:7] + [None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    terms = spark.createDataFrame([("alpha",), ("xxx",), ("waaa",), ("absent",)], "term string")
+    want = {"alpha": 300, "xxx": 150, "waaa": 30}
+    assert {r.term: r.n_term for r in P.document_counts(rows, terms).collect()} == want
+    table = rows.selectExpr("xxhash64(text) AS text_hash", "text")
+    sent = P.term_rows(table, bytes([255]) * (P.BITMAP // 8), P.repeated(table))
+    # 5 tasks send each of 14 words once; the 40 texts that come again send theirs with each copy
+    assert sent.count() <= 5 * 14 + 87 * 4
+
+
+def test_repeated_texts_are_in_the_bitmap(spark):
+    hashes = [-1 << 63, -5, 9, 7, (1 << 63) - 1, (1 << 40) + 3]
+    bits = P.repeated(spark.createDataFrame([(h,) for h in hashes + hashes[::2]], "text_hash long"))
+    held = [bool(bits[h % P.COPIES >> 3] >> (h % P.COPIES & 7) & 1) for h in hashes]
+    assert held == [i % 2 == 0 for i in range(6)] and len(bits) == P.COPIES // 8
