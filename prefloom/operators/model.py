@@ -1,8 +1,10 @@
 """Model surface: batch completion and reward scoring with user-supplied
 model functions, and a Spark ML pairwise (Bradley-Terry) reward model.
 
-Model calls go through ``predict_batch_udf`` (Arrow batches, one model
-instance per Python worker). The model result is selected into a column
+Model calls go through Arrow functions (one model instance per Python worker)
+that convert the rows of one call at a time, so that beside Spark's own batch
+of at most ``spark.sql.execution.arrow.maxBytesPerBatch`` bytes a worker holds
+one call's texts, whatever the batch's rows. The model result is selected into a column
 and should be written before it is used twice, so that plan rewrites cannot
 call the model again.
 """
@@ -10,7 +12,7 @@ call the model again.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,56 @@ def rule_weights(dim: int, modulus: int) -> list[float]:
     return [float((k % modulus) - modulus // 2) for k in range(1, dim + 1)]
 
 
+_MODELS: dict[str, Callable] = {}
+
+
+def _built(key: str, make: Callable) -> Callable:
+    """The model instances of a Python worker, kept over its tasks; three at most."""
+    if key not in _MODELS:
+        while len(_MODELS) > 2:
+            del _MODELS[next(iter(_MODELS))]
+        _MODELS[key] = make()
+    return _MODELS[key]
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """A column as the model gets it: numbers as such (nulls: NaN), anything else as objects (nulls: None)."""
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _call_udf(make: Callable, returns: T.DataType, arrow: pa.DataType, batch_size: int) -> Callable:
+    """A column function that calls ``make()``'s function on ``batch_size`` rows at a time."""
+    key = uuid.uuid4().hex
+
+    def predict(batches):
+        fn = _built(key, make)
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            parts = []
+            for i in range(0, len(columns[0]), batch_size):
+                inputs = [_values(c.slice(i, batch_size)) for c in columns]
+                found = np.asarray(fn(*inputs))
+                if found.shape[:1] != (len(inputs[0]),) or found.size != len(inputs[0]):
+                    raise ValueError(f"the model gave {found.shape} values for {len(inputs[0])} rows")
+                parts.append(pa.array(found.reshape(-1), arrow, from_pandas=True))
+            yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return predict(batches)
+
+    def several(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return predict(batches)
+
+    # evaluated hints: the module's own are strings
+    one.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    several.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+
+    def column(*columns: Column) -> Column:
+        return F.arrow_udf(one if len(columns) == 1 else several, returns)(*columns)
+
+    return column
+
+
 def generate(prompts: DataFrame, make_generate_fn: Callable, n: int, batch_size: int = 64,
              prompt_col: str = "prompt", out_col: str = "response",
              num_partitions: int | None = None) -> DataFrame:
@@ -46,9 +98,7 @@ def generate(prompts: DataFrame, make_generate_fn: Callable, n: int, batch_size:
     (a sample drawn from a large table otherwise sits in its source
     partitions, a few rows per task or many in a few).
     """
-    from pyspark.ml.functions import predict_batch_udf
-
-    udf = predict_batch_udf(make_generate_fn, return_type=T.StringType(), batch_size=batch_size)
+    udf = _call_udf(make_generate_fn, T.StringType(), pa.string(), batch_size)
     if num_partitions:
         prompts = prompts.repartition(int(num_partitions))
     fanned = fan_out(prompts, n, "response_idx")
@@ -59,9 +109,7 @@ def predict_scores(df: DataFrame, make_predict_fn: Callable, input_cols: Sequenc
                    batch_size: int = 8, out_col: str = "reward") -> DataFrame:
     """Reward per row from a user model: ``make_predict_fn()`` returns
     ``fn(*arrays) -> np.ndarray[float]``."""
-    from pyspark.ml.functions import predict_batch_udf
-
-    udf = predict_batch_udf(make_predict_fn, return_type=T.DoubleType(), batch_size=batch_size)
+    udf = _call_udf(make_predict_fn, T.DoubleType(), pa.float64(), batch_size)
     return df.withColumn(out_col, udf(*[F.col(c) for c in input_cols]))
 
 
@@ -78,17 +126,6 @@ def token_batches(lengths: np.ndarray, budget: int) -> list[np.ndarray]:
     return calls
 
 
-_MODELS: dict[str, Callable] = {}
-
-
-def _built(key: str, make: Callable) -> Callable:
-    """One model instance for each Python worker, kept over its tasks."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = make()
-    return _MODELS[key]
-
-
 def predict_scores_by_tokens(df: DataFrame, make_predict_fn: Callable, input_col: str, budget: int,
                              out_col: str = "reward", count: Callable[[str], int] = lambda t: len(t.split())) -> DataFrame:
     """``predict_scores`` of one text column with calls cut by tokens, not rows.
@@ -106,13 +143,14 @@ def predict_scores_by_tokens(df: DataFrame, make_predict_fn: Callable, input_col
     def run(batches):
         fn = _built(key, make_predict_fn)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            known = np.array([i for i, t in enumerate(texts) if t is not None], np.int64)
-            lengths = np.array([count(texts[i]) for i in known], np.int64)
+            texts = batch.column(at)
+            known = np.flatnonzero(np.asarray(texts.is_valid()))
+            lengths = np.array([count(texts[i].as_py()) for i in known.tolist()], np.int64)
             scores: list = [None] * len(texts)
             for call in token_batches(lengths, budget):
                 rows = known[call]
-                for i, x in zip(rows.tolist(), np.asarray(fn(np.array([texts[i] for i in rows], dtype=object)), float).tolist()):
+                some = np.array([texts[i].as_py() for i in rows.tolist()], dtype=object)
+                for i, x in zip(rows.tolist(), np.asarray(fn(some), float).tolist()):
                     scores[i] = x
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out_col])
 

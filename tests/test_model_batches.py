@@ -1,6 +1,7 @@
 """Model calls cut by padded tokens."""
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -52,3 +53,32 @@ def test_both_sides_by_tokens(spark):
     assert sorted(got)[0] == plain[0] and sorted(got)[1][2] is None
     with pytest.raises(ValueError):
         model.predict_scores_by_tokens(df, model.make_length_reward, "chosen_text", 0)
+
+
+def test_a_worker_converts_one_call_at_a_time(spark):
+    """Of an Arrow batch of 9,000 rows only one call's texts are Python strings."""
+    df = spark.range(9000).selectExpr("id AS i", "concat('text ', id) AS t").coalesce(1)
+
+    def make():
+        before = sys.getallocatedblocks()
+        return lambda texts, *_: np.full(len(texts), float(sys.getallocatedblocks() - before))
+
+    scored = model.predict_scores(df, make, ["t"], 8, "n")
+    assert scored.selectExpr("max(n)").first()[0] < 5000
+    by_tokens = model.predict_scores_by_tokens(df.where("i < 3000").repartition(1), make, "t", 64, "n")
+    assert by_tokens.selectExpr("count(n)").first()[0] == 3000
+
+
+def test_calls_take_numbers_and_nulls_as_before(spark):
+    df = spark.createDataFrame([(1, 2.5, "a"), (None, None, None), (3, 1.0, "b")], "k long, x double, t string").coalesce(1)
+
+    def numbers():
+        return lambda k, x: np.where(np.isnan(k), -1.0, k + x)
+
+    assert [r.n for r in model.predict_scores(df, numbers, ["k", "x"], 2, "n").collect()] == [3.5, -1.0, 4.0]
+
+    def texts():
+        return lambda t: np.array([0.0 if s is None else float(len(s)) for s in t])
+
+    assert [r.n for r in model.predict_scores(df, texts, ["t"], 2, "n").collect()] == [1.0, 0.0, 1.0]
+    assert model.predict_scores(df.where("false"), texts, ["t"], 2, "n").count() == 0
