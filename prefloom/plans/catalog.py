@@ -591,21 +591,27 @@ def _stream_input(spark, df, name, parts=4, order_col=None):
     return path
 
 
-STREAM_BUCKETS = 32  # hash buckets of the written responses table, whatever its size
+STREAM_BUCKETS = 32  # buckets of the written responses table, whatever its size
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("problem_id"), F.lit(STREAM_BUCKETS)).cast("int").alias("problem_bucket")
+def _bucket(spark, sf):
+    """The bucket of a problem: a range of ids with about the same number of
+    responses as the others. Problems arrive by id, so a micro-batch has few buckets."""
+    shares = [k / STREAM_BUCKETS for k in range(1, STREAM_BUCKETS)]
+    bounds = testdata.responses(spark, sf, 8).approxQuantile("problem_id", shares, 0.001)
+    edges = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]).cast("array<bigint>")
+    return F.size(F.filter(edges, lambda b: b <= F.col("problem_id"))).alias("problem_bucket")
 
 
 def q_stream_preference_pairs(spark, sf):
     from prefloom.session import scratch_path
     from prefloom.streaming import incremental
 
-    mc = testdata.math_candidates(spark, sf).select(_bucket(), "problem_id", "response_idx", "response")
+    bucket = _bucket(spark, sf)
+    mc = testdata.math_candidates(spark, sf).select(bucket, "problem_id", "response_idx", "response")
     resp_path = scratch_path(spark, "stream-responses")
     mc.repartition("problem_bucket").write.partitionBy("problem_bucket").parquet(resp_path)
-    probs = testdata.problems(spark, sf, 8).select(_bucket(), "problem_id", "problem", testdata.math_answer().alias("answer"))
+    probs = testdata.problems(spark, sf, 8).select(bucket, "problem_id", "problem", testdata.math_answer().alias("answer"))
     src = _stream_input(spark, probs, "stream-problems", order_col="problem_id")
     out = scratch_path(spark, "stream-pairs")
     incremental.incremental_preferences(spark, src, probs.schema, spark.read.parquet(resp_path), out,
@@ -619,7 +625,7 @@ def q_stream_preference_pairs_merged(spark, sf):
     from prefloom.session import scratch_path
     from prefloom.streaming import incremental, snapshots
 
-    c = testdata.choice_candidates(spark, sf).select(_bucket(), "problem_id", "response_idx", "response", "answer")
+    c = testdata.choice_candidates(spark, sf).select(_bucket(spark, sf), "problem_id", "response_idx", "response", "answer")
     resp_path = scratch_path(spark, "stream-choices")
     c.drop("answer").repartition("problem_bucket").write.partitionBy("problem_bucket").parquet(resp_path)
     answers = c.groupBy("problem_bucket", "problem_id").agg(F.min("answer").alias("answer"))
@@ -650,11 +656,12 @@ def q_stream_sft(spark, sf):
     from prefloom.session import scratch_path
     from prefloom.streaming import incremental
 
-    probs = testdata.problems(spark, sf, 8).select(_bucket(), "problem_id", "problem")
+    bucket = _bucket(spark, sf)
+    probs = testdata.problems(spark, sf, 8).select(bucket, "problem_id", "problem")
     src = _stream_input(spark, probs, "stream-sft-problems", order_col="problem_id")
     out = scratch_path(spark, "stream-sft")
     comp_path = scratch_path(spark, "stream-completions")
-    comp = testdata.responses(spark, sf, 8).select(_bucket(), "problem_id", "response_idx", "response")
+    comp = testdata.responses(spark, sf, 8).select(bucket, "problem_id", "response_idx", "response")
     comp.repartition("problem_bucket").write.partitionBy("problem_bucket").parquet(comp_path)
     incremental.incremental_sft(spark, src, probs.schema, spark.read.parquet(comp_path), out,
                                 scratch_path(spark, "stream-sft-ckpt"), bucket_col="problem_bucket")

@@ -58,6 +58,6 @@ def chat_pairs(pairs_with_text: DataFrame, keep_original: bool = True) -> DataFr
     return out
 
 
-def sft_data(problems: DataFrame, completions: DataFrame) -> DataFrame:
+def sft_data(problems: DataFrame, completions: DataFrame, key_cols: Sequence[str] = ("problem_id",)) -> DataFrame:
     """(problem, completion) rows, one per sampled response, unscored."""
-    return prompts.sft_rows(problems, completions)
+    return prompts.sft_rows(problems, completions, key_cols)

@@ -37,6 +37,14 @@ def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
         raise q.exception()
 
 
+def in_buckets(table: DataFrame, batch: DataFrame, bucket_col: str) -> DataFrame:
+    """The rows of a table partitioned by ``bucket_col`` in the buckets of the
+    batch's rows: their numbers become literals of the filter, so the scan
+    reads these folders alone."""
+    found = [r[0] for r in batch.select(bucket_col).where(F.col(bucket_col).isNotNull()).distinct().collect()]  # a number for each bucket
+    return table.where(F.col(bucket_col).isin(found))
+
+
 def _batch_path(out: str, batch_id: int) -> str:
     return f"{out.rstrip('/')}/batch_id={batch_id}"
 
@@ -58,9 +66,9 @@ def incremental_preferences(spark: SparkSession, problems_path: str, problem_sch
     reference's batch loop does; written once before scoring) or from a
     static ``responses`` table (``problem_id, response_idx, response``).
     A static table should be partitioned by ``bucket_col`` (a problem bucket
-    the problem rows carry too, with a fixed number of buckets): the join is
-    on bucket and problem, so that Spark prunes the scan to the batch's
-    buckets when it runs (dynamic partition pruning).
+    the problem rows carry too, with a fixed number of buckets), so that a
+    batch reads its own buckets alone (``in_buckets``). Buckets that follow
+    the order in which problems arrive are then read about once in all.
     """
     if (responses is None) == (make_generate_fn is None):
         raise ValueError("give either responses or make_generate_fn")
@@ -77,7 +85,8 @@ def incremental_preferences(spark: SparkSession, problems_path: str, problem_sch
             resp = batch.sparkSession.read.parquet(path).join(probs.select("problem_id", "answer"), "problem_id")
         else:
             keys = [bucket_col, "problem_id"] if bucket_col else ["problem_id"]
-            resp = responses.join(probs.select(*keys, "answer"), keys).drop(*([bucket_col] if bucket_col else []))
+            resp = in_buckets(responses, probs, bucket_col) if bucket_col else responses
+            resp = resp.join(probs.select(*keys, "answer"), keys).drop(*([bucket_col] if bucket_col else []))
         scored = preference.score_responses(resp, scorer)
         out_df = preference.preference_data(scored, probs.select("problem_id", "problem"), max_pairs)
         out_df.write.mode("overwrite").parquet(_batch_path(out, batch_id))
@@ -100,16 +109,15 @@ def incremental_sft(spark: SparkSession, problems_path: str, problem_schema, com
         raise ValueError("give either completions or make_generate_fn")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        probs = batch.select("problem_id", "problem")
+        keys = [bucket_col, "problem_id"] if bucket_col and make_generate_fn is None else ["problem_id"]
+        probs = batch.select(*keys, "problem")
         if make_generate_fn is not None:
             from prefloom.operators import model
 
             comp = model.generate(batch.select("problem_id", prompt_col), make_generate_fn, num_samples, batch_size)
         else:
-            comp = completions
-            if bucket_col:
-                comp = comp.join(batch.select(bucket_col, "problem_id"), [bucket_col, "problem_id"], "left_semi").drop(bucket_col)
-        rows = preference.sft_data(probs, comp)
+            comp = in_buckets(completions, probs, bucket_col) if bucket_col else completions
+        rows = preference.sft_data(probs, comp, keys)
         rows.select("problem_id", "response_idx", "problem", "completion") \
             .write.mode("overwrite").parquet(_batch_path(out, batch_id))
 

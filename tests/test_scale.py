@@ -81,3 +81,40 @@ def test_runs_of_a_hot_problem_are_spread(spark):
     assert len(per_task) == 8 and max(r["count"] for r in per_task) < 2000 * 0.3
     assert res.count() == 2000
     assert res.columns == ["problem_id", "response_idx", "case_idx", "fn_name", "expected", "actual", "ok", "error"]
+
+
+def test_a_micro_batch_reads_its_own_buckets(spark, tmp_path):
+    """A stream's batch scans the folders of its buckets alone, and ranges of ids are even buckets."""
+    from prefloom.plans import catalog
+    from prefloom.streaming import incremental
+
+    ids = [i * i * 1000 for i in range(3200)]  # far from evenly spread
+    docs = spark.createDataFrame([(i * 8 + k, "t", "s", "en", 1) for i in ids for k in range(2)],
+                                 "doc_id long, text string, source string, lang string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.createDataFrame([(i, "r") for i in ids] + [(None, "r")], "problem_id long, response string")
+    table = table.select(catalog._bucket(spark, str(tmp_path)), "*")
+    sizes = [r["count"] for r in table.groupBy("problem_bucket").count().collect()]
+    assert len(sizes) == catalog.STREAM_BUCKETS and max(sizes) < 200
+    table.write.partitionBy("problem_bucket").parquet(f"{tmp_path}/responses")
+    batch = table.where(f"problem_id < {ids[800]}").drop("response")
+    kept = incremental.in_buckets(spark.read.parquet(f"{tmp_path}/responses"), batch, "problem_bucket")
+    assert 800 <= kept.count() <= 1000
+    assert {f.split("problem_bucket=")[1].split("/")[0] for f in kept.inputFiles()} >= {"0"}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [problem_bucket" in plan and "DataFilters: []" in plan
+    assert incremental.in_buckets(kept, batch.where("false"), "problem_bucket").count() == 0
+
+
+def test_sft_stream_on_buckets_equals_the_join(spark, tmp_path):
+    from prefloom.streaming import incremental
+
+    probs = spark.createDataFrame([(i // 5, i, f"p{i}") for i in range(40)], "b int, problem_id long, problem string")
+    comp = spark.createDataFrame([(i // 5, i, k, f"c{i}.{k}") for i in range(45) for k in range(2)],
+                                 "b int, problem_id long, response_idx int, response string")
+    probs.repartitionByRange(4, "problem_id").write.parquet(f"{tmp_path}/p")
+    comp.write.partitionBy("b").parquet(f"{tmp_path}/c")
+    out = incremental.incremental_sft(spark, f"{tmp_path}/p", probs.schema, spark.read.parquet(f"{tmp_path}/c"),
+                                      f"{tmp_path}/o", f"{tmp_path}/k", bucket_col="b")
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("problem_id", "response_idx", "problem", "completion").collect())
+    assert got == sorted((i, k, f"p{i}", f"c{i}.{k}") for i in range(40) for k in range(2))
