@@ -31,14 +31,21 @@ from __future__ import annotations
 import functools
 import os
 import re
+import string
 import zlib
+from array import array
+from codecs import charmap_decode
+from collections.abc import Iterable
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prefloom.llm.bpe_lexicon import byte_symbols
 from prefloom.llm.common import U64, pieces
 from prefloom.session import checkpoint_root, scratch_path
 
@@ -56,7 +63,8 @@ BROADCAST_TASKS = 1_000_000
 SMALL_PAGES = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 # The tokenizer's pattern, for lower-case text in the range of _LATIN (where NFC changes nothing).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_LATIN = re.compile("[!-~\u00a1-\u024f]+")
+_LATIN = "^[!-~\u00a1-\u024f]+$"
+_SIGNS = string.punctuation
 _LOW = U64(1 << 31)
 _HEAD = np.dtype([("magic", "<u4"), ("lanes", "<u4"), ("tokens", "<u8"), ("words", "<u8"), ("marks", "<u4"), ("every", "<u4")])
 _MAGIC = 0x31534E41
@@ -154,11 +162,11 @@ def decode_block(payload: bytes, table: FrequencyTable, part: int | None = None)
 class PieceEncoder:
     """Ids by the tokenizers library, word by word, remembered as 16- or 32-bit strings.
 
-    Unseen pieces go to the library many at a time, as one text with spaces
-    between them; each ends in one id of a token with the word end. Words are
-    remembered in two generations of bounded size, so those in use stay."""
-
-    END = "</w>"
+    Unseen pieces go to the library's model one by one, lower-case and with the
+    byte-level file's signs for bytes, as its normalizer and pre-tokenizer give
+    them; other words, and texts with special tokens, go through all of the
+    library. Words are remembered in two generations of bounded size, so those
+    in use stay."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,10 +175,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocab = self.tokenizer.get_vocab()
-        self.kind = "<u2" if len(vocab) <= 1 << 16 else "<u4"
-        self.is_end = np.zeros(max(vocab.values(), default=0) + 1, bool)
-        self.is_end[[i for t, i in vocab.items() if t.endswith(self.END)]] = True
+        self.model = self.tokenizer.model
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.signs = "".join(byte_symbols())
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.memo: dict[str, bytes] = {"": b""}
@@ -180,44 +187,71 @@ class PieceEncoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in encoded]
 
-    def piece_ids(self, found: list[str], together: int = 2048) -> list[bytes]:
+    def piece_ids(self, found: Iterable[str]) -> list[bytes]:
         """Ids of pieces, each of which the tokenizer's pattern leaves whole."""
-        out: list[bytes] = []
-        parts = [found[i:i + together] for i in range(0, len(found), together)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, self.kind)
-            stop = (np.flatnonzero(self.is_end[ids]) + 1) * ids.itemsize
-            if len(stop) == len(part):
-                raw, stop = ids.tobytes(), stop.tolist()
-                out += [raw[i:j] for i, j in zip([0, *stop], stop)]
-            else:  # a piece that does not end in one such token
-                out += self.ids(part)
-        return out
+        tokenize, signs, code = self.model.tokenize, self.signs, "H" if self.kind == "<u2" else "I"
+        return [array(code, [t.id for t in tokenize(p if p.isascii() else charmap_decode(p.encode(), "strict", signs)[0])]).tobytes()
+                for p in found]
 
-    def _unseen(self, words: set[str]) -> set[str]:
+    def _unseen(self, words: Iterable[str]) -> list[str]:
         """Words in neither generation; those of the older one come back."""
-        new = words.difference(self.memo)
-        if self.old:
-            back = {w: self.old[w] for w in new if w in self.old}
-            self.memo.update(back)
-            new.difference_update(back)
+        memo, old = self.memo, self.old
+        new = [w for w in words if w not in memo]
+        if old and new:
+            found = list(map(old.get, new))
+            memo.update([(w, x) for w, x in zip(new, found) if x is not None])
+            new = [w for w, x in zip(new, found) if x is None]
         return new
 
+    def _learn(self, unseen: list[str]) -> None:
+        """Remember the ids of distinct words that are in neither generation."""
+        latin = pc.match_substring_regex(pa.array(unseen, pa.large_string()), _LATIN).to_numpy(zero_copy_only=False).tolist()
+        other = [w for w, is_latin in zip(unseen, latin) if not is_latin]
+        alone: set[str] = set()
+        one: list[tuple[str, str]] = []  # a word and its only piece
+        cut: list[tuple[str, list[str]]] = []
+        for w in compress(unseen, latin):
+            low = w.lower()
+            if low.isalpha():
+                alone.add(low)
+                if low != w:
+                    one.append((w, low))
+            else:
+                stem = low.rstrip(_SIGNS)
+                part = [stem, low[len(stem):]] if stem.isalpha() else _PIECES.findall(low)
+                alone.update(part)
+                cut.append((w, part))
+        new = self._unseen(alone)
+        known = self.memo
+        known.update(zip(new, self.piece_ids(new)))
+        known.update(zip(other, self.ids(other)))
+        known.update([(w, known[p]) for w, p in one])
+        known.update([(w, b"".join([known[p] for p in part])) for w, part in cut])
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text: those of its distinct words, gathered by the words' numbers."""
         if len(self.memo) > MEMO:
             self.memo, self.old = {"": b""}, self.memo
-        whole = {i for i, t in enumerate(texts) if self.special.search(t)}
-        split = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        unseen = self._unseen(set().union(*split))
-        latin = [w for w in unseen if _LATIN.fullmatch(w)]
-        other = list(unseen.difference(latin))
-        self.memo.update(zip(other, self.ids(other)))
-        cut = {w: [w.lower()] if w.isalpha() else _PIECES.findall(w.lower()) for w in latin}
-        alone = list(self._unseen(set().union(*cut.values())))
-        self.memo.update(zip(alone, self.piece_ids(alone)))
-        known = self.memo
-        self.memo.update((w, known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])) for w, p in cut.items())
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        whole = [i for i, t in enumerate(texts) if self.special.search(t)]
+        rest = list(texts)
+        for i in whole:
+            rest[i] = ""
+        split = pc.split_pattern(pc.replace_substring(pa.array(rest, pa.large_string()), "\n", " "), " ")
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        unseen = self._unseen(words)
+        if unseen:
+            self._learn(unseen)
+        known = list(map(self.memo.__getitem__, words))
+        ids = np.frombuffer(b"".join(known), self.kind)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // ids.itemsize
+        number = numbered.indices.to_numpy()
+        each = size[number]
+        end = np.concatenate([[0], np.cumsum(each)])
+        place = np.repeat((np.cumsum(size) - size)[number] - end[:-1], each)
+        place += np.arange(len(place))
+        raw, stop = ids[place].tobytes(), (end[split.offsets.to_numpy()] * ids.itemsize).tolist()
+        out = [raw[i:j] for i, j in zip(stop, stop[1:])]
         for i in whole:
             out[i] = self.ids([texts[i]])[0]
         return out
@@ -248,7 +282,7 @@ def token_blocks(docs: DataFrame, path: str, text: str = "text", end_id: int = E
                 names=["task", "block", "before", "doc_ids", "lengths", "width", "ids"])
 
         task = 0
-        for batch in pieces(batches, 1, 2 << 20):
+        for batch in pieces(batches, 1, 4 << 20):
             task = batch.column(3)[0].as_py()
             rows = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             for i, x in zip(batch.column(0).to_pylist(), rows):

@@ -87,3 +87,23 @@ def test_files_of_blocks_have_small_pages_and_groups_of_rows(spark, tmp_path, mo
     assert max(g.total_byte_size for g in groups) < 10 << 20
     got = {r.doc_id: (r.start, r.ids) for r in R.read_ids(spark, str(tmp_path)).collect()}
     assert got == {b: (b * 300_000, np.frombuffer(x[6], "<u2").astype("<u4").tobytes()) for b, x in enumerate(blocks)}
+
+
+class Counted(dict):
+    asked = 0
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+def test_a_word_is_looked_up_once_a_batch_and_its_pieces_go_to_the_model_alone():
+    encoder = R.PieceEncoder(PATH)
+    encoder.memo = Counted(encoder.memo)
+    whole, library = [], encoder.ids
+    encoder.ids = lambda texts: whole.extend(texts) or library(texts)
+    texts = ["Été it's\n### the, ", "", "the THE 'really x<|endoftext|>", "the İ 2² don't... ½ĸȺ'LL"] + ["the Straße, \n\n a"] * 500
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert encoder.memo.asked < 50
+    assert whole == [texts[2]]
