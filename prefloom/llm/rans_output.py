@@ -55,7 +55,7 @@ LANES = 1024
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 128
 #: Words of one generation that a worker remembers.
-MEMO = 250_000
+MEMO = 500_000
 #: The starts, a row for each task of the writer, are broadcast up to so many.
 BROADCAST_TASKS = 1_000_000
 #: A row holds a block: writers look at their sizes after each one, so that pages, groups of rows and with them
@@ -76,7 +76,8 @@ class FrequencyTable:
     def __init__(self, frequency: np.ndarray):
         self.frequency = frequency.astype(U64)
         self.first = np.concatenate([np.zeros(1, U64), np.cumsum(self.frequency)[:-1]])
-        self.symbol = np.repeat(np.arange(len(frequency)), frequency.astype(np.int64))
+        self.symbol = np.repeat(np.arange(len(frequency), dtype=np.uint16 if len(frequency) <= 1 << 16 else np.uint32),
+                                frequency.astype(np.int64))
 
     @staticmethod
     def scaled(counts: np.ndarray) -> np.ndarray:
@@ -100,16 +101,16 @@ def encode_block(ids: np.ndarray, table: FrequencyTable, lanes: int = LANES, eve
     limit = U64(63 - SCALE)
     for step in range(steps - 1, -1, -1):
         row = ids[step * lanes:(step + 1) * lanes]
-        f, first = table.frequency[row], table.first[row]
+        f, first = table.frequency.take(row), table.first.take(row)
         x = state[:len(row)]
         full = x >= (f << limit)
-        if full.any():
-            words = (x[full] & U64(0xFFFFFFFF)).astype("<u4")
-            out.append(words)
-            written += len(words)
-            x[full] >>= U64(32)
+        at = np.flatnonzero(full)
+        if len(at):
+            out.append(x.astype("<u4").take(at))  # the low half
+            written += len(at)
+            x >>= full.astype(U64) << U64(5)
         quotient = x // f
-        x[:] = (quotient << U64(SCALE)) + (x - quotient * f) + first
+        x += quotient * (U64(1 << SCALE) - f) + first  # the quotient goes up by SCALE bits, the remainder stays
         if step and step % every == 0:
             marks.append((step, written, state.copy()))
     stream = np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
@@ -142,20 +143,22 @@ def decode_block(payload: bytes, table: FrequencyTable, part: int | None = None)
         last = int(np.frombuffer(payload, "<u8", 1, at + part * size)[0])
     state = np.frombuffer(payload, "<u8", lanes, states_at).astype(U64)
     stream = np.frombuffer(payload, "<u4", int(head["words"]), states + 8 * lanes).astype(U64)
-    out = np.empty(max(0, min(last * lanes, tokens) - begin * lanes), np.int64)
+    out = np.empty(max(0, min(last * lanes, tokens) - begin * lanes), table.symbol.dtype)
     mask = U64((1 << SCALE) - 1)
     for step in range(begin, last):
         n = min(lanes, tokens - step * lanes)
         x = state[:n]
         slot = x & mask
-        symbol = table.symbol[slot.astype(np.int64)]
+        symbol = table.symbol.take(slot.view(np.int64))
         out[(step - begin) * lanes:(step - begin) * lanes + n] = symbol
-        x[:] = table.frequency[symbol] * (x >> U64(SCALE)) + slot - table.first[symbol]
-        short = x < _LOW
-        k = int(short.sum())
-        if k:
-            x[short] = x[short] << U64(32) | stream[place:place + k]
-            place += k
+        row = symbol.astype(np.int64)
+        x >>= U64(SCALE)
+        x *= table.frequency.take(row)
+        x += slot - table.first.take(row)
+        at = np.flatnonzero(x < _LOW)
+        if len(at):
+            x[at] = x.take(at) << U64(32) | stream[place:place + len(at)]
+            place += len(at)
     return out
 
 
@@ -205,6 +208,8 @@ class PieceEncoder:
 
     def _learn(self, unseen: list[str]) -> None:
         """Remember the ids of distinct words that are in neither generation."""
+        if not unseen:
+            return
         latin = pc.match_substring_regex(pa.array(unseen, pa.large_string()), _LATIN).to_numpy(zero_copy_only=False).tolist()
         other = [w for w, is_latin in zip(unseen, latin) if not is_latin]
         alone: set[str] = set()
@@ -239,10 +244,12 @@ class PieceEncoder:
         split = pc.split_pattern(pc.replace_substring(pa.array(rest, pa.large_string()), "\n", " "), " ")
         numbered = split.flatten().dictionary_encode()
         words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        unseen = self._unseen(words)
-        if unseen:
-            self._learn(unseen)
-        known = list(map(self.memo.__getitem__, words))
+        known = list(map(self.memo.get, words))
+        at = [i for i, x in enumerate(known) if x is None]
+        missing = [words[i] for i in at]
+        self._learn(self._unseen(missing))
+        for i, x in zip(at, map(self.memo.__getitem__, missing)):
+            known[i] = x
         ids = np.frombuffer(b"".join(known), self.kind)
         size = np.fromiter(map(len, known), np.int64, len(known)) // ids.itemsize
         number = numbered.indices.to_numpy()
