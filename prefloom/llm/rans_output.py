@@ -18,7 +18,8 @@ ascending doc_id order.
 The library encodes distinct pieces only: white space separates pieces in
 this tokenizer, so a text's ids are those of its pieces, and a piece of Latin
 letters, digits and signs is cut as the tokenizer's pattern cuts it. A worker
-remembers pieces it has seen.
+remembers words and pieces it has seen. The words of a batch are numbered, so
+that only distinct ones are looked up, and their ids gathered as one array.
 
 Defined results: a null text is empty and has the end id alone; a null id
 comes first; rows that repeat an id follow each other by text hash; a
